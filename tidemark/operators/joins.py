@@ -55,11 +55,9 @@ def interval_join(events: DataFrame, bars: DataFrame, *, by: Sequence[str], star
     """Pair every event with the bars in [start, stop): an equi join on (key, bucket) with the range as a
     residual, so no nested-loop join appears. A bar falls in one bucket, hence no duplicate pairs."""
     e = events.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(stop) - 1) / bucket))))
-    b = bars.withColumn("_b", F.floor(F.col(on) / bucket))
-    cond = [e[k] == b[k] for k in by] + [e["_b"] == b["_b"], b[on] >= e[start], b[on] < e[stop]]
-    joined = e.join(b, reduce(lambda x, y: x & y, cond), "inner")
-    keep = [e[c] for c in events.columns] + [b[c].alias(f"bar_{c}") for c in bars.columns if c not in by]
-    out = joined.select(*keep)
+    b = bars.select(*by, F.floor(F.col(on) / bucket).alias("_b"), *[F.col(c).alias(f"bar_{c}") for c in bars.columns if c not in by])
+    inside = (F.col(f"bar_{on}") >= F.col(start)) & (F.col(f"bar_{on}") < F.col(stop))
+    out = e.join(b, [*by, "_b"]).where(inside).select(*events.columns, *[c for c in b.columns if c not in (*by, "_b")])
     if how == "left":
         keys = [c for c in events.columns]
         rest = events.join(out.select(*keys).distinct(), keys, "left_anti")

@@ -52,7 +52,13 @@ def _agg(kind: str, value: Column, order: Column) -> Column:
     return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[kind](value)
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int,
+def _over(kind: str, col: Column, window) -> Column:
+    if kind == "last":
+        return F.last(col, ignorenulls=True).over(window)
+    return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[kind](col).over(window)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int | None,
             specs: dict[str, tuple[str, Column]], *, ts: str = "ts", inclusive: bool = True,
             reverse: bool = False) -> DataFrame:
     """Add running aggregates per key.
@@ -60,8 +66,16 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
     ``specs`` maps a new column to (kind, expression), kind one of sum, max, min, count, last.
     ``last`` skips NULLs. ``inclusive=False`` leaves the current row out. ``reverse`` scans from the
     end of the time line (so ``last`` becomes "next").
+
+    ``width=None`` is for series with one row per key and calendar step (daily closes): their keys are
+    bounded by the calendar, so one window per key does.
     """
     keys, order = list(keys), list(order)
+    if width is None:
+        sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
+        whole = (Window.partitionBy(*keys).orderBy(*sort)
+                 .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+        return df.withColumns({name: _over(kind, value, whole) for name, (kind, value) in specs.items()})
     base = df.withColumn(CHUNK, chunk_of(ts, width))
     for name, (_, value) in specs.items():
         base = base.withColumn(f"_v_{name}", value)
@@ -72,21 +86,16 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
         .rowsBetween(Window.unboundedPreceding, -1)
     key_struct = F.struct(*order)
 
-    def over(kind: str, col: Column, window) -> Column:
-        if kind == "last":
-            return F.last(col, ignorenulls=True).over(window)
-        return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[kind](col).over(window)
-
     totals = base.groupBy(*keys, CHUNK).agg(*[
         _agg(("first" if reverse else "last") if kind == "last" else kind, F.col(f"_v_{n}"), key_struct).alias(f"_t_{n}")
         for n, (kind, _) in specs.items()])
     carry = totals.select(*keys, CHUNK, *[
-        over("sum" if kind == "count" else kind, F.col(f"_t_{n}"), step).alias(f"_c_{n}")
+        _over("sum" if kind == "count" else kind, F.col(f"_t_{n}"), step).alias(f"_c_{n}")
         for n, (kind, _) in specs.items()])
     # Keys may be NULL-free by contract; the carry table has one row per (key, chunk).
     out = base.join(carry, [*keys, CHUNK], "left")
     for name, (kind, _) in specs.items():
-        here, before = over(kind, F.col(f"_v_{name}"), local), F.col(f"_c_{name}")
+        here, before = _over(kind, F.col(f"_v_{name}"), local), F.col(f"_c_{name}")
         if kind == "last":
             value = F.coalesce(here, before)
         elif kind == "max":
@@ -102,7 +111,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
     return out.drop(CHUNK, *[f"_v_{n}" for n in specs], *[f"_c_{n}" for n in specs])
 
 
-def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, columns: Sequence[str],
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int | None, columns: Sequence[str],
              *, ts: str = "ts", prefix: str = "prev_", reverse: bool = False) -> DataFrame:
     """The row before (``reverse``: after) each row of its key, NULL values kept."""
     row = F.struct(*columns)
@@ -112,12 +121,14 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: in
     return out.drop("_row")
 
 
-def range_halo(df: DataFrame, width: int, *, back: int = 0, ahead: int = 0, ts: str = "ts") -> DataFrame:
+def range_halo(df: DataFrame, width: int | None, *, back: int = 0, ahead: int = 0, ts: str = "ts") -> DataFrame:
     """Copy rows into the neighbouring chunks whose RANGE frames reach them.
 
     A frame ``[ts - back, ts + ahead]`` evaluated inside (key, ``_chunk``) then sees every row it needs.
-    Filter ``_own`` after the window.
+    Filter ``_own`` after the window. ``width=None``: one chunk per key (calendar-bounded series).
     """
+    if width is None:
+        return df.withColumn(CHUNK, F.lit(0)).withColumn("_own", F.lit(True))
     own = chunk_of(ts, width)
     first = chunk_of(F.col(ts) - F.lit(ahead), width)
     last = chunk_of(F.col(ts) + F.lit(back), width)
@@ -126,7 +137,7 @@ def range_halo(df: DataFrame, width: int, *, back: int = 0, ahead: int = 0, ts:
             .withColumn("_own", F.col(CHUNK) == F.col("_home")).drop("_home"))
 
 
-def row_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, width: int, *,
+def row_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int, width: int | None, *,
              ts: str = "ts", block: int = 100_000) -> DataFrame:
     """Chunks by row position for ROWS frames of up to ``rows`` preceding rows.
 
@@ -134,6 +145,8 @@ def row_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int
     """
     block = max(block, rows + 1)
     numbered = running(df, keys, order, width, {"_pos": ("count", F.lit(1))}, ts=ts)
+    if width is None:
+        return numbered.withColumn(CHUNK, F.lit(0)).withColumn("_own", F.lit(True))
     home = F.floor((F.col("_pos") - 1) / F.lit(block)).cast("bigint")
     reach = F.floor((F.col("_pos") - 1 + F.lit(rows)) / F.lit(block)).cast("bigint")
     return (numbered.withColumn("_home", home)

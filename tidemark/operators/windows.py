@@ -23,7 +23,7 @@ def _rows(keys: Sequence[str], lo: int, hi: int, ts: str = "ts"):
     return Window.partitionBy(*keys, CHUNK).orderBy(F.col(ts)).rowsBetween(lo, hi)
 
 
-def lag_return(df: DataFrame, keys: Sequence[str], k: int, *, width: int, value: str = "close", out: str = "ret") -> DataFrame:
+def lag_return(df: DataFrame, keys: Sequence[str], k: int, *, width: int | None, value: str = "close", out: str = "ret") -> DataFrame:
     """value / value k rows earlier - 1."""
     h = row_halo(df, keys, ["ts"], k, width)
     return own_rows(h.withColumn(out, F.col(value) / F.lag(value, k).over(in_chunk(keys, "ts")) - 1))
@@ -41,7 +41,7 @@ def densify(df: DataFrame, keys: Sequence[str], *, step: int, ts: str = "ts", ch
     return spine.join(df, [*keys, ts], "left")
 
 
-def realized_vol(df: DataFrame, keys: Sequence[str], *, days: int, width: int, per_year: float = 365.0, value: str = "close",
+def realized_vol(df: DataFrame, keys: Sequence[str], *, days: int, width: int | None, per_year: float = 365.0, value: str = "close",
                  step: int = DAY, out: str = "realized_vol") -> DataFrame:
     """Sample deviation of log returns between adjacent calendar steps, annualised, full windows only."""
     p = previous(df, keys, ["ts"], width, ["ts", value], prefix="_p_")
@@ -52,7 +52,7 @@ def realized_vol(df: DataFrame, keys: Sequence[str], *, days: int, width: int, p
     return own_rows(h.withColumn(out, F.when(full, F.stddev_samp("log_return").over(w) * F.lit(per_year) ** 0.5)))
 
 
-def causal_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, *, lookback: int, min_history: int, width: int,
+def causal_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, *, lookback: int, min_history: int, width: int | None,
                     step: int = DAY, out: str = "threshold") -> DataFrame:
     """Quantile of the values of the previous ``lookback`` steps, current row excluded."""
     w = _range(keys, -lookback * step, -step)
@@ -61,7 +61,7 @@ def causal_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, *,
 
 
 def regime(df: DataFrame, keys: Sequence[str], *, vol_days: int, trend_days: int, lookback: int, min_history: int, quantile: float,
-           width: int) -> DataFrame:
+           width: int | None) -> DataFrame:
     """Daily trend/volatility state. The volatility threshold at t uses estimates ending at t-1; every shift
     is a calendar shift, so a missing day leaves the state unknown."""
     from ..functions.scalar import four_state
@@ -75,7 +75,7 @@ def regime(df: DataFrame, keys: Sequence[str], *, vol_days: int, trend_days: int
             .withColumn("regime", four_state("trend_return", "realized_vol", "threshold")).drop("_then", "_next"))
 
 
-def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, window: int, *, width: int, out: str = "pctile",
+def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, window: int, *, width: int | None, out: str = "pctile",
                     min_known: int | None = None) -> DataFrame:
     """Share (0-100) of the previous ``window`` rows' known values strictly below the current one; NULL until
     ``window`` rows exist and max(10, window // 4) of them are known."""
@@ -87,7 +87,7 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, window: int,
     return own_rows(h.withColumn(out, F.when(ready, below / F.size(past) * 100)))
 
 
-def causal_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int, min_history: int, *, step: int, width: int,
+def causal_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int, min_history: int, *, step: int, width: int | None,
                   out: str = "z") -> DataFrame:
     """(x - mean) / population sd of up to ``window`` previous rows, restarting after every time gap.
 
@@ -102,7 +102,7 @@ def causal_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int, m
     return own_rows(h.withColumn(out, F.when(ready, (F.col(value) - F.avg(value).over(w)) / sd))).drop("island")
 
 
-def trailing_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int, min_known: int, *, width: int, out: str = "z") -> DataFrame:
+def trailing_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int, min_known: int, *, width: int | None, out: str = "z") -> DataFrame:
     """Sample-sd variant over previous rows without gap restart."""
     h = row_halo(df, keys, ["ts"], window, width)
     w = _rows(keys, -window, -1)
@@ -120,7 +120,7 @@ def expanding_tail(df: DataFrame, keys: Sequence[str], value: str, q: float, *,
     return d.withColumn(out, F.coalesce(hit, F.lit(False)))
 
 
-def complete_move(df: DataFrame, keys: Sequence[str], k: int, *, step: int, width: int, value: str = "close", out: str = "move_bp") -> DataFrame:
+def complete_move(df: DataFrame, keys: Sequence[str], k: int, *, step: int, width: int | None, value: str = "close", out: str = "move_bp") -> DataFrame:
     """k-step move in bp, only where all k+1 values exist at consecutive steps."""
     w = _range(keys, -k * step, 0)
     h = range_halo(df, width, back=k * step)
@@ -128,7 +128,7 @@ def complete_move(df: DataFrame, keys: Sequence[str], k: int, *, step: int, widt
     return own_rows(h.withColumn(out, F.when(F.count(value).over(w) == k + 1, move)))
 
 
-def rolling(df: DataFrame, keys: Sequence[str], value: str, rows: int, *, width: int, kind: str = "sum", out: str | None = None) -> DataFrame:
+def rolling(df: DataFrame, keys: Sequence[str], value: str, rows: int, *, width: int | None, kind: str = "sum", out: str | None = None) -> DataFrame:
     """Sum or mean of the last ``rows`` rows including the current, full windows only."""
     w = _rows(keys, -(rows - 1), 0)
     h = row_halo(df, keys, ["ts"], rows, width)
@@ -136,7 +136,7 @@ def rolling(df: DataFrame, keys: Sequence[str], value: str, rows: int, *, width:
     return own_rows(h.withColumn(out or f"{kind}_{rows}", F.when(F.count(value).over(w) == rows, agg)))
 
 
-def islands(df: DataFrame, keys: Sequence[str], *, width: int, gap: int | None = None, state: str | None = None,
+def islands(df: DataFrame, keys: Sequence[str], *, width: int | None, gap: int | None = None, state: str | None = None,
             out: str = "island", ts: str = "ts") -> DataFrame:
     """Run number: a new run starts where the time step exceeds ``gap`` or ``state`` changes."""
     cols = [ts, *([state] if state else [])]
@@ -150,23 +150,23 @@ def islands(df: DataFrame, keys: Sequence[str], *, width: int, gap: int | None =
     return running(flagged, keys, [ts], width, {out: ("sum", F.col("_s"))}, ts=ts).drop("_s")
 
 
-def run_lengths(df: DataFrame, keys: Sequence[str], state: str, *, gap: int, width: int) -> DataFrame:
+def run_lengths(df: DataFrame, keys: Sequence[str], state: str, *, gap: int, width: int | None) -> DataFrame:
     """Per state: rows, runs and the longest contiguous run."""
     runs = islands(df, keys, width=width, gap=gap, state=state).groupBy(*keys, state, "island").agg(F.count("*").alias("_n"))
     return runs.groupBy(*keys, state).agg(F.sum("_n").alias("count"), F.count("*").alias("runs"), F.max("_n").alias("max_contiguous"))
 
 
-def episodes(df: DataFrame, keys: Sequence[str], state: str, value: str, *, gap: int, width: int) -> DataFrame:
+def episodes(df: DataFrame, keys: Sequence[str], state: str, value: str, *, gap: int, width: int | None) -> DataFrame:
     """Contiguous same-state runs with span, compounded ``value`` and drawdown inside the run."""
     r = islands(df.where(F.col(state).isNotNull()), keys, width=width, gap=gap, state=state)
-    dd = max_drawdown(r, [*keys, state, "island"], value, width=width)
+    dd = max_drawdown(r, [*keys, state, "island"], value, width=None)
     g = r.groupBy(*keys, state, "island").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("observations"),
         (F.exp(F.sum(F.log1p(value))) - 1).alias("cumulative"))
     return g.join(dd, [*keys, state, "island"], "left").drop("island")
 
 
-def transitions(df: DataFrame, keys: Sequence[str], state: str, *, step: int, width: int) -> DataFrame:
+def transitions(df: DataFrame, keys: Sequence[str], state: str, *, step: int, width: int | None) -> DataFrame:
     """Counts and row probabilities of moves to the state exactly one calendar step later."""
     known = df.where(F.col(state).isNotNull()).select(*keys, "ts", state)
     nxt = known.select(*keys, (F.col("ts") - step).alias("ts"), F.col(state).alias("to_state"))
@@ -175,7 +175,7 @@ def transitions(df: DataFrame, keys: Sequence[str], state: str, *, step: int, wi
     return c.withColumn("probability", F.col("count") / total)
 
 
-def max_drawdown(df: DataFrame, keys: Sequence[str], ret: str, *, width: int, additive: bool = False, out: str = "max_drawdown") -> DataFrame:
+def max_drawdown(df: DataFrame, keys: Sequence[str], ret: str, *, width: int | None, additive: bool = False, out: str = "max_drawdown") -> DataFrame:
     """Worst fall from the running peak; the peak starts at the initial wealth. ``additive`` sums returns."""
     step = F.col(ret) if additive else F.log1p(ret)
     w = running(df.where(F.col(ret).isNotNull()), keys, ["ts"], width, {"_w": ("sum", step)})
@@ -184,7 +184,7 @@ def max_drawdown(df: DataFrame, keys: Sequence[str], ret: str, *, width: int, ad
     return p.groupBy(*keys).agg(F.min(fall if additive else F.exp(fall) - 1).alias(out))
 
 
-def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width: int, top: int = 5, tie: Sequence[str] = ()) -> DataFrame:
+def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, top: int = 5, tie: Sequence[str] = ()) -> DataFrame:
     """Stretches where the running sum is below zero: start, end, depth, duration, rank by depth."""
     order = ["ts", *tie]
     cum = running(df, keys, order, width, {"cum": ("sum", F.col(value))}).withColumn("neg", F.col("cum") < 0)
@@ -200,7 +200,7 @@ def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width:
     return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
-def local_drawdown(df: DataFrame, keys: Sequence[str], value: str, *, width: int, tie: Sequence[str] = ()) -> DataFrame:
+def local_drawdown(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, tie: Sequence[str] = ()) -> DataFrame:
     """Worst distance of the running sum from its all-time high, per year."""
     order = ["ts", *tie]
     cum = running(df, keys, order, width, {"_cum": ("sum", F.col(value))})
@@ -208,7 +208,7 @@ def local_drawdown(df: DataFrame, keys: Sequence[str], value: str, *, width: int
     return peak.groupBy(*keys, F.year(F.timestamp_millis("ts")).alias("yr")).agg((F.min(F.col("_cum") - F.col("_peak")) * 10_000).alias("drawdown_bp"))
 
 
-def forward_max_rise(df: DataFrame, keys: Sequence[str], *, span: int, width: int, every: int = 1, high: str = "high") -> DataFrame:
+def forward_max_rise(df: DataFrame, keys: Sequence[str], *, span: int, width: int | None, every: int = 1, high: str = "high") -> DataFrame:
     """Highest high in [t, t + span) over the high at t, for every n-th row with at least two bars ahead."""
     numbered = running(df, keys, ["ts"], width, {"_i": ("count", F.lit(1))})
     w = _range(keys, 0, span - 1)
@@ -217,7 +217,7 @@ def forward_max_rise(df: DataFrame, keys: Sequence[str], *, span: int, width: in
     return rise.where(((F.col("_i") - 1) % every == 0) & (F.col("_m") > 1)).drop("_i", "_m")
 
 
-def hysteresis(df: DataFrame, keys: Sequence[str], x: str, enter: float, leave: float, *, width: int, out: str = "held") -> DataFrame:
+def hysteresis(df: DataFrame, keys: Sequence[str], x: str, enter: float, leave: float, *, width: int | None, out: str = "held") -> DataFrame:
     """1 after x > enter, 0 after x < leave, otherwise unchanged (flat at first). Needs enter > leave: then
     the last decisive value alone gives the state."""
     if enter <= leave:
@@ -226,7 +226,7 @@ def hysteresis(df: DataFrame, keys: Sequence[str], x: str, enter: float, leave:
     return running(df, keys, ["ts"], width, {"_l": ("last", signal)}).withColumn(out, F.coalesce("_l", F.lit(0))).drop("_l")
 
 
-def transition_cost(df: DataFrame, keys: Sequence[str], held: str, cost: float, *, width: int, out: str = "cost") -> DataFrame:
+def transition_cost(df: DataFrame, keys: Sequence[str], held: str, cost: float, *, width: int | None, out: str = "cost") -> DataFrame:
     """``cost`` at every change of the holding and once more at the end when still holding."""
     p = previous(df, keys, ["ts"], width, [held])
     n = previous(p, keys, ["ts"], width, ["ts"], prefix="_n_", reverse=True)
@@ -235,7 +235,7 @@ def transition_cost(df: DataFrame, keys: Sequence[str], held: str, cost: float,
     return n.withColumn(out, (change + close) * F.lit(cost)).drop(f"prev_{held}", "_n_ts")
 
 
-def rule_pnl(df: DataFrame, keys: Sequence[str], z: str, ret: str, *, sign: int, cost_bp: float, width: int) -> DataFrame:
+def rule_pnl(df: DataFrame, keys: Sequence[str], z: str, ret: str, *, sign: int, cost_bp: float, width: int | None) -> DataFrame:
     """P&L of position sign * clip(z, -1, 1); a missing z is flat; turnover pays ``cost_bp``."""
     d = df.withColumn("position", F.coalesce(sign * F.greatest(F.least(F.col(z), F.lit(1.0)), F.lit(-1.0)), F.lit(0.0)))
     p = previous(d, keys, ["ts"], width, ["position"])
@@ -243,14 +243,14 @@ def rule_pnl(df: DataFrame, keys: Sequence[str], z: str, ret: str, *, sign: int,
     return p.withColumn("pnl", F.col("position") * F.coalesce(F.col(ret), F.lit(0.0)) - turn * cost_bp / 10_000).drop("prev_position")
 
 
-def adjusted_log_price(df: DataFrame, keys: Sequence[str], *, width: int, out: str = "log_price") -> DataFrame:
+def adjusted_log_price(df: DataFrame, keys: Sequence[str], *, width: int | None, out: str = "log_price") -> DataFrame:
     """ln close minus the running log of the split factors, carried over rows without a price."""
     r = running(df, keys, ["ts"], width, {"_adj": ("sum", F.ln(F.coalesce(F.col("adj_factor"), F.lit(1.0))))})
     level = F.when(F.col("close") > 0, F.ln("close")) - F.col("_adj")
     return running(r, keys, ["ts"], width, {out: ("last", level)}).drop("_adj")
 
 
-def prior_volume_median(df: DataFrame, keys: Sequence[str], *, n: int, step: int, width: int, volume: str = "quote_volume") -> DataFrame:
+def prior_volume_median(df: DataFrame, keys: Sequence[str], *, n: int, step: int, width: int | None, volume: str = "quote_volume") -> DataFrame:
     """Median volume of exactly the n previous steps, unknown when one is missing or not positive; the same
     bar's own volume is kept apart for audit."""
     w = _range(keys, -n * step, -step)
@@ -263,14 +263,14 @@ def prior_volume_median(df: DataFrame, keys: Sequence[str], *, n: int, step: int
                     .withColumn("actual_status", F.when(own, "known").otherwise("unknown_zero_or_missing")))
 
 
-def true_range(df: DataFrame, keys: Sequence[str], *, width: int, step: int) -> DataFrame:
+def true_range(df: DataFrame, keys: Sequence[str], *, width: int | None, step: int) -> DataFrame:
     """max(high - low, |high - previous close|, |low - previous close|) where the previous bar is adjacent."""
     p = previous(df, keys, ["ts"], width, ["ts", "close"])
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev_close")), F.abs(F.col("low") - F.col("prev_close")))
     return p.withColumn("tr", F.when(F.col("prev_ts") == F.col("ts") - step, tr)).drop("prev_ts", "prev_close")
 
 
-def atr(df: DataFrame, keys: Sequence[str], n: int, *, width: int, step: int, kind: str = "mean") -> DataFrame:
+def atr(df: DataFrame, keys: Sequence[str], n: int, *, width: int | None, step: int, kind: str = "mean") -> DataFrame:
     """Mean or median true range of the last n bars, all present."""
     w = _range(keys, -(n - 1) * step, 0)
     h = range_halo(true_range(df, keys, width=width, step=step), width, back=(n - 1) * step)
@@ -278,7 +278,7 @@ def atr(df: DataFrame, keys: Sequence[str], n: int, *, width: int, step: int, ki
     return own_rows(h.withColumn("atr", F.when(F.count("tr").over(w) == n, value)))
 
 
-def range_levels(df: DataFrame, keys: Sequence[str], *, context: int, skip: int, block: int, step: int, width: int) -> DataFrame:
+def range_levels(df: DataFrame, keys: Sequence[str], *, context: int, skip: int, block: int, step: int, width: int | None) -> DataFrame:
     """Support and resistance of the ``context`` bars that end ``skip`` bars before the current one, distance of
     the close to resistance, and the current block's range over the median range of earlier blocks.
 
@@ -301,7 +301,7 @@ def range_levels(df: DataFrame, keys: Sequence[str], *, context: int, skip: int,
                     .withColumn("compression", F.when(F.col("_med") > 0, F.col("block_range") / F.col("_med"))).drop("_med"))
 
 
-def regime_only(df: DataFrame, keys: Sequence[str], state: str, ret: str, *, width: int) -> DataFrame:
+def regime_only(df: DataFrame, keys: Sequence[str], state: str, ret: str, *, width: int | None) -> DataFrame:
     """Per state: compounded return and drawdown of holding only in that state, cash otherwise. Unknown when
     an exposed return is unknown."""
     labels = df.where(F.col(state).isNotNull()).groupBy(*keys, F.col(state).alias("label")).agg(F.min("ts").alias("_x")).drop("_x")
@@ -323,7 +323,7 @@ def regime_only(df: DataFrame, keys: Sequence[str], state: str, ret: str, *, wid
                     F.when(known, F.col("max_drawdown")).alias("max_drawdown"))
 
 
-def daily_moves(df: DataFrame, keys: Sequence[str], *, width: int) -> DataFrame:
+def daily_moves(df: DataFrame, keys: Sequence[str], *, width: int | None) -> DataFrame:
     """Close, high and low against the split-adjusted previous close; overnight and intraday log legs."""
     p = previous(df, keys, ["ts"], width, ["close"])
     base = F.col("prev_close") * F.coalesce(F.col("adj_factor"), F.lit(1.0))

@@ -142,6 +142,6 @@ WITH r AS (SELECT symbol AS signal, date, close / lag(close) OVER (PARTITION BY
 SELECT signal, year(date) AS yr, count(*) AS weeks, sum(CASE WHEN n % 2 = 0 THEN ret ELSE -ret END) AS rule_sum, sum(ret) AS long_only_sum FROM r WHERE ret IS NOT NULL GROUP BY 1, 2""")
 def _(t):
     d = t.daily.withColumn("ts", F.unix_millis(F.col("date").cast("timestamp")))
-    d = previous(d, ["symbol"], ["ts"], 365 * DAY, ["close"]).withColumn("ret", F.col("close") / F.col("prev_close") - 1)
+    d = previous(d, ["symbol"], ["ts"], None, ["close"]).withColumn("ret", F.col("close") / F.col("prev_close") - 1)
     d = d.withColumn("pnl", F.when(F.col("n") % 2 == 0, F.col("ret")).otherwise(-F.col("ret"))).withColumnRenamed("symbol", "signal")
     return B.rule_by_year(d, signal="signal", date="date", pnl="pnl", hold="ret")

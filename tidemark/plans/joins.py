@@ -113,7 +113,7 @@ SELECT o.order_id, f.line, f.part, o.coin, s.regime FROM fills f JOIN order_head
 LEFT JOIN st s ON s.coin = o.coin AND s.date + 1 = CAST(make_timestamp(f.ts * 1000) AS DATE)""")
 def _(t):
     d = t.daily.withColumnRenamed("symbol", "coin").withColumn("t", F.unix_millis(F.col("date").cast("timestamp")))
-    d = previous(d, ["coin"], ["t"], 365 * DAY, ["close"], ts="t")
+    d = previous(d, ["coin"], ["t"], None, ["close"], ts="t")
     states = d.select("coin", "date", F.when(F.col("close") >= F.col("prev_close"), "uptrend")
                       .when(F.col("prev_close").isNotNull(), "downtrend").alias("regime"))
     ev = t.fills.join(t.order_heads, "order_id").withColumn("day", F.timestamp_millis("ts").cast("date"))

@@ -42,7 +42,9 @@ def query(name: str, *, sql: str | None = None, use: str = "", dbl: str = "", di
         if sql is not None:
             body = sql.strip()
             shared = ctes(*use.split())
-            if body.upper().startswith("WITH "):
+            if body.upper().startswith("WITH RECURSIVE "):
+                body = (shared.replace("WITH ", "WITH RECURSIVE ", 1) + ", " if shared else "WITH RECURSIVE ") + body[15:]
+            elif body.upper().startswith("WITH "):
                 body = (shared + ", " if shared else "WITH ") + body[5:]
             elif shared:
                 body = f"{shared} {body}"

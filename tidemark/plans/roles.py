@@ -142,6 +142,17 @@ class Tables:
             F.when(F.col("o_orderkey") % 3 != 0, F.round(F.col("o_totalprice") / 1000, 0)).alias("declared_sz"),
             (F.col("o_orderkey") % 2 == 0).alias("reduce_only"))
 
+    @property
+    def order_events(self) -> DataFrame:
+        """Orders as trades: entry a day after placement, exit by the last shipment within 60 days."""
+        ship = self.fills.groupBy("order_id").agg(F.max("ts").alias("last_ship"))
+        o = self.table("orders").select(F.col("o_orderkey").alias("order_id"), ((F.col("o_totalprice") % 1000) - 480).alias("net_bp"))
+        h = self.order_heads.join(ship, "order_id").join(o, "order_id")
+        entry = F.col("placed_ts") + DAY
+        exit_ = F.greatest(entry + DAY, F.least(F.col("last_ship"), entry + 60 * DAY))
+        return h.select("order_id", F.concat_ws("-", "coin", "side").alias("strategy"), F.col("side").alias("family"), F.col("coin").alias("symbol"),
+                        F.col("placed_ts").alias("detect_ts"), entry.alias("entry_ts"), exit_.alias("exit_ts"), "net_bp")
+
     @property
     def attempts(self) -> DataFrame:
         return self.table("orders").select(
@@ -212,6 +223,9 @@ _SQL = {
     "order_heads": ("", """SELECT o_orderkey AS order_id, o_custkey AS "user", o_orderpriority AS coin,
         CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS side, epoch_ms(o_orderdate) AS placed_ts,
         CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice / 1000, 0) END AS declared_sz, o_orderkey % 2 = 0 AS reduce_only FROM orders"""),
+    "order_events": ("fills order_heads", f"""SELECT h.order_id, h.coin || '-' || h.side AS strategy, h.side AS family, h.coin AS symbol, h.placed_ts AS detect_ts,
+        h.placed_ts + {DAY} AS entry_ts, greatest(h.placed_ts + {2 * DAY}, least(s.last_ship, h.placed_ts + {61 * DAY})) AS exit_ts, (o_totalprice % 1000) - 480 AS net_bp
+        FROM order_heads h JOIN (SELECT order_id, max(ts) AS last_ship FROM fills GROUP BY 1) s USING (order_id) JOIN orders ON o_orderkey = h.order_id"""),
     "attempts": ("", """SELECT o_orderkey AS attempt_id, o_custkey AS "user", epoch_ms(o_orderdate) AS observed_ts,
         CASE o_orderstatus WHEN 'F' THEN 'failure' WHEN 'P' THEN 'empty' ELSE 'success' END AS status FROM orders"""),
     "positions": ("attempts", """SELECT "user", ts, coin, szi, round(pv, 2) AS position_value,

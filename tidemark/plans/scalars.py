@@ -126,8 +126,8 @@ def _(t):
 SELECT code, date, open_ms, close_ms, lag(close_ms) OVER w AS prev_close_ms, lead(close_ms) OVER w AS next_close_ms, lead(open_ms) OVER w AS next_open_ms FROM s WINDOW w AS (PARTITION BY code ORDER BY date)""")
 def _(t):
     s = t.equities.select("code", "date", S.session_open_ms("date").alias("open_ms"), S.session_close_ms("date", "1998-01-01").alias("close_ms"))
-    s = previous(s, ["code"], ["open_ms"], 365 * DAY, ["close_ms"], ts="open_ms")
-    return previous(s, ["code"], ["open_ms"], 365 * DAY, ["close_ms", "open_ms"], ts="open_ms", prefix="next_", reverse=True)
+    s = previous(s, ["code"], ["open_ms"], None, ["close_ms"], ts="open_ms")
+    return previous(s, ["code"], ["open_ms"], None, ["close_ms", "open_ms"], ts="open_ms", prefix="next_", reverse=True)
 
 
 @query("P18_parse_reason_map", use="ticks", sql="""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE side END AS restricted, CASE WHEN event_id % 3 = 1 THEN symbol END AS daily,

@@ -9,7 +9,7 @@ from ..session import DAY, HOUR
 from .registry import query
 
 BW = 7 * DAY       # hourly bars
-DW = 365 * DAY     # daily series
+DW = None         # daily series: a key is bounded by the calendar
 REGIME = dict(vol_days=3, trend_days=2, lookback=60, min_history=10, quantile=0.7, width=DW)
 
 
