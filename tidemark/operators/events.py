@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, net_return_bp
-from ..session import DAY, HOUR, MINUTE
+from ..session import DAY, HOUR, materialize
 from .asof import asof_forward
 from .greedy import greedy_select
 from .joins import exact_lookup, interval_join
@@ -84,9 +84,10 @@ def forward_outcome(decisions: DataFrame, bars: DataFrame, *, by: Sequence[str],
     """Entry at the first bar open at/after (``strict``: after) decision + delay, exit at the first open
     at/after the actual entry + hold. Rows without an entry or exit keep NULL and say so."""
     lit = lambda x: F.lit(x) if isinstance(x, int) else x
-    d = decisions.withColumn("_target", F.col(decision) + lit(delay))
+    # Each as-of reads its left side twice, so the two of them would run the detection four times.
+    d = materialize(decisions, "decisions").withColumn("_target", F.col(decision) + lit(delay))
     e = asof_forward(d, bars, by=by, take=[price], width=width, left_on="_target", strict=strict, prefix="en_")
-    e = e.withColumn("_exit", F.col("en_source_ts") + lit(hold)).withColumn("_xt", F.coalesce("_exit", F.lit(2 ** 53)))
+    e = materialize(e, "entries").withColumn("_exit", F.col("en_source_ts") + lit(hold)).withColumn("_xt", F.coalesce("_exit", F.lit(2 ** 53)))
     x = asof_forward(e, bars, by=by, take=[price], width=width, left_on="_xt", prefix="ex_")
     return x.select(*decisions.columns, F.col("en_source_ts").alias("entry_ts"), F.col(f"en_{price}").alias("entry_px"),
                     F.col("ex_source_ts").alias("exit_ts"), F.col(f"ex_{price}").alias("exit_px"),
@@ -141,7 +142,7 @@ def basis_panel(a: DataFrame, b: DataFrame, *, threshold_bp: float, step: int, w
     return q.withColumn("episode_start", F.col("extreme") & ~F.coalesce(goes_on, F.lit(False))).drop("k", "prev_ts", "prev_basis_bp", "prev_extreme")
 
 
-def funding_leg(trades: DataFrame, funding: DataFrame, prices: DataFrame, *, trade: str, interval: int, step: int, quantity: float,
+def funding_leg(trades: DataFrame, funding: DataFrame, prices: DataFrame, *, interval: int, step: int, quantity: float,
                 tolerance: int = 1_000, direction: str = "direction", entry: str = "entry_ts", exit_: str = "exit_ts") -> DataFrame:
     """Cash of the settlements in [entry, exit): unknown unless every scheduled settlement covering the hold was
     observed on time with the declared interval, and every held one has a price."""
@@ -150,44 +151,46 @@ def funding_leg(trades: DataFrame, funding: DataFrame, prices: DataFrame, *, tra
     good = f.where(F.col("on_time") & finite("rate") & (F.col("interval_hours") == interval / HOUR)).groupBy("slot").agg(F.count("*").alias("_n"))
     first = F.floor(F.col(entry) / interval) * interval
     last = F.ceil(F.col(exit_) / interval) * interval
-    need = trades.where(F.col(exit_).isNotNull()).select(trade, F.explode(F.sequence(first, last, F.lit(interval))).alias("slot"))
-    cover = need.join(good, "slot", "left").groupBy(trade).agg(F.count_if(F.coalesce("_n", F.lit(0)) == 1).alias("_ok"),
-                                                              F.count_if(F.coalesce("_n", F.lit(0)) > 1).alias("_dup"), F.count("*").alias("_need"))
+    cols = trades.columns  # grouping by the whole row keeps one chain instead of joining the trades back
+    found = F.coalesce("_n", F.lit(0))
+    cover = (trades.withColumn("slot", F.explode_outer(F.sequence(first, last, F.lit(interval)))).join(good, "slot", "left")
+             .groupBy(*cols).agg(F.count_if(found == 1).alias("_ok"), F.count_if(found > 1).alias("_dup"), F.count("slot").alias("_need")))
     px = prices.select(F.col("ts").alias("_pt"), F.col("open").alias("_px"))
-    settle = (f.withColumn("_pt", F.floor(F.col("ts") / step) * step).join(px, "_pt", "left").withColumn("k", F.lit(0))
-              .select("k", "ts", "rate", "_px", "on_time"))
-    held = interval_join(trades.where(F.col(exit_).isNotNull()).select(trade, direction, entry, exit_).withColumn("k", F.lit(0)), settle,
-                         by=["k"], start=entry, stop=exit_, bucket=max(DAY, interval))
-    cash = held.groupBy(trade).agg(F.count("*").alias("_held"), F.count_if(~F.col("bar_on_time")).alias("_off"),
-                                   F.count_if(F.col("bar__px").isNull() | (F.col("bar__px") <= 0)).alias("_nopx"),
-                                   F.sum(-F.col(direction) * quantity * F.col("bar__px") * F.col("bar_rate")).alias("_cash"))
-    j = trades.join(cover, trade, "left").join(cash, trade, "left")
-    n = F.coalesce(F.col("_held"), F.lit(0))
+    bucket = max(DAY, interval)
+    settle = (f.withColumn("_pt", F.floor(F.col("ts") / step) * step).join(px, "_pt", "left")
+              .select(F.col("ts").alias("_fts"), "rate", "_px", "on_time", F.floor(F.col("ts") / bucket).alias("_b")))
+    held = cover.withColumn("_b", F.explode_outer(F.sequence(F.floor(F.col(entry) / bucket), F.floor((F.col(exit_) - 1) / bucket)))).alias("e")
+    on = (F.col("e._b") == F.col("s._b")) & (F.col("_fts") >= F.col(entry)) & (F.col("_fts") < F.col(exit_))
+    j = (held.join(settle.alias("s"), on, "left").groupBy(*cols, "_ok", "_dup", "_need")
+         .agg(F.count("_fts").alias("_held"), F.count_if(~F.col("on_time")).alias("_off"),
+              F.count_if(F.col("_fts").isNotNull() & (F.col("_px").isNull() | (F.col("_px") <= 0))).alias("_nopx"),
+              F.sum(-F.col(direction) * quantity * F.col("_px") * F.col("rate")).alias("_cash")))
     status = (F.when(F.col(exit_).isNull(), None).when(F.col("_dup") > 0, "duplicate_funding_schedule")
               .when(F.col("_ok") < F.col("_need"), "funding_schedule_missing_or_changed")
-              .when(F.col("_off") > 0, "off_schedule_funding").when(n == 0, "complete_no_settlement_due")
+              .when(F.col("_off") > 0, "off_schedule_funding").when(F.col("_held") == 0, "complete_no_settlement_due")
               .when(F.col("_nopx") > 0, "settlement_price_missing").otherwise("complete_open_price_proxy"))
     known = F.when(status == "complete_no_settlement_due", F.lit(0.0)).when(status == "complete_open_price_proxy", F.col("_cash"))
-    return j.select(*trades.columns, known.alias("funding_pnl"), status.alias("funding_status"), n.alias("funding_count"))
+    return j.select(*cols, known.alias("funding_pnl"), status.alias("funding_status"), F.col("_held").alias("funding_count"))
 
 
 def two_leg_entries(signals: DataFrame, common: DataFrame, *, horizons: Sequence[int], max_wait: int, width: int) -> DataFrame:
     """Entry strictly after the signal and exit at/after entry + horizon on bars both legs have, each within
     ``max_wait``. ``common`` holds ts, a_open, b_open."""
     c = common.withColumn("k", F.lit(0))
-    s = with_grid(signals.withColumn("k", F.lit(0)), horizon=list(horizons))
+    s = with_grid(materialize(signals, "signals").withColumn("k", F.lit(0)), horizon=list(horizons))
     e = asof_forward(s, c, by=["k"], take=["a_open", "b_open"], width=width, left_on="signal_ts", strict=True, prefix="en_")
     ok_e = F.col("en_source_ts") - F.col("signal_ts") <= max_wait
-    e = e.withColumn("target_exit_ts", F.when(ok_e, F.col("en_source_ts") + F.col("horizon"))) \
+    e = materialize(e, "entries").withColumn("target_exit_ts", F.when(ok_e, F.col("en_source_ts") + F.col("horizon"))) \
         .withColumn("_t", F.coalesce("target_exit_ts", F.lit(2 ** 53)))
     x = asof_forward(e, c, by=["k"], take=["a_open", "b_open"], width=width, left_on="_t", prefix="ex_")
     ok_x = F.coalesce(F.col("ex_source_ts") - F.col("target_exit_ts") <= max_wait, F.lit(False))
     ok_e = F.coalesce(ok_e, F.lit(False))
-    return x.select(*signals.columns, "horizon", F.when(ok_e, F.col("en_source_ts")).alias("entry_ts"), "target_exit_ts",
+    out = x.select(*signals.columns, "horizon", F.when(ok_e, F.col("en_source_ts")).alias("entry_ts"), "target_exit_ts",
                     F.when(ok_x, F.col("ex_source_ts")).alias("exit_ts"),
                     *[F.when(ok_e, F.col(f"en_{s_}_open")).alias(f"{s_}_entry_px") for s_ in "ab"],
                     *[F.when(ok_x, F.col(f"ex_{s_}_open")).alias(f"{s_}_exit_px") for s_ in "ab"],
                     F.when(~ok_e, "entry_missing_or_wait_exceeded").when(~ok_x, "exit_missing_or_wait_exceeded").otherwise("pending").alias("status"))
+    return materialize(out, "trades")
 
 
 def two_leg_pnl(ledger: DataFrame, *, quantity: float, fee_bp: float, slippage_bp: float) -> DataFrame:
@@ -206,7 +209,7 @@ def two_leg_pnl(ledger: DataFrame, *, quantity: float, fee_bp: float, slippage_b
 
 # -- paths ------------------------------------------------------------------------------------------
 
-def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], event: str, step: int, stop_bp: float, take_bp: float) -> DataFrame:
+def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: int, stop_bp: float, take_bp: float) -> DataFrame:
     """Excursions, underwater bars and the first barrier on [entry, exit) plus the exit open.
 
     A bar whose range covers both barriers is ambiguous; a gap through a barrier at an open is not.
@@ -214,7 +217,7 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], event
     b = bars.select(*by, "ts", "open", "high", "low", "close")
     e = exact_lookup(events, b, by=by, at=F.col("entry_ts"), take={"open": "entry_px"})
     e = exact_lookup(e, b, by=by, at=F.col("exit_ts"), take={"open": "exit_open_px"})
-    p = interval_join(e, b, by=by, start="entry_ts", stop="exit_ts")
+    p = interval_join(e, b, by=by, start="entry_ts", stop="exit_ts", how="outer")
     long = F.col("direction") == "long"
     sign = F.when(long, 1.0).otherwise(-1.0)
     move = lambda c: sign * (F.col(c) / F.col("entry_px") - 1)
@@ -234,12 +237,11 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], event
     unordered = (l > F.least(o, c)) | (F.greatest(o, c) > h)
     under = F.when(long, c < F.col("entry_px")).otherwise(c > F.col("entry_px"))
     g = (p.withColumn("_w", worst).withColumn("_b", best).withColumn("_label", label)
-         .groupBy(event).agg(F.count("*").alias("_n"), F.min("bar_ts").alias("_first"), F.count_if(bad).alias("_bad"), F.count_if(unordered).alias("_unord"),
+         .groupBy(*e.columns).agg(F.count("bar_ts").alias("_n"), F.min("bar_ts").alias("_first"), F.count_if(bad).alias("_bad"), F.count_if(unordered).alias("_unord"),
                              F.min("_w").alias("_mae"), F.min_by("bar_ts", F.struct("_w", "bar_ts")).alias("_mae_ts"), F.max("_b").alias("_mfe"),
                              F.max_by("bar_ts", F.struct(F.col("_b"), -F.col("bar_ts"))).alias("_mfe_ts"), F.count_if(under).alias("underwater"),
                              F.min_by("_label", F.when(F.col("_label").isNotNull(), F.col("bar_ts"))).alias("_hit"),
                              F.min(F.when(F.col("_label").isNotNull(), F.col("bar_ts"))).alias("_hit_ts")))
-    j = e.join(g, event, "left")
     need = (F.col("exit_ts") - F.col("entry_ts")) / step
     reason = (F.when(F.col("_first").isNull() | (F.col("_first") != F.col("entry_ts")), "missing_entry_bar")
               .when((F.col("_n") != need) | (F.col("entry_ts") % step != 0), "missing_path_bar").when(F.col("_bad") > 0, "invalid_ohlc")
@@ -248,7 +250,7 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], event
     end = move("exit_open_px")
     last = F.when(past_stop("exit_open_px"), "stop_open").when(past_take("exit_open_px"), "take_open")
     ok = F.col("reason") == ""
-    out = j.withColumn("reason", reason)
+    out = g.withColumn("reason", reason)
     cols = {"mae_bp": 10_000 * F.least(F.col("_mae"), end, F.lit(0.0)), "mfe_bp": 10_000 * F.greatest(F.col("_mfe"), end, F.lit(0.0)),
             "mae_ts": F.when(F.least(F.col("_mae"), end) > 0, F.col("entry_ts")).when(end < F.col("_mae"), F.col("exit_ts")).otherwise(F.col("_mae_ts")),
             "mfe_ts": F.when(F.greatest(F.col("_mfe"), end) < 0, F.col("entry_ts")).when(end > F.col("_mfe"), F.col("exit_ts")).otherwise(F.col("_mfe_ts")),
@@ -257,13 +259,13 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], event
     return out.select(*events.columns, "entry_px", "exit_open_px", "reason", *[F.when(ok, c).alias(n) for n, c in cols.items()])
 
 
-def path_audit(events: DataFrame, bars: DataFrame, *, by: Sequence[str], event: str, step: int, cutoff: int, stop_bp: float,
+def path_audit(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: int, cutoff: int, stop_bp: float,
                take_bp: float, cost_bp: float = 14.0) -> DataFrame:
     """First failing check per row, otherwise the path metrics; the source net return must be reproduced.
 
     ``events`` carries entry_ts, exit_ts, direction, source_net_bp, source_entry_px, source_exit_px.
     """
-    m = path_metrics(events, bars, by=by, event=event, step=step, stop_bp=stop_bp, take_bp=take_bp)
+    m = path_metrics(events, bars, by=by, step=step, stop_bp=stop_bp, take_bp=take_bp)
     en, ex, d = F.col("entry_ts"), F.col("exit_ts"), F.col("direction")
     sign = F.when(d == "long", 1.0).otherwise(-1.0)
     gross = sign * (F.col("exit_open_px") / F.col("entry_px") - 1) * 10_000
@@ -332,10 +334,10 @@ def common_set(ledger: DataFrame, event: str, *, status: str = "execution_status
 def scenario_summary(ledger: DataFrame, *, event: str, reference: str) -> DataFrame:
     """Counts, known-only sums and the difference to the reference scenario on the common set."""
     s, cap = F.col("execution_status"), lambda leg, v: F.count_if(F.col(f"{leg}_capacity") == v)
-    base = ledger.where(F.col("scenario") == reference).select(event, F.col("scenario_net_bp").alias("_ref"))
-    common = common_set(ledger, event).withColumn("_common", F.lit(True))
-    j = ledger.join(base, event, "left").join(common, event, "left")
-    on = F.col("_common").isNotNull() & (s == "complete")
+    w = Window.partitionBy(event)  # an event has one row per scenario
+    j = (ledger.withColumn("_ref", F.max(F.when(F.col("scenario") == reference, F.col("scenario_net_bp"))).over(w))
+         .withColumn("_common", F.bool_and(s == "complete").over(w)))
+    on = F.col("_common")
     n, known = F.count("*"), F.count_if("priced")
     net = F.avg(F.when(F.col("priced"), F.col("scenario_net_bp")))
     return j.groupBy("scenario").agg(

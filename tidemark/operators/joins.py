@@ -53,16 +53,17 @@ def outer_panel(frames: dict[str, DataFrame], keys: Sequence[str], value: str, *
 def interval_join(events: DataFrame, bars: DataFrame, *, by: Sequence[str], start: str, stop: str,
                   bucket: int = DAY, on: str = "ts", how: str = "inner") -> DataFrame:
     """Pair every event with the bars in [start, stop): an equi join on (key, bucket) with the range as a
-    residual, so no nested-loop join appears. A bar falls in one bucket, hence no duplicate pairs."""
-    e = events.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(stop) - 1) / bucket))))
-    b = bars.select(*by, F.floor(F.col(on) / bucket).alias("_b"), *[F.col(c).alias(f"bar_{c}") for c in bars.columns if c not in by])
-    inside = (F.col(f"bar_{on}") >= F.col(start)) & (F.col(f"bar_{on}") < F.col(stop))
-    out = e.join(b, [*by, "_b"]).where(inside).select(*events.columns, *[c for c in b.columns if c not in (*by, "_b")])
-    if how == "left":
-        keys = [c for c in events.columns]
-        rest = events.join(out.select(*keys).distinct(), keys, "left_anti")
-        out = out.unionByName(rest, allowMissingColumns=True)
-    return out
+    residual, so no nested-loop join appears. A bar falls in one bucket, hence no duplicate pairs.
+    ``how='outer'`` also keeps event rows without bars (NULL bar columns, one per bucket): aggregate over them."""
+    reach = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(stop) - 1) / bucket))
+    outer = how == "outer"
+    e = events.withColumn("_b", (F.explode_outer if outer else F.explode)(reach)).alias("e")
+    b = bars.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.floor(F.col(on) / bucket).alias("_bb"),
+                    *[F.col(c).alias(f"bar_{c}") for c in bars.columns if c not in by])
+    cond = [F.col(f"e.{k}") == F.col(f"_k_{k}") for k in by] + [
+        F.col("_b") == F.col("_bb"), F.col(f"bar_{on}") >= F.col(start), F.col(f"bar_{on}") < F.col(stop)]
+    out = e.join(b, reduce(lambda x, y: x & y, cond), "left" if outer else "inner")
+    return out.select(*[F.col(f"e.{c}") for c in events.columns], *[c for c in b.columns if c.startswith("bar_")])
 
 
 def interval_scan(intervals: DataFrame, bars: DataFrame, *, by: Sequence[str], key: Sequence[str], start: str, stop: str,

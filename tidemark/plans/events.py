@@ -280,12 +280,11 @@ def two_leg(t):
     common = legs["a"].select("ts", F.col("open").alias("a_open")).join(legs["b"].select("ts", F.col("open").alias("b_open")), "ts")
     sig = basis(t).where("episode_start").select("signal_ts", "basis_bp")
     tr = E.two_leg_entries(sig, common, horizons=[HOUR, 8 * HOUR], max_wait=2 * HOUR, width=BW)
-    tr = tr.withColumn("tid", F.concat_ws("-", F.col("signal_ts").cast("string"), F.col("horizon").cast("string")))
     side = F.when(F.col("basis_bp") > 0, 1).otherwise(-1)
     for leg, sym, d in (("a", "signup", side), ("b", "error", -side)):
         f = b.where((F.col("symbol") == sym) & (F.col("ts") % (8 * HOUR) == 0)).select(
             (F.col("ts") + F.col("trades") * 100).alias("ts"), ((F.col("open") - 20) / 100_000).alias("rate"), F.lit(8.0).alias("interval_hours"))
-        tr = E.funding_leg(tr.withColumn("direction", d), f, legs[leg], trade="tid", interval=8 * HOUR, step=HOUR, quantity=2.0)
+        tr = E.funding_leg(tr.withColumn("direction", d), f, legs[leg], interval=8 * HOUR, step=HOUR, quantity=2.0)
         tr = tr.withColumnsRenamed({"funding_pnl": f"{leg}_funding_pnl", "funding_status": f"{leg}_status", "funding_count": f"{leg}_count"})
     return E.two_leg_pnl(tr, quantity=2.0, fee_bp=5.0, slippage_bp=2.0)
 
@@ -370,7 +369,7 @@ def path_events(t):
  CASE WHEN r0 = '' THEN coalesce(hit, lasth, 'none') END AS first_barrier, CASE WHEN r0 = '' THEN coalesce(hit_ts, CASE WHEN lasth IS NOT NULL THEN exit_ts END) END AS barrier_ts FROM pm WHERE direction <> 'flat'""")
 def _(t):
     ev = path_events(t).where("direction <> 'flat'").select("event_id", "symbol", "direction", "entry_ts", "exit_ts")
-    m = E.path_metrics(ev, t.bars, by=["symbol"], event="event_id", step=HOUR, stop_bp=5_000, take_bp=15_000)
+    m = E.path_metrics(ev, t.bars, by=["symbol"], step=HOUR, stop_bp=5_000, take_bp=15_000)
     return m.select("event_id", "reason", "mae_bp", "mae_ts", "mfe_bp", "mfe_ts", "underwater_bars", "first_barrier", "barrier_ts")
 
 
@@ -384,7 +383,7 @@ def audited(t):
     wrong = F.when(F.floor(F.col("entry_ts") / HOUR) % 7 == 3, 25.0).otherwise(0.0)
     ev = ev.select("event_id", "symbol", "direction", "entry_ts", "exit_ts", F.col("entry_px").alias("source_entry_px"), F.col("exit_px").alias("source_exit_px"),
                    (sign * (F.col("exit_px") / F.col("entry_px") - 1) * 10_000 - 14 + wrong).alias("source_net_bp"))
-    return E.path_audit(ev, t.bars, by=["symbol"], event="event_id", step=HOUR, cutoff=CUT, stop_bp=5_000, take_bp=15_000)
+    return E.path_audit(ev, t.bars, by=["symbol"], step=HOUR, cutoff=CUT, stop_bp=5_000, take_bp=15_000)
 
 
 @query("E16_path_audit", use="bars", dbl="reconstructed_gross_bp mae_bp", digits=4, sql=f"WITH RECURSIVE {AUD} SELECT event_id, direction, reason, reason = '' AS path_complete, CASE WHEN reason = '' THEN gr END AS reconstructed_gross_bp, CASE WHEN reason = '' THEN 10000 * least(mae, endr, 0) END AS mae_bp FROM au")
