@@ -76,9 +76,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
         whole = (Window.partitionBy(*keys).orderBy(*sort)
                  .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
         return df.withColumns({name: _over(kind, value, whole) for name, (kind, value) in specs.items()})
-    base = df.withColumn(CHUNK, chunk_of(ts, width))
-    for name, (_, value) in specs.items():
-        base = base.withColumn(f"_v_{name}", value)
+    base = df.withColumns({CHUNK: chunk_of(ts, width), **{f"_v_{n}": v for n, (_, v) in specs.items()}})
     sort = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
     local = (Window.partitionBy(*keys, CHUNK).orderBy(*sort)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
@@ -94,6 +92,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
         for n, (kind, _) in specs.items()])
     # Keys may be NULL-free by contract; the carry table has one row per (key, chunk).
     out = base.join(carry, [*keys, CHUNK], "left")
+    added = {}
     for name, (kind, _) in specs.items():
         here, before = _over(kind, F.col(f"_v_{name}"), local), F.col(f"_c_{name}")
         if kind == "last":
@@ -107,8 +106,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
         else:
             value = F.when(here.isNotNull() | before.isNotNull(),
                            F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0)))
-        out = out.withColumn(name, value)
-    return out.drop(CHUNK, *[f"_v_{n}" for n in specs], *[f"_c_{n}" for n in specs])
+        added[name] = value
+    return out.select(*[c for c in df.columns if c not in added], *[v.alias(n) for n, v in added.items()])
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int | None, columns: Sequence[str],
@@ -116,9 +115,7 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: in
     """The row before (``reverse``: after) each row of its key, NULL values kept."""
     row = F.struct(*columns)
     out = running(df, keys, order, width, {"_row": ("last", row)}, ts=ts, inclusive=False, reverse=reverse)
-    for c in columns:
-        out = out.withColumn(f"{prefix}{c}", F.col(f"_row.{c}"))
-    return out.drop("_row")
+    return out.select(*df.columns, *[F.col(f"_row.{c}").alias(f"{prefix}{c}") for c in columns])
 
 
 def range_halo(df: DataFrame, width: int | None, *, back: int = 0, ahead: int = 0, ts: str = "ts") -> DataFrame:

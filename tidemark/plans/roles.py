@@ -123,8 +123,8 @@ class Tables:
                 .where((F.size("bids") > 0) & (F.size("asks") > 0))
                 .withColumn("bid_cov", F.when(F.col("stream") % 2 == 0, 150.0).otherwise(float("inf")))
                 .withColumn("ask_cov", F.lit(float("inf")))
-                .withColumn("received_ms", F.col("tick_ms") + F.col("stream") % 1000)
-                .withColumn("requested_ms", F.col("tick_ms")))
+                .withColumn("requested_ms", F.col("tick_ms") + (F.col("stream") % 24) * HOUR)
+                .withColumn("received_ms", F.col("requested_ms") + (F.col("stream") * 7919 + F.floor(F.col("tick_ms") / DAY)) % 997))
 
     # -- flow ----------------------------------------------------------------------------------
     @property
@@ -215,7 +215,7 @@ _SQL = {
         FROM lineitem GROUP BY 1, 2, 3, 4"""),
     "levels": ("book_levels", """SELECT l.*, m.best_bid, m.best_ask, (m.best_bid + m.best_ask) / 2 AS mid,
         abs(l.px / ((m.best_bid + m.best_ask) / 2) - 1) * 10000 AS dist,
-        CASE WHEN side = 'bid' AND stream % 2 = 0 THEN 150.0::DOUBLE ELSE 'inf'::DOUBLE END AS cov
+        CASE WHEN side = 'bid' AND stream % 2 = 0 THEN 150.0::DOUBLE ELSE 'inf'::DOUBLE END AS cov, l.tick_ms + (stream % 24) * 3600000 AS requested_ms, l.tick_ms + (stream % 24) * 3600000 + (stream * 7919 + l.tick_ms // 86400000) % 997 AS received_ms
         FROM book_levels l JOIN (SELECT stream, tick_ms, max(px) FILTER (side = 'bid') AS best_bid, min(px) FILTER (side = 'ask') AS best_ask
         FROM book_levels GROUP BY 1, 2) m USING (stream, tick_ms) WHERE best_bid IS NOT NULL AND best_ask IS NOT NULL"""),
     "fills": ("", """SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS part, epoch_ms(l_shipdate) AS ts,
