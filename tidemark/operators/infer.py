@@ -394,3 +394,113 @@ def qlike(y: str, pred: str, s2: str) -> Column:
     """Mean QLIKE loss on variance for a lognormal log-volatility forecast."""
     lr = 2 * F.col(y) - 2 * F.col(pred) - 2 * F.col(s2)
     return F.avg(F.exp(lr) - lr - 1)
+
+
+# -- composed studies -------------------------------------------------------------------------------
+
+def pairwise_dependence(closes: DataFrame, regimes: DataFrame, *, anchor: str, hac_lags: int, min_rows: int) -> DataFrame:
+    """Dependence of pair-matched forward returns, for all dates and per state of the anchor on the day before.
+
+    Each pair uses dates both have. ``closes``: name, ts, close (one row per day). ``regimes``: symbol, ts, regime.
+    """
+    from .joins import pairs
+    p = pairs(closes, on=["ts"], name="name", values=["close"])
+    w = Window.partitionBy("a", "b").orderBy("ts")
+    f = p.select("a", "b", "ts", (F.lead("a_close").over(w) / F.col("a_close") - 1).alias("x"), (F.lead("b_close").over(w) / F.col("b_close") - 1).alias("y"),
+                 ((F.lead("ts").over(w) - F.col("ts")) / DAY).alias("days")).where("x IS NOT NULL")
+    st = regimes.where((F.col("symbol") == anchor) & F.col("regime").isNotNull()).select((F.col("ts") + DAY).alias("ts"), "regime")
+    d = f.join(F.broadcast(st), "ts", "left").withColumn("label", F.explode(F.array_compact(F.array(F.lit("all"), F.col("regime")))))
+    k = ["a", "b", "label"]
+    g = Window.partitionBy(*k)
+    rank = lambda c: F.rank().over(g.orderBy(c)) + (F.count("*").over(Window.partitionBy(*k, c)) - 1) / 2
+    q = lambda c, p_: F.percentile(c, F.lit(p_)).over(g)
+    d = d.withColumns({"rx": rank("x"), "ry": rank("y"), "down": F.col("x") <= q("x", 0.2), "xt": F.col("x") <= q("x", 0.1), "yt": F.col("y") <= q("y", 0.1)})
+    when = lambda cond, c: F.when(cond, F.col(c))
+    down = F.col("down")
+    ok = F.count("*") >= min_rows
+    agg = d.groupBy(*k).agg(
+        F.count("*").alias("n_intervals"), F.percentile("days", F.lit(0.5)).alias("median_days"), F.max("days").alias("max_days"),
+        F.when(ok, F.corr("x", "y")).alias("pearson"), F.when(ok, F.corr("rx", "ry")).alias("spearman"),
+        F.when(ok & (F.count_if(down) >= 10), F.corr(when(down, "x"), when(down, "y"))).alias("downside_corr"),
+        F.when(ok, F.avg(F.when(F.col("xt"), F.col("yt").cast("int")))).alias("lower_tail_probability"),
+        F.when(ok, F.avg((F.col("xt") & F.col("yt")).cast("int"))).alias("joint_lower_tail_share"))
+    beta = ols_hac(d.select(*k, "ts", "x", "y"), k, y="y", x=["x"], order="ts", lags=hac_lags, small_sample=True).where("term = 'x'") \
+        .select(*k, F.col("estimate").alias("hac_beta"), F.col("se").alias("hac_se"))
+    out = agg.join(beta, k, "left").withColumn("lower_tail_lift", F.col("lower_tail_probability") / 0.10)
+    for c in ("hac_beta", "hac_se"):
+        out = out.withColumn(c, F.when(F.col("n_intervals") >= min_rows, F.col(c)))
+    return out
+
+
+def walk_forward(split: DataFrame, *, keys: Sequence[str], draws: int, seed: str, min_train: tuple[int, int], min_test: tuple[int, int], alpha: float) -> DataFrame:
+    """Folds x strategies: train-side selection frozen before the test side is read.
+
+    ``split`` comes from ``embargo_split`` with a ``month`` column. Yekutieli q-values are taken over each fold.
+    """
+    keys = list(keys)
+    k = [*keys, "fold_year"]
+    sides = []
+    for part, (events, months) in (("train", min_train), ("test", min_test)):
+        d = split.where(F.col("part") == part)
+        c = d.groupBy(*k).agg(F.count("*").alias(f"{part}_events"), F.count_distinct("month").alias(f"{part}_months"))
+        b = cluster_bootstrap(d, k, value="net_bp", cluster="month", draws=draws, seed=f"{seed}-{part}").select(
+            *k, F.col("mean").alias(f"{part}_mean_bp"), F.col("p_positive").alias(f"{part}_p"))
+        s = c.join(b, k).withColumn(f"{part}_eligible", (F.col(f"{part}_events") >= events) & (F.col(f"{part}_months") >= months))
+        sides.append(fdr(s.withColumn("_p", F.when(F.col(f"{part}_eligible"), F.col(f"{part}_p"))), ["fold_year"], "_p", bh=f"{part}_bh_q", by=f"{part}_by_q",
+                         tie=keys).drop("_p"))
+    j = sides[0].join(sides[1], k, "left")
+    sel = F.col("train_eligible") & (F.col("train_mean_bp") > 0) & (F.col("train_by_q") <= alpha)
+    pos = F.coalesce(F.col("test_eligible"), F.lit(False)) & (F.col("test_mean_bp") > 0)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (j.withColumn("primary_selection", yes(sel)).withColumn("oos_positive", yes(pos))
+            .withColumn("oos_survives_selection", yes(sel & pos)).withColumn("oos_fdr_significant", yes(pos & (F.col("test_by_q") <= alpha))))
+
+
+def family_rollup(folds: DataFrame, family: str) -> DataFrame:
+    return folds.groupBy("fold_year", family).agg(
+        F.count("*").alias("variants"), F.count_if("train_eligible").alias("eligible_train_variants"),
+        F.count_if(F.coalesce("test_eligible", F.lit(False))).alias("eligible_test_variants"), F.count_if("primary_selection").alias("selected_variants"),
+        F.count_if("oos_survives_selection").alias("selected_with_positive_test"),
+        F.count_if(F.col("primary_selection") & F.col("oos_fdr_significant")).alias("selected_with_fdr_test"),
+        F.percentile("train_mean_bp", F.lit(0.5)).alias("median_train_mean_bp"), F.percentile("test_mean_bp", F.lit(0.5)).alias("median_test_mean_bp"))
+
+
+def sign_stability(df: DataFrame, keys: Sequence[str], *, y: str, x: str, parts: dict[str, Column], expected: int) -> DataFrame:
+    """Slope on the whole sample and on each named part, and whether all parts have the expected sign."""
+    aggs = [F.count("*").alias("n"), F.regr_slope(y, x).alias("slope")]
+    for name, cond in parts.items():
+        aggs.append(F.regr_slope(F.when(cond, F.col(y)), F.when(cond, F.col(x))).alias(f"slope_{name}"))
+    d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).groupBy(*keys).agg(*aggs)
+    stable = F.lit(True)
+    for name in parts:
+        stable = stable & F.coalesce(F.signum(f"slope_{name}") == expected, F.lit(False))
+    return d.withColumn("sign_stable", stable)
+
+
+def autocorrelation(df: DataFrame, keys: Sequence[str], value: str, *, order: str, lags: Sequence[int]) -> DataFrame:
+    """Centred autocorrelations sum c_t c_{t-k} / sum c^2 of a daily or weekly series."""
+    part = Window.partitionBy(*keys)
+    w = part.orderBy(order)
+    d = df.where(F.col(value).isNotNull()).withColumn("_c", F.col(value) - F.avg(value).over(part))
+    d = d.select(*keys, "_c", *[F.lag("_c", k).over(w).alias(f"_l{k}") for k in lags])
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.sum(F.col("_c") * F.col(f"_l{k}")) / F.sum(F.col("_c") * F.col("_c"))).alias(f"autocorr_{k}") for k in lags])
+
+
+def vol_target(df: DataFrame, keys: Sequence[str], *, forecast: Column, ret: str, order: str, target: float, cap: float, cost: float) -> DataFrame:
+    """Leverage min(cap, target / forecast), turnover paid at ``cost`` per unit; daily series."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.withColumn("leverage", F.greatest(F.least(F.lit(target) / forecast, F.lit(cap)), F.lit(0.0)))
+    d = d.withColumn("turnover", F.abs(F.col("leverage") - F.coalesce(F.lag("leverage").over(w), F.lit(0.0))))
+    return d.withColumn("net", F.col("leverage") * F.col(ret) - cost * F.col("turnover"))
+
+
+def policy_summary(df: DataFrame, keys: Sequence[str], *, order: str, per_year: float) -> DataFrame:
+    """Annualised return, volatility and Sharpe ratio, drawdown, leverage and turnover of ``net``."""
+    from .windows import max_drawdown
+    k = df.where("net IS NOT NULL")
+    dd = max_drawdown(k.withColumn("ts", F.col(order)), keys, "net", width=None)
+    sd = F.stddev_samp("net")
+    g = k.groupBy(*keys).agg(F.count("*").alias("periods"), (F.avg("net") * per_year).alias("ann_return"), (sd * F.lit(per_year) ** 0.5).alias("ann_vol"),
+                             F.when(sd > 0, F.avg("net") * F.lit(per_year) ** 0.5 / sd).alias("sharpe"), F.avg("leverage").alias("mean_leverage"),
+                             F.max("leverage").alias("max_leverage"), F.avg("turnover").alias("mean_turnover"))
+    return g.join(dd, list(keys))
