@@ -167,7 +167,8 @@ class Tables:
         at = self.attempts.where("status = 'success'")
         signed = F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).otherwise(-F.col("l_quantity"))
         j = li.join(at, F.col("l_orderkey") == F.col("attempt_id"))
-        g = (j.groupBy("user", F.col("observed_ts").alias("ts"), F.col("l_returnflag").alias("coin"))
+        g = (j.groupBy("user", F.col("observed_ts").alias("ts"), 
+                       F.when(F.col("l_returnflag") == "A", "1-URGENT").when(F.col("l_returnflag") == "N", "2-HIGH").otherwise("3-MEDIUM").alias("coin"))
              .agg(F.sum(signed).alias("szi"), F.sum("l_extendedprice").alias("position_value"),
                   F.max("l_discount").alias("d")))
         swing = F.when(F.col("szi") > 0, -1.0).otherwise(1.0) * (F.col("d") * 4)
@@ -230,7 +231,7 @@ _SQL = {
         CASE o_orderstatus WHEN 'F' THEN 'failure' WHEN 'P' THEN 'empty' ELSE 'success' END AS status FROM orders"""),
     "positions": ("attempts", """SELECT "user", ts, coin, szi, round(pv, 2) AS position_value,
         CASE WHEN d > 0 THEN round(100 * (1 + (CASE WHEN szi > 0 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * (d * 4)), 6) END AS liq_px
-        FROM (SELECT "user", observed_ts AS ts, l_returnflag AS coin,
+        FROM (SELECT "user", observed_ts AS ts, CASE l_returnflag WHEN 'A' THEN '1-URGENT' WHEN 'N' THEN '2-HIGH' ELSE '3-MEDIUM' END AS coin,
               sum(CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE -l_quantity END) AS szi, sum(l_extendedprice) AS pv, max(l_discount) AS d
               FROM lineitem JOIN attempts ON l_orderkey = attempt_id WHERE status = 'success' GROUP BY 1, 2, 3)"""),
     "cross_section": ("", """SELECT s.code, s.yr, c_mktsegment AS sector,
