@@ -20,11 +20,12 @@ from .windows import day_ts
 BW = 7 * DAY
 
 
-@query("A27_margin_ratio_weekly", use="equities", dbl="long_value short_value unpriced_share value", digits=7, sql="""WITH b AS (SELECT code, date, shares AS l, shares * (1 + code % 3) AS s FROM equities), c AS (SELECT code, date, close FROM equities WHERE code % 10 <> 0)
-SELECT date, sum(l * close) AS long_value, sum(s * close) AS short_value, count(*) AS codes, count(close) AS codes_priced, coalesce(sum(l) FILTER (close IS NULL) / sum(l), 0) AS unpriced_share, ln(sum(l * close) / sum(s * close)) AS value FROM b LEFT JOIN c USING (code, date) GROUP BY 1""")
+@query("A27_margin_ratio_weekly", use="equities", dbl="log_long log_short unpriced_share value", digits=7, sql="""WITH b AS (SELECT code, date, shares AS l, shares * (1 + code % 3) AS s FROM equities), c AS (SELECT code, date, close FROM equities WHERE code % 10 <> 0)
+SELECT date, ln(sum(l * close)) AS log_long, ln(sum(s * close)) AS log_short, count(*) AS codes, count(close) AS codes_priced, coalesce(sum(l) FILTER (close IS NULL) / sum(l), 0) AS unpriced_share, ln(sum(l * close) / sum(s * close)) AS value FROM b LEFT JOIN c USING (code, date) GROUP BY 1""")
 def _(t):
     b = t.equities.select("code", "date", F.col("shares").alias("long_shares"), (F.col("shares") * (1 + F.col("code") % 3)).alias("short_shares"))
-    return Q.margin_ratio(b, t.equities.where("code % 10 <> 0"))
+    m = Q.margin_ratio(b, t.equities.where("code % 10 <> 0"))
+    return m.select("date", F.ln("long_value").alias("log_long"), F.ln("short_value").alias("log_short"), "codes", "codes_priced", "unpriced_share", "value")
 
 
 @query("A28_ratio_of_sums", dbl="ratio", sql="""SELECT CAST(o_orderdate AS DATE) AS date, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS ratio, count(DISTINCT o_orderpriority) AS parts FROM orders WHERE o_orderpriority <> '5-LOW' GROUP BY 1""")
