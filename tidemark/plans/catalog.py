@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("joins", "scalars", "aggregates", "windows", "events", "book", "infer", "flow", "equities", "quality", "sources")
+MODULES = ("joins", "scalars", "aggregates", "windows", "events", "book", "infer", "flow", "equities", "quality", "sources", "streaming")
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
 
