@@ -29,7 +29,7 @@ def coverage(side: str) -> Column:
 
 
 def distance_bp(px: Column, m: Column) -> Column:
-    return F.abs(px / m - 1) * 10_000
+    return F.abs(F.try_divide(px, m) - 1) * 10_000
 
 
 def levels_valid(side: str) -> Column:
@@ -88,7 +88,7 @@ def impact_bp(side: str, notional: float) -> Column:
         return F.struct((acc["left"] - take).alias("left"), (acc["base"] + take / l.px).alias("base"))
 
     end = F.aggregate(usable, start, eat)
-    vwap = q / end["base"]
+    vwap = F.try_divide(F.lit(q), end["base"])
     cost = (vwap / m - 1) if side == "ask" else (1 - vwap / m)
     return F.when(end["left"] <= 1e-9 * q, cost * 10_000)
 

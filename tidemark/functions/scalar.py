@@ -55,7 +55,7 @@ def simple_return(now: str | Column, then: str | Column) -> Column:
 
 
 def log_return(now: str | Column, then: str | Column) -> Column:
-    return F.ln(_c(now) / _c(then))
+    return F.ln(F.try_divide(_c(now), _c(then)))
 
 
 def bp(x: Column) -> Column:
@@ -64,7 +64,7 @@ def bp(x: Column) -> Column:
 
 def net_return_bp(entry: str | Column, exit_: str | Column, direction: str | Column, one_way_bp: float = 7.0) -> Column:
     """Net of the one-way cost at entry and at exit; a short is linear in its entry notional."""
-    move = _c(exit_) / _c(entry) - 1
+    move = F.try_divide(_c(exit_), _c(entry)) - 1
     gross = F.when(_c(direction) == "long", move).when(_c(direction) == "short", -move)
     return bp(gross) - 2 * one_way_bp
 
@@ -143,7 +143,7 @@ def strategy_direction(file_name: str | Column, leg: str | Column) -> Column:
 
 
 def liq_price_short(margin: str | Column, qty: str | Column, entry: str | Column, maintenance: float) -> Column:
-    return (_c(margin) + _c(qty) * _c(entry)) / (_c(qty) * (1 + maintenance))
+    return F.try_divide(_c(margin) + _c(qty) * _c(entry), _c(qty) * (1 + maintenance))
 
 
 def liquidation_room(leverage: str | Column | float, max_leverage: float) -> Column:
@@ -154,7 +154,7 @@ def liquidation_room(leverage: str | Column | float, max_leverage: float) -> Col
 def liq_bin(szi: str | Column, liq_px: str | Column, mid: str | Column, band_pct: float = 1.0, range_pct: float = 30.0) -> Column:
     """'down:i' for longs, 'up:i' for shorts, 'outside' past the range, NULL on the wrong side or without input."""
     s, l, m = _c(szi), _c(liq_px), _c(mid)
-    pct = (l - m) / m * 100
+    pct = F.try_divide(l - m, m) * 100
     bands = max(int(round(range_pct / band_pct)), 1)
     idx = F.least(F.floor(F.abs(pct) / band_pct), F.lit(bands - 1)).cast("string")
     valid = finite(s) & finite(l) & finite(m) & (m > 0) & (s != 0)
@@ -174,7 +174,7 @@ def liq_bucket(szi, liq_px, mid, value, *, min_usd: float = 0.0, band_pct: float
 def bias_label(a: str | Column, b: str | Column, name_a: str, name_b: str, *, mild: float = 1.5, strong: float = 2.0) -> Column:
     """Which side leads and by how much. The texts are fixed values shown to users."""
     a, b = _c(a), _c(b)
-    ratio = F.greatest(a, b) / F.least(a, b)
+    ratio = F.try_divide(F.greatest(a, b), F.least(a, b))
     times = F.format_string("(%.1f倍)", ratio)
     winner = F.when(a >= b, name_a).otherwise(name_b)
     return (F.when((a <= 0) & (b <= 0), "拮抗(データなし)").when(b <= 0, f"{name_a}優勢(∞倍)").when(a <= 0, f"{name_b}優勢(∞倍)")
@@ -227,6 +227,6 @@ def calendar_fields(ts: str | Column) -> dict[str, Column]:
 
 def adverse_favorable(direction: str | Column, entry: str | Column, high: str | Column, low: str | Column) -> tuple[Column, Column]:
     """Per-bar worst and best move against the entry price, linear for shorts."""
-    up, down = _c(high) / _c(entry) - 1, _c(low) / _c(entry) - 1
+    up, down = F.try_divide(_c(high), _c(entry)) - 1, F.try_divide(_c(low), _c(entry)) - 1
     long = _c(direction) == "long"
     return F.when(long, down).otherwise(-up), F.when(long, up).otherwise(-down)

@@ -29,7 +29,7 @@ def carry_daily(days: DataFrame, exact: DataFrame, hourly: DataFrame, funding: D
     w = Window.partitionBy(*keys).orderBy("ts")
     d = (d.withColumn("perp", F.coalesce("_exact", "_proxy"))
          .withColumn("perp_source", F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_proxy").isNotNull(), "hourly_close").otherwise("missing"))
-         .withColumn("basis", F.ln(F.col("perp") / F.col("fair"))).withColumn("scale_mismatch", F.abs("basis") > max_basis)
+         .withColumn("basis", F.ln(F.try_divide("perp", "fair"))).withColumn("scale_mismatch", F.abs("basis") > max_basis)
          .withColumn("prev_ts", F.coalesce(F.lag("ts").over(w), F.col("ts") - DAY)))
     d = window_total(d, funding, by=keys, start="prev_ts", stop="ts", value="rate", width=width).withColumnsRenamed({"total": "funding_short", "n": "funding_hours"})
     d = d.withColumn("expected_hours", ((F.col("ts") - F.col("prev_ts")) / HOUR).cast("bigint")).withColumn("basis_pnl", -(F.col("basis") - F.lag("basis").over(w)))
@@ -48,7 +48,7 @@ def forward_ledger(panel: DataFrame, bars: DataFrame, keys: Sequence[str], *, le
     w = Window.partitionBy(*keys).orderBy("ts")
     p = panel.withColumn("perp_prev", F.lag("perp").over(w)).withColumn("spot_ret", F.ln(F.col("fair") / F.lag("fair").over(w)))
     j = interval_join(p, bars.select(*keys, "ts", "high"), by=keys, start="prev_ts", stop="ts", how="outer")
-    d = j.groupBy(*p.columns).agg((F.max("bar_high") / F.col("perp_prev") - 1).alias("rise"))
+    d = j.groupBy(*p.columns).agg((F.try_divide(F.max("bar_high"), F.col("perp_prev")) - 1).alias("rise"))
     room = liquidation_room(float(leverage), max_leverage)
     dead = F.coalesce(F.col("rise") >= room, F.lit(False))
     pnl = F.when(dead, F.col("spot_ret") - 1 / leverage).when(F.col("valid"), F.col("dn"))
@@ -69,7 +69,7 @@ def carry_pnl(pair: DataFrame, keys: Sequence[str], *, notional: float, cost_bp:
     capital = 1.5 * notional
     d = pair.withColumn("dS", F.col("S") - F.lag("S").over(w)).withColumn("dF", F.col("F") - F.lag("F").over(w)).where("dS IS NOT NULL")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = d.withColumn("q", F.lit(notional) / F.first("S").over(whole))
+    d = d.withColumn("q", F.try_divide(F.lit(notional), F.first("S").over(whole)))
     d = d.withColumn("basis_pnl", F.col("q") * (F.col("dS") - F.col("dF"))).withColumn("funding_pnl", F.col("q") * F.coalesce(F.col("funding_per_q"), F.lit(0.0)))
     unit = notional * cost_bp / 10_000
     if enter is None:
@@ -111,7 +111,7 @@ def margin_breaches(pair: DataFrame, keys: Sequence[str], *, notional: float, in
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("ts")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    d = pair.withColumn("dF", F.col("F") - F.lag("F").over(w)).where("dF IS NOT NULL").withColumn("q", F.lit(notional) / F.first("S").over(whole))
+    d = pair.withColumn("dF", F.col("F") - F.lag("F").over(w)).where("dF IS NOT NULL").withColumn("q", F.try_divide(F.lit(notional), F.first("S").over(whole)))
     d = d.withColumn("margin", initial * notional - F.sum(F.col("q") * F.col("dF")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     below = F.col("margin") < floor * notional
     return d.groupBy(*keys).agg(F.count_if(below).alias("days_below"), F.coalesce(F.max(F.when(below, floor * notional - F.col("margin"))), F.lit(0.0)).alias("max_additional_margin"),

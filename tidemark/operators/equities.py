@@ -19,8 +19,8 @@ def margin_ratio(balances: DataFrame, closes: DataFrame, *, date: str = "date",
     ok = F.col("close") > 0
     value = lambda c: F.sum(F.when(ok, F.col(c) * F.col("close")))
     g = j.groupBy(date).agg(value("long_shares").alias("long_value"), value("short_shares").alias("short_value"), F.count("*").alias("codes"), F.count("close").alias("codes_priced"),
-                            (F.sum(F.when(F.col("close").isNull(), F.col("long_shares"))) / F.sum("long_shares")).alias("unpriced_share"))
-    return g.withColumn("value", F.ln(F.col("long_value") / F.col("short_value"))).withColumn("unpriced_share", F.coalesce("unpriced_share", F.lit(0.0)))
+                            F.try_divide(F.sum(F.when(F.col("close").isNull(), F.col("long_shares"))), F.sum("long_shares")).alias("unpriced_share"))
+    return g.withColumn("value", F.ln(F.try_divide("long_value", "short_value"))).withColumn("unpriced_share", F.coalesce("unpriced_share", F.lit(0.0)))
 
 
 def ratio_of_sums(df: DataFrame, keys: Sequence[str], numerator: Column, denominator: Column, *, where: Column | None = None, parts: str | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ def risk_card(bars: DataFrame, market: DataFrame, reactions: DataFrame, code: st
         (-F.min("fall_low")).alias("worst_fall"), F.percentile(size, F.lit(0.99)).alias("p99_abs_change"), F.avg(size).alias("mean_abs_change"), om.alias("overnight_mean"), im.alias("intraday_mean"),
         ov.alias("overnight_vol"), iv.alias("intraday_vol"), F.count_if(on).alias("event_days"), F.avg(F.when(on, size)).alias("event_mean_abs"), F.avg(F.when(~on, size)).alias("other_mean_abs"),
         F.avg((F.col("close") == F.col("high")).cast("int")).alias("limit_up_share"), F.avg((F.col("close") == F.col("low")).cast("int")).alias("limit_down_share"),
-        F.when(F.count(x) >= min_days, F.covar_samp(y, x) / F.var_samp(x)).alias("beta"))
+        F.when(F.count(x) >= min_days, F.try_divide(F.covar_samp(y, x), F.var_samp(x))).alias("beta"))
     return g.where(F.col("days") >= min_days)
 
 

@@ -91,7 +91,7 @@ def forward_outcome(decisions: DataFrame, bars: DataFrame, *, by: Sequence[str],
     x = asof_forward(e, bars, by=by, take=[price], width=width, left_on="_xt", prefix="ex_")
     return x.select(*decisions.columns, F.col("en_source_ts").alias("entry_ts"), F.col(f"en_{price}").alias("entry_px"),
                     F.col("ex_source_ts").alias("exit_ts"), F.col(f"ex_{price}").alias("exit_px"),
-                    (F.col(f"ex_{price}") / F.col(f"en_{price}") - 1).alias("ret"),
+                    (F.try_divide(F.col(f"ex_{price}"), F.col(f"en_{price}")) - 1).alias("ret"),
                     F.when(F.col("en_source_ts").isNull(), "no_entry_bar").when(F.col("ex_source_ts").isNull(), "no_exit_bar")
                     .otherwise("complete").alias("status"))
 
@@ -114,7 +114,7 @@ def outcome_grid(events: DataFrame, leader: DataFrame, follower: DataFrame, *, w
     late = F.col("exit_ts") >= end
     have = F.col("_fe").isNotNull() & F.col("_fx").isNotNull()
     done = ~late & have
-    move = lambda a, b: F.col("direction") * (F.col(b) / F.col(a) - 1) * 10_000
+    move = lambda a, b: F.col("direction") * (F.try_divide(F.col(b), F.col(a)) - 1) * 10_000
     gross = F.when(done, move("_fe", "_fx"))
     return g.select("ts", "decision_ts", "direction", (F.col("direction") * F.col("window_bp")).alias("leader_window_bp"),
                     move("_f0", "_f1").alias("follower_window_bp"), "delay", "horizon", "entry_ts", "exit_ts", gross.alias("gross_bp"),
@@ -134,7 +134,7 @@ def basis_panel(a: DataFrame, b: DataFrame, *, threshold_bp: float, step: int, w
     """Synchronised closes of two legs, their basis, and the starts of extreme same-side episodes."""
     j = a.select("ts", F.col("close").alias("a_close")).join(b.select("ts", F.col("close").alias("b_close")), "ts")
     p = (j.withColumn("k", F.lit(0)).withColumn("signal_ts", F.col("ts") + step)
-         .withColumn("basis_bp", 10_000 * (F.col("b_close") / F.col("a_close") - 1))
+         .withColumn("basis_bp", 10_000 * (F.try_divide("b_close", "a_close") - 1))
          .withColumn("extreme", F.abs("basis_bp") >= threshold_bp))
     q = previous(p, ["k"], ["ts"], width, ["ts", "basis_bp", "extreme"])
     goes_on = (F.coalesce(F.col("prev_extreme"), F.lit(False)) & (F.col("prev_ts") == F.col("ts") - step)
@@ -204,7 +204,7 @@ def two_leg_pnl(ledger: DataFrame, *, quantity: float, fee_bp: float, slippage_b
          .withColumn("net_pnl", F.col("price_pnl") - F.col("cost") + F.col("funding_pnl")))
     notional = quantity * (F.col("a_entry_px") + F.col("b_entry_px"))
     status = (F.when(F.col("status") != "pending", F.col("status")).when(F.col("funding_pnl").isNotNull(), "complete").otherwise("funding_unknown"))
-    return d.withColumn("net_bp", 10_000 * F.col("net_pnl") / notional).withColumn("status", status)
+    return d.withColumn("net_bp", 10_000 * F.try_divide(F.col("net_pnl"), notional)).withColumn("status", status)
 
 
 # -- paths ------------------------------------------------------------------------------------------
@@ -220,7 +220,7 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step:
     p = interval_join(e, b, by=by, start="entry_ts", stop="exit_ts", how="outer")
     long = F.col("direction") == "long"
     sign = F.when(long, 1.0).otherwise(-1.0)
-    move = lambda c: sign * (F.col(c) / F.col("entry_px") - 1)
+    move = lambda c: sign * (F.try_divide(F.col(c), F.col("entry_px")) - 1)
     worst, best = F.when(long, move("bar_low")).otherwise(move("bar_high")), F.when(long, move("bar_high")).otherwise(move("bar_low"))
     stop, take = F.lit(-stop_bp / 10_000), F.lit(take_bp / 10_000)
     stop_px = F.col("entry_px") * (1 + sign * stop)
@@ -268,7 +268,7 @@ def path_audit(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: i
     m = path_metrics(events, bars, by=by, step=step, stop_bp=stop_bp, take_bp=take_bp)
     en, ex, d = F.col("entry_ts"), F.col("exit_ts"), F.col("direction")
     sign = F.when(d == "long", 1.0).otherwise(-1.0)
-    gross = sign * (F.col("exit_open_px") / F.col("entry_px") - 1) * 10_000
+    gross = sign * (F.try_divide("exit_open_px", "entry_px") - 1) * 10_000
     bad_px = lambda c: F.col(c).isNull() | (F.col(c) <= 0)
     off = lambda s, a: F.col(s).isNotNull() & (F.abs(F.col(s) - F.col(a)) > 1e-9)
     reason = (F.when(en.isNull() | ex.isNull(), "invalid_timestamp").when((en < 0) | (ex <= en), "invalid_interval")

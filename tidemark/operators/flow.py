@@ -76,7 +76,7 @@ def squeeze_signal(flow: DataFrame, near: DataFrame, marks: DataFrame, *, strong
     b, s = F.col("buy_rate_usd_min"), F.col("sell_rate_usd_min")
     kind = (F.when((s > 0) & (b >= s * strong) & (F.col("short_usd") > 0), "short_squeeze")
             .when((b > 0) & (s >= b * strong) & (F.col("long_usd") > 0), "long_squeeze"))
-    return j.withColumn("signal", kind).where("signal IS NOT NULL").select("coin", "signal", F.greatest(b / s, s / b).alias("ratio"),
+    return j.withColumn("signal", kind).where("signal IS NOT NULL").select("coin", "signal", F.greatest(F.try_divide(b, s), F.try_divide(s, b)).alias("ratio"),
                                                                            F.when(kind == "short_squeeze", F.col("short_usd")).otherwise(F.col("long_usd")).alias("near_usd"))
 
 

@@ -185,7 +185,7 @@ def welch_t(df: DataFrame, keys: Sequence[str], value: str, top: Column, bottom:
     """Welch statistic and degrees of freedom of two row sets; p via ``functions.tails``."""
     a, b = F.when(top, F.col(value)), F.when(bottom, F.col(value))
     g = df.groupBy(*keys).agg(F.count(a).alias("n_top"), F.count(b).alias("n_bottom"), F.avg(a).alias("_ma"), F.avg(b).alias("_mb"),
-                              (F.var_samp(a) / F.count(a)).alias("_va"), (F.var_samp(b) / F.count(b)).alias("_vb"))
+                              F.try_divide(F.var_samp(a), F.count(a)).alias("_va"), F.try_divide(F.var_samp(b), F.count(b)).alias("_vb"))
     se = F.col("_va") + F.col("_vb")
     dof = se * se / (F.col("_va") * F.col("_va") / (F.col("n_top") - 1) + F.col("_vb") * F.col("_vb") / (F.col("n_bottom") - 1))
     ok = (F.col("n_top") >= 2) & (F.col("n_bottom") >= 2) & (se > 0)
@@ -239,7 +239,7 @@ def ols_hac(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], ord
         d = d.where(F.col(c).isNotNull() & ~F.isnan(c))
     xtx, xty = _moments(cols, F.col(y).cast("double"), F.sum)
     fit = d.groupBy(*keys).agg(xtx.alias("_a"), xty.alias("_b"), F.count("*").alias("n")).withColumn("_f", _solve("_a", "_b")) \
-        .where("_f.beta IS NOT NULL").select(*keys, "n", F.col("_f.beta").alias("_beta"), F.col("_f.inv").alias("_inv"))
+        .where(F.col("_f.beta").isNotNull() & (F.col("n") >= len(cols) + (1 if small_sample else 0))).select(*keys, "n", F.col("_f.beta").alias("_beta"), F.col("_f.inv").alias("_inv"))
     j = d.join(fit, keys) if keys else d.crossJoin(fit)
     k = len(cols)
     row = F.array(*cols)
@@ -257,7 +257,7 @@ def ols_hac(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], ord
         weighted = weighted + F.when(F.lit(l) <= cap, F.coalesce(term, F.lit(0.0))).otherwise(0.0)
     j = j.withColumn("_q", F.col("_z") * F.col("_z") + weighted)
     g = j.groupBy(*keys, "term").agg(F.first("n").alias("n"), F.first("_bt").alias("estimate"), F.sum("_q").alias("_var"))
-    factor = F.col("n") / (F.col("n") - k) if small_sample else F.lit(1.0)
+    factor = F.try_divide(F.col("n"), F.col("n") - k) if small_sample else F.lit(1.0)
     g = g.withColumn("se", F.sqrt(F.greatest(F.col("_var") * factor, F.lit(0.0))))
     return g.select(*keys, "term", "n", "estimate", "se", F.when(F.col("se") > 0, F.col("estimate") / F.col("se")).alias("t_hac"))
 
@@ -299,7 +299,7 @@ def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal
     clip = lambda c: F.greatest(F.least(F.col(c), F.col(f"{c}_hi")), F.col(f"{c}_lo"))
     w = d.join(F.broadcast(bounds), week).select(week, sector, *[clip(c).alias(c) for c in (y, *xs)])
     scale = w.groupBy(week).agg(F.count("*").alias("_n"), *[f(c).alias(f"{n}_{c}") for c in xs for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
-    s = w.join(F.broadcast(scale.where(F.col("_n") >= min_rows)), week).select(week, sector, y, *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(c) for c in xs])
+    s = w.join(F.broadcast(scale.where(F.col("_n") >= min_rows)), week).select(week, sector, y, *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in xs])
     means = s.groupBy(week, sector).agg(*[F.avg(c).alias(f"_a_{c}") for c in (y, *xs)])
     r = s.join(F.broadcast(means), [week, sector]).select(week, *[(F.col(c) - F.col(f"_a_{c}")).alias(c) for c in (y, *xs)])
     xtx, xty = _moments([F.col(c) for c in xs], F.col(y), F.sum)
@@ -325,7 +325,7 @@ def decile_spread(df: DataFrame, *, week: str, signal: str, y: str, tie: str, de
 
 def book_return(y: str, weight: str) -> Column:
     ok = F.col(y).isNotNull() & F.col(weight).isNotNull() & (F.col(weight) > 0)
-    return F.sum(F.when(ok, F.col(y) * F.col(weight))) / F.sum(F.when(ok, F.col(weight)))
+    return F.try_divide(F.sum(F.when(ok, F.col(y) * F.col(weight))), F.sum(F.when(ok, F.col(weight))))
 
 
 def rolling_residual_z(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], order: str, window: int, min_obs: int) -> DataFrame:
@@ -341,7 +341,7 @@ def rolling_residual_z(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequenc
     d = df.withColumn("_n", F.count(F.when(known, 1)).over(w)).withColumn("_yy", over(F.col(y) * F.col(y))).withColumn("_b", xty)
     d = d.withColumn("_f", F.when(known & (F.col("_n") >= min_obs), _solve(xtx, xty)))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    sd = F.sqrt((F.col("_yy") - dot(F.col("_f.beta"), F.col("_b"))) / (F.col("_n") - len(cols)))
+    sd = F.sqrt(F.try_divide(F.col("_yy") - dot(F.col("_f.beta"), F.col("_b")), F.col("_n") - len(cols)))
     z = F.when(known & (sd > 0), (F.col(y) - dot(F.array(*cols), F.col("_f.beta"))) / sd)
     return d.withColumn("z", z).drop("_n", "_yy", "_b", "_f")
 
@@ -360,7 +360,7 @@ def expanding_forecast(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequenc
     d = d.withColumn("_f", F.when(known & (F.col("_n") >= min_train), _solve(xtx, xty)))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     pred = dot(F.array(*cols), F.col("_f.beta"))
-    s2 = (F.col("_yy") - dot(F.col("_f.beta"), F.col("_b"))) / (F.col("_n") - len(cols))
+    s2 = F.try_divide(F.col("_yy") - dot(F.col("_f.beta"), F.col("_b")), F.col("_n") - len(cols))
     return d.withColumn(f"pred_{name}", pred).withColumn(f"s2_{name}", F.greatest(s2, F.lit(0.0))).withColumn(f"n_train_{name}", F.col("_n")).drop("_n", "_yy", "_b", "_f")
 
 
@@ -483,7 +483,7 @@ def autocorrelation(df: DataFrame, keys: Sequence[str], value: str, *, order: st
     w = part.orderBy(order)
     d = df.where(F.col(value).isNotNull()).withColumn("_c", F.col(value) - F.avg(value).over(part))
     d = d.select(*keys, "_c", *[F.lag("_c", k).over(w).alias(f"_l{k}") for k in lags])
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), *[(F.sum(F.col("_c") * F.col(f"_l{k}")) / F.sum(F.col("_c") * F.col("_c"))).alias(f"autocorr_{k}") for k in lags])
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), *[F.try_divide(F.sum(F.col("_c") * F.col(f"_l{k}")), F.sum(F.col("_c") * F.col("_c"))).alias(f"autocorr_{k}") for k in lags])
 
 
 def vol_target(df: DataFrame, keys: Sequence[str], *, forecast: Column, ret: str, order: str, target: float, cap: float, cost: float) -> DataFrame:

@@ -33,7 +33,7 @@ def window_metrics(bars: DataFrame, keys: Sequence[str], spans: dict[str, int],
         full = F.count("*").over(w) == n
         vol, buy = F.sum("quote_volume").over(w), F.sum("taker_buy_quote").over(w)
         known = full & (F.count("quote_volume").over(w) == n) & (F.count("taker_buy_quote").over(w) == n)
-        cols[f"{name}_return"] = F.when(full, F.col("close") / F.first("open").over(w) - 1)
+        cols[f"{name}_return"] = F.when(full, F.try_divide(F.col("close"), F.first("open").over(w)) - 1)
         cols[f"{name}_range"] = F.when(full, F.max("high").over(w) - F.min("low").over(w))
         cols[f"{name}_volume"] = F.when(known, vol)
         cols[f"{name}_imbalance"] = F.when(known & (vol > 0), 2 * buy / vol - 1)
@@ -141,7 +141,7 @@ def flow_and_volume(bars: DataFrame, keys: Sequence[str], n: int, *, step: int,
     full, prior = F.count("*").over(w1) == n, F.count("*").over(w0) == n
     q, b = F.sum("quote_volume").over(w1), F.sum("taker_buy_quote").over(w1)
     return own_rows(h.withColumns({
-        "exact_return_pct": F.when(F.count("*").over(move) == n + 1, (F.col("close") / F.first("close").over(move) - 1) * 100),
+        "exact_return_pct": F.when(F.count("*").over(move) == n + 1, (F.try_divide(F.col("close"), F.first("close").over(move)) - 1) * 100),
         "signed_taker_quote": F.when(full, 2 * b - q), "taker_imbalance_pct": F.when(full & (q != 0), (2 * b / q - 1) * 100),
         "volume_ratio": F.when(full & prior, F.try_divide(q, F.sum("quote_volume").over(w0)))}))
 
@@ -182,7 +182,7 @@ def hourly_metrics(bars: DataFrame, keys: Sequence[str], spans: Sequence[int], *
     for n in spans:
         move, inside = _win(keys, -n * step, 0), _win(keys, -(n - 1) * step, 0)
         full = F.count("*").over(move) == n + 1
-        cols[f"return_pct_{n}"] = F.when(full, (F.col("close") / F.first("close").over(move) - 1) * 100)
+        cols[f"return_pct_{n}"] = F.when(full, (F.try_divide(F.col("close"), F.first("close").over(move)) - 1) * 100)
         cols[f"high_{n}"], cols[f"low_{n}"] = F.when(full, F.max("high").over(inside)), F.when(full, F.min("low").over(inside))
     w = _win(keys, -(sd_bars - 1) * step, 0)
     cols["return_sd"] = F.when(F.count("_r").over(w) == sd_bars, F.stddev_pop("_r").over(w))

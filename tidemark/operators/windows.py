@@ -26,7 +26,7 @@ def _rows(keys: Sequence[str], lo: int, hi: int, ts: str = "ts"):
 def lag_return(df: DataFrame, keys: Sequence[str], k: int, *, width: int | None, value: str = "close", out: str = "ret") -> DataFrame:
     """value / value k rows earlier - 1."""
     h = row_halo(df, keys, ["ts"], k, width)
-    return own_rows(h.withColumn(out, F.col(value) / F.lag(value, k).over(in_chunk(keys, "ts")) - 1))
+    return own_rows(h.withColumn(out, F.try_divide(F.col(value), F.lag(value, k).over(in_chunk(keys, "ts"))) - 1))
 
 
 def densify(df: DataFrame, keys: Sequence[str], *, step: int, ts: str = "ts", chunk: int = 4096) -> DataFrame:
@@ -45,7 +45,7 @@ def realized_vol(df: DataFrame, keys: Sequence[str], *, days: int, width: int |
                  step: int = DAY, out: str = "realized_vol") -> DataFrame:
     """Sample deviation of log returns between adjacent calendar steps, annualised, full windows only."""
     p = previous(df, keys, ["ts"], width, ["ts", value], prefix="_p_")
-    r = p.withColumn("log_return", F.when(F.col("_p_ts") == F.col("ts") - step, F.ln(F.col(value) / F.col(f"_p_{value}")))).drop("_p_ts", f"_p_{value}")
+    r = p.withColumn("log_return", F.when(F.col("_p_ts") == F.col("ts") - step, F.ln(F.try_divide(F.col(value), F.col(f"_p_{value}"))))).drop("_p_ts", f"_p_{value}")
     w = _range(keys, -(days - 1) * step, 0)
     full = F.count("log_return").over(w) == days
     h = range_halo(r, width, back=(days - 1) * step)
@@ -70,8 +70,8 @@ def regime(df: DataFrame, keys: Sequence[str], *, vol_days: int, trend_days: int
     past = df.select(*keys, (F.col("ts") + trend_days * DAY).alias("ts"), F.col("close").alias("_then"))
     nxt = df.select(*keys, (F.col("ts") - DAY).alias("ts"), F.col("close").alias("_next"))
     j = thr.join(past, [*keys, "ts"], "left").join(nxt, [*keys, "ts"], "left")
-    trend = F.col("close") / F.col("_then") - 1
-    return (j.withColumn("trend_return", trend).withColumn("next_return", F.col("_next") / F.col("close") - 1)
+    trend = F.try_divide("close", "_then") - 1
+    return (j.withColumn("trend_return", trend).withColumn("next_return", F.try_divide("_next", "close") - 1)
             .withColumn("regime", four_state("trend_return", "realized_vol", "threshold")).drop("_then", "_next"))
 
 
@@ -124,7 +124,7 @@ def complete_move(df: DataFrame, keys: Sequence[str], k: int, *, step: int, widt
     """k-step move in bp, only where all k+1 values exist at consecutive steps."""
     w = _range(keys, -k * step, 0)
     h = range_halo(df, width, back=k * step)
-    move = (F.col(value) / F.first(value).over(w) - 1) * 10_000
+    move = (F.try_divide(F.col(value), F.first(value).over(w)) - 1) * 10_000
     return own_rows(h.withColumn(out, F.when(F.count(value).over(w) == k + 1, move)))
 
 
@@ -213,7 +213,7 @@ def forward_max_rise(df: DataFrame, keys: Sequence[str], *, span: int, width: in
     numbered = running(df, keys, ["ts"], width, {"_i": ("count", F.lit(1))})
     w = _range(keys, 0, span - 1)
     h = range_halo(numbered, width, ahead=span)
-    rise = own_rows(h.withColumn("rise", F.max(high).over(w) / F.col(high) - 1).withColumn("_m", F.count("*").over(w)))
+    rise = own_rows(h.withColumn("rise", F.try_divide(F.max(high).over(w), F.col(high)) - 1).withColumn("_m", F.count("*").over(w)))
     return rise.where(((F.col("_i") - 1) % every == 0) & (F.col("_m") > 1)).drop("_i", "_m")
 
 
@@ -327,6 +327,6 @@ def daily_moves(df: DataFrame, keys: Sequence[str], *, width: int | None) -> Dat
     """Close, high and low against the split-adjusted previous close; overnight and intraday log legs."""
     p = previous(df, keys, ["ts"], width, ["close"])
     base = F.col("prev_close") * F.coalesce(F.col("adj_factor"), F.lit(1.0))
-    return (p.withColumn("ret_close", F.col("close") / base - 1).withColumn("rise_high", F.col("high") / base - 1)
-            .withColumn("fall_low", F.col("low") / base - 1).withColumn("overnight", F.ln(F.col("open") / base))
-            .withColumn("intraday", F.ln(F.col("close") / F.col("open"))).drop("prev_close"))
+    return (p.withColumn("ret_close", F.try_divide(F.col("close"), base) - 1).withColumn("rise_high", F.try_divide(F.col("high"), base) - 1)
+            .withColumn("fall_low", F.try_divide(F.col("low"), base) - 1).withColumn("overnight", F.ln(F.try_divide(F.col("open"), base)))
+            .withColumn("intraday", F.ln(F.try_divide("close", "open"))).drop("prev_close"))

@@ -129,7 +129,7 @@ def hac_sql(src: str, keys: str, y: str, x: str, order: str, lags: int, small: b
     """Twin of the one-regressor HAC slope with closed-form moments."""
     cap = f"least({lags}, n - {2 if small else 1})"
     terms = " + ".join(f"CASE WHEN {l} <= {cap} THEN coalesce(2 * (1 - {l} / ({cap} + 1)) * z * lag(z, {l}) OVER (PARTITION BY {keys} ORDER BY {order}), 0) ELSE 0 END" for l in range(1, lags + 1))
-    return f"""hm AS (SELECT {keys}, count(*) AS n, sum({x}) AS sx, sum({x} * {x}) AS sxx, regr_slope({y}, {x}) AS hb_, regr_intercept({y}, {x}) AS ha_ FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {keys}),
+    return f"""hm AS (SELECT {keys}, count(*) AS n, sum({x}) AS sx, sum({x} * {x}) AS sxx, regr_slope({y}, {x}) AS hb_, regr_intercept({y}, {x}) AS ha_ FROM {src} WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY {keys} HAVING count(*) >= {3 if small else 2}),
 hz AS (SELECT s.*, hm.n, hm.hb_, ((n * {x} - sx) / (n * sxx - sx * sx)) * ({y} - ha_ - hb_ * {x}) AS z FROM {src} s JOIN hm USING ({keys}) WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
 hq AS (SELECT *, z * z + {terms} AS q FROM hz),
 hs AS (SELECT {keys}, any_value(n) AS n, any_value(hb_) AS estimate, sqrt(greatest(sum(q){' * any_value(n) / (any_value(n) - 2)' if small else ''}, 0)) AS se FROM hq GROUP BY {keys})"""
@@ -159,7 +159,7 @@ g AS (SELECT a, b, label, count(*) AS n_intervals, median(days) AS median_days,
  avg(yt::INT) FILTER (xt) AS lower_tail_probability, avg((xt AND yt)::INT) AS joint_lower_tail_share FROM rk GROUP BY 1, 2, 3)
 SELECT a, b, label, n_intervals, median_days, max_days, CASE WHEN n_intervals >= 60 THEN pearson END AS pearson, CASE WHEN n_intervals >= 60 THEN spearman END AS spearman, CASE WHEN n_intervals >= 60 THEN downside_corr END AS downside_corr,
  CASE WHEN n_intervals >= 60 THEN lower_tail_probability END AS lower_tail_probability, CASE WHEN n_intervals >= 60 THEN joint_lower_tail_share END AS joint_lower_tail_share, CASE WHEN n_intervals >= 60 THEN estimate END AS hac_beta, CASE WHEN n_intervals >= 60 THEN se END AS hac_se,
- CASE WHEN n_intervals >= 60 THEN lower_tail_probability END / 0.1 AS lower_tail_lift FROM g JOIN hs USING (a, b, label)""")
+ CASE WHEN n_intervals >= 60 THEN lower_tail_probability END / 0.1 AS lower_tail_lift FROM g LEFT JOIN hs USING (a, b, label)""")
 def _(t):
     d = day_ts(t.daily).select(F.col("symbol").alias("name"), "ts", "close")
     return R.pairwise_dependence(d, regimes(t), anchor="1-URGENT", hac_lags=3, min_rows=60)

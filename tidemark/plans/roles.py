@@ -35,6 +35,7 @@ class Tables:
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.set("spark.sql.ansi.enabled", "false")  # an undefined ratio is unknown, not a failed job
         key = (id(spark), sf_dir)
         if key not in _CACHE:
             _CACHE[key] = cls(spark, sf_dir)
