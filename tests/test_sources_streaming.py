@@ -106,7 +106,7 @@ def test_dedupe_across_batches(spark, tmp_path, ticks):
 
 def test_order_lifecycle(spark, tmp_path):
     s = "order_id long, ts long, sz double, declared_sz double"
-    f = spark.createDataFrame([(1, 0, 5.0, 10.0), (1, 30_000, 4.9, 10.0), (2, 1_000, 1.0, 10.0), (3, 900_000, 1.0, None)], s)
+    f = spark.createDataFrame([(1, 10_000, 5.0, 10.0), (1, 40_000, 4.9, 10.0), (2, 11_000, 1.0, 10.0), (3, 900_000, 1.0, None)], s)
     got = drain(spark, tmp_path, jobs.order_lifecycle(feed(spark, tmp_path, f, 2, "ts"), gap_ms=120_000, delay="1 second"))
     assert rows(got, "order_id", "status") == [(1, "completed"), (2, "ended_suspected")]
 
