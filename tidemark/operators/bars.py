@@ -160,7 +160,7 @@ def funding_phases(rates: DataFrame, keys: Sequence[str], *, launch: int, bounda
     late, after = F.col("ts") >= F.col("first_ts") + launch, F.col("ts") >= boundary
     phase = F.explode(F.array(F.lit("all"), F.when(late, "post_launch").otherwise("launch"),
                               F.when(after, "after_boundary").otherwise("before_boundary")))
-    r = rates.join(F.broadcast(first), keys).withColumn("phase", phase)
+    r = rates.join(first, keys).withColumn("phase", phase)
     k = [*keys, "phase"]
     base = r.groupBy(*k).agg(
         F.count("*").alias("hours"), F.min("ts").alias("first"), (F.avg("rate") * 24 * 365).alias("annualised_mean"),

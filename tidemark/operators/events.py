@@ -363,7 +363,7 @@ def embargo_split(events: DataFrame, keys: Sequence[str], years: Sequence[int],
     """Fold label per event and year: train exits end a horizon before the year, test entries begin a horizon
     into it and exit inside it. The horizon is each strategy's longest hold."""
     h = events.groupBy(*keys).agg(F.greatest(F.max(F.col("exit_ts") - F.col("entry_ts")), F.lit(0)).alias("horizon_ms"))
-    e = with_grid(events.join(F.broadcast(h), list(keys)), fold_year=list(years))
+    e = with_grid(events.join(h, list(keys)), fold_year=list(years))
     a, z = year_start_ms(F.col("fold_year").cast("int")), year_start_ms((F.col("fold_year") + 1).cast("int"))
     part = (F.when((F.col("detect_ts") >= train_start) & (F.col("exit_ts") < a - F.col("horizon_ms")), "train")
             .when((F.col("entry_ts") >= a + F.col("horizon_ms")) & (F.col("exit_ts") < z), "test"))

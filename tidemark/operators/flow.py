@@ -56,13 +56,13 @@ def dominant_order(orders: DataFrame, fills: DataFrame, *, now: int, window: int
     are an aggregate joined back, not a window over a coin's orders."""
     r = order_rates(orders.where((F.col("status") == "active") & (F.col("start_ts") < now - window)), fills, now=now, window=window)
     total = r.groupBy("coin").agg(F.sum("rate_usd_min").alias("coin_rate"))
-    j = r.join(F.broadcast(total), "coin")
+    j = r.join(total, "coin")
     return j.where(F.col("rate_usd_min") > share * F.col("coin_rate")).withColumn("share", F.col("rate_usd_min") / F.col("coin_rate"))
 
 
 def near_liquidation(positions: DataFrame, marks: DataFrame, *, ratio: float = 0.25) -> DataFrame:
     """Positions whose liquidation price lies within ``ratio`` of the coin's mark."""
-    j = positions.where(F.col("liq_px").isNotNull()).join(F.broadcast(marks.select("coin", "mark")), "coin").where(F.col("mark") > 0)
+    j = positions.where(F.col("liq_px").isNotNull()).join(marks.select("coin", "mark"), "coin").where(F.col("mark") > 0)
     return j.withColumn("distance", F.abs(F.col("mark") - F.col("liq_px")) / F.col("mark")).where(F.col("distance") <= ratio)
 
 
@@ -72,7 +72,7 @@ def squeeze_signal(flow: DataFrame, near: DataFrame, marks: DataFrame, *, strong
     long = (F.col("szi") > 0) & F.col("liq_px").between(F.col("mark") * (1 - band), F.col("mark"))
     v = F.coalesce("position_value", F.lit(0.0))
     near_usd = near.groupBy("coin").agg(F.sum(F.when(short, v)).alias("short_usd"), F.sum(F.when(long, v)).alias("long_usd"))
-    j = flow.join(near_usd, "coin").join(F.broadcast(marks.select("coin", "mark")), "coin")
+    j = flow.join(near_usd, "coin").join(marks.select("coin", "mark"), "coin")
     b, s = F.col("buy_rate_usd_min"), F.col("sell_rate_usd_min")
     kind = (F.when((s > 0) & (b >= s * strong) & (F.col("short_usd") > 0), "short_squeeze")
             .when((b > 0) & (s >= b * strong) & (F.col("long_usd") > 0), "long_squeeze"))
@@ -99,7 +99,7 @@ def ladder(positions: DataFrame, marks: DataFrame, *, band_pct: float, range_pct
     """Notional, count and active-order notional per distance bucket and coin; every bucket is present, totals
     outside the range and without a liquidation price have their own rows; cumulative from the mark outward."""
     bands = max(int(round(range_pct / band_pct)), 1)
-    p = positions.where(F.col("ts") >= fresh_after).join(F.broadcast(marks.select("coin", "mark")), "coin")
+    p = positions.where(F.col("ts") >= fresh_after).join(marks.select("coin", "mark"), "coin")
     label = (F.when(F.col("liq_px").isNull(), "excluded_null_liquidation").when(F.col("position_value") < min_usd, None)
              .otherwise(liq_bin("szi", "liq_px", "mark", band_pct, range_pct)))
     g = p.withColumn("bucket", label).where("bucket IS NOT NULL").groupBy("coin", "bucket").agg(

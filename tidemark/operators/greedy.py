@@ -62,21 +62,28 @@ def greedy_select(df: DataFrame, keys: Sequence[str], start: str, limit: str, ti
     sort = [f"_o{i}" for i in range(len(order))]
     key_fields = [df.schema[k] for k in keys]
 
-    def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sort, kind="stable")
-        upper, out = steps(pdf["_s"].to_numpy(np.int64), pdf["_l"].to_numpy(np.int64))
-        head = {k: pdf[k].iloc[0] for k in [*keys, CHUNK]}
-        return pd.DataFrame({**head, "_seed": pdf["_seed"].iloc[0], "_upper": upper, "_out": out})
+    # Whole (key, chunk) groups are packed into hash buckets, so one Python call handles many small ones.
+    pack = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = lambda cols: F.pmod(F.xxhash64(*cols), F.lit(pack))
+    part = [*keys, CHUNK]
+
+    def reduce_chunks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, out = pdf.sort_values(sort, kind="stable"), []
+        for _, g in pdf.groupby(part, sort=False, dropna=False):
+            upper, after = steps(g["_s"].to_numpy(np.int64), g["_l"].to_numpy(np.int64))
+            head = {k: g[k].iloc[0] for k in part}
+            out.append(pd.DataFrame({**head, "_seed": g["_seed"].iloc[0], "_upper": upper, "_out": after}))
+        return pd.concat(out)
 
     step_schema = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), T.StructField("_seed", T.LongType()),
                                 T.StructField("_upper", T.LongType()), T.StructField("_out", T.LongType())])
-    reduced = lean.groupBy(*keys, CHUNK).applyInPandas(reduce_chunk, step_schema)
+    reduced = lean.groupBy(bucket(part)).applyInPandas(reduce_chunks, step_schema)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([CHUNK, "_upper"], kind="stable")
-        state, found = int(pdf["_seed"].iloc[0]), []
-        chunks = pdf[CHUNK].to_numpy()
-        upper, out = pdf["_upper"].to_numpy(np.int64), pdf["_out"].to_numpy(np.int64)
+    def walk_key(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([CHUNK, "_upper"], kind="stable")
+        state, found = int(g["_seed"].iloc[0]), []
+        chunks = g[CHUNK].to_numpy()
+        upper, out = g["_upper"].to_numpy(np.int64), g["_out"].to_numpy(np.int64)
         bounds = np.r_[np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]]), len(chunks)]
         for lo, hi in zip(bounds[:-1], bounds[1:]):
             found.append((chunks[lo], state))
@@ -85,18 +92,25 @@ def greedy_select(df: DataFrame, keys: Sequence[str], start: str, limit: str, ti
                 state = int(out[i])
         result = pd.DataFrame(found, columns=[CHUNK, "_enter"])
         for k in keys:
-            result[k] = pdf[k].iloc[0]
+            result[k] = g[k].iloc[0]
         return result[[*keys, CHUNK, "_enter"]]
 
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([walk_key(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)])
+
     enter_schema = T.StructType([*key_fields, T.StructField(CHUNK, T.LongType()), T.StructField("_enter", T.LongType())])
-    entering = reduced.groupBy(*keys).applyInPandas(walk, enter_schema)
+    entering = reduced.groupBy(bucket(keys)).applyInPandas(walk, enter_schema)
 
     joined = rows.join(entering, [*keys, CHUNK], "left").select(*df.columns, CHUNK, "_enter")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["accepted"] = accepted(pdf[start].to_numpy(np.int64), pdf[limit].to_numpy(np.int64), int(pdf["_enter"].iloc[0]))
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+        start_at, limit_at = pdf[start].to_numpy(np.int64), pdf[limit].to_numpy(np.int64)
+        enter, keep = pdf["_enter"].to_numpy(np.int64), np.zeros(len(pdf), bool)
+        for at in pdf.groupby(part, sort=False, dropna=False).indices.values():
+            keep[at] = accepted(start_at[at], limit_at[at], int(enter[at[0]]))
+        pdf["accepted"] = keep
         return pdf.drop(columns=["_enter", CHUNK])
 
     out_schema = T.StructType([*df.schema.fields, T.StructField("accepted", T.BooleanType())])
-    return joined.groupBy(*keys, CHUNK).applyInPandas(mark, out_schema)
+    return joined.groupBy(bucket(part)).applyInPandas(mark, out_schema)

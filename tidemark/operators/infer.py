@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import DAY
+from ..session import DAY, materialize
 from .asof import asof_backward
 from .ordered import exact_quantiles, value_bucket
 from .scan import running
@@ -155,7 +155,7 @@ def random_decisions(counts: DataFrame, bars: DataFrame, keys: Sequence[str], *,
          .withColumn("_t", F.lit(start) + pick(F.lit(end - start), seed, *[F.col(k) for k in keys], F.col("draw"), F.col("_slot"), digits=12)))
     first = bars.groupBy(*keys).agg(F.min("ts").alias("_first"))
     a = asof_backward(u.select(*keys, "draw", "_slot", "_t"), bars, by=keys, take=[], width=width, left_on="_t")
-    return a.join(F.broadcast(first), keys).select(*keys, "draw", "_slot", F.coalesce("source_ts", "_first").alias("ts"))
+    return a.join(first, keys).select(*keys, "draw", "_slot", F.coalesce("source_ts", "_first").alias("ts"))
 
 
 def null_percentile(real: DataFrame, null: DataFrame, keys: Sequence[str], *, value: str) -> DataFrame:
@@ -277,12 +277,13 @@ def hac_mean(df: DataFrame, keys: Sequence[str], value: str, *, order: str, lags
 
 
 def winsor_bounds(df: DataFrame, week: str, columns: dict[str, float]) -> DataFrame:
-    """Lower and upper tail quantiles of each column per week, exact and distributed."""
-    out = None
-    for c, tail in columns.items():
-        b = exact_quantiles(df, [week], c, {f"{c}_lo": tail, f"{c}_hi": 1 - tail})
-        out = b if out is None else out.join(b, week)
-    return out
+    """Lower and upper tail quantiles of each column per week, exact and distributed: the columns are stacked, so
+    one positions pass serves them all."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))
+    tails = {f"q{i}_{end}": (t if end == "lo" else 1 - t) for i, t in enumerate(dict.fromkeys(columns.values())) for end in ("lo", "hi")}
+    q = exact_quantiles(df.select(week, cells.alias("_x")).select(week, "_x.c", "_x.v"), [week, "c"], "v", tails)
+    index = {t: i for i, t in enumerate(dict.fromkeys(columns.values()))}
+    return q.groupBy(week).agg(*[F.max(F.when(F.col("c") == c, F.col(f"q{index[t]}_{end}"))).alias(f"{c}_{end}") for c, t in columns.items() for end in ("lo", "hi")])
 
 
 def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal: str, controls: Sequence[str], tail: float, tail_return: float,
@@ -295,6 +296,7 @@ def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal
     d = df
     for c in (y, *xs, sector):
         d = d.where(F.col(c).isNotNull())
+    d = materialize(d.select(week, sector, y, *xs), "cross-section")  # read by the quantile passes and the regression
     bounds = winsor_bounds(d, week, {**{c: tail for c in xs}, y: tail_return})
     clip = lambda c: F.greatest(F.least(F.col(c), F.col(f"{c}_hi")), F.col(f"{c}_lo"))
     w = d.join(F.broadcast(bounds), week).select(week, sector, *[clip(c).alias(c) for c in (y, *xs)])

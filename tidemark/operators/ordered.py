@@ -43,7 +43,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: d
     if keys == ["_all"]:
         df = df.withColumn("_all", F.lit(0))
     pos = _positions(df, keys, value)
-    total = pos.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
     at = lambda i: F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_n")), F.col("_v")))
     aggs, final = [], []
     for name, q in quantiles.items():

@@ -308,7 +308,7 @@ def regime_only(df: DataFrame, keys: Sequence[str], state: str, ret: str, *, wid
     bounds = df.groupBy(*keys).agg(F.min(F.when(F.col(state).isNotNull(), F.col("ts"))).alias("_a"),
                                    F.max(F.when(F.col(ret).isNotNull(), F.col("ts"))).alias("_z"))
     d = df.join(bounds, keys).where((F.col("ts") >= F.col("_a")) & (F.col("ts") <= F.col("_z")))
-    each = d.join(F.broadcast(labels), keys)
+    each = d.join(labels, keys)
     exposed = F.coalesce(F.col(state) == F.col("label"), F.lit(False))
     each = each.withColumn("_r", F.when(exposed, F.coalesce(F.col(ret), F.lit(0.0))).otherwise(0.0)) \
         .withColumn("_u", exposed & F.col(ret).isNull())

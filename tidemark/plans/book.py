@@ -48,7 +48,7 @@ def _(t):
     return t.books.select("stream", "tick_ms", F.size("bids").alias("bids"), F.size("asks").alias("asks"), bk.book_problem().alias("problem"))
 
 
-@query("B2_B4_B5_B6_B8_snapshot_metrics", use="levels", dbl=" ".join(METRIC_COLS), digits=8, sql=f"WITH {MET} SELECT stream, tick_ms, {', '.join(METRIC_COLS)} FROM mt")
+@query("B2_B4_B5_B6_B8_snapshot_metrics", use="levels", dbl=" ".join(METRIC_COLS), digits=7, sql=f"WITH {MET} SELECT stream, tick_ms, {', '.join(METRIC_COLS)} FROM mt")
 def _(t):
     return metrics(t).select("stream", "tick_ms", *METRIC_COLS)
 
