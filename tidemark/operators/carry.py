@@ -13,7 +13,7 @@ from ..session import DAY, HOUR
 from .asof import window_total
 from .events import with_grid
 from .joins import exact_lookup, interval_join
-from .windows import hysteresis, max_drawdown, transition_cost
+from .windows import hysteresis, transition_cost
 
 
 def carry_daily(days: DataFrame, exact: DataFrame, hourly: DataFrame, funding: DataFrame, keys: Sequence[str], *, max_basis: float, width: int,

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import liquidation_room
-from .events import with_grid
-from .scan import running
 from .windows import adjusted_log_price, daily_moves
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import DAY, materialize
+from ..session import DAY, materialize, small_side
 from .asof import asof_backward
 from .ordered import exact_quantiles, value_bucket
 from .scan import running
@@ -226,7 +226,7 @@ def _moments(x: Sequence[Column], y: Column, agg) -> tuple[Column, Column]:
 
 
 def ols_hac(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], order: str, lags: int, small_sample: bool = False) -> DataFrame:
-    """OLS with intercept and Bartlett HAC errors, one row per (key, term).
+    """OLS with intercept and Bartlett HAC errors, one row per (key, term); at least one key column.
 
     Moments are summed by Spark, only the k x k solve is Python. A coefficient's HAC variance needs just the
     scalar series z = (row of the inverse) . x * residual: sum z^2 + 2 sum_l w_l sum z_t z_{t-l}.
@@ -240,7 +240,7 @@ def ols_hac(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], ord
     xtx, xty = _moments(cols, F.col(y).cast("double"), F.sum)
     fit = d.groupBy(*keys).agg(xtx.alias("_a"), xty.alias("_b"), F.count("*").alias("n")).withColumn("_f", _solve("_a", "_b")) \
         .where(F.col("_f.beta").isNotNull() & (F.col("n") >= len(cols) + (1 if small_sample else 0))).select(*keys, "n", F.col("_f.beta").alias("_beta"), F.col("_f.inv").alias("_inv"))
-    j = d.join(fit, keys) if keys else d.crossJoin(fit)
+    j = d.join(fit, keys)
     k = len(cols)
     row = F.array(*cols)
     fitted = F.aggregate(F.zip_with(row, F.col("_beta"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -290,7 +290,8 @@ def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal
                         min_rows: int) -> DataFrame:
     """Weekly slope of y on the signal: winsorised, standardised, sector-demeaned, with controls.
 
-    Only per-week and per-(week, sector) moments are joined back (bounded by weeks x sectors, hence broadcast).
+    Only per-week and per-(week, sector) moments are joined back; each is written once, so the rows are passed
+    over once per stage.
     """
     xs = [signal, *controls]
     d = df
@@ -299,11 +300,11 @@ def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal
     d = materialize(d.select(week, sector, y, *xs), "cross-section")  # read by the quantile passes and the regression
     bounds = winsor_bounds(d, week, {**{c: tail for c in xs}, y: tail_return})
     clip = lambda c: F.greatest(F.least(F.col(c), F.col(f"{c}_hi")), F.col(f"{c}_lo"))
-    w = d.join(F.broadcast(bounds), week).select(week, sector, *[clip(c).alias(c) for c in (y, *xs)])
+    w = d.join(small_side(bounds, "bounds"), week).select(week, sector, *[clip(c).alias(c) for c in (y, *xs)])
     scale = w.groupBy(week).agg(F.count("*").alias("_n"), *[f(c).alias(f"{n}_{c}") for c in xs for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
-    s = w.join(F.broadcast(scale.where(F.col("_n") >= min_rows)), week).select(week, sector, y, *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in xs])
+    s = w.join(small_side(scale.where(F.col("_n") >= min_rows), "scale"), week).select(week, sector, y, *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in xs])
     means = s.groupBy(week, sector).agg(*[F.avg(c).alias(f"_a_{c}") for c in (y, *xs)])
-    r = s.join(F.broadcast(means), [week, sector]).select(week, *[(F.col(c) - F.col(f"_a_{c}")).alias(c) for c in (y, *xs)])
+    r = s.join(small_side(means, "sector-means"), [week, sector]).select(week, *[(F.col(c) - F.col(f"_a_{c}")).alias(c) for c in (y, *xs)])
     xtx, xty = _moments([F.col(c) for c in xs], F.col(y), F.sum)
     return (r.groupBy(week).agg(F.count("*").alias("n"), xtx.alias("_a"), xty.alias("_b")).withColumn("_f", _solve("_a", "_b"))
             .select(week, "n", F.get("_f.beta", F.lit(0)).alias("slope")))
@@ -314,7 +315,7 @@ def first_tie_rank(df: DataFrame, week: str, signal: str, tie: str) -> DataFrame
     d = df.withColumn("_vb", value_bucket(F.col(signal).cast("double")))
     r = running(d, [week], [signal, tie], 1, {"_r": ("count", F.lit(1))}, ts="_vb")
     n = d.groupBy(week).agg(F.count("*").alias("_n"))
-    return r.join(F.broadcast(n), week).withColumn("pct_rank", F.col("_r") / F.col("_n")).drop("_vb", "_r")
+    return r.join(small_side(n, "week-sizes"), week).withColumn("pct_rank", F.col("_r") / F.col("_n")).drop("_vb", "_r")
 
 
 def decile_spread(df: DataFrame, *, week: str, signal: str, y: str, tie: str, deciles: int = 10, min_rows: int = 1) -> DataFrame:

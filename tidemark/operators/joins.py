@@ -229,8 +229,8 @@ def match_error(reference: DataFrame, candidates: DataFrame, *, key: Sequence[st
     stats = (candidates.select(*key, name, F.col(value).alias("_cand")).join(ref, list(key)).groupBy(name)
              .agg(F.count("*").alias("matched"), F.avg(err).alias("mae"), F.max(err).alias("max_abs_err"),
                   F.avg(F.when(F.col("_cand") != 0, err / F.col("_cand") * 10_000)).alias("mean_rel_bp")))
-    total = reference.agg(F.count("*").alias("_rows"))
+    total = reference.groupBy(F.lit(0).alias("_one")).agg(F.count("*").alias("_rows"))
     ok = F.col("matched") >= min_share * F.col("_rows")
     w = Window.partitionBy(ok).orderBy("mae", name)
-    return stats.crossJoin(total).select(name, "matched", "mae", "max_abs_err", "mean_rel_bp",
+    return stats.withColumn("_one", F.lit(0)).join(total, "_one").select(name, "matched", "mae", "max_abs_err", "mean_rel_bp",
                                          F.when(ok, F.row_number().over(w)).cast("bigint").alias("rank"))

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import DAY
 from .bars import bucket_completeness, coverage
 from .scan import previous
 from .windows import densify
@@ -136,8 +135,8 @@ def disclosure_check(df: DataFrame, key: str, observations: str, *, min_observat
 def premise_checks(panel: DataFrame, pairs: Sequence[tuple[str, str]], label: str) -> DataFrame:
     """Day counts, missing values and correlations between alternative sources, shares of a method label."""
     aggs = [F.count("*").alias("days"), *[F.corr(a, b).alias(f"corr_{a}_{b}") for a, b in pairs], *[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in dict.fromkeys(x for p in pairs for x in p)]]
-    share = panel.groupBy(label).agg(F.count("*").alias("n"))
-    return share.crossJoin(panel.agg(*aggs)).withColumn("share", F.col("n") / F.col("days"))
+    share = panel.groupBy(label).agg(F.count("*").alias("n")).withColumn("_one", F.lit(0))
+    return share.join(panel.groupBy(F.lit(0).alias("_one")).agg(*aggs), "_one").drop("_one").withColumn("share", F.col("n") / F.col("days"))
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DAY, HOUR, MINUTE
+from ..session import DAY
 from .scan import CHUNK, in_chunk, own_rows, previous, range_halo, row_halo, running
 
 
@@ -291,7 +291,7 @@ def range_levels(df: DataFrame, keys: Sequence[str], *, context: int, skip: int,
     h = (h.withColumn("resistance", F.when(F.count("*").over(ctx) == context, F.max("high").over(ctx)))
          .withColumn("support", F.when(F.count("*").over(ctx) == context, F.min("low").over(ctx)))
          .withColumn("block_range", F.when(F.count("*").over(cur) == block, F.max("high").over(cur) - F.min("low").over(cur))))
-    lagged = [F.sum(F.when(F.lit(True), F.col("block_range"))).over(_range(keys, -i * block * step, -i * block * step))
+    lagged = [F.max("block_range").over(_range(keys, -i * block * step, -i * block * step))
               for i in range(1, context // block + 1)]
     arr = F.array_compact(F.array(*lagged))
     known = F.size(arr) == context // block

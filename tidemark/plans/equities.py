@@ -1,6 +1,5 @@
 """Equity-style and carry queries."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
@@ -10,7 +9,6 @@ from ..operators import events as E
 from ..operators import joins
 from ..operators import windows as W
 from ..operators.infer import cluster_bootstrap_diff
-from ..operators.scan import previous
 from ..session import DAY, HOUR
 from .book import boot_sql
 from .joins import CAL, _calendar

@@ -289,7 +289,7 @@ def two_leg(t):
     return E.two_leg_pnl(tr, quantity=2.0, fee_bp=5.0, slippage_bp=2.0)
 
 
-@query("E13_two_leg_ledger", use="bars", dbl="basis_bp price_pnl cost funding_pnl net_bp", digits=4, sql=f"WITH {TWO} SELECT signal_ts, horizon, basis_bp, entry_ts, exit_ts, price_pnl, cost, funding_pnl, net_bp, status FROM le")
+@query("E13_two_leg_ledger", use="bars", dbl="basis_bp price_pnl cost funding_pnl net_bp", digits=7, sql=f"WITH {TWO} SELECT signal_ts, horizon, basis_bp, entry_ts, exit_ts, price_pnl, cost, funding_pnl, net_bp, status FROM le")
 def _(t):
     return two_leg(t).select("signal_ts", "horizon", "basis_bp", "entry_ts", "exit_ts", "price_pnl", "cost", "funding_pnl", "net_bp", "status")
 

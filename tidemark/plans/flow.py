@@ -1,6 +1,5 @@
 """Flow, position and early-warning queries (A19-A26, K2-K4, J18, Q10, Q12, U2, U3, L1-L10, T5 batch)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import flow as fl

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import events as E
 from ..operators import infer as R
-from ..operators import windows as W
 from ..operators.asof import window_total
 from ..operators.joins import interval_join
 from ..operators.scan import previous

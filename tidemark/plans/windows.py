@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, ordered
 from ..operators import windows as W
-from ..operators.scan import previous
 from ..session import DAY, HOUR
 from .registry import query
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MINUTE = 60_000
 HOUR = 60 * MINUTE
@@ -52,3 +53,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, name: str, max_rows: int = 200_000) -> DataFrame:
+    """A summary table as a join side: written once, counted from its file footers, and hinted as broadcast only
+    within ``max_rows``. Beyond that it joins by shuffle and AQE splits hot keys."""
+    table = materialize(df, name)
+    return F.broadcast(table) if table.count() <= max_rows else table
