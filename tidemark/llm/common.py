@@ -102,3 +102,14 @@ def shingles(ids: np.ndarray, width: int = 5) -> np.ndarray:
     for i in range(w):
         out = out * step + ids[i : n - w + 1 + i]
     return mix64(out)
+
+
+def hint_within(df: DataFrame, megabytes: int = 64) -> DataFrame:
+    """``df`` (already written by ``cut``) with a broadcast hint if its texts and rows take at most ``megabytes``;
+    otherwise as it is, and the join shuffles."""
+    size = F.lit(0)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        size = size + (F.coalesce(F.octet_length(f.name), F.lit(0)) if kind == "string" else F.lit(8))
+    total = df.agg(F.sum((size + 16).cast("double"))).first()[0] or 0
+    return F.broadcast(df) if total <= megabytes * 1e6 else df
