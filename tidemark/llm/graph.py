@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -13,70 +13,77 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over the undirected links ``edges`` (a, b); only linked ids are returned.
 
-    Every round each id takes the least label among its own and its neighbours', then jumps to its label's label, so
-    chains shrink geometrically. Labels are pre-aggregated before the shuffle, which keeps a centre with millions of
-    links cheap. Rounds are written to the shared folder.
+    Every round each id points at the least of itself and its neighbours, and the links between the ids pointed at are
+    what is left: a star, however large, is gone after two rounds, and a chain shrinks by a factor. Minima are
+    pre-aggregated before the shuffle. Rounds are written to the shared folder.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = cut(both, "links")
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "id").select("id", "comp", F.least("comp", "m").alias("m"))
-        up = step.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        new = cut(step.join(up, "m").select("id", F.col("mm").alias("comp"), (F.col("mm") < F.col("comp")).alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        labels = new.select("id", "comp")
-        if not moved:
-            return labels
+    left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    steps = []
+    while left.limit(1).count():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("m")), F.struct(F.col("b").alias("id"), F.col("a").alias("m")))).alias("x"))
+        to = cut(ends.groupBy("x.id").agg(F.min("x.m").alias("m")).select("id", F.least("id", "m").alias("m")), "steps")
+        steps.append(to)
+        a, b = to.select(F.col("id").alias("a"), F.col("m").alias("ma")), to.select(F.col("id").alias("b"), F.col("m").alias("mb"))
+        moved = left.join(a, "a").join(b, "b").where("ma <> mb")
+        left = cut(moved.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "links")
+    if not steps:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    # An id is named by its step's name in the later, smaller rounds; ids that are settled are in no later round.
+    names = steps[-1].select("id", F.col("m").alias("comp"))
+    for to in reversed(steps[:-1]):
+        names = to.join(names.withColumnRenamed("id", "m"), "m", "left").select("id", F.coalesce("comp", "m").alias("comp"))
+    return cut(names, "components") if len(steps) > 1 else names
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], *, rounds: int = 6, spare: int = 4) -> DataFrame:
-    """(a, b, a < b): verified links that connect exactly what verifying all pairs of bucket mates would connect.
+def bucket_mates(members: DataFrame) -> DataFrame:
+    """(bucket, id, centre, n): ids that share a bucket with another, with the bucket's smallest id and size."""
+    w = Window.partitionBy("bucket")
+    sized = members.select("bucket", "id", F.min("id").over(w).alias("centre"), F.max("id").over(w).alias("top"), F.count("*").over(w).alias("n"))
+    return sized.where("centre <> top").drop("top")
 
-    ``members`` has (bucket, id), each bucket with two ids or more; ``verify`` keeps the true links among pairs (a, b).
-    A bucket first links its members to one centre. Members that have become connected, in this or in any other
-    bucket, need no more tests between each other, so the next round takes a new centre (the member with most links
-    that was not one yet) and tests the ids of other groups alone. As soon as the open pairs are few against the
-    members (``spare`` times), or after ``rounds`` centres, all open pairs between different groups are tested: no
-    pair is left out by the number of rounds, they only decide how it is reached.
+
+def linked_groups(mates: DataFrame, verify: Callable[[DataFrame], DataFrame], *, rounds: int = 8, spare: int = 8) -> DataFrame:
+    """(id, comp): the groups that verifying all pairs of bucket mates would connect; only linked ids are returned.
+
+    ``mates`` is a written ``bucket_mates`` table; ``verify`` keeps the true links among pairs (a, b). Each bucket first
+    tests its members against its centre, which is then done. Members that have become connected, in this or in any
+    other bucket, need no test between each other. So the next round looks at the members that were no centre yet: a
+    bucket with few open pairs between different groups (at most ``spare`` times its members) tests them all, any other
+    takes a new centre, the member with most links. After ``rounds`` centres all open pairs are tested: the number of
+    rounds decides how a pair is reached, not whether.
     """
-    live = cut(members.select("bucket", "id").distinct(), "members").withColumn("tried", F.lit(False))
-    found = tested = labels = None
-    for turn in range(rounds + 1):
-        state = live
-        if labels is not None:
-            state = state.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
-            state = cut(state.join(degree, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0))), "state")
-            sizes = state.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-            mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("groups")).where("groups > 1")
-            mixed = cut(mixed, "mixed")
-            n, open_pairs = mixed.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()
-            if not n:
-                break
-            state = state.join(mixed.select("bucket"), "bucket")
-        else:
-            state, n, open_pairs = state.withColumn("comp", F.col("id")).withColumn("deg", F.lit(0)), 1, None
-        if open_pairs is not None and (open_pairs <= spare * n or turn == rounds):
-            right = state.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = state.join(right, "bucket").where("id < b and comp <> comp_b").select(F.col("id").alias("a"), "b")
-            last = True
-        else:
-            best = F.min(F.when(~F.col("tried"), F.struct(-F.col("deg"), "id", "comp"))).alias("best")
-            centre = state.groupBy("bucket").agg(best).where("best is not null").select("bucket", F.col("best.id").alias("centre"), F.col("best.comp").alias("comp_b"))
-            state = state.join(centre, "bucket", "left")
-            pairs = state.where("id <> centre and comp <> comp_b").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-            live = cut(state.select("bucket", "id", (F.col("tried") | (F.col("id") == F.col("centre"))).alias("tried")), "members")
-            last = False
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        good = cut(verify(pairs).select("a", "b"), "good")
-        found = good if found is None else found.union(good)
-        if last:
+    pairs = mates.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = cut(pairs, "pairs")
+    found = cut(verify(pairs).select("a", "b"), "found")
+    labels = components(found)
+    live, tested = mates.where("n > 2 and id <> centre").select("bucket", "id").distinct(), pairs
+    for turn in range(rounds):
+        known = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        sizes = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("open"), F.count("*").alias("groups"))
+        state = cut(known.join(sizes.where("groups > 1"), "bucket"), "state")
+        if not state.limit(1).count():
+            break
+        few = F.lit(True) if turn == rounds - 1 else F.col("open") <= spare * F.col("n")
+        small = state.where(few)
+        right = small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
+        pairs = small.join(right, "bucket").where("id < b and comp <> comp_b").select(F.col("id").alias("a"), "b")
+        large = state.where(~few)
+        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
+        large = large.join(degree, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+        best = F.min(F.struct(-F.col("deg"), "id", "comp")).alias("best")
+        centre = large.groupBy("bucket").agg(best).select("bucket", F.col("best.id").alias("centre"), F.col("best.comp").alias("comp_b"))
+        large = cut(large.join(centre, "bucket").select("bucket", "id", "comp", "centre", "comp_b"), "large") if turn < rounds - 1 else None
+        if large is not None:
+            star = large.where("comp <> comp_b").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+            pairs = pairs.union(star)
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        good = cut(verify(pairs).select("a", "b"), "found")
+        if good.limit(1).count():
+            found = found.union(good)
+            labels = components(found)
+        if large is None:
             break
-        labels = components(found)
-    return found
+        tested = tested.union(pairs)
+        live = large.where("id <> centre").select("bucket", "id")
+    return labels

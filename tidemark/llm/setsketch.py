@@ -8,8 +8,8 @@ likelihood test on all registers and are confirmed on the full sets.
 
 Defined results: NULL and empty text and text without words have the empty set (0 shingles), are linked with nothing and
 kept. Equal sets are collapsed before anything is compared and expanded again at the end; repeated rows of a doc_id are
-each returned. A NULL doc_id takes part by its text, is no component's name, and is kept only if its text is empty or
-nothing else has its component (then component_id is NULL). Columns other than doc_id and text are ignored. An empty
+each returned. A row with a NULL doc_id takes part by its text and is the last choice of its component, whose id is NULL if
+it has no other; it is kept then. Columns other than doc_id and text are ignored. An empty
 table gives an empty result.
 """
 
@@ -19,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, cut, mix64, shingles, space_words
-from .graph import bucket_links, components
+from .graph import bucket_mates, linked_groups
 
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 24, 6  # misses a pair of similarity 0.85 with probability (1 - 0.85^6)^24, about 1e-5
 REGISTERS = BANDS * ROWS
-SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, registers binary"
+NO_ID = 1 << 62
+SKETCH = "id long, n_shingles long, key1 long, key2 long, bands array<long>, registers binary"
 
 _GRID = np.linspace(0.0, 1.0, 201)[:-1]
 
@@ -61,7 +62,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids = WordIds()
     for batch in batches:
         out = []
-        for doc, text in zip(batch["doc_id"], batch["text"]):
+        for doc, text in zip(batch["id"], batch["text"]):
             full = np.unique(shingles(ids.of(space_words(text))))
             if len(full) == 0:
                 out.append((doc, 0, 0, 0, [], b""))
@@ -69,14 +70,22 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             regs = registers(full)
             keys = np.array([full.sum(dtype=np.uint64), mix64(full).sum(dtype=np.uint64)]).view(np.int64)
             out.append((doc, len(full), keys[0], keys[1], band_keys(regs).view(np.int64), regs.tobytes()))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_shingles", "key1", "key2", "bands", "registers"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        yield pd.DataFrame(out, columns=["id", "n_shingles", "key1", "key2", "bands", "registers"])
+
+
+def _id() -> Column:
+    """doc_id; a row without one gets an id from its text, above all others."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(id, text as bytes)."""
+    return docs.select(_id().alias("id"), F.col("text").cast("binary").alias("text"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key1, key2, bands, registers): one row per document; key1 and key2 name its set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInPandas(_sketch, SKETCH)
+    """(id, n_shingles, key1, key2, bands, registers): one row per document; key1 and key2 name its set."""
+    return _rows(docs).mapInPandas(_sketch, SKETCH)
 
 
 def likelihood(na: np.ndarray, nb: np.ndarray, less: np.ndarray, more: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -115,8 +124,14 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "members": full})
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 85, slack: float = 14.0) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``.
+def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
+    doc_id, comp = (F.when(F.col(c) < NO_ID, F.col(c)) for c in ("id", "comp"))
+    return groups_of(docs, percent=percent).select(doc_id.alias("doc_id"), "n_shingles", comp.alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+
+
+def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFrame:
+    """(id, n_shingles, comp): every row with the smallest id of its group, ids as in ``_rows``.
 
     Links join sets with 100 * |A and B| >= ``percent`` * |A or B|. ``slack``: a candidate goes on to the full sets
     unless its best similarity is that many log-likelihood units better than any at the threshold (about 1e-7).
@@ -124,27 +139,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, slack: float = 14.0)
     sk = cut(sketches(docs), "sketch")
     full = sk.where("n_shingles > 0")
     names = ["key1", "key2", "n_shingles"]
-    # The set's name in what follows is its smallest doc_id; sets that only rows without an id have need a spare name.
-    spare = -F.abs(F.xxhash64("key1", "key2")) - 2
-    reps = cut(full.groupBy(*names).agg(F.min("doc_id").alias("low")).withColumn("rep", F.coalesce("low", spare)), "reps")
-    own = full.join(reps.select(F.col("low").alias("doc_id"), "rep").where("low is not null"), "doc_id").dropDuplicates(["rep"])
-    nameless = full.where("doc_id is null").join(reps.where("low is null"), names).dropDuplicates(["rep"])
-    heads = cut(own.select("rep", "n_shingles", "bands", "registers").unionByName(nameless.select("rep", "n_shingles", "bands", "registers")), "heads")
-    members = heads.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut(members.join(crowded, "bucket"), "members")
-    active = members.select("id").distinct()
-
-    text = F.col("text").cast("binary").alias("text")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text).join(active, "id").dropDuplicates(["id"])
-    sets = texts.mapInPandas(_sets, "id long, members array<long>")
-    lost = active.where("id < -1").join(nameless.select(F.col("rep").alias("id"), "key1", "key2"), "id")
-    sets = cut(sets.unionByName(_nameless_sets(docs, lost)), "sets")
-    info = heads.join(active.withColumnRenamed("id", "rep"), "rep").select("rep", "n_shingles", "registers")
+    reps = cut(full.groupBy(*names).agg(F.min("id").alias("rep")), "reps")
+    # One document stands for each distinct set. Repeated rows of its id are equal.
+    heads = full.join(reps.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
+    heads = cut(heads.select("id", "n_shingles", "bands", "registers"), "heads")
+    mates = cut(bucket_mates(heads.select(F.explode("bands").alias("bucket"), "id")), "mates")
+    active = cut(mates.select("id").distinct(), "active")
+    texts = _rows(docs).join(active, "id").dropDuplicates(["id"])
+    sets = cut(texts.mapInPandas(_sets, "id long, members array<long>"), "sets")
+    info = cut(heads.join(active, "id").select("id", "n_shingles", "registers"), "active-heads")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = info.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-        b = info.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
+        a = info.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
+        b = info.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
         # The smaller set must hold the threshold's share of the larger one.
         likely = pairs.join(a, "a").join(b, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
         likely = likely.where(_plausible(percent / 100, slack)("na", "ra", "nb", "rb")).select("a", "b", "na", "nb")
@@ -153,39 +160,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, slack: float = 14.0)
         both = likely.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return both.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
-    links = bucket_links(members, verify)
-    comps = components(links)
-    # A component whose only names are spare ones has none.
-    named = reps.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    lows = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "comp").select(*names, "component_id")
-    linked = full.select("doc_id", *names).join(named, names)
-    alone = sk.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _nameless_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Full sets of representatives without a doc_id, found by the set's keys."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds()
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                s = np.unique(shingles(ids.of(space_words(text))))
-                k = np.array([s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)]).view(np.int64)
-                out.append((k[0], k[1], s.view(np.int64)))
-            yield pd.DataFrame(out, columns=["key1", "key2", "members"])
-
-    texts = docs.where("doc_id is null").select(F.col("text").cast("binary").alias("text"))
-    found = texts.mapInPandas(run, "key1 long, key2 long, members array<long>")
-    return found.join(wanted, ["key1", "key2"]).dropDuplicates(["id"]).select("id", "members")
+    groups = linked_groups(mates, verify).select(F.col("id").alias("rep"), "comp")
+    named = reps.join(groups, "rep", "left").select(*names, F.coalesce("comp", "rep").alias("comp"))
+    linked = full.select("id", *names).join(named, names).select("id", "n_shingles", "comp")
+    alone = sk.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("comp"))
+    return linked.unionByName(alone)
 
 
 def one_per_group(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """Rows of ``docs`` whose document stays: one per group; repeated rows of the kept doc_id stay once."""
-    marks = near_duplicates(docs.select("doc_id", "text"), percent=percent)
-    keep = marks.where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns)
+    keep = groups_of(docs.select("doc_id", "text"), percent=percent).where("id = comp").select(F.col("id").alias("_id"))
+    return docs.withColumn("_id", _id()).join(keep.distinct(), "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
