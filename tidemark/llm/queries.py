@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, setsketch
+from . import decontaminate, language, licenses, lines, mixing, neighbours, quality, setsketch, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,51 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(documents(spark, sf_dir))
+
+
+@query("op3_fuzzy_lines")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(documents(spark, sf_dir))
+
+
+# Quotas fill up source by source as in the operator; documents are taken in the order of their seeded MD5.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST(2 * source_size AS DOUBLE) AS cap, CASE (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM s),
+f AS (SELECT *, coalesce(sum(cap) OVER o, 0) AS full_, coalesce(sum(w) OVER o, 0) AS gone, 1.5::DOUBLE * sum(source_size) OVER () AS total, sum(w) OVER () AS all_w FROM w
+      WINDOW o AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, max((total - full_) / (all_w - gone)) OVER () AS level FROM f),
+t AS (SELECT source, source_size, least(cap, level * w) AS target FROM l),
+x AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size + 1e-12), 2) ELSE 0 END AS full_,
+             coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * (full_ + CASE WHEN full_ < 2 AND start_ + size / 2.0 <= target - full_ * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+"""
+
+
+@query("op4_mixing_sources", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -37,7 +82,7 @@ named AS (SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY encode
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(n.names, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN places p ON d.k = p.k LEFT JOIN named n ON d.k = n.k
-""".replace(r"\\x", r"\x")
+"""
 
 
 @query("op6_benchmark_decontamination", OP6_SQL)
@@ -45,6 +90,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(documents(spark, sf_dir))
+
+
+@query("op8_quality_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), percent=85)
