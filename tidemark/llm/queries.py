@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, lines, mixing, neighbours, quality, setsketch, toxicity
+from . import decontaminate, language, licenses, lines, mixing, neighbours, passages, quality, setsketch, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,6 +100,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(documents(spark, sf_dir))
+
+
 @query("op10_minhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), percent=85)
