@@ -7,10 +7,10 @@ from pyspark.sql import types as T
 from conftest import rows
 from tidemark.operators import equities as Q
 from tidemark.operators import quality as ql
+from tidemark.operators import joins, scan
 from tidemark.operators.warning import warning_states
 from tidemark.session import HOUR, MINUTE, scratch_path
 from tidemark.sources import readers, tables
-from tidemark.sources.pages import visible_text
 from tidemark.streaming import jobs
 
 
@@ -49,12 +49,6 @@ def test_write_refuses_existing(spark, tmp_path):
         tables.write_new(d, str(tmp_path / "out"))
 
 
-def test_visible_text():
-    html = "<p>one  two</p><script>no</script><table><tr><th>a<td>b <b>c</b></tr><tr><td></td></tr></table>tail<svg>x</svg>"
-    assert visible_text(html) == "one two\na | b c\ntail\n"
-    assert visible_text(None) is None
-
-
 def test_scd2_roundtrip_and_gap(spark):
     snap = spark.createDataFrame([("2024-01-01", "x", "A"), ("2024-01-02", "x", "A"), ("2024-01-03", "y", "Z"), ("2024-01-04", "x", "A"), ("2024-01-05", "x", "B")], "date string, code string, a string").withColumn("date", F.col("date").cast("date"))
     h = Q.scd2_compress(snap, "code", ["a"])
@@ -131,19 +125,37 @@ def test_warning_stream_equals_batch(spark, tmp_path):
     assert batch.where("state <> 'insufficient_data'").count() > 20
 
 
-def test_wall_tracker_steps():
-    snap = lambda ts, levels, bb=99.0, ba=101.0: dict(ts=ts, mid=(bb + ba) / 2, bb=bb, ba=ba, bid_cov=1e9, ask_cov=1e9, levels=levels)
-    kw = dict(max_gap=150_000, persist=0.5, approach=20.0)
-    wall = [("bid", 95.0, 1000.0, True)]
-    active, closed = jobs.advance_walls({}, None, snap(0, wall), **kw)
-    active, closed = jobs.advance_walls(active, 0, snap(60_000, wall), **kw)
-    assert not closed and len(active) == 1
-    _, closed = jobs.advance_walls(dict(active), 60_000, snap(120_000, []), **kw)
-    assert (closed[0]["end_reason"], closed[0]["snapshots"]) == ("removed_while_mid_away", 2)
-    active2, _ = jobs.advance_walls({}, None, snap(0, wall), **kw)
-    _, closed = jobs.advance_walls(active2, 0, snap(60_000, [], bb=94.0, ba=94.5), **kw)
-    assert closed[0]["end_reason"] == "price_crossed"
-    active3, _ = jobs.advance_walls({}, None, snap(0, wall), **kw)
-    _, closed = jobs.advance_walls(active3, 0, snap(600_000, wall), **kw)
-    assert (closed[0]["end_reason"], closed[0]["end_ms"]) == ("observation_gap", 0)
-    assert T is not None
+def test_frames_keep_erased_accounts_erased(spark, tmp_path):
+    a = spark.createDataFrame([(1, 10, 1, "success"), (1, 20, 2, "empty"), (2, 30, 3, "success")], "user long, observed_ts long, attempt_id long, status string")
+    p = spark.createDataFrame([(1, 10, "c", 1.0, 50_000.0, 90.0), (2, 30, "c", 1.0, 40_000.0, 90.0)], "user long, ts long, coin string, szi double, position_value double, liq_px double")
+    accounts = jobs.VersionedTable(spark, scratch_path(spark, "acc"), a.schema)
+    frames = jobs.VersionedTable(spark, scratch_path(spark, "fr"), T.StructType.fromDDL("coin string, bucket string, notional double, count long, change double"))
+    sink = jobs.observation_frames_sink(p, accounts, frames, F.lit(100.0), min_usd=20_000, band_pct=3.0, range_pct=30.0)
+    jobs.run_available(feed(spark, tmp_path, a, 3, "observed_ts"), checkpoint=str(tmp_path / "ckpt"), sink=sink)
+    assert rows(frames.read(0), "notional", "change") == [(50_000.0, None)]  # nothing to compare with
+    assert rows(frames.read(1), "notional", "change") == [(0.0, -50_000.0)]
+    assert rows(frames.read(2), "notional", "change") == [(40_000.0, 40_000.0)]  # user 1 stays erased
+
+
+def test_lifecycle_forgets_completed_orders(spark, tmp_path):
+    s = "order_id long, ts long, sz double, declared_sz double"
+    f = spark.createDataFrame([(1, 10_000, 10.0, 10.0), (2, 20_000, 1.0, 10.0), (9, 200_000, 1.0, None), (2, 210_000, 9.0, 10.0), (9, 900_000, 1.0, None)], s)
+    got = drain(spark, tmp_path, jobs.order_lifecycle(feed(spark, tmp_path, f, 5, "ts"), gap_ms=120_000, delay="1 second"))
+    assert ("2", "completed", 10.0) in {(str(r.order_id), r.status, r.cum_sz) for r in got.collect()}  # the late fill adds to the first
+    assert got.where("order_id = 1").count() == 1
+
+
+def test_calendar_ends(spark):
+    days = spark.sql("SELECT explode(sequence(date'1992-01-01', date'1992-02-01')) AS date")
+    cal = joins.indexed_calendar(days)
+    d = spark.sql("SELECT date'2005-01-01' AS d UNION ALL SELECT date'1991-06-01' UNION ALL SELECT date'1992-01-10' UNION ALL SELECT CAST(NULL AS date)")
+    last = {str(r.d): str(r.x) for r in joins.last_business_day(d, cal, "d", out="x").collect()}
+    assert last == {"2005-01-01": "1992-02-01", "1991-06-01": "None", "1992-01-10": "1992-01-10", "None": "None"}
+    nth = {str(r.d): str(r.x) for r in joins.nth_business_day_after(d, cal, "d", 3, out="x").collect()}
+    assert nth == {"2005-01-01": "None", "1991-06-01": "1992-01-03", "1992-01-10": "1992-01-13", "None": "None"}
+
+
+def test_running_null_keys(spark):
+    d = spark.createDataFrame([(None, 1, 1), (None, 5, 2), (None, 12, 4), ("a", 3, 10)], "k string, ts long, v long")
+    out = scan.running(d, ["k"], ["ts"], 4, {"s": ("sum", F.col("v"))})
+    assert rows(out, "k", "ts", "s") == rows(spark.createDataFrame([(None, 1, 1), (None, 5, 3), (None, 12, 7), ("a", 3, 10)], "k string, ts long, s long"))

@@ -36,27 +36,33 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bucket_mates(members: DataFrame) -> DataFrame:
-    """(bucket, id, centre, n): ids that share a bucket with another, with the bucket's smallest id and size."""
+    """(bucket, id, n): ids that share a bucket with another, with the bucket's size."""
     w = Window.partitionBy("bucket")
-    sized = members.select("bucket", "id", F.min("id").over(w).alias("centre"), F.max("id").over(w).alias("top"), F.count("*").over(w).alias("n"))
-    return sized.where("centre <> top").drop("top")
+    sized = members.select("bucket", "id", F.min("id").over(w).alias("low"), F.max("id").over(w).alias("top"), F.count("*").over(w).alias("n"))
+    return sized.where("low <> top").select("bucket", "id", "n")
 
 
-def linked_groups(mates: DataFrame, verify: Callable[[DataFrame], DataFrame], *, rounds: int = 8, spare: int = 8) -> DataFrame:
+def linked_groups(mates: DataFrame, verify: Callable[[DataFrame], DataFrame], candidates: Callable[[DataFrame], DataFrame] | None = None, *, rounds: int = 8, spare: int = 2) -> DataFrame:
     """(id, comp): the groups that verifying all pairs of bucket mates would connect; only linked ids are returned.
 
     ``mates`` is a written ``bucket_mates`` table; ``verify`` keeps the true links among pairs (a, b). Each bucket first
-    tests its members against its centre, which is then done. Members that have become connected, in this or in any
-    other bucket, need no test between each other. So the next round looks at the members that were no centre yet: a
-    bucket with few open pairs between different groups (at most ``spare`` times its members) tests them all, any other
-    takes a new centre, the member with most links. After ``rounds`` centres all open pairs are tested: the number of
+    tests its members against its centre, the member that meets most ids in all its buckets and so is likely to lie in
+    the middle. Members that have become connected, in this or in any other bucket, need no test between each other. So
+    the next round looks at the members that were no centre yet: a bucket with few open pairs between different groups
+    (at most ``spare`` times its members) tests them all. The ids (id, comp) of all other buckets go to ``candidates``,
+    which has to return every pair of them that could be a true link between groups. Without it such buckets take
+    further centres, the members with most links, and after ``rounds`` of them all open pairs are tested: the number of
     rounds decides how a pair is reached, not whether.
     """
-    pairs = mates.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = cut(pairs, "pairs")
+    met = mates.groupBy("id").agg(F.sum("n").alias("met"))
+    crowd = mates.where("n > 2").join(met, "id")
+    centres = crowd.groupBy("bucket").agg(F.min(F.struct(-F.col("met"), "id")).alias("x")).select("bucket", F.col("x.id").alias("centre"))
+    crowd = cut(crowd.select("bucket", "id").join(centres, "bucket").where("id <> centre"), "crowd")
+    twos = mates.where("n = 2").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b")
+    pairs = cut(crowd.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).union(twos).where("a <> b").distinct(), "pairs")
     found = cut(verify(pairs).select("a", "b"), "found")
     labels = components(found)
-    live, tested = mates.where("n > 2 and id <> centre").select("bucket", "id").distinct(), pairs
+    live, tested = crowd.select("bucket", "id").distinct(), pairs
     for turn in range(rounds):
         known = live.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         sizes = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
@@ -65,24 +71,24 @@ def linked_groups(mates: DataFrame, verify: Callable[[DataFrame], DataFrame], *,
         if not state.limit(1).count():
             break
         few = F.lit(True) if turn == rounds - 1 else F.col("open") <= spare * F.col("n")
-        small = state.where(few)
+        small, large = state.where(few), state.where(~few)
         right = small.select("bucket", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
         pairs = small.join(right, "bucket").where("id < b and comp <> comp_b").select(F.col("id").alias("a"), "b")
-        large = state.where(~few)
-        degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
-        large = large.join(degree, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
-        best = F.min(F.struct(-F.col("deg"), "id", "comp")).alias("best")
-        centre = large.groupBy("bucket").agg(best).select("bucket", F.col("best.id").alias("centre"), F.col("best.comp").alias("comp_b"))
-        large = cut(large.join(centre, "bucket").select("bucket", "id", "comp", "centre", "comp_b"), "large") if turn < rounds - 1 else None
-        if large is not None:
-            star = large.where("comp <> comp_b").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
-            pairs = pairs.union(star)
+        if candidates is not None:
+            pairs = pairs.union(candidates(large.select("id", "comp").distinct()).select("a", "b"))
+        elif turn < rounds - 1:
+            degree = found.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("deg"))
+            large = large.join(degree, "id", "left").withColumn("deg", F.coalesce("deg", F.lit(0)))
+            best = F.min(F.struct(-F.col("deg"), "id", "comp")).alias("best")
+            centre = large.groupBy("bucket").agg(best).select("bucket", F.col("best.id").alias("centre"), F.col("best.comp").alias("comp_b"))
+            large = cut(large.join(centre, "bucket").select("bucket", "id", "comp", "centre", "comp_b"), "large")
+            pairs = pairs.union(large.where("comp <> comp_b").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")))
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         good = cut(verify(pairs).select("a", "b"), "found")
         if good.limit(1).count():
             found = found.union(good)
             labels = components(found)
-        if large is None:
+        if candidates is not None or turn == rounds - 1:
             break
         tested = tested.union(pairs)
         live = large.where("id <> centre").select("bucket", "id")

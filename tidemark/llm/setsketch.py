@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordIds, cut, mix64, shingles, space_words
@@ -124,6 +124,24 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": batch["id"], "members": full})
 
 
+def prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
+    """(a, b): every pair of ``ids`` (id, comp) in different groups that can reach the similarity, and few others.
+
+    For crowds of documents that are alike but mostly not alike enough, where bands would bring nearly all pairs: two
+    sets that share enough must share one of their rarest members (rarest within the crowd), at places that leave room for
+    the rest of what they need to share. Sets with many members of their own meet nobody.
+    """
+    each = sets.join(ids, "id").select("id", "comp", F.size("members").alias("n"), F.explode("members").alias("s"))
+    each = cut(each, "crowd-members")
+    spread = each.groupBy("s").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "s"))
+    front = each.join(spread, "s").withColumn("i", place).where(f"df > 1 and i <= n - floor(({percent} * n + 99) / 100) + 1")
+    front = cut(front.select("id", "comp", "n", "s", "i"), "crowd-prefixes")
+    other = front.select(F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("nb"), "s", F.col("i").alias("j"))
+    reach = f"{100 + percent} * (1 + least(n - i, nb - j)) >= {percent} * (n + nb)"
+    return front.join(other, "s").where(f"id < b and comp <> comp_b and {reach}").select(F.col("id").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
     doc_id, comp = (F.when(F.col(c) < NO_ID, F.col(c)) for c in ("id", "comp"))
@@ -160,7 +178,7 @@ def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFram
         both = likely.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
         return both.where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
-    groups = linked_groups(mates, verify).select(F.col("id").alias("rep"), "comp")
+    groups = linked_groups(mates, verify, lambda ids: prefix_pairs(sets, ids, percent)).select(F.col("id").alias("rep"), "comp")
     named = reps.join(groups, "rep", "left").select(*names, F.coalesce("comp", "rep").alias("comp"))
     linked = full.select("id", *names).join(named, names).select("id", "n_shingles", "comp")
     alone = sk.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("comp"))

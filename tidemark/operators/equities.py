@@ -66,7 +66,7 @@ def scd2_compress(snapshots: DataFrame, key: str, attrs: Sequence[str], *, date:
     Islands by difference of row numbers over the distinct snapshot dates; a key has one row per date.
     """
     days = snapshots.select(date).distinct().withColumn("_d", F.row_number().over(Window.orderBy(date)))  # calendar
-    s = snapshots.join(F.broadcast(days), date)
+    s = snapshots.join(days, date)
     g = F.col("_d") - F.row_number().over(Window.partitionBy(key, *attrs).orderBy("_d"))
     return s.withColumn("_g", g).groupBy(key, *attrs, "_g").agg(F.min(date).alias("valid_from"), F.max(date).alias("valid_to"), F.count("*").alias("snapshots")).drop("_g")
 
@@ -76,8 +76,8 @@ def scd2_expand(history: DataFrame, dates: DataFrame, key: str, attrs: Sequence[
     days = dates.select(date).distinct().withColumn("_d", F.row_number().over(Window.orderBy(date)))
     lo = days.select(F.col(date).alias("valid_from"), F.col("_d").alias("_a"))
     hi = days.select(F.col(date).alias("valid_to"), F.col("_d").alias("_z"))
-    h = history.join(F.broadcast(lo), "valid_from").join(F.broadcast(hi), "valid_to").withColumn("_d", F.explode(F.sequence("_a", "_z")))
-    return h.join(F.broadcast(days), "_d").select(date, key, *attrs)
+    h = history.join(lo, "valid_from").join(hi, "valid_to").withColumn("_d", F.explode(F.sequence("_a", "_z")))
+    return h.join(days, "_d").select(date, key, *attrs)
 
 
 def cross_section_features(bars: DataFrame, keys: Sequence[str], *, reversal: int, momentum: int, window: int) -> DataFrame:
@@ -116,7 +116,7 @@ def risk_card(bars: DataFrame, market: DataFrame, reactions: DataFrame, code: st
     m = daily_moves(bars, [code], width=None).where("ret_close IS NOT NULL")
     r = reactions.select(code, F.col("reaction").alias("date")).distinct().withColumn("_e", F.lit(True))
     back = Window.partitionBy(code).orderBy(F.col("ts").desc())
-    j = (m.join(r, [code, "date"], "left").join(F.broadcast(market.select("date", F.col("ret").alias("_m"))), "date", "left")
+    j = (m.join(r, [code, "date"], "left").join(market.select("date", F.col("ret").alias("_m")), "date", "left")
          .withColumn("_k", F.when(F.col("_m").isNotNull(), F.sum(F.when(F.col("_m").isNotNull(), 1)).over(back.rowsBetween(Window.unboundedPreceding, 0))))
          .withColumn("_t", F.row_number().over(back)))
     on, size, recent = F.coalesce("_e", F.lit(False)), F.abs("ret_close"), F.col("_k") <= last
@@ -135,7 +135,7 @@ def risk_card(bars: DataFrame, market: DataFrame, reactions: DataFrame, code: st
 def top_universe(bars: DataFrame, code: str, *, days: int, n: int, value: str = "turnover") -> DataFrame:
     """The n codes with the largest median turnover over the last ``days`` trading days of the market."""
     recent = bars.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
-    m = bars.join(F.broadcast(recent), "date", "left_semi").groupBy(code).agg(F.percentile(value, F.lit(0.5)).alias("median_turnover"))
+    m = bars.join(recent, "date", "left_semi").groupBy(code).agg(F.percentile(value, F.lit(0.5)).alias("median_turnover"))
     return m.orderBy(F.col("median_turnover").desc(), code).limit(n)
 
 

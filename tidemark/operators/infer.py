@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import DAY, materialize, small_side
+from ..session import DAY, materialize
 from .asof import asof_backward
 from .ordered import exact_quantiles, value_bucket
 from .scan import running
@@ -300,11 +300,11 @@ def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal
     d = materialize(d.select(week, sector, y, *xs), "cross-section")  # read by the quantile passes and the regression
     bounds = winsor_bounds(d, week, {**{c: tail for c in xs}, y: tail_return})
     clip = lambda c: F.greatest(F.least(F.col(c), F.col(f"{c}_hi")), F.col(f"{c}_lo"))
-    w = d.join(small_side(bounds, "bounds"), week).select(week, sector, *[clip(c).alias(c) for c in (y, *xs)])
+    w = d.join(bounds, week).select(week, sector, *[clip(c).alias(c) for c in (y, *xs)])
     scale = w.groupBy(week).agg(F.count("*").alias("_n"), *[f(c).alias(f"{n}_{c}") for c in xs for n, f in (("_m", F.avg), ("_s", F.stddev_pop))])
-    s = w.join(small_side(scale.where(F.col("_n") >= min_rows), "scale"), week).select(week, sector, y, *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in xs])
+    s = w.join(scale.where(F.col("_n") >= min_rows), week).select(week, sector, y, *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in xs])
     means = s.groupBy(week, sector).agg(*[F.avg(c).alias(f"_a_{c}") for c in (y, *xs)])
-    r = s.join(small_side(means, "sector-means"), [week, sector]).select(week, *[(F.col(c) - F.col(f"_a_{c}")).alias(c) for c in (y, *xs)])
+    r = s.join(means, [week, sector]).select(week, *[(F.col(c) - F.col(f"_a_{c}")).alias(c) for c in (y, *xs)])
     xtx, xty = _moments([F.col(c) for c in xs], F.col(y), F.sum)
     return (r.groupBy(week).agg(F.count("*").alias("n"), xtx.alias("_a"), xty.alias("_b")).withColumn("_f", _solve("_a", "_b"))
             .select(week, "n", F.get("_f.beta", F.lit(0)).alias("slope")))
@@ -315,7 +315,7 @@ def first_tie_rank(df: DataFrame, week: str, signal: str, tie: str) -> DataFrame
     d = df.withColumn("_vb", value_bucket(F.col(signal).cast("double")))
     r = running(d, [week], [signal, tie], 1, {"_r": ("count", F.lit(1))}, ts="_vb")
     n = d.groupBy(week).agg(F.count("*").alias("_n"))
-    return r.join(small_side(n, "week-sizes"), week).withColumn("pct_rank", F.col("_r") / F.col("_n")).drop("_vb", "_r")
+    return r.join(n, week).withColumn("pct_rank", F.col("_r") / F.col("_n")).drop("_vb", "_r")
 
 
 def decile_spread(df: DataFrame, *, week: str, signal: str, y: str, tie: str, deciles: int = 10, min_rows: int = 1) -> DataFrame:
@@ -412,7 +412,7 @@ def pairwise_dependence(closes: DataFrame, regimes: DataFrame, *, anchor: str, h
     f = p.select("a", "b", "ts", (F.lead("a_close").over(w) / F.col("a_close") - 1).alias("x"), (F.lead("b_close").over(w) / F.col("b_close") - 1).alias("y"),
                  ((F.lead("ts").over(w) - F.col("ts")) / DAY).alias("days")).where("x IS NOT NULL")
     st = regimes.where((F.col("symbol") == anchor) & F.col("regime").isNotNull()).select((F.col("ts") + DAY).alias("ts"), "regime")
-    d = f.join(F.broadcast(st), "ts", "left").withColumn("label", F.explode(F.array_compact(F.array(F.lit("all"), F.col("regime")))))
+    d = f.join(st, "ts", "left").withColumn("label", F.explode(F.array_compact(F.array(F.lit("all"), F.col("regime")))))
     k = ["a", "b", "label"]
     g = Window.partitionBy(*k)
     rank = lambda c: F.rank().over(g.orderBy(c)) + (F.count("*").over(Window.partitionBy(*k, c)) - 1) / 2

@@ -169,19 +169,23 @@ def _bounds(calendar: DataFrame, date: str) -> DataFrame:
 def business_index(df: DataFrame, calendar: DataFrame, on: str, *, out: str = "idx") -> DataFrame:
     """Index of the last business day at or before ``on`` (0 before the first).
 
-    The calendar is expanded to one row per civil day, so this is an equi join.
+    The calendar is expanded to one row per civil day between its first and last day, so this is an equi join; later
+    dates are looked up as the last day. The calendar's rows a year are fixed, and the size of the join sides decides
+    whether they are broadcast.
     """
     b = _bounds(calendar, "date")
-    spine = b.select(F.explode(F.sequence("_from", F.coalesce(F.date_sub("_to", 1), F.date_add("_from", 3660)))).alias(on),
-                     F.col("idx").alias(out))
-    return df.join(F.broadcast(spine), on, "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
+    spine = b.select(F.explode(F.sequence("_from", F.coalesce(F.date_sub("_to", 1), F.col("_from")))).alias("_day"), F.col("idx").alias(out))
+    end = calendar.groupBy(F.lit(0).alias("_one")).agg(F.max("date").alias("_end"))
+    day = df.withColumn("_one", F.lit(0)).join(end, "_one", "left").withColumn("_day", F.least(F.col(on), F.col("_end")))
+    found = day.join(spine, "_day", "left").withColumn(out, F.when(F.col(on).isNotNull(), F.coalesce(F.col(out), F.lit(0))))
+    return found.drop("_one", "_end", "_day")
 
 
 def nth_business_day_after(df: DataFrame, calendar: DataFrame, on: str, n: int, *, out: str) -> DataFrame:
     """The n-th business day strictly after each date, NULL past the calendar."""
     at = business_index(df, calendar, on, out="_i").withColumn("_j", F.col("_i") + n)
     c = calendar.select(F.col("idx").alias("_j"), F.col("date").alias(out))
-    return at.join(F.broadcast(c), "_j", "left").drop("_i", "_j")
+    return at.join(c, "_j", "left").drop("_i", "_j")
 
 
 def last_business_day(df: DataFrame, calendar: DataFrame, on: str, *, out: str) -> DataFrame:
@@ -211,12 +215,12 @@ def schedule(references: DataFrame, calendar: DataFrame, *, lag: int, reference:
     """Reference day -> decision day: ``lag`` business days later, never before the business day after
     publication; with the following decision."""
     ends = week_ends(calendar).select(F.col("date").alias(reference))
-    r = references.groupBy(reference).agg(F.max(published).alias(published)).join(F.broadcast(ends), reference, "left_semi")
+    r = references.groupBy(reference).agg(F.max(published).alias(published)).join(ends, reference, "left_semi")
     ref = business_index(r, calendar, reference, out="_ri")
     pub = business_index(ref, calendar, published, out="_pi")
     target = F.greatest(F.col("_ri") + lag, F.when(F.col(published).isNotNull(), F.col("_pi") + 1).otherwise(0))
     c = calendar.select(F.col("idx").alias("_t"), F.col("date").alias("decision"))
-    out = pub.withColumn("_t", target).join(F.broadcast(c), "_t").select(reference, published, "decision")
+    out = pub.withColumn("_t", target).join(c, "_t").select(reference, published, "decision")
     return out.withColumn("next_decision", F.lead("decision").over(Window.orderBy(reference)))
 
 

@@ -15,6 +15,8 @@ The chunk is a plain function of the row (``ts div width``), so a retried task r
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,8 +92,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: int
     carry = totals.select(*keys, CHUNK, *[
         _over("sum" if kind == "count" else kind, F.col(f"_t_{n}"), step).alias(f"_c_{n}")
         for n, (kind, _) in specs.items()])
-    # Keys may be NULL-free by contract; the carry table has one row per (key, chunk).
-    out = base.join(carry, [*keys, CHUNK], "left")
+    # One row per (key, chunk). NULL is a key like any other, and a NULL time a chunk of its own.
+    named = carry.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, CHUNK)], *[f"_c_{n}" for n in specs])
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, CHUNK)]
+    out = base.join(named, reduce(and_, same), "left").drop(*[f"_k_{c}" for c in (*keys, CHUNK)])
     added = {}
     for name, (kind, _) in specs.items():
         here, before = _over(kind, F.col(f"_v_{name}"), local), F.col(f"_c_{name}")

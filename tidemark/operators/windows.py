@@ -184,7 +184,7 @@ def max_drawdown(df: DataFrame, keys: Sequence[str], ret: str, *, width: int | N
     return p.groupBy(*keys).agg(F.min(fall if additive else F.exp(fall) - 1).alias(out))
 
 
-def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, top: int = 5, tie: Sequence[str] = ()) -> DataFrame:
+def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, tie: Sequence[str] = ()) -> DataFrame:
     """Stretches where the running sum is below zero: start, end, depth, duration, rank by depth."""
     order = ["ts", *tie]
     cum = running(df, keys, order, width, {"cum": ("sum", F.col(value))}).withColumn("neg", F.col("cum") < 0)
@@ -197,7 +197,7 @@ def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width:
     e = g.join(last, keys).select(*keys, "start_ts", F.col("_end.ts").alias("end_ts"), (F.col("_end") != F.col("_last")).alias("recovered"),
                                   "depth_bp", ((F.col("_end.ts") - F.col("start_ts")) / DAY).alias("duration_days"))
     w = Window.partitionBy(*keys).orderBy("depth_bp", "start_ts")
-    return e.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return e.withColumn("rank", F.row_number().over(w))
 
 
 def local_drawdown(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, tie: Sequence[str] = ()) -> DataFrame:

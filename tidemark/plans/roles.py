@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.scan import chunk_width
 from ..session import DAY, HOUR
 
-_CACHE: dict[tuple[int, str], "Tables"] = {}
+_CACHE: dict[tuple[str, str], "Tables"] = {}
 
 
 def millis(c: str):
@@ -36,7 +36,7 @@ class Tables:
     def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         spark.conf.set("spark.sql.ansi.enabled", "false")  # an undefined ratio is unknown, not a failed job
-        key = (id(spark), sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir)
         if key not in _CACHE:
             _CACHE[key] = cls(spark, sf_dir)
         return _CACHE[key]

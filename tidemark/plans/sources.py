@@ -1,11 +1,11 @@
-"""Source, loading-rule and sink queries (S1-S18). Files are written by Spark from the driver tables into the
+"""Source, loading-rule and sink queries (S1-S17). Files are written by Spark from the driver tables into the
 shared scratch folder and read back through the readers."""
 
 from pyspark.sql import functions as F
 
 from ..functions import book as bk
 from ..session import DAY, HOUR, scratch_path
-from ..sources import pages, readers, tables
+from ..sources import readers, tables
 from .registry import query
 
 BARS = ["open", "high", "low", "close"]
@@ -176,8 +176,3 @@ def _(t):
     payload = day.select("symbol", F.to_json(F.struct(F.struct("list").alias("result"))).alias("payload"))
     return readers.normalise_kline_arrays(payload, "payload", quote_index=6, path="$.result.list").drop("taker_buy_quote")
 
-
-@query("S18_page_visible_text")
-def _(t):
-    p = pages.page_visible_text(t.table("pages"))
-    return p.select("page_id", F.length("text").alias("chars"), F.size(F.split("text", "\n")).alias("lines"), F.md5("text").alias("digest"))

@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import book as bk
 from ..session import DAY, HOUR, scratch_path
 from ..streaming import jobs
-from .book import RULE, TICK
+from .book import EPI, RULE, TICK
 from .flow import CFG, WS
 from .registry import query
 from .roles import millis
@@ -36,6 +35,20 @@ def drain(t, stream, name):
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
+def in_parts(t, df, ts, sink, name, parts=3):
+    """Feed a table to a micro-batch sink in ``parts`` equal stretches of time, one batch each, and return the last batch's
+    number. Each stretch is as many files as Spark writes."""
+    path, ckpt = scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-ckpt")
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    for i in range(parts):
+        upto = F.lit(low + (high - low) * (i + 1) // parts)
+        part = df.where((F.col(ts) <= upto) & (F.col(ts) > F.lit(low + (high - low) * i // parts) if i else F.col(ts) <= upto))
+        part.write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(df.schema).parquet(path)
+        jobs.run_available(stream, checkpoint=ckpt, sink=sink)
+    return parts - 1
+
+
 @query("T1_stream_dedupe", use="ticks", dbl="px", sql="SELECT event_id, symbol, ts, px FROM ticks")
 def _(t):
     twice = stream_ticks(t).withColumn("_c", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_c")
@@ -71,35 +84,33 @@ def _(t):
     a = t.attempts
     schema = T.StructType([a.schema[c] for c in ("user", "observed_ts", "attempt_id", "status")])
     table = jobs.VersionedTable(t.spark, scratch_path(t.spark, "accounts"), schema)
-    jobs.run_available(staged(t, a.repartition(1), "attempts"), checkpoint=scratch_path(t.spark, "ckpt"), sink=jobs.latest_attempts_sink(table))
-    return table.read(0)
+    return table.read(in_parts(t, a, "observed_ts", jobs.latest_attempts_sink(table), "attempts"))
 
 
-@query("T7_stream_observation_frame", use="positions", dbl="notional change", digits=3, sql=f"""WITH la AS (SELECT "user", max(observed_ts) AS t FROM attempts WHERE status IN ('success', 'empty') GROUP BY 1), lp AS (SELECT p.* FROM positions p JOIN la ON la."user" = p."user" AND la.t = p.ts UNION ALL SELECT p.* FROM positions p JOIN (SELECT "user", coin, max(ts) AS ts FROM positions GROUP BY 1, 2) o ON o."user" = p."user" AND o.coin = p.coin AND o.ts = p.ts WHERE p."user" NOT IN (SELECT "user" FROM la)),
-b AS (SELECT coin, position_value AS v, CASE WHEN position_value < 20000 THEN 'excluded_below_minimum' WHEN liq_px IS NULL THEN 'excluded_null_liquidation' WHEN szi = 0 OR (szi > 0 AND liq_px >= 100) OR (szi < 0 AND liq_px <= 100) THEN 'excluded_direction' WHEN abs((liq_px - 100) / 100 * 100) > 30 THEN 'outside'
- ELSE CASE WHEN szi > 0 THEN 'down:' ELSE 'up:' END || least(floor(abs((liq_px - 100) / 100 * 100) / 3)::INT, 9) END AS bucket FROM lp) SELECT coin, bucket, sum(v) AS notional, count(*) AS count, sum(v) AS change FROM b GROUP BY 1, 2""")
-def _(t):
-    p = t.positions
-    schema = T.StructType([T.StructField("coin", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("notional", T.DoubleType()), T.StructField("count", T.LongType()), T.StructField("change", T.DoubleType())])
-    table = jobs.VersionedTable(t.spark, scratch_path(t.spark, "frames"), schema)
-    sink = jobs.observation_frames_sink(p, table, F.lit(100.0), min_usd=20_000, band_pct=3.0, range_pct=30.0)
-    jobs.run_available(staged(t, t.attempts.repartition(1), "attempts"), checkpoint=scratch_path(t.spark, "ckpt"), sink=sink)
-    return table.read(0)
+FRAME = """bo AS (SELECT min(observed_ts) AS lo, max(observed_ts) AS hi FROM attempts), fr AS (SELECT 1 AS k, max(observed_ts) AS cutoff FROM attempts, bo WHERE observed_ts <= lo + (hi - lo) * 2 // 3 UNION ALL SELECT 2, max(observed_ts) FROM attempts),
+la AS (SELECT k, "user", max(observed_ts) AS t FROM attempts, fr WHERE status IN ('success', 'empty') AND observed_ts <= cutoff GROUP BY 1, 2), ps AS (SELECT k, p.* FROM positions p, fr WHERE p.ts <= cutoff),
+lp AS (SELECT p.* FROM ps p JOIN la ON la.k = p.k AND la."user" = p."user" AND la.t = p.ts UNION ALL SELECT p.* FROM ps p JOIN (SELECT k, "user", coin, max(ts) AS ts FROM ps GROUP BY 1, 2, 3) o ON o.k = p.k AND o."user" = p."user" AND o.coin = p.coin AND o.ts = p.ts WHERE NOT EXISTS (SELECT 1 FROM la WHERE la.k = p.k AND la."user" = p."user")),
+b AS (SELECT k, coin, position_value AS v, CASE WHEN position_value < 20000 THEN 'excluded_below_minimum' WHEN liq_px IS NULL THEN 'excluded_null_liquidation' WHEN szi = 0 OR (szi > 0 AND liq_px >= 100) OR (szi < 0 AND liq_px <= 100) THEN 'excluded_direction' WHEN abs((liq_px - 100) / 100 * 100) > 30 THEN 'outside'
+ ELSE CASE WHEN szi > 0 THEN 'down:' ELSE 'up:' END || least(floor(abs((liq_px - 100) / 100 * 100) / 3)::INT, 9) END AS bucket FROM lp),
+g AS (SELECT k, coin, bucket, sum(v) AS n, count(*) AS c FROM b GROUP BY 1, 2, 3)"""
 
 
-def snapshots(t):
-    level = lambda side: F.transform(bk.levels(side), lambda l: F.struct(F.lit(side).alias("side"), l.px.alias("px"), (l.px * l.sz).alias("usd")))
-    flag = lambda side: F.transform(bk.walls(side, **RULE), lambda w: w.px)
-    b = t.books.select("stream", F.col("received_ms").alias("ts"), bk.mid().alias("mid"), bk.best("bid").alias("bb"), bk.best("ask").alias("ba"), "bid_cov", "ask_cov",
-                       F.concat(level("bid"), level("ask")).alias("l"), flag("bid").alias("bw"), flag("ask").alias("aw"))
-    wall = lambda x: F.when(x.side == "bid", F.array_contains("bw", x.px)).otherwise(F.array_contains("aw", x.px))
-    return b.withColumn("levels", F.transform("l", lambda x: F.struct(x.side, x.px, x.usd, wall(x).alias("is_wall")))).drop("l", "bw", "aw")
+@query("T7_stream_observation_frame", use="positions", dbl="notional change", digits=3, sql=f"""WITH {FRAME} SELECT coalesce(x.coin, y.coin) AS coin, coalesce(x.bucket, y.bucket) AS bucket, coalesce(x.n, 0) AS notional, coalesce(x.c, 0) AS count, coalesce(x.n, 0) - coalesce(y.n, 0) AS change
+FROM (SELECT * FROM g WHERE k = 2) x FULL JOIN (SELECT * FROM g WHERE k = 1) y ON x.coin = y.coin AND x.bucket = y.bucket""")
+def _(t):
+    a = t.attempts
+    accounts = jobs.VersionedTable(t.spark, scratch_path(t.spark, "accounts"), T.StructType([a.schema[c] for c in ("user", "observed_ts", "attempt_id", "status")]))
+    schema = T.StructType([T.StructField("coin", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("notional", T.DoubleType()), T.StructField("count", T.LongType()), T.StructField("change", T.DoubleType())])
+    frames = jobs.VersionedTable(t.spark, scratch_path(t.spark, "frames"), schema)
+    sink = jobs.observation_frames_sink(t.positions, accounts, frames, F.lit(100.0), min_usd=20_000, band_pct=3.0, range_pct=30.0)
+    return frames.read(in_parts(t, a, "observed_ts", sink, "attempts"))
 
 
-@query("T8_stream_wall_tracker")
+@query("T8_stream_wall_tracker", use="levels", sql=f"WITH RECURSIVE {EPI} SELECT side, end_reason, count(*) AS episodes, sum(snapshots)::BIGINT AS snapshots FROM es WHERE end_reason <> 'censored_at_end' GROUP BY 1, 2")
 def _(t):
-    d = drain(t, jobs.track_walls(staged(t, snapshots(t), "books"), max_gap=2 * TICK, delay="1 day"), "walls")
-    return d.groupBy("side", "end_reason").agg(F.count("*").alias("episodes"), F.sum("snapshots").alias("snapshots"))
+    out = scratch_path(t.spark, "walls")
+    in_parts(t, t.books, "received_ms", jobs.wall_sink(jobs.VersionedTable(t.spark, scratch_path(t.spark, "open-walls"), t.books.schema), out, max_gap=2 * TICK, **RULE), "books")
+    return t.spark.read.parquet(out).groupBy("side", "end_reason").agg(F.count("*").alias("episodes"), F.sum("snapshots").alias("snapshots"))
 
 
 @query("T11_stream_early_warning", use="bars", sql=f"WITH {WS} SELECT symbol, ts, state FROM st")
@@ -107,5 +118,5 @@ def _(t):
     b = t.bars
     out = scratch_path(t.spark, "states")
     sink = jobs.warning_sink(jobs.VersionedTable(t.spark, scratch_path(t.spark, "history"), b.schema), out, ["symbol"], step=HOUR, width=7 * DAY, need=40, **CFG)
-    jobs.run_available(staged(t, b.repartition(1), "bars"), checkpoint=scratch_path(t.spark, "ckpt"), sink=sink)
+    in_parts(t, b, "ts", sink, "bars")
     return t.spark.read.parquet(out).select("symbol", "ts", "state")

@@ -133,7 +133,7 @@ WITH c AS (SELECT symbol, ts, event_id, sum((px - 31) / 10000) OVER w AS cum FRO
 s AS (SELECT *, sum(st) OVER (PARTITION BY symbol ORDER BY ts, event_id) AS ep FROM (SELECT *, CASE WHEN cum < 0 AND NOT coalesce(lag(cum) OVER (PARTITION BY symbol ORDER BY ts, event_id) < 0, false) THEN 1 ELSE 0 END AS st FROM c)),
 e AS (SELECT symbol, ep, min(ts) AS start_ts, max((ts, event_id)) AS endk, min(cum) * 10000 AS depth_bp FROM s WHERE cum < 0 GROUP BY 1, 2), l AS (SELECT symbol, max((ts, event_id)) AS lastk FROM ticks GROUP BY 1),
 r AS (SELECT symbol, start_ts, endk[1] AS end_ts, endk <> lastk AS recovered, depth_bp, (endk[1] - start_ts) / {DAY} AS duration_days, row_number() OVER (PARTITION BY symbol ORDER BY depth_bp, start_ts) AS rank FROM e JOIN l USING (symbol))
-SELECT * FROM r WHERE rank <= 5""")
+SELECT * FROM r""")
 def _(t):
     r = t.ticks.select("symbol", "ts", "event_id", ((F.col("px") - 31) / 10_000).alias("rate"))
     return W.negative_episodes(r, ["symbol"], "rate", width=t.tick_width, tie=["event_id"])

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 MINUTE = 60_000
 HOUR = 60 * MINUTE
@@ -32,10 +30,13 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder. Only a local session, whose tasks share the driver's disk, may go without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file:///tmp/tidemark-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -54,9 +55,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def small_side(df: DataFrame, name: str, max_rows: int = 200_000) -> DataFrame:
-    """A summary table as a join side: written once, counted from its file footers, and hinted as broadcast only
-    within ``max_rows``. Beyond that it joins by shuffle and AQE splits hot keys."""
-    table = materialize(df, name)
-    return F.broadcast(table) if table.count() <= max_rows else table

@@ -3,7 +3,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import book as ob
 from ..operators import flow as fl
 from ..operators.joins import latest_positions
 from ..operators.warning import warning_states
@@ -56,97 +56,41 @@ def activity_sessions(events: DataFrame, keys: Sequence[str], *, gap: str, delay
 # -- order lifecycle --------------------------------------------------------------------------------
 
 LIFECYCLE = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("cum_sz", T.DoubleType()), T.StructField("last_fill_ts", T.LongType())])
-_LIFE_STATE = T.StructType([T.StructField("cum_sz", T.DoubleType()), T.StructField("last_fill_ts", T.LongType()), T.StructField("declared_sz", T.DoubleType()), T.StructField("done", T.BooleanType())])
+_LIFE_STATE = T.StructType([T.StructField("cum_sz", T.DoubleType()), T.StructField("last_fill_ts", T.LongType()), T.StructField("declared_sz", T.DoubleType()), T.StructField("status", T.StringType())])
 
 
 def order_lifecycle(fills: DataFrame, *, gap_ms: int, delay: str, completed: float = 0.98) -> DataFrame:
     """Status changes per order: completed at ``completed`` of the declared size, ended_suspected once the
-    watermark passes the last fill by ``gap_ms``. ``fills``: order_id, ts, sz, declared_sz."""
+    watermark passes the last fill by ``gap_ms``. ``fills``: order_id, ts, sz, declared_sz.
+
+    Every order's state expires: a completed one after one silent gap, a suspected one after a second gap, until which
+    a late fill goes on from the size so far."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cum, last, declared, done = state.get if state.exists else (0.0, 0, None, False)
-        out = []
+        cum, last, declared, status = state.get if state.exists else (0.0, 0, None, "open")
+        change = None
         if state.hasTimedOut:
-            out.append((key[0], "ended_suspected", cum, last))
-            state.remove()
+            change = "ended_suspected" if status == "open" else "forget"
         else:
             for b in batches:
                 cum += float(b["sz"].sum())
                 last = max(last, int(b["ts"].max()))
                 known = b["declared_sz"].dropna()
                 declared = float(known.iloc[0]) if len(known) else declared
-            if not done and declared and cum >= declared * completed:
-                done = True
-                out.append((key[0], "completed", cum, last))
-            state.update((cum, last, declared, done))
-            if not done:
-                state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=LIFECYCLE.names)
-
-    return event_time(fills, delay=delay).groupBy("order_id").applyInPandasWithState(step, LIFECYCLE, _LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-# -- wall tracker -----------------------------------------------------------------------------------
-
-_TRACK_STATE = T.StructType([T.StructField("active", T.StringType()), T.StructField("prev_ts", T.LongType())])
-TRACKED = T.StructType([T.StructField(n, t) for n, t in (
-    ("stream", T.LongType()), ("side", T.StringType()), ("px", T.DoubleType()), ("start_ms", T.LongType()), ("last_seen_ms", T.LongType()), ("end_ms", T.LongType()),
-    ("end_reason", T.StringType()), ("snapshots", T.LongType()), ("max_usd", T.DoubleType()), ("min_distance_bp", T.DoubleType()))])
-
-
-def advance_walls(active: dict, prev_ts: int | None, snap: dict, *, max_gap: int, persist: float, approach: float) -> tuple[dict, list[dict]]:
-    """One snapshot forward. ``snap``: ts, mid, bb, ba, bid_cov, ask_cov, levels [(side, px, usd, is_wall)]."""
-    closed, ts = [], int(snap["ts"])
-
-    def end(key: str, reason: str, at: int) -> None:
-        closed.append({**active.pop(key), "end_reason": reason, "end_ms": at})
-
-    if prev_ts is not None and ts - prev_ts > max_gap:
-        for key in list(active):
-            end(key, "observation_gap", prev_ts)
-    seen = {f"{s}|{px!r}": (s, px, usd, wall) for s, px, usd, wall in snap["levels"]}
-    for key in list(active):
-        e = active[key]
-        _, _, usd, wall = seen.get(key, (e["side"], e["px"], 0.0, False))
-        dist = abs(e["px"] / snap["mid"] - 1) * 10_000
-        if wall or usd >= persist * e["max_usd"]:
-            e.update(last_seen_ms=ts, snapshots=e["snapshots"] + 1, max_usd=max(e["max_usd"], usd), min_distance_bp=min(e["min_distance_bp"], dist))
-            continue
-        bid = e["side"] == "bid"
-        if (snap["ba"] <= e["px"]) if bid else (snap["bb"] >= e["px"]):
-            end(key, "price_crossed", ts)
-        elif dist > (snap["bid_cov"] if bid else snap["ask_cov"]):
-            end(key, "out_of_view", ts)
-        else:
-            end(key, "removed_after_approach" if min(e["min_distance_bp"], dist) <= approach else "removed_while_mid_away", ts)
-    for key, (side, px, usd, wall) in seen.items():
-        if wall and key not in active:
-            active[key] = {"side": side, "px": px, "start_ms": ts, "last_seen_ms": ts, "snapshots": 1, "max_usd": usd, "min_distance_bp": abs(px / snap["mid"] - 1) * 10_000}
-    return active, closed
-
-
-def track_walls(snapshots: DataFrame, *, max_gap: int, delay: str, persist: float = 0.5, approach: float = 20.0) -> DataFrame:
-    """Wall episodes of each stream as they end. A stream silent for longer than ``max_gap`` of event time ends
-    its episodes by timeout. ``snapshots``: stream, ts, mid, bb, ba, bid_cov, ask_cov, levels."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, prev = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, None)
-        out = []
-        if state.hasTimedOut:
-            out = [{**e, "end_reason": "observation_gap", "end_ms": prev} for e in active.values()]
+            if status != "completed":
+                status = "open"
+                if declared and cum >= declared * completed:
+                    change = "completed"
+        if change == "forget":
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values("ts")
-            for snap in rows.to_dict("records"):
-                snap["levels"] = [(l["side"], l["px"], l["usd"], l["is_wall"]) for l in snap["levels"]]
-                active, closed = advance_walls(active, prev, snap, max_gap=max_gap, persist=persist, approach=approach)
-                prev = int(snap["ts"])
-                out += closed
-            state.update((json.dumps(active), prev))
-            state.setTimeoutTimestamp(max(prev + max_gap, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([{"stream": key[0], **e} for e in out], columns=TRACKED.names)
+            status = change or status
+            state.update((cum, last, declared, status))
+            state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + (gap_ms if change == "ended_suspected" else 1)))
+        out = [(key[0], change, cum, last)] if change in ("completed", "ended_suspected") else []
+        yield pd.DataFrame(out, columns=LIFECYCLE.names)
 
-    return event_time(snapshots, delay=delay).groupBy("stream").applyInPandasWithState(step, TRACKED, _TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return event_time(fills, delay=delay).groupBy("order_id").applyInPandasWithState(step, LIFECYCLE, _LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # -- micro-batch jobs over the batch operators ---------------------------------------------------------
@@ -167,27 +111,60 @@ class VersionedTable:
         df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
 
 
+def _with_latest(known: DataFrame, batch: DataFrame) -> DataFrame:
+    """Each user's latest successful read (success or empty); later reads replace it, failures do not."""
+    new = batch.where(F.col("status").isin("success", "empty")).select("user", "observed_ts", "attempt_id", "status")
+    last = known.unionByName(new).groupBy("user").agg(F.max_by(F.struct("observed_ts", "attempt_id", "status"), F.struct("observed_ts", "attempt_id")).alias("r"))
+    return last.select("user", "r.*")
+
+
 def latest_attempts_sink(table: VersionedTable) -> Callable[[DataFrame, int], None]:
-    """Keep each user's latest successful read (success or empty); later batches replace it, failures do not."""
+    """Keep each user's latest successful read across batches."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        table.write(_with_latest(table.read(version - 1), batch), version)
+
+    return write
+
+
+def observation_frames_sink(positions: DataFrame, accounts: VersionedTable, frames: VersionedTable, mid: Column, **bins) -> Callable[[DataFrame, int], None]:
+    """One frame of bucket totals per micro-batch of account reads, over all accounts known by then, with the change to
+    the frame before. The first frame has no change. Positions later than the frame's last read are not seen."""
 
     def write(batch: DataFrame, version: int) -> None:
-        new = batch.where(F.col("status").isin("success", "empty")).select("user", "observed_ts", "attempt_id", "status")
-        both = table.read(version - 1).unionByName(new)
-        last = both.groupBy("user").agg(F.max_by(F.struct("observed_ts", "attempt_id", "status"), F.struct("observed_ts", "attempt_id")).alias("r"))
-        table.write(last.select("user", "r.*"), version)
+        accounts.write(_with_latest(accounts.read(version - 1), batch), version)
+        known = accounts.read(version)
+        cutoff = batch.agg(F.max("observed_ts").alias("_cutoff")).withColumn("_one", F.lit(0))
+        seen = positions.withColumn("_one", F.lit(0)).join(cutoff, "_one").where("ts <= _cutoff").drop("_one", "_cutoff")
+        current = fl.bucket_totals(latest_positions(known, seen), mid, ["coin"], **bins)
+        before = frames.read(version - 1).select("coin", "bucket", F.col("notional").alias("_old"))
+        new, old = F.coalesce("notional", F.lit(0.0)), F.coalesce("_old", F.lit(0.0))
+        change = F.when(F.lit(version > 0), new - old)
+        frame = current.join(before, ["coin", "bucket"], "full").select("coin", "bucket", new.alias("notional"), F.coalesce("count", F.lit(0)).alias("count"), change.alias("change"))
+        frames.write(frame, version)
 
     return write
 
 
-def observation_frames_sink(positions: DataFrame, table: VersionedTable, mid: Column, **bins) -> Callable[[DataFrame, int], None]:
-    """One frozen frame of bucket totals per micro-batch of account reads, with the change to the frame before."""
+def wall_sink(history: VersionedTable, out: str, *, max_gap: int, ts: str = "received_ms", **rule) -> Callable[[DataFrame, int], None]:
+    """Wall episodes of each stream as they end.
+
+    The batch operator runs over the snapshots that still matter and the new ones. What still matters is carried: every
+    stream's snapshots since its earliest open wall, or its last one. An episode that had ended before is not repeated.
+    """
+    level = ["stream", "side", "px", "start_ms"]
+
+    def ended(books: DataFrame) -> DataFrame:
+        return ob.wall_episodes(books, max_gap=max_gap, ts=ts, **rule).where("end_reason <> 'censored_at_end'")
 
     def write(batch: DataFrame, version: int) -> None:
-        current = fl.bucket_totals(latest_positions(batch, positions), mid, ["coin"], **bins)
-        before = table.read(version - 1).select("coin", "bucket", F.col("notional").alias("_old"))
-        frame = current.join(before, ["coin", "bucket"], "full").select(
-            "coin", "bucket", F.coalesce("notional", F.lit(0.0)).alias("notional"), F.coalesce("count", F.lit(0)).alias("count"), (F.coalesce("notional", F.lit(0.0)) - F.coalesce("_old", F.lit(0.0))).alias("change"))
-        table.write(frame, version)
+        old = history.read(version - 1)
+        books = old.unionByName(batch.select(*history.schema.names))
+        ended(books).join(ended(old).select(*level), level, "left_anti").write.mode("overwrite").parquet(f"{out}/batch={version}")
+        still = ob.wall_episodes(books, max_gap=max_gap, ts=ts, **rule).where("end_reason = 'censored_at_end'").groupBy("stream").agg(F.min("start_ms").alias("_from"))
+        last = books.groupBy("stream").agg(F.max(ts).alias("_last"))
+        keep = books.join(last, "stream").join(still, "stream", "left").where(F.col(ts) >= F.least("_from", "_last"))
+        history.write(keep.select(*history.schema.names), version)
 
     return write
 
