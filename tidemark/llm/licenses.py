@@ -135,6 +135,10 @@ CITATIONS = (
     (20, "NAME licen[cs]e"),
 )
 
+# Keywords whose names are distinctive enough to count alone, and the priority of that.
+ALONE = ("cc", "cc0", "creative", "gplv2", "gplv3", "wtfpl", "gnu", "mozilla", "eclipse", "boost")
+ALONE_PRIORITY = 15
+
 ANCHORS = r"(?i)licen[cs]|spdx|copyright|permission|redistribut|warrant|reserved|public\W+domain|commercial|proprietary|unauthorized|research|unencumbered|misrepresented|acknowledgement|commons|gplv"
 
 
@@ -147,6 +151,8 @@ def rules() -> list[tuple[int, str, str, str, int, bool]]:
             label = f"gpl-{label[-1]}.0"
         if spdx:
             found.append(("spdx", f"spdx licen[cs]e identifier {spdx}", label, 50, False))
+        if keyword in ALONE:
+            found.append((keyword, name, label, ALONE_PRIORITY, False))
         found += [(keyword, words.replace("NAME", f"({name})"), label, priority, False) for priority, words in CITATIONS]
     found += [(keyword, words, label, 40, False) for keyword, words, label in SENTENCES]
     return [(i, keyword, f"(?<= ){words}(?= )", label, priority, base) for i, (keyword, words, label, priority, base) in enumerate(found)]

@@ -28,13 +28,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # Fixed values. measure: (SQL, side of the fence, the fence never comes nearer to clean text than this). A group whose
 # quartiles coincide would else reject every small deviation.
 MEASURES = {
-    "symbols": ("n_symbols / n_words", "above", 0.25),
-    "dup_lines": ("n_dup_lines / n_lines", "above", 0.30),
-    "repeats": ("n_repeat_words / n_words", "above", 0.30),
-    "capitals": ("n_capitals / word_chars", "above", 0.40),
-    "marks": ("n_marks / n_words", "above", 0.40),
-    "long_words": ("word_chars / n_words", "above", 14.0),
-    "short_words": ("word_chars / n_words", "below", 2.5),
+    "symbols": ("try_divide(n_symbols, n_words)", "above", 0.25),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", "above", 0.30),
+    "repeats": ("try_divide(n_repeat_words, n_words)", "above", 0.30),
+    "capitals": ("try_divide(n_capitals, word_chars)", "above", 0.40),
+    "marks": ("try_divide(n_marks, n_words)", "above", 0.40),
+    "long_words": ("try_divide(word_chars, n_words)", "above", 14.0),
+    "short_words": ("try_divide(word_chars, n_words)", "below", 2.5),
 }
 
 _SPACE = np.zeros(256, bool)
