@@ -99,3 +99,13 @@ def test_within_group_shuffle_keeps_multisets(spark):
     for draw in range(3):
         part = p.where(F.col("draw") == draw)
         assert sorted(r.z for r in part.where("sec = 'a'").collect()) == [float(i) for i in range(6)]
+
+
+def test_two_sided_p_equals_the_beta_form(spark):
+    from tidemark.functions.tails import student_two_sided, t_sf
+
+    cases = [(0.0, 5.0), (1.3, 2.0), (-2.5, 3.7), (4.0, 30.0), (1.96, 1000.0), (-3.1, 250000.0), (None, 4.0), (1.0, 0.0), (40.0, 12.0)]
+    got = spark.createDataFrame(cases, "t double, df double").withColumn("p", student_two_sided("t", "df")).collect()
+    for r in got:
+        want = None if r.t is None or r.df <= 0 else 2 * t_sf(abs(r.t), r.df)
+        assert (r.p is None) == (want is None) and (want is None or abs(r.p - want) < 1e-8), (r, want)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tails import student_two_sided
 from ..session import DAY, materialize
 from .asof import asof_backward
 from .ordered import exact_quantiles, value_bucket
@@ -182,15 +183,16 @@ def permute(df: DataFrame, keys: Sequence[str], signal: str, *, order: Sequence[
 # -- t tests ----------------------------------------------------------------------------------------
 
 def welch_t(df: DataFrame, keys: Sequence[str], value: str, top: Column, bottom: Column) -> DataFrame:
-    """Welch statistic and degrees of freedom of two row sets; p via ``functions.tails``."""
+    """Welch statistic, degrees of freedom and two-sided p of two row sets."""
     a, b = F.when(top, F.col(value)), F.when(bottom, F.col(value))
     g = df.groupBy(*keys).agg(F.count(a).alias("n_top"), F.count(b).alias("n_bottom"), F.avg(a).alias("_ma"), F.avg(b).alias("_mb"),
                               F.try_divide(F.var_samp(a), F.count(a)).alias("_va"), F.try_divide(F.var_samp(b), F.count(b)).alias("_vb"))
     se = F.col("_va") + F.col("_vb")
     dof = se * se / (F.col("_va") * F.col("_va") / (F.col("n_top") - 1) + F.col("_vb") * F.col("_vb") / (F.col("n_bottom") - 1))
     ok = (F.col("n_top") >= 2) & (F.col("n_bottom") >= 2) & (se > 0)
-    return g.select(*keys, "n_top", "n_bottom", (F.col("_ma") - F.col("_mb")).alias("mean_diff"),
-                    F.when(ok, (F.col("_ma") - F.col("_mb")) / F.sqrt(se)).alias("t_stat"), F.when(ok, dof).alias("dof"))
+    out = g.select(*keys, "n_top", "n_bottom", (F.col("_ma") - F.col("_mb")).alias("mean_diff"),
+                   F.when(ok, (F.col("_ma") - F.col("_mb")) / F.sqrt(se)).alias("t_stat"), F.when(ok, dof).alias("dof"))
+    return out.withColumn("p_value", student_two_sided("t_stat", "dof"))
 
 
 def one_sample_t(value: str) -> Column:
@@ -259,7 +261,8 @@ def ols_hac(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], ord
     g = j.groupBy(*keys, "term").agg(F.first("n").alias("n"), F.first("_bt").alias("estimate"), F.sum("_q").alias("_var"))
     factor = F.try_divide(F.col("n"), F.col("n") - k) if small_sample else F.lit(1.0)
     g = g.withColumn("se", F.sqrt(F.greatest(F.col("_var") * factor, F.lit(0.0))))
-    return g.select(*keys, "term", "n", "estimate", "se", F.when(F.col("se") > 0, F.col("estimate") / F.col("se")).alias("t_hac"))
+    out = g.select(*keys, "term", "n", "estimate", "se", F.when(F.col("se") > 0, F.col("estimate") / F.col("se")).alias("t_hac"))
+    return out.withColumn("p_value", student_two_sided("t_hac", f"n - {k}"))
 
 
 def hac_mean(df: DataFrame, keys: Sequence[str], value: str, *, order: str, lags: int) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..functions.tails import two_sided_sql
 from ..operators import events as E
 from ..operators import infer as R
 from ..operators.asof import window_total
@@ -117,9 +118,10 @@ def _(t):
     return m.groupBy("yr", "draw").agg(F.regr_slope("y", "z").alias("slope"))
 
 
-@query("R7_welch_t", use="cross_section", dbl="mean_diff t_stat dof", sql="""
+@query("R7_welch_t", use="cross_section", dbl="mean_diff t_stat dof p_value", sql=f"""
 WITH g AS (SELECT yr, count(y) FILTER (signal >= 3) AS n_top, count(y) FILTER (signal <= 1) AS n_bottom, avg(y) FILTER (signal >= 3) AS ma, avg(y) FILTER (signal <= 1) AS mb, var_samp(y) FILTER (signal >= 3) / count(y) FILTER (signal >= 3) AS va, var_samp(y) FILTER (signal <= 1) / count(y) FILTER (signal <= 1) AS vb FROM cross_section WHERE y IS NOT NULL GROUP BY 1)
-SELECT yr, n_top, n_bottom, ma - mb AS mean_diff, (ma - mb) / sqrt(va + vb) AS t_stat, (va + vb) * (va + vb) / (va * va / (n_top - 1) + vb * vb / (n_bottom - 1)) AS dof FROM g""")
+SELECT yr, n_top, n_bottom, ma - mb AS mean_diff, (ma - mb) / sqrt(va + vb) AS t_stat, (va + vb) * (va + vb) / (va * va / (n_top - 1) + vb * vb / (n_bottom - 1)) AS dof,
+ {two_sided_sql('((ma - mb) / sqrt(va + vb))', '((va + vb) * (va + vb) / (va * va / (n_top - 1) + vb * vb / (n_bottom - 1)))', 'duckdb')} AS p_value FROM g""")
 def _(t):
     return R.welch_t(t.cross.where("y IS NOT NULL"), ["yr"], "y", F.col("signal") >= 3, F.col("signal") <= 1)
 
@@ -134,7 +136,7 @@ hq AS (SELECT *, z * z + {terms} AS q FROM hz),
 hs AS (SELECT {keys}, any_value(n) AS n, any_value(hb_) AS estimate, sqrt(greatest(sum(q){' * any_value(n) / (any_value(n) - 2)' if small else ''}, 0)) AS se FROM hq GROUP BY {keys})"""
 
 
-@query("R8_newey_west_slope", use="daily", dbl="estimate se t_hac", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, trend_return AS x, next_return AS y FROM reg), {hac_sql('s0', 'symbol', 'y', 'x', 'ts', 5, True)} SELECT symbol, n, estimate, se, estimate / se AS t_hac FROM hs")
+@query("R8_newey_west_slope", use="daily", dbl="estimate se t_hac p_value", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, trend_return AS x, next_return AS y FROM reg), {hac_sql('s0', 'symbol', 'y', 'x', 'ts', 5, True)} SELECT symbol, n, estimate, se, estimate / se AS t_hac, {two_sided_sql('(estimate / se)', '(n - 2)', 'duckdb')} AS p_value FROM hs")
 def _(t):
     d = regimes(t).select("symbol", "ts", F.col("trend_return").alias("x"), F.col("next_return").alias("y"))
     return R.ols_hac(d, ["symbol"], y="y", x=["x"], order="ts", lags=5, small_sample=True).where("term = 'x'").drop("term")
