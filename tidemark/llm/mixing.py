@@ -23,18 +23,26 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, cut
+from .common import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CELLS = 1 << 12
 MAX_PATTERNS = 200_000  # what the driver's flow graph may hold
 
 
+@F.pandas_udf(T.LongType())
+def _n_words(texts: pd.Series) -> pd.Series:
+    # On bytes, split() cuts at ASCII white space, as the word rule does.
+    return pd.Series([len(t.split()) if t else 0 for t in texts], dtype="int64")
+
+
 def size_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(SPACE.replace("[", "[^", 1))).cast("long")
+    return _n_words(text.cast("binary"))
 
 
 def targets(sizes: DataFrame, *, ratio: float = 1.5, epochs: int = 2, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -165,25 +173,21 @@ def mix(docs: DataFrame, *, ratio: float = 1.5, epochs: int = 2, weights: tuple[
     upto = Window.partitionBy("member").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("member")
     at = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(upto), F.lit(0))).withColumn("all", F.sum("cell_size").over(whole))
-    at = _same(at, quotas, "member").withColumn("quota", F.coalesce("quota", F.lit(0.0)))
+    at = at.join(quotas, "member", "left").withColumn("quota", F.coalesce("quota", F.lit(0.0)))
     full = F.when(F.col("all") > 0, F.floor(F.col("quota") / F.col("all") + 1e-12)).otherwise(0)
     at = at.withColumn("full", F.least(full, F.lit(epochs)).cast("int")).withColumn("rest", F.greatest(F.col("quota") - F.col("full") * F.col("all"), F.lit(0.0)))
-    at = at.withColumn("rest", F.when(F.col("full") >= epochs, 0.0).otherwise(F.col("rest")))
-    share = F.when(F.col("before") + F.col("cell_size") <= F.col("rest"), 1).when(F.col("before") >= F.col("rest"), 0).otherwise(-1)
-    at = cut(at.select("member", "cell", "before", "full", "rest", share.alias("share")), "mix-cells-at")
+    at = at.withColumn("rest", F.when(F.col("full") >= epochs, 0.0).otherwise(F.col("rest"))).select("member", "cell", "before", "full", "rest")
 
-    per_pattern = patterns.select("member", F.posexplode("member").alias("i", "source")).alias("p").join(wanted.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
+    per_pattern = patterns.select("member", F.explode("member").alias("source")).alias("p").join(wanted.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
     per_pattern = per_pattern.groupBy("p.member").agg(F.sum("t.source_size").alias("source_size"), F.sum("t.target").alias("target"))
-    at = cut(_same(at, per_pattern, "member"), "mix-plan")
+    at = cut(at.join(per_pattern, "member"), "mix-plan")
 
-    # The rows meet their cell's plan: a few thousand rows for each pattern.
-    met = _same(rows, at, "member", "cell")
-    settled = met.where("share >= 0").withColumn("more", F.col("share"))
-    # Only cells in which a quota ends are put in order; each is a 1/4096 of its pattern.
+    # The rows meet their cell's plan and are put in order inside it, a 1/4096 of their pattern. Cells before the quota's
+    # end come out whole, cells behind it empty. (An array's NULL members compare equal.)
     seeded = Window.partitionBy("member", "cell").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    ends = met.where("share < 0").withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(seeded), F.lit(0)))
-    ends = ends.withColumn("more", (F.col("start") + F.col("size") / 2 <= F.col("rest")).cast("int")).drop("start")
-    out = settled.unionByName(ends).withColumn("times", F.when(F.col("size") > 0, F.col("full") + F.col("more")).otherwise(0).cast("long"))
+    start = F.col("before") + F.coalesce(F.sum("size").over(seeded), F.lit(0))
+    met = rows.join(at, ["member", "cell"]).withColumn("more", (start + F.col("size") / 2 <= F.col("rest")).cast("int"))
+    out = met.withColumn("times", F.when(F.col("size") > 0, F.col("full") + F.col("more")).otherwise(0).cast("long"))
     own = [*([] if keep else ["doc_id"]), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "times", F.col("member").alias("sources")]
     return out.select(*own, *[F.col(f"_keep_{i}").alias(f"_keep_{i}") for i in range(len(keep))])
 
@@ -195,11 +199,3 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     out = mix(docs, keep=tuple(names), **options).where("times > 0")
     return out.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(names)], F.col("times").alias("repeats"))
 
-
-def _same(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
-    """Left join on columns that may hold NULLs (as members of arrays, they compare equal there)."""
-    named = right.select(*[F.col(c).alias(f"_{c}") for c in on], *[c for c in right.columns if c not in on])
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return left.join(named, cond, "left").drop(*[f"_{c}" for c in on])
