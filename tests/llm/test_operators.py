@@ -482,3 +482,21 @@ def test_pipeline(spark, docs, tmp_path, table):
     assert all(t and any(c.isalpha() for c in t) for t in texts) and len(set(texts)) == len(texts)
     wins = {tuple(table[1].split(" ")[j : j + 10]): {1} for j in range(5)}
     assert not any(hits_of(ALNUM.findall(low(t)), wins)[0] for t in texts)
+
+
+def test_components(spark):
+    from tidemark.llm.graph import components
+
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(100, 400)]
+    star = [(900, i) for i in range(1000, 1300)] + [(1000, 1001), (900, 900)]
+    mixed = [(a, b) for a, b in ((rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150))]
+    edges = chain + star + mixed
+    comp = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for a, b in edges:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: comp[x] for x in linked}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
