@@ -13,15 +13,20 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp): the smallest id reachable over the undirected links ``edges`` (a, b); only linked ids are returned.
 
-    Every round each id points at the least of itself and its neighbours, and the links between the ids pointed at are
-    what is left: a star, however large, is gone after two rounds, and a chain shrinks by a factor. Minima are
-    pre-aggregated before the shuffle. Rounds are written to the shared folder.
+    Every round each id points at the least of itself and its neighbours (in the order of a hash, so that no numbering
+    makes long descents), takes over what that one points at, and the links between the ids pointed at are what is left:
+    a star, however large, is gone after two rounds, and a chain shrinks by a factor. Minima are pre-aggregated before the
+    shuffle. Rounds are written to the shared folder.
     """
     left = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     steps = []
     while left.limit(1).count():
-        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("m")), F.struct(F.col("b").alias("id"), F.col("a").alias("m")))).alias("x"))
-        to = cut(ends.groupBy("x.id").agg(F.min("x.m").alias("m")).select("id", F.least("id", "m").alias("m")), "steps")
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("m")), F.struct(F.col("b").alias("id"), F.col("a").alias("m")))).alias("x")).select("x.*")
+        low = ends.withColumn("h", F.xxhash64("m")).groupBy("id").agg(F.min(F.struct("h", "m")).alias("low"))
+        own = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("m"))
+        to = cut(low.select("id", F.least("low", own)["m"].alias("m")), "steps")
+        on = to.select(F.col("id").alias("m"), F.col("m").alias("mm"))
+        to = cut(to.join(on, "m").select("id", F.col("mm").alias("m")), "steps")
         steps.append(to)
         a, b = to.select(F.col("id").alias("a"), F.col("m").alias("ma")), to.select(F.col("id").alias("b"), F.col("m").alias("mb"))
         moved = left.join(a, "a").join(b, "b").where("ma <> mb")
@@ -29,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     # An id is named by its step's name in the later, smaller rounds; ids that are settled are in no later round.
-    names = steps[-1].select("id", F.col("m").alias("comp"))
+    names = steps[-1].select("id", F.col("m").alias("root"))
     for to in reversed(steps[:-1]):
-        names = to.join(names.withColumnRenamed("id", "m"), "m", "left").select("id", F.coalesce("comp", "m").alias("comp"))
-    return cut(names, "components") if len(steps) > 1 else names
+        names = to.join(names.withColumnRenamed("id", "m"), "m", "left").select("id", F.coalesce("root", "m").alias("root"))
+    names = cut(names, "roots")
+    return cut(names.join(names.groupBy("root").agg(F.min("id").alias("comp")), "root").select("id", "comp"), "components")
 
 
 def bucket_mates(members: DataFrame) -> DataFrame:
