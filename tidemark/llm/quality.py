@@ -29,8 +29,8 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 # quartiles coincide would else reject every small deviation.
 MEASURES = {
     "symbols": ("try_divide(n_symbols, n_words)", "above", 0.25),
-    "dup_lines": ("try_divide(n_dup_lines, n_lines)", "above", 0.30),
-    "repeats": ("try_divide(n_repeat_words, n_words)", "above", 0.30),
+    "dup_lines": ("try_divide(n_dup_lines, n_lines)", "above", 0.50),
+    "repeats": ("try_divide(n_repeat_words, n_words)", "above", 0.40),
     "capitals": ("try_divide(n_capitals, word_chars)", "above", 0.40),
     "marks": ("try_divide(n_marks, n_words)", "above", 0.40),
     "long_words": ("try_divide(word_chars, n_words)", "above", 14.0),
