@@ -182,7 +182,7 @@ def test_fuzzy_lines(spark, nothing):
         for q in at[:i]:
             same = norm[p] == norm[q]
             near = (sims[p] ^ sims[q]) % (1 << 64)
-            if same or (bin(near).count("1") <= 3 and edit_distance(norm[p], norm[q]) <= 0.1 * max(len(norm[p]), len(norm[q]))):
+            if same or (bin(near).count("1") <= 2 and edit_distance(norm[p], norm[q]) <= 0.1 * max(len(norm[p]), len(norm[q]))):
                 a, b = sorted((root(p), root(q)))
                 parent[b] = a
     want = defaultdict(list)
