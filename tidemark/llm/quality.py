@@ -126,7 +126,9 @@ def thresholds(sketches: DataFrame, *, fence: float = 3.0, least: int = 200) ->
     x = x.withColumn("low", pick("q1", "l1", "a1")).withColumn("high", pick("q3", "l3", "a3"))
     limit = F.lit(None).cast("double")
     for k, (_, side, guard) in MEASURES.items():
-        reach = F.greatest(F.col("high") + fence * (F.col("high") - F.col("low")), F.lit(guard)) if side == "above" else F.least(F.col("low") - fence * (F.col("high") - F.col("low")), F.lit(guard))
+        # GAMMA covers the sketch's own error, so a group of equal values is never outside its fence.
+        spread = fence * (F.col("high") - F.col("low"))
+        reach = F.greatest(GAMMA * F.col("high") + spread, F.lit(guard)) if side == "above" else F.least(F.col("low") / GAMMA - spread, F.lit(guard))
         limit = F.when(F.col("measure") == k, reach).otherwise(limit)
     return x.withColumn("limit", limit).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(f"limit_{k}") for k in MEASURES])
 

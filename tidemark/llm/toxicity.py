@@ -25,8 +25,8 @@ from .samples import labelled_sample
 
 PER_CLASS = 3000  # bound of the training sample, rows of each label
 STEMS = (4, 5, 6)  # lengths of the word beginnings that can enter the lexicon
-SUPPORT = 5  # toxic documents an entry needs
-LEAST = 2.5  # log-odds an entry needs
+SUPPORT = 8  # toxic documents an entry needs
+LEAST = 2.0  # log-odds an entry needs, after adding one document to either side
 
 # Characters read as Latin letters.
 LOOKALIKES = {
@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, cap: int = PER_CLASS) -> Model:
     if set(sizes) != {0, 1}:
         return Model(Lexicon({}), None)
     terms = sample.mapInPandas(_terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    odds = F.log(((F.col("bad") + 0.1) / sizes[1]) / ((F.col("good") + 0.1) / sizes[0]))
+    odds = F.log(((F.col("bad") + 1) / (sizes[1] + 1)) / ((F.col("good") + 1) / (sizes[0] + 1)))
     entries = terms.where(F.col("bad") >= SUPPORT).withColumn("w", odds).where(F.col("w") >= LEAST).select("term", "w").collect()
     lexicon = Lexicon({r.term: r.w for r in entries})
 
