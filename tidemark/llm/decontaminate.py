@@ -93,7 +93,8 @@ def phrase_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, lists: in
     found = Index(docs, phrases, lists).starts().distinct()
     per_row = found.groupBy("k").agg(F.collect_list(F.struct("win", "start")).alias("cands"))
     words = F.transform(alnum_words(F.col("text")), lower_ascii)
-    checked = _rows(docs).join(per_row, "k").select("k", "cands", words.alias("w"))
+    # The generator keeps the words a column: written into the filter, they would be cut anew for each candidate.
+    checked = _rows(docs).join(per_row, "k").select("k", "cands", F.explode(F.array(words)).alias("w"))
     same = F.expr(r"filter(cands, c -> array_join(slice(w, c.start + 1, size(split(c.win, ' '))), ' ') = c.win)")
     checked = checked.select("k", same.alias("ok")).where("size(ok) > 0")
     spans = F.expr("array_distinct(flatten(transform(ok, c -> sequence(c.start, c.start + size(split(c.win, ' ')) - 1))))")
