@@ -198,6 +198,30 @@ def test_fuzzy_lines(spark, nothing):
     assert lines.line_report(nothing).count() == 0
 
 
+def typo(rng, text, edits):
+    words = text.split(" ")
+    for i in rng.sample(range(len(words)), edits):
+        j = rng.randrange(len(words[i]))
+        words[i] = words[i][:j] + "q" + words[i][j + 1 :]
+    return " ".join(words)
+
+
+def test_fuzzy_lines_of_every_length(spark):
+    """Against plain edit similarity: pairs of lines with one letter changed, or one word of a long line."""
+    rng = random.Random(31)
+    pairs = []
+    for n in (5, 6, 8, 10, 20, 50, 100):
+        for _ in range(12):
+            base = prose(rng, n)
+            pairs.append((base, edited(rng, base, 1) if n >= 50 else typo(rng, base, 1 if n < 8 else 2)))
+    near = [edit_distance(a, b) <= 0.1 * max(len(a), len(b)) for a, b in ((" ".join(line_words(x)) for x in p) for p in pairs)]
+    rows = [(2 * i + j, text) for i, p in enumerate(pairs) for j, text in enumerate(p)]
+    got = {r.doc_id: r.n_dropped for r in lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(near) >= 60
+    assert [got[2 * i + 1] == 1 for i in range(len(pairs))] == near
+    assert not any(got[2 * i] for i in range(len(pairs)))
+
+
 def test_fuzzy_lines_edge_rows(docs, table):
     got = lines.line_report(docs).collect()
     assert len(got) == len(table[0])
