@@ -88,6 +88,22 @@ def test_license_scan(docs, nothing, table):
     assert licenses.scan(nothing).count() == 0
 
 
+def test_license_rules_fire_alone(spark):
+    """A text of one rule's phrase and nothing else reaches the rule: nothing before the rules may leave it out."""
+    plain = lambda p: re.sub(r"\[[^]]*?(\d|[a-z])\]", r"\1", p)
+    texts = {}
+    for number, _, pattern, label, *_ in licenses.rules():
+        words = plain(pattern.removeprefix("(?<= )").removesuffix("(?= )").replace("[a-z]+", "work").replace(".{1,60}", "some body"))
+        while "(" in words:
+            words = re.sub(r"\(([^()|]*)(\|[^()]*)?\)\??", r"\1", words)
+        words = words.replace("?", "").upper()
+        assert re.search(pattern, f" {words.lower()} "), (number, words)
+        texts[number] = (words, label)
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(i, w) for i, (w, _) in texts.items()], "doc_id long, text string")).collect()}
+    silent = [w for i, (w, _) in texts.items() if not got[i].labels or not got[i].score > 0]
+    assert silent == []
+
+
 def test_license_suppression(spark):
     text = "This work is licensed under the Apache License, Version 2.0, and under CC BY-NC-SA 4.0."
     row = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

@@ -1,7 +1,7 @@
 """License scans: ordered signature rules on a text's words. DataFrame functions only.
 
 A rule is a keyword, a regular expression over lower-cased words (one space between them), a label and a priority. A text
-first has to hold one of a few anchors; its words are then cut into blocks of ``BLOCK`` words with ``MARGIN`` words of the
+first has to hold the keyword of some rule; its words are then cut into blocks of ``BLOCK`` words with ``MARGIN`` words of the
 neighbours on either side (no rule is longer than that), and a block meets only the rules whose keyword it holds. A
 detection is suppressed if another one contains its interval and has a higher priority, or the same priority and a
 greater length, or the same interval and an earlier rule. Detections of the three base phrases always stay.
@@ -23,7 +23,7 @@ BLOCK, MARGIN = 1024, 64
 # Base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# License names. label: (keyword, name as words, SPDX words or "").
+# License names. label: (keyword, name as words, SPDX words or ""). Every match holds the keyword.
 NAMES = {
     "mit": ("mit", "mit", "mit"),
     "mit-0": ("mit", "mit no attribution", "mit 0"),
@@ -67,7 +67,8 @@ NAMES = {
     "artistic-1.0": ("artistic", "artistic license (version )?1 0", "artistic 1 0( perl| cl8)?"),
     "artistic-2.0": ("artistic", "artistic license (version )?2 0", "artistic 2 0"),
     "artistic": ("artistic", "artistic", ""),
-    "psf-2.0": ("python", "(psf|python software foundation)", "(psf|python) 2 0"),
+    "psf-2.0": ("python", "python software foundation", "(psf|python) 2 0"),
+    "psf-2.0-long": ("psf", "psf", ""),
     "php-3.01": ("php", "php license( (version |v)?3 0?1?)?", "php 3 0?1"),
     "ruby": ("ruby", "ruby", "ruby"),
     "ofl-1.1": ("font", "(sil )?open font license( (version |v)?1 [01])?", "ofl 1 [01]"),
@@ -77,7 +78,8 @@ NAMES = {
     "cecill-2.1": ("cecill", "cecill( (version |v)?2 [01])?", "cecill 2 [01]"),
     "osl-3.0": ("open", "open software license( (version |v)?3 0)?", "osl [123] 0"),
     "afl-3.0": ("academic", "academic free license( (version |v)?3 0)?", "afl 3 0"),
-    "ncsa": ("illinois", "(university of illinois|ncsa)( open source)?", "ncsa"),
+    "ncsa": ("illinois", "university of illinois( open source)?", "ncsa"),
+    "ncsa-long": ("ncsa", "ncsa( open source)?", ""),
     "w3c": ("w3c", "w3c( software)?( notice and)?", "w3c"),
     "x11": ("x11", "x11", "x11"),
     "upl-1.0": ("universal", "universal permissive license( (version |v)?1 0)?", "upl 1 0"),
@@ -125,6 +127,7 @@ SENTENCES = (
     ("warranty", "without warranty of any kind", "warranty-disclaimer"),
     ("warranties", "without warranties or conditions of any kind", "warranty-disclaimer"),
     ("educational", "for (personal|educational) (and|or) (personal|educational) use only", "noncommercial"),
+    ("personal", "for personal (and|or) personal use only", "noncommercial"),
 )
 
 # The ways a name is cited; NAME stands for it. (priority, words)
@@ -139,9 +142,6 @@ CITATIONS = (
 ALONE = ("cc", "cc0", "creative", "gplv2", "gplv3", "wtfpl", "gnu", "mozilla", "eclipse", "boost")
 ALONE_PRIORITY = 15
 
-ANCHORS = r"(?i)licen[cs]|spdx|copyright|permission|redistribut|warrant|reserved|public\W+domain|commercial|proprietary|unauthorized|research|unencumbered|misrepresented|acknowledgement|commons|gplv"
-
-
 def rules() -> list[tuple[int, str, str, str, int, bool]]:
     """(number, keyword, expression, label, priority, base), in order."""
     found = [("license", words, label, 10, True) for words, label in BASE]
@@ -158,6 +158,14 @@ def rules() -> list[tuple[int, str, str, str, int, bool]]:
     return [(i, keyword, f"(?<= ){words}(?= )", label, priority, base) for i, (keyword, words, label, priority, base) in enumerate(found)]
 
 
+def anchors() -> str:
+    """An expression for the texts that hold a rule's keyword, in any case: no rule can match another text. A keyword
+    that begins with a shorter one is found by that one."""
+    keywords = sorted({r[1] for r in rules()}, key=lambda k: (len(k), k))
+    least = [k for i, k in enumerate(keywords) if not any(k.startswith(o) for o in keywords[:i])]
+    return "(?i)" + "|".join(least)
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     names = ("rule", "keyword", "pattern", "label", "priority", "base")
     table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rules()])
@@ -171,7 +179,7 @@ def detections(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n_words = F.regexp_count("text", F.lit(NON_ALNUM_ANY_CASE.replace("[", "[^", 1))).cast("long")
     flat = F.trim(F.regexp_replace(F.translate("text", UPPER, UPPER.lower()), NON_ALNUM, " "))
-    words = F.when(F.col("text").rlike(ANCHORS), F.split(flat, " "))
+    words = F.when(F.col("text").rlike(anchors()), F.split(flat, " "))
     rows = rows.select("row", "doc_id", n_words.alias("n_words"), words.alias("words"))
     cut_up = F.expr(f"transform(sequence(0, size(words) - 1, {BLOCK}), lo -> struct(lo, greatest(lo - {MARGIN}, 0) AS first, slice(words, greatest(lo - {MARGIN}, 0) + 1, lo - greatest(lo - {MARGIN}, 0) + {BLOCK + MARGIN}) AS part))")
     blocks = rows.select("row", "doc_id", "n_words", F.explode_outer(F.when(F.size("words") > 0, cut_up)).alias("b"))
