@@ -443,6 +443,23 @@ def test_fuzzy_passage(spark):
     assert set(got) == {1, 2} and got[2].n_repeated >= 118 and got[1].class_id == got[2].class_id == 1
 
 
+def test_repeat_behind_a_fragment(spark):
+    """A smaller id that holds 45 to 49 words of a passage must not stand between two documents that hold all of it."""
+    rng = random.Random(17)
+    rows, whole = [], set()
+    for i, (n, part) in enumerate([(50, 45), (50, 49), (55, 45), (60, 49), (52, 47)] * 8):
+        passage = prose(rng, n)
+        at = rng.randrange(n - part + 1)
+        rows.append((i, " ".join([prose(rng, 30), *passage.split(" ")[at : at + part], prose(rng, 30)])))
+        for j in (1000 + 2 * i, 1001 + 2 * i):
+            rows.append((j, " ".join([prose(rng, 30), passage, prose(rng, 30)])))
+            whole.add(j)
+    got = {r.doc_id: r for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == whole
+    for j in whole:
+        assert got[j].class_id == j - j % 2 and got[j].n_repeated >= 50
+
+
 def test_compact_windows():
     import numpy as np
 
