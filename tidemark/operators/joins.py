@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DAY
-from .asof import asof_backward, asof_forward
+from .asof import asof_backward, asof_both, asof_forward
 from .scan import running
 
 
@@ -134,11 +134,9 @@ def flag_active(positions: DataFrame, orders: DataFrame, keys: Sequence[str] = (
 
 def nearest_declaration(orders: DataFrame, declarations: DataFrame, *, by: Sequence[str], ts: str, declared_ts: str,
                         take: Sequence[str], width: int) -> DataFrame:
-    """Declaration of the same key nearest in time, the earlier one on a tie. Two as-ofs instead of a
+    """Declaration of the same key nearest in time, the earlier one on a tie. A scan in both directions instead of a
     many-to-many join, which a heavy user would square."""
-    key = orders.withColumn("_t", F.col(ts))
-    b = asof_backward(key, declarations, by=by, take=take, width=width, left_on="_t", right_on=declared_ts, prefix="b_")
-    f = asof_forward(b, declarations, by=by, take=take, width=width, left_on="_t", right_on=declared_ts, prefix="f_")
+    f = asof_both(orders, declarations, by=by, take=take, width=width, left_on=ts, right_on=declared_ts)
     back, fwd = F.col(ts) - F.col("b_source_ts"), F.col("f_source_ts") - F.col(ts)
     use_f = fwd.isNotNull() & (back.isNull() | (fwd < back))
     pick = lambda c: F.when(use_f, F.col(f"f_{c}")).otherwise(F.col(f"b_{c}"))

@@ -7,12 +7,14 @@ unbounded statistics of daily series (one row per calendar day) run on a plain p
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DAY
-from .scan import CHUNK, in_chunk, own_rows, previous, range_halo, row_halo, running
+from ..session import DAY, materialize
+from .scan import CHUNK, Run, chunk_of, drawdowns, in_chunk, numbered_runs, own_rows, previous, range_halo, row_halo, running, scan
 
 
 def _range(keys: Sequence[str], lo: int, hi: int, ts: str = "ts"):
@@ -139,15 +141,11 @@ def rolling(df: DataFrame, keys: Sequence[str], value: str, rows: int, *, width:
 def islands(df: DataFrame, keys: Sequence[str], *, width: int | None, gap: int | None = None, state: str | None = None,
             out: str = "island", ts: str = "ts") -> DataFrame:
     """Run number: a new run starts where the time step exceeds ``gap`` or ``state`` changes."""
-    cols = [ts, *([state] if state else [])]
-    p = previous(df, keys, [ts], width, cols, ts=ts, prefix="_p_")
-    start = F.col(f"_p_{ts}").isNull()
-    if gap is not None:
-        start = start | (F.col(ts) - F.col(f"_p_{ts}") > gap)
-    if state:
-        start = start | ~F.col(state).eqNullSafe(F.col(f"_p_{state}"))
-    flagged = p.withColumn("_s", start.cast("bigint")).drop(*[f"_p_{c}" for c in cols])
-    return running(flagged, keys, [ts], width, {out: ("sum", F.col("_s"))}, ts=ts).drop("_s")
+    def fresh(now, before):
+        far = now(ts) - before(ts) > gap if gap is not None else F.lit(False)
+        return far | ~now(state).eqNullSafe(before(state)) if state else far
+
+    return numbered_runs(df, keys, [ts], width, fresh, [ts, *([state] if state else [])], out=out, ts=ts)
 
 
 def run_lengths(df: DataFrame, keys: Sequence[str], state: str, *, gap: int, width: int | None) -> DataFrame:
@@ -178,33 +176,56 @@ def transitions(df: DataFrame, keys: Sequence[str], state: str, *, step: int, wi
 def max_drawdown(df: DataFrame, keys: Sequence[str], ret: str, *, width: int | None, additive: bool = False, out: str = "max_drawdown") -> DataFrame:
     """Worst fall from the running peak; the peak starts at the initial wealth. ``additive`` sums returns."""
     step = F.col(ret) if additive else F.log1p(ret)
-    w = running(df.where(F.col(ret).isNotNull()), keys, ["ts"], width, {"_w": ("sum", step)})
-    p = running(w, keys, ["ts"], width, {"_peak": ("max", F.col("_w"))})
-    fall = F.col("_w") - F.greatest(F.col("_peak"), F.lit(0.0))
-    return p.groupBy(*keys).agg(F.min(fall if additive else F.exp(fall) - 1).alias(out))
+    d = drawdowns(df.where(F.col(ret).isNotNull()), keys, ["ts"], width, {out: step})
+    return d if additive else d.withColumn(out, F.exp(out) - 1)
+
+
+def both_drawdowns(df: DataFrame, keys: Sequence[str], ret: str, *, width: int | None) -> DataFrame:
+    """(keys, max_drawdown, additive): compounded and additive in one pass."""
+    d = drawdowns(df.where(F.col(ret).isNotNull()), keys, ["ts"], width, {"max_drawdown": F.log1p(ret), "additive": F.col(ret).cast("double")})
+    return d.withColumn("max_drawdown", F.exp("max_drawdown") - 1)
 
 
 def negative_episodes(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, tie: Sequence[str] = ()) -> DataFrame:
-    """Stretches where the running sum is below zero: start, end, depth, duration, rank by depth."""
-    order = ["ts", *tie]
-    cum = running(df, keys, order, width, {"cum": ("sum", F.col(value))}).withColumn("neg", F.col("cum") < 0)
-    p = previous(cum, keys, order, width, ["neg"])
-    s = p.withColumn("_s", (F.col("neg") & ~F.coalesce("prev_neg", F.lit(False))).cast("bigint"))
-    run = running(s, keys, order, width, {"episode": ("sum", F.col("_s"))})
-    last = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_last"))
-    g = run.where("neg").groupBy(*keys, "episode").agg(F.min("ts").alias("start_ts"), F.max(F.struct(*order)).alias("_end"),
-                                                       (F.min("cum") * 10_000).alias("depth_bp"))
-    e = g.join(last, keys).select(*keys, "start_ts", F.col("_end.ts").alias("end_ts"), (F.col("_end") != F.col("_last")).alias("recovered"),
-                                  "depth_bp", ((F.col("_end.ts") - F.col("start_ts")) / DAY).alias("duration_days"))
-    w = Window.partitionBy(*keys).orderBy("depth_bp", "start_ts")
-    return e.withColumn("rank", F.row_number().over(w))
+    """Stretches where the running sum is below zero: start, end, depth, duration, rank by depth.
+
+    The rows are read twice, for the chunks' sums and for the chunks' own stretches. What goes on from there has one row per
+    stretch and chunk and is written: stretches at a chunk's ends are joined to those of its neighbours.
+    """
+    keys, order = list(keys), ["ts", *tie]
+    part = [*keys, CHUNK]
+    cum = running(df, keys, order, width, {"cum": ("sum", F.col(value))}).withColumn(CHUNK, F.lit(0) if width is None else chunk_of("ts", width))
+    inside = Window.partitionBy(*part).orderBy(*order)
+    cum = cum.withColumn("_neg", F.coalesce(F.col("cum") < 0, F.lit(False)))
+    turn = cum.withColumn("_run", F.sum((F.col("_neg") != F.coalesce(F.lag("_neg").over(inside), ~F.col("_neg"))).cast("bigint")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*order)
+    runs = turn.groupBy(*part, "_run", "_neg").agg(F.min("ts").alias("start_ts"), F.max(at).alias("_end"), F.min("cum").alias("_low"))
+    runs = materialize(runs, "sign-runs")
+    # Runs alternate inside a chunk, so only a chunk's first run can go on from the chunk before.
+    ends = runs.groupBy(*part).agg(F.max_by("_neg", "_run").alias("_leaves"), F.max("_run").alias("_runs"))
+    chain = Window.partitionBy(*keys).orderBy(CHUNK)
+    ends = ends.withColumn("_enters", F.lag("_leaves").over(chain))
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in part]
+    joined = runs.join(ends.select(*[F.col(c).alias(f"_k_{c}") for c in part], "_enters", "_runs"), reduce(and_, same)).drop(*[f"_k_{c}" for c in part])
+    goes_on = F.coalesce((F.col("_run") == 1) & (F.col("_enters") == F.col("_neg")), F.lit(False))
+    # One row per chunk decides where a stretch that spans chunks began: the last chunk that opened a run of its own.
+    heads = joined.groupBy(*part).agg(F.max(F.when(F.col("_run") == 1, goes_on)).alias("_on"), F.max("_runs").alias("_runs"))
+    opened = F.when(~F.col("_on") | (F.col("_runs") > 1), F.struct(F.col(CHUNK).alias("c"), F.col("_runs").alias("r")))
+    heads = heads.withColumn("_head", F.last(opened, True).over(chain.rowsBetween(Window.unboundedPreceding, -1)))
+    named = joined.join(heads.select(*[F.col(c).alias(f"_k_{c}") for c in part], "_head"), reduce(and_, same))
+    own = F.struct(F.col(CHUNK).alias("c"), F.col("_run").alias("r"))
+    named = named.where("_neg").withColumn("_id", F.when(goes_on & F.col("_head").isNotNull(), F.col("_head")).otherwise(own))
+    e = named.groupBy(*keys, "_id").agg(F.min("start_ts").alias("start_ts"), F.max("_end").alias("_end"), (F.min("_low") * 10_000).alias("depth_bp"))
+    last = runs.groupBy(*keys).agg(F.max("_end").alias("_last"))
+    e = e.join(last.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_last"), reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("depth_bp", "start_ts"))
+    return e.select(*keys, "start_ts", F.col("_end.ts").alias("end_ts"), (F.col("_end") != F.col("_last")).alias("recovered"), "depth_bp",
+                    ((F.col("_end.ts") - F.col("start_ts")) / DAY).alias("duration_days"), rank.alias("rank"))
 
 
 def local_drawdown(df: DataFrame, keys: Sequence[str], value: str, *, width: int | None, tie: Sequence[str] = ()) -> DataFrame:
     """Worst distance of the running sum from its all-time high, per year."""
-    order = ["ts", *tie]
-    cum = running(df, keys, order, width, {"_cum": ("sum", F.col(value))})
-    peak = running(cum, keys, order, width, {"_peak": ("max", F.col("_cum"))})
+    peak = scan(df, keys, ["ts", *tie], width, {"_cum": Run("sum", F.col(value)), "_peak": Run("max", of="_cum")})
     return peak.groupBy(*keys, F.year(F.timestamp_millis("ts")).alias("yr")).agg((F.min(F.col("_cum") - F.col("_peak")) * 10_000).alias("drawdown_bp"))
 
 
@@ -228,11 +249,10 @@ def hysteresis(df: DataFrame, keys: Sequence[str], x: str, enter: float, leave:
 
 def transition_cost(df: DataFrame, keys: Sequence[str], held: str, cost: float, *, width: int | None, out: str = "cost") -> DataFrame:
     """``cost`` at every change of the holding and once more at the end when still holding."""
-    p = previous(df, keys, ["ts"], width, [held])
-    n = previous(p, keys, ["ts"], width, ["ts"], prefix="_n_", reverse=True)
-    change = F.abs(F.col(held) - F.coalesce(F.col(f"prev_{held}"), F.lit(0)))
-    close = F.when(F.col("_n_ts").isNull() & (F.col(held) == 1), 1).otherwise(0)
-    return n.withColumn(out, (change + close) * F.lit(cost)).drop(f"prev_{held}", "_n_ts")
+    n = scan(df, keys, ["ts"], width, {"_was": Run("last", F.struct(held), inclusive=False), "_next": Run("last", F.struct("ts"), reverse=True, inclusive=False)})
+    change = F.abs(F.col(held) - F.coalesce(F.col(f"_was.{held}"), F.lit(0)))
+    close = F.when(F.col("_next").isNull() & (F.col(held) == 1), 1).otherwise(0)
+    return n.withColumn(out, (change + close) * F.lit(cost)).drop("_was", "_next")
 
 
 def rule_pnl(df: DataFrame, keys: Sequence[str], z: str, ret: str, *, sign: int, cost_bp: float, width: int | None) -> DataFrame:

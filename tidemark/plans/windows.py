@@ -125,7 +125,7 @@ WITH r AS (SELECT symbol, ts, (close - open) / (close + open) AS r FROM bars), c
 d AS (SELECT *, exp(lw - greatest(max(lw) OVER w, 0)) - 1 AS dd, aw - greatest(max(aw) OVER w, 0) AS ad FROM c WINDOW w AS (PARTITION BY symbol ORDER BY ts)) SELECT symbol, min(dd) AS max_drawdown, min(ad) AS additive FROM d GROUP BY 1""")
 def _(t):
     r = t.bars.select("symbol", "ts", ((F.col("close") - F.col("open")) / (F.col("close") + F.col("open"))).alias("r"))
-    return W.max_drawdown(r, ["symbol"], "r", width=BW).join(W.max_drawdown(r, ["symbol"], "r", width=BW, additive=True, out="additive"), "symbol")
+    return W.both_drawdowns(r, ["symbol"], "r", width=BW)
 
 
 @query("W15_negative_cum_episodes", use="ticks", dbl="depth_bp duration_days", digits=4, sql=f"""
