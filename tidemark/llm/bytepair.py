@@ -43,8 +43,8 @@ from pyspark.sql import DataFrame
 
 BLOCK = 16_384  # characters of a leaf of the text's tree
 LEAF = 16  # bytes of a leaf of a piece's tree
-PIECES = 400_000
-BATCH = 1 << 20  # tokens decoded at once
+PIECES = 200_000
+BATCH = 1 << 18  # tokens decoded at once
 
 
 class Splitter:
@@ -253,7 +253,7 @@ def encoded(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def slices(texts: pa.Array, most: int = 1 << 24) -> Iterable[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 22) -> Iterable[tuple[int, int]]:
     """(offset, length) of consecutive rows of at most ``most`` characters, one row at least."""
     first, held = 0, 0
     for i, n in enumerate(pc.utf8_length(texts).to_pylist()):
