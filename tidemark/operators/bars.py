@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
 from ..session import DAY, HOUR
+from .ordered import quantiles, with_quantiles
 from .scan import previous, running
 
 
@@ -131,10 +132,11 @@ def funding_summary(rates: DataFrame, keys: Sequence[str], horizons: dict[str, i
     """Mean, median, annualised mean and sign shares of the rates since now - horizon."""
     spans = F.array(*[F.struct(F.lit(x).alias("horizon"), F.lit(h).alias("span")) for x, h in horizons.items()])
     r = rates.withColumn("_h", F.explode(spans)).where(F.col("ts") >= F.lit(now) - F.col("_h.span"))
-    return r.groupBy(*keys, F.col("_h.horizon").alias("horizon")).agg(
-        F.count("*").alias("observations"), F.avg("rate").alias("mean_hourly"), F.percentile("rate", F.lit(0.5)).alias("median_hourly"),
+    aggs = [
+        F.count("*").alias("observations"), F.avg("rate").alias("mean_hourly"),
         (F.avg("rate") * 24 * 365 * 100).alias("annualized_mean_pct"), F.avg((F.col("rate") > 0).cast("int")).alias("positive_share"),
-        F.avg((F.col("rate") < 0).cast("int")).alias("negative_share"), F.min("rate").alias("min"), F.max("rate").alias("max"))
+        F.avg((F.col("rate") < 0).cast("int")).alias("negative_share"), F.min("rate").alias("min"), F.max("rate").alias("max")]
+    return with_quantiles(r.withColumn("horizon", F.col("_h.horizon")), [*keys, "horizon"], aggs, {"rate": F.col("rate")}, {"median_hourly": ("rate", 0.5)})
 
 
 def trade_summary(ticks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -169,10 +171,9 @@ def funding_phases(rates: DataFrame, keys: Sequence[str], *, launch: int, bounda
 
     daily = r.groupBy(*k, F.floor(F.col("ts") / DAY).alias("_p")).agg(F.sum("rate").alias("_s"))
     weekly = r.groupBy(*k, F.floor((F.col("ts") - F.col("first_ts")) / (7 * DAY)).alias("_p")).agg(F.sum("rate").alias("_s"))
-    spread = [*[F.percentile(F.col("_s") * 10_000, F.lit(q)).alias(f"weekly_sum_bp_p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
-              F.avg((F.col("_s") < 0).cast("int")).alias("share_weeks_negative")]
+    spread = quantiles(weekly, k, {"s": F.col("_s") * 10_000}, {f"weekly_sum_bp_p{int(q * 100)}": ("s", q) for q in (0.1, 0.5, 0.9)})
     return (base.join(_autocorr(daily, k, "daily_autocorr_lag1"), k)
-            .join(_autocorr(weekly, k, "weekly_autocorr_lag1", *spread), k))
+            .join(_autocorr(weekly, k, "weekly_autocorr_lag1", F.avg((F.col("_s") < 0).cast("int")).alias("share_weeks_negative")), k).join(spread, k))
 
 
 def _autocorr(sums: DataFrame, k: list[str], name: str, *more: Column) -> DataFrame:
@@ -185,10 +186,9 @@ def _autocorr(sums: DataFrame, k: list[str], name: str, *more: Column) -> DataFr
 def spread_stats(a: DataFrame, b: DataFrame, on: Sequence[str], *, per_year: float) -> DataFrame:
     """Quantiles, sign agreement and annualised mean of a - b on equal buckets."""
     j = a.select(*on, F.col("rate").alias("_a")).join(b.select(*on, F.col("rate").alias("_b")), list(on)).withColumn("s", F.col("_a") - F.col("_b"))
-    return j.agg(F.count("*").alias("n_buckets"), F.avg("s").alias("mean"),
-                 *[F.percentile("s", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75, 0.9)],
-                 F.avg((F.signum("_a") == F.signum("_b")).cast("int")).alias("sign_agreement_rate"),
-                 (F.avg("s") * per_year * 100).alias("annualized_mean_spread_pct"))
+    aggs = [F.count("*").alias("n_buckets"), F.avg("s").alias("mean"), F.avg((F.signum("_a") == F.signum("_b")).cast("int")).alias("sign_agreement_rate"),
+            (F.avg("s") * per_year * 100).alias("annualized_mean_spread_pct")]
+    return with_quantiles(j, [], aggs, {"s": F.col("s")}, {f"p{int(q * 100)}": ("s", q) for q in (0.25, 0.5, 0.75, 0.9)})
 
 
 def compare_runs(a: DataFrame, b: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

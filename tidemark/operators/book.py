@@ -14,42 +14,41 @@ from ..functions.scalar import fixed_bins
 from .asof import asof_nearest
 from .infer import cluster_bootstrap_diff
 from .joins import pairs
+from .ordered import quantiles, with_quantiles
 
 
-def impact_quantile(x: str | Column, q: float) -> Column:
-    """Quantile taking the next observed value, an unknown counting as dearer than any known one; NULL when it
-    falls among the unknown. The group is one stream's snapshots (one per tick)."""
-    x = F.col(x) if isinstance(x, str) else x
-    known = F.array_sort(F.collect_list(x))
-    return F.get(known, F.ceil(F.lit(q) * (F.count("*") - 1)).cast("int"))
-
-
-def complete_quantile(x: str | Column, q: float) -> Column:
-    """Quantile only when every value is known."""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.when(F.count(x) == F.count("*"), F.percentile(x, F.lit(q)))
+def _snapshot_quantiles(metrics: DataFrame, keys: Sequence[str], aggs: Sequence[Column], complete: dict[str, tuple[str, float]], impact: dict[str, tuple[str, float]]) -> DataFrame:
+    """``aggs`` per group with two kinds of quantiles (name: column, share). ``complete``: only when every value is known.
+    ``impact``: the next observed value, an unknown counting as dearer than any known one; NULL among the unknown."""
+    dear = float("inf")
+    columns = {**{c: F.col(c) for c, _ in complete.values()}, **{f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(dear)) for c, _ in impact.values()}}
+    wanted = {**complete, **{n: (f"_{c}", q) for n, (c, q) in impact.items()}}
+    known = {f"_all_{c}": F.count(c) == F.count("*") for c, _ in complete.values()}
+    g = with_quantiles(metrics, keys, [*aggs, *[v.alias(n) for n, v in known.items()]], columns, wanted, higher=impact)
+    g = g.withColumns({**{n: F.when(F.col(f"_all_{c}"), F.col(n)) for n, (c, _) in complete.items()}, **{n: F.when(F.col(n) < dear, F.col(n)) for n in impact}})
+    return g.drop(*known)
 
 
 def stream_summary(metrics: DataFrame, keys: Sequence[str], *, bands: Sequence[int], notionals: Sequence[int]) -> DataFrame:
-    aggs = [F.count("*").alias("snapshots"), F.min("received_ms").alias("first_ms"), F.max("received_ms").alias("last_ms"),
-            complete_quantile("spread_bp", 0.5).alias("spread_bp_p50"), complete_quantile("spread_bp", 0.9).alias("spread_bp_p90"),
-            complete_quantile("latency_ms", 0.5).alias("latency_ms_p50")]
+    aggs = [F.count("*").alias("snapshots"), F.min("received_ms").alias("first_ms"), F.max("received_ms").alias("last_ms")]
+    complete = {"spread_bp_p50": ("spread_bp", 0.5), "spread_bp_p90": ("spread_bp", 0.9), "latency_ms_p50": ("latency_ms", 0.5)}
+    impact = {}
     for b in bands:
         bid, ask = f"bid_usd_{b}bp", f"ask_usd_{b}bp"
-        aggs += [complete_quantile(c, q).alias(f"{c}_p{int(q * 100)}") for c in (bid, ask) for q in (0.5, 0.1)]
-        aggs += [F.avg((F.col(bid).isNotNull() & F.col(ask).isNotNull()).cast("int")).alias(f"depth_known_share_{b}bp")]
+        complete |= {f"{c}_p{int(q * 100)}": (c, q) for c in (bid, ask) for q in (0.5, 0.1)}
+        aggs.append(F.avg((F.col(bid).isNotNull() & F.col(ask).isNotNull()).cast("int")).alias(f"depth_known_share_{b}bp"))
     for n in notionals:
         for side in ("buy", "sell"):
             c = f"{side}_impact_bp_{n}"
-            aggs += [impact_quantile(c, 0.5).alias(f"{c}_p50"), impact_quantile(c, 0.9).alias(f"{c}_p90"),
-                     F.avg(F.col(c).isNotNull().cast("int")).alias(f"{side}_known_share_{n}")]
-    return metrics.groupBy(*keys).agg(*aggs)
+            impact |= {f"{c}_p{int(q * 100)}": (c, q) for q in (0.5, 0.9)}
+            aggs.append(F.avg(F.col(c).isNotNull().cast("int")).alias(f"{side}_known_share_{n}"))
+    return _snapshot_quantiles(metrics, keys, aggs, complete, impact)
 
 
 def by_hour(metrics: DataFrame, keys: Sequence[str], *, depth: Sequence[str], impact: Sequence[str]) -> DataFrame:
-    hour = F.hour(F.timestamp_millis("received_ms")).alias("hour_utc")
-    return metrics.groupBy(*keys, hour).agg(F.count("*").alias("snapshots"), complete_quantile("spread_bp", 0.5).alias("spread_bp"),
-                                            *[complete_quantile(c, 0.5).alias(c) for c in depth], *[impact_quantile(c, 0.5).alias(c) for c in impact])
+    """Snapshots and medians per UTC hour; the columns keep their names."""
+    m = metrics.withColumn("hour_utc", F.hour(F.timestamp_millis("received_ms")))
+    return _snapshot_quantiles(m, [*keys, "hour_utc"], [F.count("*").alias("snapshots")], {c: (c, 0.5) for c in ("spread_bp", *depth)}, {c: (c, 0.5) for c in impact})
 
 
 def wall_rows(books: DataFrame, keys: Sequence[str], **rule) -> DataFrame:
@@ -152,10 +151,9 @@ def wall_episodes(books: DataFrame, *, max_gap: int, persist: float = 0.5, appro
 
 
 def wall_summary(episodes: DataFrame, keys: Sequence[str] = ("stream", "side", "end_reason")) -> DataFrame:
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return episodes.groupBy(*keys).agg(F.count("*").alias("episodes"), F.count_if(F.col("snapshots") >= 2).alias("multi_snapshot_episodes"),
-                                       med("duration_sec").alias("duration_sec_p50"), med("max_usd").alias("max_usd_p50"),
-                                       med("min_distance_bp").alias("min_distance_bp_p50"))
+    aggs = [F.count("*").alias("episodes"), F.count_if(F.col("snapshots") >= 2).alias("multi_snapshot_episodes")]
+    columns = {c: F.col(c) for c in ("duration_sec", "max_usd", "min_distance_bp")}
+    return with_quantiles(episodes, keys, aggs, columns, {f"{c}_p50": (c, 0.5) for c in columns})
 
 
 def forward_mid(metrics: DataFrame, *, imbalance: str, horizons: Sequence[int], edges: Sequence[float], width: int, ts: str = "tick_ms") -> DataFrame:
@@ -163,8 +161,9 @@ def forward_mid(metrics: DataFrame, *, imbalance: str, horizons: Sequence[int],
     first = Window.partitionBy("stream", ts).orderBy("received_ms")
     d = metrics.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("stream", F.col(ts).alias("ts"), "mid", F.col(imbalance).alias("imbalance"))
     w = Window.partitionBy("stream").orderBy("ts")  # one row per tick
-    gaps = d.withColumn("_g", F.col("ts") - F.lag("ts").over(w)).groupBy("stream").agg((F.percentile("_g", F.lit(0.5)) / 2).alias("tolerance"))
-    h = d.join(gaps, "stream").withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target", F.col("ts") + F.col("horizon"))
+    gaps = d.withColumn("_g", F.col("ts") - F.lag("ts").over(w))
+    gaps = quantiles(gaps, ["stream"], {"g": F.col("_g")}, {"tolerance": ("g", 0.5)}).withColumn("tolerance", F.col("tolerance") / 2)
+    h = d.join(gaps, "stream", "left").withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target", F.col("ts") + F.col("horizon"))
     m = asof_nearest(h, d, by=["stream"], target="target", take=["mid"], tolerance=F.col("tolerance"), width=width, after="ts")
     f = m.withColumn("fwd_bp", (F.col("match_mid") / F.col("mid") - 1) * 10_000).where("fwd_bp IS NOT NULL AND imbalance IS NOT NULL")
     return f.select("stream", "horizon", "ts", "imbalance", "fwd_bp", fixed_bins("imbalance", edges).alias("bin"))
@@ -172,8 +171,8 @@ def forward_mid(metrics: DataFrame, *, imbalance: str, horizons: Sequence[int],
 
 def imbalance_bins(fwd: DataFrame, keys: Sequence[str]) -> DataFrame:
     day = F.floor(F.col("ts") / 86_400_000)
-    return fwd.groupBy(*keys, "bin").agg(F.count("*").alias("obs"), F.count_distinct(day).alias("days"), F.avg("fwd_bp").alias("mean_fwd_bp"),
-                                         F.percentile("fwd_bp", F.lit(0.5)).alias("median_fwd_bp"), F.avg((F.col("fwd_bp") > 0).cast("int")).alias("share_up"))
+    aggs = [F.count("*").alias("obs"), F.count_distinct(day).alias("days"), F.avg("fwd_bp").alias("mean_fwd_bp"), F.avg((F.col("fwd_bp") > 0).cast("int")).alias("share_up")]
+    return with_quantiles(fwd, [*keys, "bin"], aggs, {"fwd": F.col("fwd_bp")}, {"median_fwd_bp": ("fwd", 0.5)})
 
 
 def top_minus_bottom(fwd: DataFrame, keys: Sequence[str], *, top: str, bottom: str, draws: int, seed: str, min_days: int, min_obs: int) -> DataFrame:
@@ -194,7 +193,6 @@ def cross_venue(metrics: DataFrame, *, asset: str, venue: str, tick: str, value:
     first = metrics.groupBy(asset, tick, venue).agg(F.min_by(value, F.struct("received_ms", "stream")).alias("v"))
     p = pairs(first.where("v IS NOT NULL"), on=[asset, tick], name=venue, values=["v"])
     diff = (F.col("a_v") / F.col("b_v") - 1) * 10_000 if relative else F.col("a_v") - F.col("b_v")
-    med = lambda c: F.percentile(c, F.lit(0.5))
-    return p.withColumn("_d", diff).groupBy(asset, "a", "b").agg(
-        F.count("*").alias("common_ticks"), med("a_v").alias("a_p50"), med("b_v").alias("b_p50"), med("_d").alias("diff_p50"),
-        F.avg((F.col("_d") < 0).cast("int")).alias("a_better_share"))
+    aggs = [F.count("*").alias("common_ticks"), F.avg((F.col("_d") < 0).cast("int")).alias("a_better_share")]
+    columns = {"a": F.col("a_v"), "b": F.col("b_v"), "diff": F.col("_d")}
+    return with_quantiles(p.withColumn("_d", diff), [asset, "a", "b"], aggs, columns, {f"{c}_p50": (c, 0.5) for c in columns})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import liquidation_room
+from .ordered import quantiles, with_quantiles
 from .windows import adjusted_log_price, daily_moves
 
 
@@ -103,11 +104,12 @@ def reaction_moves(moves: DataFrame, reactions: DataFrame, code: str, *, leverag
     r = reactions.select(code, F.col("reaction").alias("date")).distinct().withColumn("_e", F.lit(True))
     j = moves.where("ret_close IS NOT NULL").join(r, [code, "date"], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
     on, size = F.col("_e"), F.abs("ret_close")
-    g = j.groupBy(code).agg(
+    aggs = [
         F.count("*").alias("days"), F.count_if(on).alias("event_days"), F.avg(F.when(on, size)).alias("event_mean_abs"), F.avg(F.when(~on, size)).alias("other_mean_abs"),
-        F.max(F.when(on, F.col("rise_high"))).alias("event_max_rise"), F.percentile(F.when(on, F.col("rise_high")), F.lit(0.99)).alias("event_p99_rise"),
+        F.max(F.when(on, F.col("rise_high"))).alias("event_max_rise"),
         F.min(F.when(on, F.col("fall_low"))).alias("event_min_fall"), F.max_by("date", F.when(on, F.struct(F.col("rise_high"), -F.unix_date("date")))).alias("event_worst_date"),
-        F.max("rise_high").alias("max_rise"))
+        F.max("rise_high").alias("max_rise")]
+    g = with_quantiles(j, [code], aggs, {"rise": F.when(on, F.col("rise_high"))}, {"event_p99_rise": ("rise", 0.99)})
     return g.withColumn("leverage", choose_leverage(F.col("max_rise"), leverages, buffer=buffer, max_leverage=max_leverage))
 
 
@@ -123,19 +125,21 @@ def risk_card(bars: DataFrame, market: DataFrame, reactions: DataFrame, code: st
     x, y = F.when(recent, F.col("_m")), F.when(recent, F.log1p("ret_close"))
     ann = lambda c: (F.avg(c) * per_year, F.stddev_samp(c) * F.sqrt(F.lit(per_year)))
     (om, ov), (im, iv) = ann("overnight"), ann("intraday")
-    g = j.groupBy(code).agg(
-        F.count("*").alias("days"), F.percentile(F.when(F.col("_t") <= last, F.col("turnover")), F.lit(0.5)).alias("median_turnover"), F.max("rise_high").alias("worst_rise"),
-        (-F.min("fall_low")).alias("worst_fall"), F.percentile(size, F.lit(0.99)).alias("p99_abs_change"), F.avg(size).alias("mean_abs_change"), om.alias("overnight_mean"), im.alias("intraday_mean"),
+    aggs = [
+        F.count("*").alias("days"), F.max("rise_high").alias("worst_rise"),
+        (-F.min("fall_low")).alias("worst_fall"), F.avg(size).alias("mean_abs_change"), om.alias("overnight_mean"), im.alias("intraday_mean"),
         ov.alias("overnight_vol"), iv.alias("intraday_vol"), F.count_if(on).alias("event_days"), F.avg(F.when(on, size)).alias("event_mean_abs"), F.avg(F.when(~on, size)).alias("other_mean_abs"),
         F.avg((F.col("close") == F.col("high")).cast("int")).alias("limit_up_share"), F.avg((F.col("close") == F.col("low")).cast("int")).alias("limit_down_share"),
-        F.when(F.count(x) >= min_days, F.try_divide(F.covar_samp(y, x), F.var_samp(x))).alias("beta"))
+        F.when(F.count(x) >= min_days, F.try_divide(F.covar_samp(y, x), F.var_samp(x))).alias("beta")]
+    columns = {"turnover": F.when(F.col("_t") <= last, F.col("turnover")), "size": size}
+    g = with_quantiles(j, [code], aggs, columns, {"median_turnover": ("turnover", 0.5), "p99_abs_change": ("size", 0.99)})
     return g.where(F.col("days") >= min_days)
 
 
 def top_universe(bars: DataFrame, code: str, *, days: int, n: int, value: str = "turnover") -> DataFrame:
     """The n codes with the largest median turnover over the last ``days`` trading days of the market."""
     recent = bars.select("date").distinct().orderBy(F.col("date").desc()).limit(days)
-    m = bars.join(recent, "date", "left_semi").groupBy(code).agg(F.percentile(value, F.lit(0.5)).alias("median_turnover"))
+    m = quantiles(bars.join(recent, "date", "left_semi"), [code], {"v": F.col(value)}, {"median_turnover": ("v", 0.5)})
     return m.orderBy(F.col("median_turnover").desc(), code).limit(n)
 
 

@@ -12,6 +12,7 @@ from ..session import DAY, HOUR, materialize
 from .asof import asof_forward
 from .greedy import greedy_select
 from .joins import exact_lookup, interval_join
+from .ordered import quantiles, with_quantiles
 from .scan import previous
 
 
@@ -279,14 +280,14 @@ def path_audit(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: i
 def excursion_summary(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Excursion quantiles and barrier rates; a group of rejects only still has its row."""
     ok = F.col("path_complete")
-    q = lambda c, p: F.percentile(F.when(ok, F.col(c)), F.lit(p))
     share = lambda cond: F.avg(F.when(ok, cond.cast("int")))
-    return paths.groupBy(*keys).agg(
-        F.count("*").alias("events"), F.count_if(ok).alias("valid_path_count"), F.count_if(~ok).alias("missing_path_count"),
-        *[q(f"{m}_bp", p).alias(f"{m}_p{int(p * 100):02d}_bp") for m in ("mae", "mfe") for p in (0.05, 0.5, 0.95)],
-        q("underwater_bars", 0.5).alias("underwater_p50"), share(F.col("first_barrier") != "none").alias("any_barrier_rate"),
+    aggs = [
+        F.count("*").alias("events"), F.count_if(ok).alias("valid_path_count"), F.count_if(~ok).alias("missing_path_count"), share(F.col("first_barrier") != "none").alias("any_barrier_rate"),
         share(F.startswith("first_barrier", F.lit("stop"))).alias("stop_rate"), share(F.startswith("first_barrier", F.lit("take"))).alias("take_rate"),
-        share(F.col("first_barrier") == "ambiguous").alias("ambiguous_rate"))
+        share(F.col("first_barrier") == "ambiguous").alias("ambiguous_rate")]
+    columns = {c: F.when(ok, F.col(c)) for c in ("mae_bp", "mfe_bp", "underwater_bars")}
+    wanted = {f"{m}_p{int(p * 100):02d}_bp": (f"{m}_bp", p) for m in ("mae", "mfe") for p in (0.05, 0.5, 0.95)}
+    return with_quantiles(paths, keys, aggs, columns, {**wanted, "underwater_p50": ("underwater_bars", 0.5)})
 
 
 # -- execution scenarios ----------------------------------------------------------------------------
@@ -374,34 +375,36 @@ def year_breakdown(ledger: DataFrame, keys: Sequence[str], *, ts: str, value: st
 
 
 def variant_summary(ledger: DataFrame, keys: Sequence[str], value: str = "net_bp") -> DataFrame:
-    sd = F.stddev_samp(value)
-    return ledger.groupBy(*keys).agg(
-        F.count(value).alias("n_events"), F.avg(value).alias("mean_bp"), F.percentile(value, F.lit(0.5)).alias("median_bp"),
-        (F.count_if(F.col(value) > 0) / F.nullif(F.count(value), F.lit(0))).alias("win_rate"), sd.alias("std_bp"),
-        F.when(sd > 0, F.avg(value) / (sd / F.sqrt(F.count(value)))).alias("t_stat"))
+    """Count, mean, median, win rate, deviation and t of each variant, all from one pass of value counts. A variant
+    without a known value has a row with 0 events."""
+    known = F.when(F.col(value).isNotNull(), F.col(value))
+    stats = {"n_events": ("v", lambda v, n: F.sum(n)), "mean_bp": ("v", lambda v, n: F.sum(v * n) / F.sum(n)), "_pos": ("v", lambda v, n: F.sum(F.when(v > 0, n).otherwise(0))),
+             "_sq": ("v", lambda v, n: F.sum(v * v * n)), "_u": ("u", lambda v, n: F.sum(n))}
+    q = quantiles(ledger, keys, {"v": known, "u": F.when(F.col(value).isNull(), 0)}, {"median_bp": ("v", 0.5)}, stats=stats)
+    n, mean = F.coalesce("n_events", F.lit(0)), F.col("mean_bp")
+    sd = F.when(n > 1, F.sqrt(F.greatest(F.col("_sq") - n * mean * mean, F.lit(0.0)) / (n - 1)))
+    return q.select(*keys, n.alias("n_events"), "mean_bp", "median_bp", F.when(n > 0, F.col("_pos") / n).alias("win_rate"), sd.alias("std_bp"), F.when(sd > 0, mean / (sd / F.sqrt(n))).alias("t_stat"))
 
 
 def group_forward_table(df: DataFrame, group: Sequence[str], horizons: Sequence[str]) -> DataFrame:
     """Count, mean and median per group for several outcome columns."""
-    aggs = [F.count("*").alias("n")]
-    for h in horizons:
-        aggs += [F.avg(h).alias(f"mean_{h}"), F.percentile(h, F.lit(0.5)).alias(f"median_{h}")]
-    return df.groupBy(*group).agg(*aggs)
+    aggs = [F.count("*").alias("n"), *[F.avg(h).alias(f"mean_{h}") for h in horizons]]
+    return with_quantiles(df, group, aggs, {h: F.col(h) for h in horizons}, {f"median_{h}": (h, 0.5) for h in horizons})
 
 
 def cell_summary(ledger: DataFrame, keys: Sequence[str], *, month: Column) -> DataFrame:
-    """Per cell and direction with the two directions pooled as 'both', in one pass of grouping sets."""
-    d = ledger.withColumn("_m", F.when(F.col("complete"), month)).withColumn("dir", F.when(F.col("direction") > 0, "up").otherwise("down"))
-    cols = [F.col(k) for k in keys]
+    """Per cell and direction with the two directions pooled as 'both'."""
+    side = F.when(F.col("direction") > 0, "up").otherwise("down")
+    d = ledger.withColumn("_m", F.when(F.col("complete"), month)).withColumn("direction", F.explode(F.array(side, F.lit("both"))))
     done = F.col("complete")
-    g = d.groupingSets([[*cols, F.col("dir")], cols], *cols, F.col("dir")).agg(
-        F.grouping("dir").alias("_pooled"), F.count("*").alias("events"), F.count_if(done).alias("complete_events"),
+    aggs = [
+        F.count("*").alias("events"), F.count_if(done).alias("complete_events"),
         F.count_if(~done).alias("incomplete_events"), F.count_distinct("_m").alias("active_months"),
-        F.avg("gross_bp").alias("mean_gross_bp"), F.percentile("gross_bp", F.lit(0.5)).alias("median_gross_bp"),
+        F.avg("gross_bp").alias("mean_gross_bp"),
         F.avg("net_bp").alias("mean_net_bp"), F.avg((F.col("net_bp") > 0).cast("int")).alias("share_net_positive"),
         F.avg("leader_same_interval_bp").alias("mean_leader_same_interval_bp"),
-        F.avg(F.when(done, F.col("leader_window_bp"))).alias("mean_leader_window_bp"))
-    return g.withColumn("direction", F.when(F.col("_pooled") == 1, "both").otherwise(F.col("dir"))).drop("dir", "_pooled")
+        F.avg(F.when(done, F.col("leader_window_bp"))).alias("mean_leader_window_bp")]
+    return with_quantiles(d, [*keys, "direction"], aggs, {"gross": F.col("gross_bp")}, {"median_gross_bp": ("gross", 0.5)})
 
 
 def status_counts(ledger: DataFrame, keys: Sequence[str], *, status: str = "status", done: str = "complete",
@@ -413,5 +416,5 @@ def status_counts(ledger: DataFrame, keys: Sequence[str], *, status: str = "stat
     aggs = [F.count("*").alias("events"), F.count_if(ok).alias("complete_events")]
     for p in parts:
         aggs += [F.sum(p).alias(f"known_{p}"), F.count(p).alias(f"known_{p}_events"), F.sum(F.when(ok, F.col(p))).alias(f"complete_{p}")]
-    aggs += [F.percentile(F.when(ok, F.col(net)), F.lit(q)).alias(f"net_p{int(q * 100):02d}") for q in (0.05, 0.5, 0.95)]
-    return ledger.groupBy(*keys).agg(*aggs).join(hist, list(keys))
+    g = with_quantiles(ledger, keys, aggs, {"net": F.when(ok, F.col(net))}, {f"net_p{int(q * 100):02d}": ("net", q) for q in (0.05, 0.5, 0.95)})
+    return g.join(hist, list(keys))

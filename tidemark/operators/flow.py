@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import liq_bin, liq_bucket
 from ..session import MINUTE
+from .ordered import with_quantiles
 
 
 def order_progress(heads: DataFrame, fills: DataFrame, *, now: int, gap: int, completed: float = 0.98) -> DataFrame:
@@ -159,11 +160,12 @@ def freshness_report(attempts: DataFrame, candidates: DataFrame, *, now: int, fr
     c = candidates.join(last, "user", "left").withColumn("status", F.coalesce("status", F.lit("unobserved"))) \
         .withColumn("age_ms", F.greatest(F.lit(now) - F.col("observed_ts"), F.lit(0))).withColumn("success_age_ms", F.greatest(F.lit(now) - F.col("success_ts"), F.lit(0)))
     is_fresh = F.col("success_ts") >= now - fresh
-    return c.groupBy(*group).agg(
+    aggs = [
         F.count("*").alias("candidates"), *[F.count_if(F.col("status") == s).alias(s) for s in ("success", "empty", "failure", "unobserved")],
-        F.min("age_ms").alias("age_ms_min"), F.percentile("age_ms", F.lit(0.5)).alias("age_ms_p50"), F.max("age_ms").alias("age_ms_max"),
-        F.percentile("success_age_ms", F.lit(0.5)).alias("success_age_ms_p50"), F.count_if(is_fresh).alias("fresh_success_addresses"),
-        (F.count_if(is_fresh) / F.count("*")).alias("fresh_success_rate"), F.count_if(~F.coalesce(is_fresh, F.lit(True))).alias("stale_candidates"))
+        F.min("age_ms").alias("age_ms_min"), F.max("age_ms").alias("age_ms_max"), F.count_if(is_fresh).alias("fresh_success_addresses"),
+        (F.count_if(is_fresh) / F.count("*")).alias("fresh_success_rate"), F.count_if(~F.coalesce(is_fresh, F.lit(True))).alias("stale_candidates")]
+    ages = {x: F.col(x) for x in ("age_ms", "success_age_ms")}
+    return with_quantiles(c, group, aggs, ages, {f"{x}_p50": (x, 0.5) for x in ages})
 
 
 def public_view(frame: DataFrame, identifiers: Sequence[str], lists: Sequence[str]) -> DataFrame:

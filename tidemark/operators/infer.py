@@ -17,8 +17,7 @@ from pyspark.sql import types as T
 from ..functions.tails import student_two_sided
 from ..session import DAY, materialize
 from .asof import asof_backward
-from .ordered import exact_quantiles, value_bucket
-from .scan import running
+from .ordered import exact_quantiles, ranks
 
 
 def pick(n: Column, *parts: str | Column | int, digits: int = 8) -> Column:
@@ -314,11 +313,12 @@ def fama_macbeth_slopes(df: DataFrame, *, week: str, sector: str, y: str, signal
 
 
 def first_tie_rank(df: DataFrame, week: str, signal: str, tie: str) -> DataFrame:
-    """Percent rank within the week, ties broken by ``tie``, from a chunked running count over value buckets."""
-    d = df.withColumn("_vb", value_bucket(F.col(signal).cast("double")))
-    r = running(d, [week], [signal, tie], 1, {"_r": ("count", F.lit(1))}, ts="_vb")
-    n = d.groupBy(week).agg(F.count("*").alias("_n"))
-    return r.join(n, week).withColumn("pct_rank", F.col("_r") / F.col("_n")).drop("_vb", "_r")
+    """Percent rank within the week, ties broken by the number ``tie``: the rank among the week's values and then
+    among the rows of the same value, however many they are."""
+    r = ranks(df, [week], signal, min_rank="_r", avg_rank="_x").drop("_x")
+    r = ranks(r, [week, signal], tie, min_rank="_t", avg_rank="_x").drop("_x")
+    n = df.groupBy(week).agg(F.count("*").alias("_n"))
+    return r.join(n, week).withColumn("pct_rank", (F.col("_r") - 1 + F.col("_t")) / F.col("_n")).drop("_r", "_t")
 
 
 def decile_spread(df: DataFrame, *, week: str, signal: str, y: str, tie: str, deciles: int = 10, min_rows: int = 1) -> DataFrame:

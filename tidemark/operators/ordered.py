@@ -1,57 +1,112 @@
-"""Exact ranks and quantiles of groups too large for one task.
+"""Exact ranks and quantiles of groups too large for one task, for many columns in one pass.
 
-Distinct values are counted first (combined map-side, so a value that repeats a billion times is one row),
-then a chunked running sum over value buckets gives every value its position.
+1. Distinct values are counted per (group, column), combined map-side: a value that repeats a billion times is one row.
+2. Sampled bounds cut each column's distinct values into at most ``PARTS`` ranges of about equal size.
+3. The ranges' totals, one row each, place every range among its group's positions. They say which range holds a wanted
+   position, and only that range's values are put in order, in a task of their own.
+
+The bounds decide how evenly the work is spread, never a result. All steps read the counts of step 1 from one exchange, so
+the input itself is evaluated once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Collection, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running
+PARTS = 64
+
+
+def _same(keys: Sequence[str], left: str = "", right: str = "_k_") -> Column:
+    return reduce(and_, [F.col(f"{left}{k}").eqNullSafe(F.col(f"{right}{k}")) for k in keys])
 
-_POS = "_bucket"
 
+def _named(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in df.columns if c not in keys])
 
-def value_bucket(v: Column) -> Column:
-    """Monotone bucket of a double. Square root is correctly rounded, hence order-preserving, and its
-    fourth root spreads values of very different size."""
-    return (F.signum(v) * F.floor(F.sqrt(F.sqrt(F.abs(v))) * 100)).cast("bigint")
 
+def value_counts(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """(keys, _m, _v, _n): how often each value of each column occurs in a group; NULLs are left out."""
+    named = [F.struct(F.lit(m).alias("m"), v.cast("double").alias("v")) for m, v in columns.items()]
+    long = df.select(*keys, F.explode(F.array(*named)).alias("_x")).where("_x.v IS NOT NULL")
+    # The count stays in use in all later branches, which therefore share one exchange.
+    return long.groupBy(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_n")).where("_n > 0")
 
-def _positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    counts = (df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-              .withColumn(_POS, value_bucket(F.col("_v"))))
-    out = running(counts, keys, ["_v"], 1, {"_before": ("sum", F.col("_n"))}, ts=_POS, inclusive=False)
-    return out.withColumn("_before", F.coalesce(F.col("_before"), F.lit(0))).drop(_POS)
+
+def _ranges(counts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(counts with _part, ranges): ranges holds (keys, _m, _part, _before, _size, _total)."""
+    group = [*keys, "_m"]
+    cuts = [i / PARTS for i in range(1, PARTS)]
+    bounds = counts.groupBy(*group).agg(F.percentile_approx("_v", cuts, 2000).alias("_bounds"))
+    placed = counts.join(_named(bounds, group), _same(group)).drop(*[f"_k_{k}" for k in group])
+    placed = placed.withColumn("_part", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_v")))).drop("_bounds")
+    w = Window.partitionBy(*group)  # at most PARTS rows
+    ranges = placed.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
+    before = F.sum("_size").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return placed, ranges.withColumns({"_before": F.coalesce(before, F.lit(0)), "_total": F.sum("_size").over(w)})
 
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str, *, min_rank: str = "min_rank", avg_rank: str = "avg_rank") -> DataFrame:
     """Competition rank and average-tie rank (the Spearman rank) of each row in its group."""
-    pos = _positions(df, keys, value).select(*keys, F.col("_v").alias(value), (F.col("_before") + 1).alias(min_rank),
-                                             (F.col("_before") + (F.col("_n") + 1) / 2).alias(avg_rank))
-    return df.join(pos, [*keys, value], "left")
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], *,
-                    higher: bool = False) -> DataFrame:
-    """Linear-interpolated quantiles (``higher``: the next observed value) per group, NULLs skipped."""
-    keys = list(keys) or ["_all"]
-    if keys == ["_all"]:
-        df = df.withColumn("_all", F.lit(0))
-    pos = _positions(df, keys, value)
-    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_total"))
-    at = lambda i: F.max(F.when((F.col("_before") <= i) & (i < F.col("_before") + F.col("_n")), F.col("_v")))
-    aggs, final = [], []
-    for name, q in quantiles.items():
-        p = F.lit(q) * (F.col("_total") - 1)
-        lo, hi = F.floor(p), F.ceil(p)
-        aggs += [at(lo).alias(f"_{name}_lo"), at(hi).alias(f"_{name}_hi"), F.max(p - lo).alias(f"_{name}_w")]
-        value_at = F.col(f"_{name}_hi") if higher else (
-            F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_w"))
-        final.append(value_at.alias(name))
-    out = pos.join(total, keys).groupBy(*keys).agg(*aggs)
-    return out.select(*[k for k in keys if k != "_all"], *final)
+    placed, ranges = _ranges(value_counts(df, keys, {"v": F.col(value)}), keys)
+    part = [*keys, "_m", "_part"]
+    inside = Window.partitionBy(*part).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.join(_named(ranges.select(*part, "_before"), part), _same(part))
+    first = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    at = at.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_v").alias("_k_value"), (first + 1).alias(min_rank), (first + (F.col("_n") + 1) / 2).alias(avg_rank))
+    match = F.col(value).cast("double") == F.col("_k_value")
+    return df.join(at, _same(keys) & match if keys else match, "left").select(*df.columns, min_rank, avg_rank)
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, Column], wanted: dict[str, tuple[str, float]], *, higher: Collection[str] = (),
+              stats: dict[str, tuple[str, Callable[[Column, Column], Column]]] | None = None) -> DataFrame:
+    """(keys, names of ``wanted``, names of ``stats``): exact quantiles (name: column, share) of the groups' known values,
+    linear between two values or, for the names in ``higher``, the next observed one. ``stats`` (name: column, aggregate of
+    the values and their counts) come from the same counts. Groups without a known value have no row (with ``stats``: groups without any)."""
+    keys = list(keys)
+    if not keys:
+        return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], columns, wanted, higher=higher, stats=stats).drop("_all")
+    counts = value_counts(df, keys, columns)
+    placed, ranges = _ranges(counts, keys)
+    part = [*keys, "_m", "_part"]
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), F.lit(float(q)).alias("q")) for name, (m, q) in wanted.items()]))
+    holds = lambda i, first, n: (F.col(first) <= i) & (i < F.col(first) + F.col(n))
+    hit = ranges.withColumn("_w", asked).where("_w.m = _m").withColumn("_at", F.col("_w.q") * (F.col("_total") - 1))
+    lo, hi = F.floor("_at"), F.ceil("_at")
+    hit = hit.where(holds(lo, "_before", "_size") | holds(hi, "_before", "_size")).select(*part, "_before", "_at", F.col("_w.name").alias("_name"))
+    rows = placed.join(_named(hit, part), _same(part)).drop(*[f"_k_{c}" for c in part])
+    inside = Window.partitionBy(*part, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
+    found = {}
+    for name in wanted:
+        at = lambda i: F.max(F.when((F.col("_name") == name) & holds(i, "_first", "_n"), F.col("_v")))  # noqa: E731,B023
+        weight = F.max(F.when(F.col("_name") == name, F.col("_at") - lo))
+        # Equal ends as they are: infinite values have no difference.
+        low, high = at(lo), at(hi)
+        found[name] = high if name in higher else F.when(low == high, low).otherwise(low + (high - low) * weight)
+    out = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+    if stats:
+        aggs = []
+        for name, (m, fn) in stats.items():
+            own = F.col("_m") == m
+            aggs.append(fn(F.when(own, F.col("_v")), F.when(own, F.col("_n"))).alias(name))
+        out = counts.groupBy(*keys).agg(*aggs).join(_named(out, keys), _same(keys), "left").drop(*[f"_k_{k}" for k in keys])
+    return out
+
+
+def with_quantiles(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], columns: dict[str, Column], wanted: dict[str, tuple[str, float]], *,
+                   higher: Collection[str] = ()) -> DataFrame:
+    """``df.groupBy(keys).agg(aggs)`` with quantile columns, NULL where a group has no known value."""
+    base, found = df.groupBy(*keys).agg(*aggs), quantiles(df, keys, columns, wanted, higher=higher)
+    if not keys:
+        return base.join(F.broadcast(found), F.lit(True), "left")  # one row each
+    return base.join(_named(found, keys), _same(keys), "left").drop(*[f"_k_{k}" for k in keys])
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], *, higher: bool = False) -> DataFrame:
+    """``quantiles`` of one column."""
+    return quantiles(df, keys, {"v": F.col(value)}, {n: ("v", q) for n, q in wanted.items()}, higher=list(wanted) if higher else ())
