@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.operators import greedy
+from tidemark.operators import batches, greedy
 from tidemark.operators.events import cooldown_select, greedy_nonoverlap, purge_audit, refractory_select
 
 
@@ -51,6 +51,41 @@ def test_greedy_matches_sequential(spark, width):
     assert audit["a"] == (120, sum(k == "a" for k, _ in want))
 
 
+@pytest.mark.parametrize("levels", [1, 2, 4])
+def test_one_key_with_long_holds(spark, levels, monkeypatch):
+    """Holds longer than a chunk and than a node of the tree, chunks longer than a batch, NULLs, equal starts."""
+    monkeypatch.setattr(greedy, "FAN", 3)
+    monkeypatch.setattr(batches, "ROWS", 16)
+    rnd = random.Random(levels)
+    data = [(i, rnd.randint(0, 2000), rnd.choice((1, 30, 400, 900))) for i in range(400)]
+    df = spark.createDataFrame([(None, i, e, e + h) for i, e, h in data] + [(None, 1000, None, 5), (None, 1001, 7, None)], "k string, id long, s long, l long")
+    for width in (20, 700):
+        got = greedy.greedy_select(df, ["k"], "s", "l", ("l", "id"), width=width, levels=levels)
+        assert got.count() == 402
+        assert {r.id for r in got.where("accepted").collect()} == set(brute(sorted((e, e + h, i) for i, e, h in data)))
+
+
+def test_composition_is_the_sequence():
+    rnd = random.Random(8)
+    for _ in range(300):
+        parts, whole = [], None
+        at = 0
+        for _ in range(rnd.randint(1, 5)):
+            s = np.array(sorted(rnd.choices(range(at, at + 20), k=rnd.randint(1, 9))))
+            parts.append((s, s + np.array([rnd.randint(1, 60) for _ in s])))
+            at += 20
+        for s, l in parts:
+            own = greedy.steps(s, l)
+            whole = own if whole is None else greedy.compose(whole, own)
+        for entering in range(-2, 130):
+            last = entering
+            for s, l in parts:
+                for a, b in zip(s, l):
+                    if a >= last:
+                        last = b
+            assert greedy.apply(*whole, np.array([entering]))[0] == last
+
+
 def test_hand_checked_overlap_and_seed(spark):
     df = spark.createDataFrame([(1, 4), (2, 6), (5, 7)], "entry_ts long, exit_ts long").selectExpr("0 AS k", "*")
     kept = lambda d: sorted(r.entry_ts for r in d.where("accepted").collect())

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DAY, materialize
+from .orderstat import expanding_quantile, ranked_rows
 from .scan import CHUNK, Run, chunk_of, drawdowns, in_chunk, numbered_runs, own_rows, previous, range_halo, row_halo, running, scan
 
 
@@ -82,11 +83,9 @@ def percentile_rank(df: DataFrame, keys: Sequence[str], value: str, window: int,
     """Share (0-100) of the previous ``window`` rows' known values strictly below the current one; NULL until
     ``window`` rows exist and max(10, window // 4) of them are known."""
     need = max(10, window // 4) if min_known is None else min_known
-    h = row_halo(df, keys, ["ts"], window, width)
-    past = F.collect_list(value).over(_rows(keys, -window, -1))
-    below = F.size(F.filter(past, lambda v: v < F.col(value)))
-    ready = (F.col("_pos") > window) & (F.size(past) >= need) & F.col(value).isNotNull()
-    return own_rows(h.withColumn(out, F.when(ready, below / F.size(past) * 100)))
+    r = ranked_rows(df, keys, value, window, width=width)
+    ready = (F.col("_pos") > window) & (F.col("_known") >= need) & F.col(value).isNotNull()
+    return r.withColumn(out, F.when(ready, F.col("_below") / F.col("_known") * 100)).drop("_pos", "_below", "_known")
 
 
 def causal_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int, min_history: int, *, step: int, width: int | None,
@@ -113,12 +112,12 @@ def trailing_zscore(df: DataFrame, keys: Sequence[str], value: str, window: int,
 
 
 def expanding_tail(df: DataFrame, keys: Sequence[str], value: str, q: float, *, lower: bool, min_history: int,
-                   out: str = "event") -> DataFrame:
-    """Flag values at or beyond the quantile of all strictly earlier known values of a daily series."""
-    w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    thr = F.when((F.count(value).over(w) >= min_history) & F.col(value).isNotNull(), F.percentile(value, F.lit(q)).over(w))
-    d = df.withColumn(f"{out}_threshold", thr)
-    hit = F.col(value) <= F.col(f"{out}_threshold") if lower else F.col(value) >= F.col(f"{out}_threshold")
+                   width: int | None, out: str = "event") -> DataFrame:
+    """Flag values at or beyond the quantile of all strictly earlier known values."""
+    limit = f"{out}_threshold"
+    d = expanding_quantile(df, keys, value, q, min_history=min_history, width=width, out=limit)
+    d = d.withColumn(limit, F.when(F.col(value).isNotNull(), F.col(limit)))
+    hit = F.col(value) <= F.col(limit) if lower else F.col(value) >= F.col(limit)
     return d.withColumn(out, F.coalesce(hit, F.lit(False)))
 
 

@@ -238,7 +238,7 @@ wr AS (SELECT s.symbol, de.day, event, ln(x.open / s.open) AS ret FROM de JOIN b
 @query("E25_window_return_by_clock", use="bars", dbl="mean_event mean_all diff hit_rate mean_event_after_cost", sql=f"""WITH {CLOCK} SELECT symbol, count(*) FILTER (event) AS events, count(*) AS days, avg(ret) FILTER (event) AS mean_event, avg(ret) AS mean_all, avg(ret) FILTER (event) - avg(ret) AS diff, avg((ret > 0)::INT) FILTER (event) AS hit_rate, avg(ret) FILTER (event) - 0.0028 AS mean_event_after_cost FROM wr GROUP BY 1""")
 def _(t):
     d = B.daily_last(t.bars.where("symbol = 'purchase'"), ["symbol"], step=HOUR, complete_only=False).withColumn("ts", F.col("day") * DAY)
-    ev = W.expanding_tail(d, ["symbol"], "close", 0.4, lower=True, min_history=5).select("ts", "event")
+    ev = W.expanding_tail(d, ["symbol"], "close", 0.4, lower=True, min_history=5, width=365 * DAY).select("ts", "event")
     b = t.bars
     p = ev.join(b.select("symbol", (F.col("ts") - 5 * HOUR).alias("ts"), F.col("open").alias("a")), "ts").join(b.select("symbol", (F.col("ts") - 9 * HOUR).alias("ts"), F.col("open").alias("z")), ["symbol", "ts"])
     return Q.event_study(p.withColumn("ret", F.ln(F.col("z") / F.col("a"))), ["symbol"], ret="ret", event="event", cost=0.0014)
@@ -253,7 +253,7 @@ es AS (SELECT ep.symbol, ep.date, ep.ts, ep.ret, coalesce(cg.acc, false) AS even
 
 def study_panel(t):
     d = day_ts(t.daily).select("symbol", "date", "ts", "close")
-    f = W.expanding_tail(d, ["symbol"], "close", 0.2, lower=True, min_history=50, out="flag")
+    f = W.expanding_tail(d, ["symbol"], "close", 0.2, lower=True, min_history=50, width=365 * DAY, out="flag")
     p = f.join(d.select("symbol", (F.col("ts") - 5 * DAY).alias("ts"), F.col("close").alias("_f")), ["symbol", "ts"]).withColumn("ret", F.ln(F.col("_f") / F.col("close"))).select("symbol", "date", "ts", "ret", "flag")
     from ..session import materialize
     p = materialize(p, "study")

@@ -72,7 +72,7 @@ def _(t):
 WITH {DAILY}, th AS (SELECT *, CASE WHEN count(close) OVER w >= 50 THEN quantile_cont(close, 0.05) OVER w END AS event_threshold FROM dd WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT symbol, date, event_threshold, coalesce(close <= event_threshold, false) AS event FROM th""")
 def _(t):
-    return W.expanding_tail(day_ts(t.daily), ["symbol"], "close", 0.05, lower=True, min_history=50).select("symbol", "date", "event_threshold", "event")
+    return W.expanding_tail(day_ts(t.daily), ["symbol"], "close", 0.05, lower=True, min_history=50, width=365 * DAY).select("symbol", "date", "event_threshold", "event")
 
 
 @query("W9_complete_window_move", use="bars", dbl="move_bp", digits=4, sql=f"""
