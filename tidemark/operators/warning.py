@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .asof import asof_backward
+from .asof import asof_backward, asof_forward
 from .scan import CHUNK, own_rows, previous, range_halo
 
 
@@ -19,6 +19,26 @@ def available_prefix(bars: DataFrame, *, as_of: str, step: int, received: str |
     return bars.where(ok)
 
 
+def receipt_report(log: DataFrame, clocks: DataFrame, keys: Sequence[str], *, step: int, width: int, received: str = "received_ts") -> DataFrame:
+    """Per key and batch of a two-clock replay: rows received, on time, late, dropped by the watermark, and ``waiting``, the
+    rows complete by event time at the batch's cutoff that came later.
+
+    A row waits from the first cutoff after its completion to its own batch. Its beginning is looked up once and
+    counted there, its end in its batch; running sums over the batches give the waiting rows of each.
+    """
+    at = log.withColumn("_one", F.lit(0)).withColumn("_done", F.col("ts") + step)
+    due = asof_forward(at, clocks.select(F.lit(0).alias("_one"), "cutoff", F.col("batch").alias("due")), by=["_one"], take=["due"], width=width, left_on="_done", right_on="cutoff")
+    moves = due.withColumn("_waits", F.coalesce(F.col("due") < F.col("batch"), F.lit(False)))
+    is_ = lambda s: F.when(F.col("status") == s, 1).otherwise(0)
+    own = [F.lit(1).alias("received"), *[is_(s).alias(s) for s in ("on_time", "late", "dropped")], F.when(F.col("_waits"), -1).otherwise(0).alias("_w")]
+    began = moves.where("_waits").select(*keys, F.col("due").alias("batch"), *[F.lit(0).alias(c) for c in ("received", "on_time", "late", "dropped")], F.lit(1).alias("_w"))
+    every = log.select(*keys).distinct().join(F.broadcast(clocks.select("batch")))  # one row per batch
+    zero = every.select(*keys, "batch", *[F.lit(0).alias(c) for c in ("received", "on_time", "late", "dropped", "_w")])
+    g = moves.select(*keys, "batch", *own).unionByName(began).unionByName(zero).groupBy(*keys, "batch").agg(*[F.sum(c).alias(c) for c in ("received", "on_time", "late", "dropped", "_w")])
+    w = Window.partitionBy(*keys).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)  # one row per batch
+    return g.withColumn("waiting", F.sum("_w").over(w)).drop("_w")
+
+
 def _win(keys: Sequence[str], lo: int, hi: int):
     return Window.partitionBy(*keys, CHUNK).orderBy("ts").rangeBetween(lo, hi)
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import warning as wn
 from ..session import DAY, HOUR, scratch_path
 from ..streaming import jobs
 from .book import EPI, RULE, TICK
@@ -35,14 +36,19 @@ def drain(t, stream, name):
     return t.spark.read.schema(stream.schema).parquet(out)
 
 
+def stretches(df, ts, parts):
+    """``df`` in ``parts`` equal stretches of time."""
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    for i in range(parts):
+        upto = F.lit(low + (high - low) * (i + 1) // parts)
+        yield df.where((F.col(ts) <= upto) & (F.col(ts) > F.lit(low + (high - low) * i // parts) if i else F.col(ts) <= upto))
+
+
 def in_parts(t, df, ts, sink, name, parts=3):
     """Feed a table to a micro-batch sink in ``parts`` equal stretches of time, one batch each, and return the last batch's
     number. Each stretch is as many files as Spark writes."""
     path, ckpt = scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-ckpt")
-    low, high = df.agg(F.min(ts), F.max(ts)).first()
-    for i in range(parts):
-        upto = F.lit(low + (high - low) * (i + 1) // parts)
-        part = df.where((F.col(ts) <= upto) & (F.col(ts) > F.lit(low + (high - low) * i // parts) if i else F.col(ts) <= upto))
+    for part in stretches(df, ts, parts):
         part.write.mode("append").parquet(path)
         stream = t.spark.readStream.schema(df.schema).parquet(path)
         jobs.run_available(stream, checkpoint=ckpt, sink=sink)
@@ -79,6 +85,28 @@ def _(t):
     return drain(t, jobs.activity_sessions(stream_ticks(t), ["user_id"], gap="6 hours", delay="1 hour", coin="symbol"), "sessions")
 
 
+LIMIT, TTL = 25, 36 * HOUR
+# A user's life ends when 25 others were seen since, or after 36 silent hours before the next sighting of anyone.
+LIVES = f"""o AS (SELECT symbol, user_id, ts, event_id, row_number() OVER (PARTITION BY symbol ORDER BY ts, event_id) AS i, lag(ts) OVER (PARTITION BY symbol, user_id ORDER BY ts, event_id) AS pts FROM ticks),
+p AS (SELECT *, lag(i) OVER (PARTITION BY symbol, user_id ORDER BY i) AS pi, lead(i, 1, 1000000000) OVER (PARTITION BY symbol, user_id ORDER BY i) AS ni FROM o),
+c AS (SELECT p.symbol, p.user_id, p.i, any_value(p.ts) AS ts, any_value(p.event_id) AS event_id, any_value(p.ni) AS ni, any_value(p.pi IS NULL OR p.ts - p.pts > {TTL}) OR count(DISTINCT x.user_id) >= {LIMIT} AS fresh FROM p LEFT JOIN o x ON x.symbol = p.symbol AND x.i > p.pi AND x.i < p.i GROUP BY 1, 2, 3),
+l AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY symbol, user_id ORDER BY i) AS life FROM c),
+z AS (SELECT symbol, user_id, life, min(ts) AS first_seen_ts, max(ts) AS last_seen_ts, max(i) AS i, max(ni) AS ni, list_sort(list(DISTINCT 'c' || event_id % 3)) AS coins FROM l GROUP BY 1, 2, 3),
+e AS (SELECT symbol, max(ts) AS end_ts FROM o GROUP BY 1)
+SELECT z.symbol AS stream, z.user_id AS "user", first_seen_ts, last_seen_ts, coins FROM z JOIN e USING (symbol) WHERE ni = 1000000000 AND end_ts - last_seen_ts <= {TTL} AND (SELECT count(DISTINCT x.user_id) FROM o x WHERE x.symbol = z.symbol AND x.i > z.i) < {LIMIT}"""
+
+
+@query("T5_stream_candidate_set", use="ticks", sql=f"WITH {LIVES}")
+def _(t):
+    s = t.ticks.select(F.col("symbol").alias("stream"), F.col("user_id").alias("user"), "ts", F.col("event_id").alias("seq"), F.concat(F.lit("c"), F.col("event_id") % 3).alias("coin"))
+    out, path, ckpt = (scratch_path(t.spark, n) for n in ("candidates", "sightings", "candidates-ckpt"))
+    for part in stretches(s, "ts", 3):
+        part.write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(s.schema).parquet(path)
+        jobs.run_available(jobs.candidate_stream(stream, limit=LIMIT, ttl=TTL), checkpoint=ckpt, path=out)
+    return jobs.latest_candidates(t.spark.read.parquet(out))
+
+
 @query("T6_stream_latest_account", use="attempts", sql="""SELECT "user", max(observed_ts) AS observed_ts, arg_max(attempt_id, (observed_ts, attempt_id)) AS attempt_id, arg_max(status, (observed_ts, attempt_id)) AS status FROM attempts WHERE status <> 'failure' GROUP BY 1""")
 def _(t):
     a = t.attempts
@@ -113,6 +141,22 @@ def _(t):
     return t.spark.read.parquet(out).groupBy("side", "end_reason").agg(F.count("*").alias("episodes"), F.sum("snapshots").alias("snapshots"))
 
 
+BATCHES, DELAY = 5, 2 * DAY
+RECEIVED = f"ts + {HOUR} + CASE WHEN trades % 5 = 0 THEN trades % 11 * {DAY} ELSE 0 END"
+
+
+@query("T9_stream_two_clocks", use="bars", sql=f"""WITH r AS (SELECT symbol, ts, {RECEIVED} AS rc FROM bars), b AS (SELECT min(rc) AS lo, max(rc) AS hi FROM r),
+k AS (SELECT r.*, CASE {' '.join(f'WHEN rc <= lo + (hi - lo) * {i + 1} // {BATCHES} THEN {i}' for i in range(BATCHES))} END AS batch FROM r, b), h AS (SELECT batch, max(ts) AS m, max(rc) AS cutoff FROM k GROUP BY 1),
+w AS (SELECT batch, cutoff, max(m) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM h), s AS (SELECT DISTINCT symbol FROM r),
+c AS (SELECT batch, symbol, count(*) AS received, count(*) FILTER (high IS NULL OR ts >= high) AS on_time, count(*) FILTER (ts < high AND ts >= high - {DELAY}) AS late, count(*) FILTER (ts < high - {DELAY}) AS dropped FROM k JOIN w USING (batch) GROUP BY 1, 2)
+SELECT symbol, batch::BIGINT AS batch, coalesce(received, 0) AS received, coalesce(on_time, 0) AS on_time, coalesce(late, 0) AS late, coalesce(dropped, 0) AS dropped, (SELECT count(*) FROM r WHERE r.symbol = s.symbol AND ts + {HOUR} <= cutoff AND rc > cutoff) AS waiting FROM w CROSS JOIN s LEFT JOIN c USING (batch, symbol)""")
+def _(t):
+    b = t.bars.select("symbol", "ts", F.expr(RECEIVED).alias("received_ts"))
+    clocks, out = jobs.VersionedTable(t.spark, scratch_path(t.spark, "clocks"), jobs.CLOCKS), scratch_path(t.spark, "receipts")
+    last = in_parts(t, b, "received_ts", jobs.two_clock_sink(clocks, out, delay=DELAY), "arrivals", parts=BATCHES)
+    return wn.receipt_report(t.spark.read.parquet(out).drop("part"), clocks.read(last), ["symbol"], step=HOUR, width=7 * DAY)
+
+
 @query("T11_stream_early_warning", use="bars", sql=f"WITH {WS} SELECT symbol, ts, state FROM st")
 def _(t):
     b = t.bars

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import book as ob
@@ -53,6 +54,62 @@ def activity_sessions(events: DataFrame, keys: Sequence[str], *, gap: str, delay
             .drop("w"))
 
 
+# -- candidate set -------------------------------------------------------------------------------------
+
+CANDIDATE = T.StructType([T.StructField("user", T.LongType()), T.StructField("first_seen_ts", T.LongType()), T.StructField("last_seen_ts", T.LongType()), T.StructField("coins", T.ArrayType(T.StringType()))])
+_ENTRY = T.StructType([*CANDIDATE.fields[1:], T.StructField("turn", T.LongType())])
+
+
+class CandidateProcessor(StatefulProcessor):
+    """Least-recently-seen set of at most ``limit`` users per key: a sighting brings its user to the front, users silent for more
+    than ``ttl`` leave first, then the one whose last sighting is longest ago. Whoever returns starts a new life.
+
+    The map state holds one entry per member and so at most ``limit`` per key; a batch's sightings of a key are taken in
+    the order of their time and number."""
+
+    def __init__(self, limit: int, ttl: int):
+        self.limit, self.ttl = limit, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.members = handle.getMapState("members", T.StructType([T.StructField("user", T.LongType())]), _ENTRY)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        members = {k[0]: list(v) for k, v in sorted(self.members.iterator(), key=lambda e: e[1][3])}  # longest unseen first
+        before = set(members)
+        turn = max((m[3] for m in members.values()), default=0)
+        seen = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        for user, ts, coin in zip(seen["user"].astype("int64").tolist(), seen["ts"].astype("int64").tolist(), seen["coin"].tolist()):
+            while members and ts - next(iter(members.values()))[1] > self.ttl:
+                members.pop(next(iter(members)))
+            first, _, coins, _ = members.pop(user, (ts, ts, [], 0))
+            turn += 1
+            members[user] = [first, ts, sorted({*coins, *([coin] if coin is not None else [])}), turn]
+            if len(members) > self.limit:
+                members.pop(next(iter(members)))
+        for user in before - set(members):
+            self.members.removeKey((user,))
+        for user, entry in members.items():
+            self.members.updateValue((user,), tuple(entry))
+        out = [(key[0], turn, user, first, last, coins) for user, (first, last, coins, _) in members.items()]
+        yield pd.DataFrame(out, columns=["stream", "turn", *CANDIDATE.names])
+
+    def close(self) -> None:
+        pass
+
+
+def candidate_stream(sightings: DataFrame, *, limit: int, ttl: int) -> DataFrame:
+    """Members of each stream's candidate set after every micro-batch; ``sightings``: stream, user, ts, seq, coin. ``turn``
+    numbers the sightings taken so far, so the largest one is the latest set. Map state needs the RocksDB state store."""
+    sightings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = T.StructType([sightings.schema["stream"], T.StructField("turn", T.LongType()), *CANDIDATE.fields])
+    return sightings.groupBy("stream").transformWithStateInPandas(CandidateProcessor(limit, ttl), schema, "Append", "None")
+
+
+def latest_candidates(snapshots: DataFrame) -> DataFrame:
+    last = snapshots.groupBy("stream").agg(F.max("turn").alias("turn"))
+    return snapshots.join(last, ["stream", "turn"], "left_semi").drop("turn")
+
+
 # -- order lifecycle --------------------------------------------------------------------------------
 
 LIFECYCLE = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("cum_sz", T.DoubleType()), T.StructField("last_fill_ts", T.LongType())])
@@ -184,6 +241,26 @@ def warning_sink(history: VersionedTable, out: str, keys: Sequence[str], *, step
     return write
 
 
+CLOCKS = T.StructType([T.StructField("batch", T.LongType()), T.StructField("cutoff", T.LongType()), T.StructField("high", T.LongType())])
+
+
+def two_clock_sink(clocks: VersionedTable, out: str, *, delay: int, ts: str = "ts", received: str = "received_ts") -> Callable[[DataFrame, int], None]:
+    """Log every row of the batches by two clocks: rows come in the order of receipt, the watermark stands ``delay`` before the
+    latest event time of earlier batches. ``status``: on_time (not before that time), late (behind it, inside the
+    watermark) or dropped. ``clocks`` keeps one row per batch with its last receipt and the latest event time so far."""
+
+    def write(batch: DataFrame, version: int) -> None:
+        past = clocks.read(version - 1)
+        high = past.agg(F.max("high")).first()[0]
+        event = F.col(ts)
+        status = F.when(event >= high, "on_time").when(event >= high - delay, "late").otherwise("dropped") if high is not None else F.lit("on_time")
+        batch.select("*", F.lit(version).cast("long").alias("batch"), status.alias("status")).write.mode("overwrite").parquet(f"{out}/part={version}")
+        now = batch.agg(F.lit(version).cast("long").alias("batch"), F.max(received).alias("cutoff"), F.greatest(F.max(ts), F.lit(high).cast("long")).alias("high"))
+        clocks.write(past.unionByName(now.where("cutoff IS NOT NULL")), version)
+
+    return write
+
+
 def run_available(stream: DataFrame, *, checkpoint: str, path: str | None = None, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
     """Process everything available into Parquet or a micro-batch sink, then stop."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
