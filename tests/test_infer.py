@@ -48,7 +48,7 @@ def test_rolling_residual_two_regressors(spark):
     x, e = rng.normal(size=(n, 2)), rng.normal(size=n)
     y = x @ [1.0, 2.0] + e
     d = spark.createDataFrame([(0, i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(n)], "k int, i long, y double, a double, b double")
-    got = dict(rows(R.rolling_residual_z(d, ["k"], y="y", x=["a", "b"], order="i", window=w, min_obs=10), "i", "z"))
+    got = dict(rows(R.rolling_residual_z(d, ["k"], y="y", x=["a", "b"], order="i", window=w, min_obs=10, width=17), "i", "z"))
     for t in (5, 15, 49):
         lo = max(0, t - w)
         if t - lo < 10:

@@ -69,24 +69,19 @@ def student_tail(t: Column, df: Column) -> Column:
 STEPS, REACH = 400, 10.0
 
 
-def _density_area(start: str, df: str, engine: str) -> str:
+def _density_area(start: str, df: str) -> str:
     """SQL for the integral of cos^(df - 1) from ``start`` over REACH standard widths, at most to pi / 2, by Simpson's rule.
 
     With x = sqrt(df) tan(angle) this is the Student density up to a factor; beyond REACH widths it is below 1e-20."""
     stop = f"least(pi() / 2, {start} + {REACH} / sqrt({df}))"
     weight = f"(CASE WHEN i = 0 OR i = {STEPS} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
     value = f"{weight} * exp(({df} - 1) * ln(greatest(cos({start} + ({stop} - {start}) * i / {STEPS}), 1e-300)))"
-    total = f"aggregate(sequence(0, {STEPS}), 0D, (s, i) -> s + {value})" if engine == "spark" else f"list_sum([{value} FOR i IN range(0, {STEPS + 1})])"
-    return f"(({stop} - {start}) / {3 * STEPS} * {total})"
-
-
-def two_sided_sql(t: str, df: str, engine: str = "spark") -> str:
-    """SQL for the two-sided Student p-value of ``t``; the same arithmetic in Spark and in DuckDB."""
-    from_t = _density_area(f"atan(abs({t}) / sqrt({df}))", df, engine)
-    whole = _density_area("CAST(0 AS DOUBLE)", df, engine)
-    return f"(CASE WHEN {df} > 0 THEN least({from_t} / {whole}, 1) END)"
+    return f"(({stop} - {start}) / {3 * STEPS} * aggregate(sequence(0, {STEPS}), 0D, (s, i) -> s + {value}))"
 
 
 def student_two_sided(t: str, df: str) -> Column:
-    """Two-sided Student p-value of columns or expressions, inside the JVM."""
-    return F.expr(two_sided_sql(f"CAST({t} AS DOUBLE)", f"CAST({df} AS DOUBLE)"))
+    """Two-sided Student p-value of columns or expressions, inside the JVM; NULL where the statistic is unknown or the
+    degrees of freedom are not positive."""
+    t, df = f"CAST({t} AS DOUBLE)", f"CAST({df} AS DOUBLE)"
+    p = f"least({_density_area(f'atan(abs({t}) / sqrt({df}))', df)} / {_density_area('CAST(0 AS DOUBLE)', df)}, 1)"
+    return F.expr(f"CASE WHEN {t} IS NOT NULL AND NOT isnan({t}) AND {df} > 0 THEN {p} END")

@@ -6,7 +6,8 @@ Bootstraps first reduce rows to clusters; what is exploded is draws x clusters,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tails import student_two_sided
+from ..functions.tails import normal_tail, student_two_sided
 from ..session import DAY, materialize
-from .asof import asof_backward
+from .asof import asof_backward, at_targets
 from .ordered import exact_quantiles, ranks
+from .scan import CHUNK, Run, own_rows, row_halo
 
 
 def pick(n: Column, *parts: str | Column | int, digits: int = 8) -> Column:
@@ -106,37 +108,83 @@ def cluster_bootstrap_diff(df: DataFrame, keys: Sequence[str], *, value: str, me
 
 # -- block bootstrap --------------------------------------------------------------------------------
 
+def _draw_tasks(d: DataFrame, keys: list[str], order: str, columns: Sequence[str], draws: int, chunk: int = 50) -> DataFrame:
+    """One row per key and ``chunk`` draws with the key's whole series as arrays in order (a daily or weekly series, so
+    bounded by the calendar), spread over the cluster. Draws are made from the series where they are summed up; no row of a
+    draw leaves its task."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    g = d.groupBy(*keys).agg(rows.alias("_rows"), F.concat_ws(":", *[F.first(k).cast("string") for k in keys]).alias("_name"))
+    g = g.select(*keys, "_name", *[F.col(f"_rows.{c}").alias(f"_{c}") for c in columns])
+    spread = g.withColumn("_first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(chunk))))
+    return spread.repartition(max(1, min(256, 4 * draws // chunk)), *keys, "_first")
+
+
+def _picks(texts: list[str], n: np.ndarray | int) -> np.ndarray:
+    """``pick`` of many texts."""
+    raw = np.frombuffer(b"".join([hashlib.md5(t.encode()).digest()[:4] for t in texts]), ">u4").astype(np.int64)
+    return raw % n
+
+
 def block_bootstrap(df: DataFrame, keys: Sequence[str], *, order: str, value: str, state: str | None = None, step: int = DAY, block: int,
                     draws: int, seed: str, segments: bool = True) -> DataFrame:
     """Mean per state with interval and a state-centred two-sided p, resampling circular blocks that never
-    cross a calendar gap (``segments=False``: one circle over all rows). Keys are daily series."""
+    cross a calendar gap (``segments=False``: one circle over all rows). Keys are daily series.
+
+    A block lands on a segment with probability proportional to its length (draw a row, take its segment). A draw is so many
+    blocks; their sums are differences of the states' prefix sums over the circles, so a draw costs its blocks, not its rows.
+    """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(order)
     d = df.where(F.col(value).isNotNull() & (F.col(state).isNotNull() if state else F.lit(True)))
     gap = F.when(F.col(order) - F.lag(order).over(w) == step, 0).otherwise(1) if segments else F.when(F.row_number().over(w) == 1, 1).otherwise(0)
-    d = (d.select(*keys, order, F.col(value).alias("_v"), (F.col(state) if state else F.lit("all")).alias("state"), gap.alias("_g"))
-         .withColumn("_seg", F.sum("_g").over(w)).withColumn("_i", F.row_number().over(w) - 1)
-         .withColumn("_n", F.count("*").over(Window.partitionBy(*keys))))
-    seg = Window.partitionBy(*keys, "_seg")
-    st = Window.partitionBy(*keys, "state")
-    d = (d.withColumn("_len", F.count("*").over(seg)).withColumn("_first", F.min("_i").over(seg))
-         .withColumn("_mean", F.avg("_v").over(st)).withColumn("_c", F.col("_v") - F.col("_mean")))
-    per_key = d.where("_i = 0").select(*keys, "_n")
-    head = [F.col(k) for k in keys]
-    # A block lands on a segment with probability proportional to its length: draw a row, take its segment.
-    blocks = (per_key.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-              .withColumn("_b", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))))
-              .withColumn("_i", pick(F.col("_n"), seed, *head, F.col("draw"), F.col("_b"), "seg").cast("int"))
-              .join(d.select(*keys, "_i", "_len", "_first"), [*keys, "_i"])
-              .withColumn("_w", F.least(F.lit(block), F.col("_len")))
-              .withColumn("_start", pick(F.col("_len"), seed, *head, F.col("draw"), F.col("_b"), "start")))
-    before = Window.partitionBy(*keys, "draw").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    used = (blocks.withColumn("_done", F.coalesce(F.sum("_w").over(before), F.lit(0))).where(F.col("_done") < F.col("_n"))
-            .withColumn("_o", F.explode(F.sequence(F.lit(0), (F.least(F.col("_w"), F.col("_n") - F.col("_done")) - 1).cast("int"))))
-            .select(*keys, "draw", (F.col("_first") + (F.col("_start") + F.col("_o")) % F.col("_len")).cast("int").alias("_i")))
-    means = used.join(d.select(*keys, "_i", "state", "_v", "_c"), [*keys, "_i"]).groupBy(*keys, "draw", "state").agg(
-        F.avg("_v").alias("_bm"), F.avg("_c").alias("_nm"))
-    point = d.groupBy(*keys, "state").agg(F.avg("_v").alias("mean"), F.count("*").alias("n"))
+    d = d.select(*keys, order, F.col(value).cast("double").alias("v"), (F.col(state) if state else F.lit("all")).alias("s"), gap.alias("g"))
+    tasks = _draw_tasks(d, keys, order, ["v", "s", "g"], draws)
+    fields = [d.schema[k] for k in keys]
+
+    def resample(name: str, v: np.ndarray, codes: np.ndarray, fresh: np.ndarray, states: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sums, centred sums, counts) of each draw and state."""
+        n = len(v)
+        begin = np.flatnonzero(fresh)
+        of = np.cumsum(fresh) - 1
+        lengths = np.diff(np.r_[begin, n])
+        own = codes[:, None] == np.arange(states)
+        means = (own * v[:, None]).sum(0) / own.sum(0)
+        values = np.stack([own * v[:, None], own * (v - means[codes])[:, None], own], axis=2).astype(float)
+        prefix = np.concatenate([np.zeros((1, states, 3)), np.cumsum(values, axis=0)])
+        some = max(1, -(-n // min(block, int(lengths.max()))))
+        out = []
+        for draw in range(first, min(first + 50, draws)):
+            segment, start, total = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+            while total < n:  # more blocks until the draw is as long as the series
+                at = range(len(segment), len(segment) + some)
+                more = of[_picks([f"{seed}:{name}:{draw}:{b}:seg" for b in at], n)]
+                segment = np.r_[segment, more]
+                start = np.r_[start, _picks([f"{seed}:{name}:{draw}:{b}:start" for b in at], lengths[more])]
+                total = int(np.minimum(block, lengths[segment]).sum())
+            width = np.minimum(block, lengths[segment])
+            done = np.cumsum(width) - width
+            used = done < n
+            segment, start, width = segment[used], start[used], np.minimum(width, n - done)[used]
+            low = begin[segment] + start
+            end = low + width
+            stop = begin[segment] + lengths[segment]
+            over = np.maximum(end - stop, 0)  # what goes round the circle
+            out.append((prefix[end - over] - prefix[low] + prefix[begin[segment] + over] - prefix[begin[segment]]).sum(0))
+        got = np.array(out)
+        return got[..., 0], got[..., 1], got[..., 2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                names, codes = np.unique(np.asarray(row["_s"], object).astype(str), return_inverse=True)
+                sums, centred, counts = resample(row["_name"], np.asarray(row["_v"], float), codes, np.asarray(row["_g"], bool), len(names), int(row["_first"]))
+                draw, code = np.nonzero(counts)
+                n = counts[draw, code]
+                yield pd.DataFrame({**{k: row[k] for k in keys}, "draw": draw + int(row["_first"]), "state": names[code], "_bm": sums[draw, code] / n, "_nm": centred[draw, code] / n})
+
+    schema = T.StructType([*fields, *[T.StructField(c, t) for c, t in (("draw", T.LongType()), ("state", T.StringType()), ("_bm", T.DoubleType()), ("_nm", T.DoubleType()))]])
+    means = tasks.mapInPandas(run, schema)
+    point = d.groupBy(*keys, F.col("s").alias("state")).agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
     j = means.join(point, [*keys, "state"])
     return j.groupBy(*keys, "state").agg(
         F.first("n").alias("n"), F.first("mean").alias("mean"), F.percentile("_bm", F.lit(0.025)).alias("ci_low"), F.percentile("_bm", F.lit(0.975)).alias("ci_high"),
@@ -179,6 +227,44 @@ def permute(df: DataFrame, keys: Sequence[str], signal: str, *, order: Sequence[
     return many.drop(signal).join(shuffled, [*g, "draw", "_p"]).withColumnRenamed("_s", signal).drop("_p")
 
 
+def permuted_hac_t(df: DataFrame, keys: Sequence[str], *, y: str, x: str, order: str, lags: int, draws: int, seed: str) -> DataFrame:
+    """(keys, n, t_hac, p_greater): HAC t of the slope of y on x, and the share of ``draws`` shuffles of x whose t is at least
+    as large. Only the sums of a shuffle are kept; all shuffles of a task share the series."""
+    keys = list(keys)
+    d = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, order, F.col(y).cast("double").alias("y"), F.col(x).cast("double").alias("x"))
+    tasks = _draw_tasks(d, keys, order, ["y", "x"], draws)
+    schema = T.StructType([*[d.schema[k] for k in keys], *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("t", T.DoubleType()), ("ge", T.LongType()), ("m", T.LongType()))]])
+
+    def t_of(yy: np.ndarray, xx: np.ndarray) -> np.ndarray:
+        """HAC t of each row of ``xx`` (shuffles x time)."""
+        n = len(yy)
+        c = xx - xx.mean(1, keepdims=True)
+        sxx = (c * c).sum(1)
+        slope = (c @ yy) / sxx
+        e = yy - yy.mean() - slope[:, None] * c
+        z = c * e / sxx[:, None]
+        var = (z * z).sum(1)
+        for lag in range(1, min(lags, n - 1) + 1):
+            var = var + 2 * (1 - lag / (lags + 1)) * (z[:, lag:] * z[:, :-lag]).sum(1)
+        return np.where(var > 0, slope / np.sqrt(np.maximum(var, 1e-300)), np.nan)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                yy, xx = np.asarray(row["_y"], float), np.asarray(row["_x"], float)
+                n, first = len(yy), int(row["_first"])
+                here = range(first, min(first + 50, draws))
+                head = f"{seed}:{row['_name']}:"
+                turns = [sorted(range(n), key=[hashlib.md5(f"{head}{draw}:{i}".encode()).digest() for i in range(1, n + 1)].__getitem__) for draw in here]
+                with np.errstate(all="ignore"):
+                    real, null = t_of(yy, xx[None])[0], t_of(yy, xx[np.array(turns)])
+                yield pd.DataFrame({**{k: [row[k]] for k in keys}, "n": [n], "t": [real], "ge": [int((null >= real).sum())], "m": [len(turns)]})
+
+    g = tasks.mapInPandas(run, schema).groupBy(*keys).agg(F.first("n").alias("n"), F.first("t").alias("t_hac"), F.sum("ge").alias("_ge"), F.sum("m").alias("_m"))
+    known = F.when(~F.isnan("t_hac"), F.col("t_hac"))
+    return g.select(*keys, "n", known.alias("t_hac"), F.when(known.isNotNull(), F.col("_ge") / F.col("_m")).alias("p_greater"))
+
+
 # -- t tests ----------------------------------------------------------------------------------------
 
 def welch_t(df: DataFrame, keys: Sequence[str], value: str, top: Column, bottom: Column) -> DataFrame:
@@ -206,19 +292,18 @@ _FIT = T.StructType([T.StructField("beta", T.ArrayType(T.DoubleType())), T.Struc
 
 @F.pandas_udf(_FIT)
 def _solve(xtx: pd.Series, xty: pd.Series) -> pd.DataFrame:
-    """Normal equations of one row: ``xtx`` is the flattened k x k moment matrix."""
-    beta, inv = [], []
-    for a, b in zip(xtx, xty):
-        if a is None or b is None or any(v is None for v in a) or any(v is None for v in b):
-            beta.append(None), inv.append(None)
-            continue
-        y = np.asarray(b, float)
-        m = np.asarray(a, float).reshape(len(y), len(y))
-        if not np.isfinite(m).all() or np.linalg.cond(m) > 1e14:
-            beta.append(None), inv.append(None)
-            continue
-        i = np.linalg.inv(m)
-        beta.append((i @ y).tolist()), inv.append(i.ravel().tolist())
+    """Normal equations, all rows of a batch in one stacked solve: ``xtx`` is the flattened k x k moment matrix. NULL where a
+    moment is unknown or the matrix is singular."""
+    beta, inv = [None] * len(xtx), [None] * len(xtx)
+    known = [i for i, (a, b) in enumerate(zip(xtx, xty)) if a is not None and b is not None]
+    if known:
+        y = np.array([np.asarray(xty.iloc[i], float) for i in known])
+        m = np.array([np.asarray(xtx.iloc[i], float) for i in known]).reshape(len(known), y.shape[1], y.shape[1])
+        good = np.isfinite(m).all((1, 2)) & np.isfinite(y).all(1)
+        good[good] = np.linalg.cond(m[good]) <= 1e14
+        inverse = np.linalg.inv(m[good])
+        for i, b, a in zip(np.array(known)[good].tolist(), np.einsum("nij,nj->ni", inverse, y[good]).tolist(), inverse.reshape(len(inverse), -1).tolist()):
+            beta[i], inv[i] = b, a
     return pd.DataFrame({"beta": beta, "inv": inv})
 
 
@@ -265,7 +350,7 @@ def ols_hac(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], ord
 
 
 def hac_mean(df: DataFrame, keys: Sequence[str], value: str, *, order: str, lags: int) -> DataFrame:
-    """Mean with a Bartlett long-run standard error."""
+    """Mean with a Bartlett long-run standard error and its two-sided p."""
     keys = list(keys)
     d = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     part = Window.partitionBy(*keys)
@@ -275,7 +360,7 @@ def hac_mean(df: DataFrame, keys: Sequence[str], value: str, *, order: str, lags
     for l in range(1, lags + 1):
         q = q + F.when(F.lit(l) <= F.col("_n") - 1, F.coalesce(2 * (1 - l / (F.least(F.lit(lags), F.col("_n") - 1) + 1)) * F.col("_u") * F.lag("_u", l).over(w), F.lit(0.0))).otherwise(0.0)
     g = d.withColumn("_q", q).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), (F.sqrt(F.greatest(F.sum("_q"), F.lit(0.0))) / F.count("*")).alias("se"))
-    return g.withColumn("t_hac", F.when(F.col("se") > 0, F.col("mean") / F.col("se")))
+    return g.withColumn("t_hac", F.when(F.col("se") > 0, F.col("mean") / F.col("se"))).withColumn("p_value", student_two_sided("t_hac", "n - 1"))
 
 
 def winsor_bounds(df: DataFrame, week: str, columns: dict[str, float]) -> DataFrame:
@@ -334,50 +419,61 @@ def book_return(y: str, weight: str) -> Column:
     return F.try_divide(F.sum(F.when(ok, F.col(y) * F.col(weight))), F.sum(F.when(ok, F.col(weight))))
 
 
-def rolling_residual_z(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], order: str, window: int, min_obs: int) -> DataFrame:
+def rolling_residual_z(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], order: str, window: int, min_obs: int, width: int) -> DataFrame:
     """y minus its fit from the previous ``window`` rows, over that fit's residual sd. Moments come from one
-    window pass; SSE = y'y - beta . X'y needs no second one. Daily series."""
+    window pass over blocks of rows with the rows before them; SSE = y'y - beta . X'y needs no second one."""
     known = F.col(y).isNotNull()
     for c in x:
         known = known & F.col(c).isNotNull()
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(order).rowsBetween(-window, -1)
     cols = [F.lit(1.0), *[F.col(c) for c in x]]
     over = lambda v: F.sum(F.when(known, v)).over(w)
     xtx, xty = _moments(cols, F.col(y), over)
-    d = df.withColumn("_n", F.count(F.when(known, 1)).over(w)).withColumn("_yy", over(F.col(y) * F.col(y))).withColumn("_b", xty)
+    d = row_halo(df, keys, [order], window, width, ts=order).withColumn("_n", F.count(F.when(known, 1)).over(w)).withColumn("_yy", over(F.col(y) * F.col(y))).withColumn("_b", xty)
     d = d.withColumn("_f", F.when(known & (F.col("_n") >= min_obs), _solve(xtx, xty)))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     sd = F.sqrt(F.try_divide(F.col("_yy") - dot(F.col("_f.beta"), F.col("_b")), F.col("_n") - len(cols)))
     z = F.when(known & (sd > 0), (F.col(y) - dot(F.array(*cols), F.col("_f.beta"))) / sd)
-    return d.withColumn("z", z).drop("_n", "_yy", "_b", "_f")
+    return own_rows(d.withColumn("z", z)).drop("_n", "_yy", "_b", "_f")
 
 
-def expanding_forecast(df: DataFrame, keys: Sequence[str], *, y: str, x: Sequence[str], ts: str, horizon: int, min_train: int, name: str) -> DataFrame:
-    """Prediction from an OLS refit at every row on the rows whose target window has closed by then; also the
-    residual variance. Expanding moments in one RANGE frame per daily series."""
-    w = Window.partitionBy(*keys).orderBy(ts).rangeBetween(Window.unboundedPreceding, -horizon)
-    known = F.col(y).isNotNull()
-    for c in x:
+def expanding_forecasts(df: DataFrame, keys: Sequence[str], *, y: str, models: dict[str, Sequence[str]], ts: str, horizon: int, width: int) -> DataFrame:
+    """Forecasts of any number of models refitted at every row by OLS on the rows whose target window has closed by then.
+
+    The models share the rows that have all their regressors and the target. All sums of products of regressors and target
+    up to ``horizon`` before each row are read off one scan of running sums, split over chunks of time; each model solves its
+    own part of the matrix. Adds n_train, pred_mean and s2_mean, and pred_<name> and s2_<name> (residual variance).
+    """
+    xs = list(dict.fromkeys(c for m in models.values() for c in m))
+    known = F.col(y).isNotNull() & F.lit(True)
+    for c in xs:
         known = known & F.col(c).isNotNull()
-    cols = [F.lit(1.0), *[F.col(c) for c in x]]
-    over = lambda v: F.sum(F.when(known, v)).over(w)
-    xtx, xty = _moments(cols, F.col(y), over)
-    d = df.withColumn("_n", F.count(F.when(known, 1)).over(w)).withColumn("_yy", over(F.col(y) * F.col(y))).withColumn("_b", xty)
-    d = d.withColumn("_f", F.when(known & (F.col("_n") >= min_train), _solve(xtx, xty)))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    pred = dot(F.array(*cols), F.col("_f.beta"))
-    s2 = F.try_divide(F.col("_yy") - dot(F.col("_f.beta"), F.col("_b")), F.col("_n") - len(cols))
-    return d.withColumn(f"pred_{name}", pred).withColumn(f"s2_{name}", F.greatest(s2, F.lit(0.0))).withColumn(f"n_train_{name}", F.col("_n")).drop("_n", "_yy", "_b", "_f")
+    names = ["_1", *xs, y]
+    right = df.where(known).select(*keys, ts, F.lit(1.0).alias("_1"), *[F.col(c).cast("double").alias(c) for c in (*xs, y)])
+    cell = lambda i, j: f"m{min(i, j)}_{max(i, j)}"
+    sums = {cell(i, j): Run("sum", F.col(f"_right.{names[i]}") * F.col(f"_right.{names[j]}")) for i in range(len(names)) for j in range(i, len(names))}
+    d = at_targets(df, right, by=keys, targets={"_past": F.col(ts) - horizon}, found=sums, width=width, right_on=ts, right_tie=[], take=names)
+    m = lambda i, j: F.col(f"_past.{cell(i, j)}")
+    last, n = len(names) - 1, m(0, 0)
+    d = d.withColumns({"n_train": F.coalesce(n, F.lit(0.0)).cast("bigint"), "pred_mean": F.try_divide(m(0, last), n), "s2_mean": F.when(n > 1, F.greatest((m(last, last) - m(0, last) * m(0, last) / n) / (n - 1), F.lit(0.0)))})
+    for name, columns in models.items():
+        at = [0, *[names.index(c) for c in columns]]
+        b = F.array(*[m(i, last) for i in at])
+        d = d.withColumn("_f", F.when(n > len(at), _solve(F.array(*[m(i, j) for i in at for j in at]), b)))
+        dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        pred = dot(F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns]), F.col("_f.beta"))
+        d = d.withColumns({f"pred_{name}": pred, f"s2_{name}": F.greatest((m(last, last) - dot(F.col("_f.beta"), b)) / (n - len(at)), F.lit(0.0))}).drop("_f")
+    return d.drop("_past")
 
 
 # -- forecast comparison ----------------------------------------------------------------------------
 
 def clark_west(df: DataFrame, keys: Sequence[str], *, y: str, small: str, big: str, order: str, lags: int) -> DataFrame:
-    """Statistic that the larger nested model forecasts better (one-sided)."""
+    """Statistic that the larger nested model forecasts better, with its one-sided normal p."""
     e = lambda c: (F.col(y) - F.col(c)) * (F.col(y) - F.col(c))
     gap = F.col(small) - F.col(big)
     d = df.withColumn("_cw", e(small) - (e(big) - gap * gap))
-    return hac_mean(d, keys, "_cw", order=order, lags=lags).select(*keys, "n", F.col("mean").alias("cw_mean"), F.col("t_hac").alias("cw_t"))
+    return hac_mean(d, keys, "_cw", order=order, lags=lags).select(*keys, "n", F.col("mean").alias("cw_mean"), F.col("t_hac").alias("cw_t"), normal_tail(F.col("t_hac")).alias("cw_p"))
 
 
 def oos_r2(df: DataFrame, keys: Sequence[str], *, y: str, small: str, big: str) -> DataFrame:

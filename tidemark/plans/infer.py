@@ -4,7 +4,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.tails import two_sided_sql
 from ..operators import events as E
 from ..operators import infer as R
 from ..operators.asof import window_total
@@ -19,6 +18,20 @@ from .windows import REG, day_ts, regimes
 MONTH = "strftime(make_timestamp(detect_ts * 1000), '%Y-%m')"
 
 
+def beta_sql(t: str, df: str) -> str:
+    """Two-sided Student p by the power series of the regularised incomplete beta function, on the side where it converges
+    fast."""
+    y = f"({t} * {t} / ({df} + {t} * {t}))"
+
+    def series(a: str, b: str, x: str) -> str:
+        lx = f"ln(greatest({x}, 1e-300::DOUBLE))"
+        front = f"exp({a} * {lx} + {b} * ln(greatest(1 - {x}, 1e-300::DOUBLE)) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) / {a}"
+        return f"({front} * list_sum([exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * {lx}) FOR i IN range(0, 600)]))"
+
+    half = f"(({df}) / 2.0::DOUBLE)"
+    return f"CASE WHEN {t} IS NULL OR isnan({t}) OR NOT {df} > 0 THEN NULL WHEN {t} * {t} < {df} THEN 1 - {series('0.5::DOUBLE', half, y)} ELSE {series(half, '0.5::DOUBLE', f'(1 - {y})')} END"
+
+
 def month(c: str = "detect_ts"):
     return F.date_format(F.timestamp_millis(c), "yyyy-MM")
 
@@ -73,9 +86,9 @@ bx AS (SELECT symbol, state, any_value(b9.n) AS n, any_value(b9.mean) AS mean, q
  least((1 + count(*) FILTER (abs(nm) >= abs(b9.mean))) / (count(*) + 1), 1) AS p_value, count(*) / {draws} AS valid_draw_share FROM b8 JOIN b9 USING (symbol, state) GROUP BY 1, 2)"""
 
 
-@query("R4_block_bootstrap", use="daily", dbl="mean ci_low ci_high draw_sd p_value valid_draw_share", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, regime AS state, next_return AS v FROM reg WHERE regime IS NOT NULL AND next_return IS NOT NULL), {block_sql('s0', 40, 5, 'bb')} SELECT * FROM bx")
+@query("R4_block_bootstrap", use="daily", dbl="mean ci_low ci_high draw_sd p_value valid_draw_share", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, regime AS state, next_return AS v FROM reg WHERE regime IS NOT NULL AND next_return IS NOT NULL), {block_sql('s0', 2000, 5, 'bb')} SELECT * FROM bx")
 def _(t):
-    return R.block_bootstrap(regimes(t), ["symbol"], order="ts", value="next_return", state="regime", block=5, draws=40, seed="bb")
+    return R.block_bootstrap(regimes(t), ["symbol"], order="ts", value="next_return", state="regime", block=5, draws=2000, seed="bb")
 
 
 T0, T1 = 1_704_067_200_000, 1_706_400_000_000
@@ -96,16 +109,19 @@ def _(t):
     return R.null_percentile(real, null, ["symbol"], value="net_bp")
 
 
-@query("R6_permutation", use="daily", dbl="slope p_greater", sql=f"""WITH {REG}, p0 AS (SELECT symbol, ts, trend_return AS z, next_return AS y FROM reg WHERE trend_return IS NOT NULL AND next_return IS NOT NULL),
-p1 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p FROM p0), p2 AS (SELECT *, unnest(range(25)) AS draw FROM p1),
-p3 AS (SELECT symbol, draw, z, row_number() OVER (PARTITION BY symbol, draw ORDER BY md5('pm:' || symbol || ':' || draw || ':' || p)) AS p FROM p2),
-p4 AS (SELECT a.symbol, a.draw, regr_slope(a.y, b.z) AS s FROM p2 a JOIN p3 b ON a.symbol = b.symbol AND a.draw = b.draw AND a.p = b.p GROUP BY 1, 2), o AS (SELECT symbol, regr_slope(y, z) AS slope FROM p0 GROUP BY 1)
-SELECT symbol, slope, count(*) FILTER (s >= slope) / count(*) AS p_greater FROM p4 JOIN o USING (symbol) GROUP BY 1, 2""")
+PERM = 2000
+
+
+@query("R6_permutation", use="daily", dbl="t_hac p_greater", sql=f"""WITH {REG}, p0 AS (SELECT symbol, ts, trend_return AS z, next_return AS y, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS p, count(*) OVER (PARTITION BY symbol) AS n FROM reg WHERE trend_return IS NOT NULL AND next_return IS NOT NULL),
+p2 AS (SELECT symbol, z, p, unnest(range(-1, {PERM})) AS draw FROM p0), p3 AS (SELECT symbol, draw, z, row_number() OVER (PARTITION BY symbol, draw ORDER BY CASE WHEN draw >= 0 THEN md5('pm:' || symbol || ':' || draw || ':' || p) END, p) AS p FROM p2),
+p4 AS (SELECT a.symbol, b.draw, a.p, a.n, b.z - avg(b.z) OVER w AS c, a.y - avg(a.y) OVER w AS y FROM p0 a JOIN p3 b ON a.symbol = b.symbol AND a.p = b.p WINDOW w AS (PARTITION BY a.symbol, b.draw)),
+p5 AS (SELECT symbol, draw, sum(c * y) / sum(c * c) AS b, sum(c * c) AS s FROM p4 GROUP BY 1, 2), p6 AS (SELECT p4.symbol, p4.draw, p, n, b, c * (y - b * c) / s AS u FROM p4 JOIN p5 USING (symbol, draw)),
+p7 AS (SELECT symbol, draw, any_value(n) AS n, any_value(b) AS b, sum(q) AS v FROM (SELECT *, u * u + {' + '.join(f"coalesce(2 * (1 - {l} / 6.0::DOUBLE) * u * lag(u, {l}) OVER (PARTITION BY symbol, draw ORDER BY p), 0)" for l in range(1, 6))} AS q FROM p6) GROUP BY 1, 2),
+p8 AS (SELECT symbol, draw, n, CASE WHEN v > 0 THEN b / sqrt(v) END AS t FROM p7)
+SELECT symbol, any_value(n) FILTER (draw = -1) AS n, any_value(t) FILTER (draw = -1) AS t_hac, count(*) FILTER (draw >= 0 AND t >= (SELECT r.t FROM p8 r WHERE r.symbol = p8.symbol AND r.draw = -1)) / {PERM} AS p_greater FROM p8 GROUP BY 1""")
 def _(t):
-    d = regimes(t).select("symbol", "ts", F.col("trend_return").alias("z"), F.col("next_return").alias("y")).where("z IS NOT NULL AND y IS NOT NULL")
-    m = R.permute(d, ["symbol"], "z", order=["ts"], draws=25, seed="pm").groupBy("symbol", "draw").agg(F.regr_slope("y", "z").alias("s"))
-    o = d.groupBy("symbol").agg(F.regr_slope("y", "z").alias("slope"))
-    return m.join(o, "symbol").groupBy("symbol", "slope").agg((F.count_if(F.col("s") >= F.col("slope")) / F.count("*")).alias("p_greater"))
+    d = regimes(t).select("symbol", "ts", F.col("trend_return").alias("z"), F.col("next_return").alias("y"))
+    return R.permuted_hac_t(d, ["symbol"], y="y", x="z", order="ts", lags=5, draws=PERM, seed="pm")
 
 
 @query("R6_within_group_shuffle", use="equities", dbl="slope", sql="""WITH p0 AS (SELECT year(date) AS yr, code // 5 AS sector, code, date, ln(turnover) AS z, close AS y FROM equities),
@@ -121,7 +137,7 @@ def _(t):
 @query("R7_welch_t", use="cross_section", dbl="mean_diff t_stat dof p_value", sql=f"""
 WITH g AS (SELECT yr, count(y) FILTER (signal >= 3) AS n_top, count(y) FILTER (signal <= 1) AS n_bottom, avg(y) FILTER (signal >= 3) AS ma, avg(y) FILTER (signal <= 1) AS mb, var_samp(y) FILTER (signal >= 3) / count(y) FILTER (signal >= 3) AS va, var_samp(y) FILTER (signal <= 1) / count(y) FILTER (signal <= 1) AS vb FROM cross_section WHERE y IS NOT NULL GROUP BY 1)
 SELECT yr, n_top, n_bottom, ma - mb AS mean_diff, (ma - mb) / sqrt(va + vb) AS t_stat, (va + vb) * (va + vb) / (va * va / (n_top - 1) + vb * vb / (n_bottom - 1)) AS dof,
- {two_sided_sql('((ma - mb) / sqrt(va + vb))', '((va + vb) * (va + vb) / (va * va / (n_top - 1) + vb * vb / (n_bottom - 1)))', 'duckdb')} AS p_value FROM g""")
+ {beta_sql('((ma - mb) / sqrt(va + vb))', '((va + vb) * (va + vb) / (va * va / (n_top - 1) + vb * vb / (n_bottom - 1)))')} AS p_value FROM g""")
 def _(t):
     return R.welch_t(t.cross.where("y IS NOT NULL"), ["yr"], "y", F.col("signal") >= 3, F.col("signal") <= 1)
 
@@ -136,15 +152,15 @@ hq AS (SELECT *, z * z + {terms} AS q FROM hz),
 hs AS (SELECT {keys}, any_value(n) AS n, any_value(hb_) AS estimate, sqrt(greatest(sum(q){' * any_value(n) / (any_value(n) - 2)' if small else ''}, 0)) AS se FROM hq GROUP BY {keys})"""
 
 
-@query("R8_newey_west_slope", use="daily", dbl="estimate se t_hac p_value", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, trend_return AS x, next_return AS y FROM reg), {hac_sql('s0', 'symbol', 'y', 'x', 'ts', 5, True)} SELECT symbol, n, estimate, se, estimate / se AS t_hac, {two_sided_sql('(estimate / se)', '(n - 2)', 'duckdb')} AS p_value FROM hs")
+@query("R8_newey_west_slope", use="daily", dbl="estimate se t_hac p_value", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, trend_return AS x, next_return AS y FROM reg), {hac_sql('s0', 'symbol', 'y', 'x', 'ts', 5, True)} SELECT symbol, n, estimate, se, estimate / se AS t_hac, {beta_sql('(estimate / se)', '(n - 2)')} AS p_value FROM hs")
 def _(t):
     d = regimes(t).select("symbol", "ts", F.col("trend_return").alias("x"), F.col("next_return").alias("y"))
     return R.ols_hac(d, ["symbol"], y="y", x=["x"], order="ts", lags=5, small_sample=True).where("term = 'x'").drop("term")
 
 
-@query("R8_hac_mean", use="daily", dbl="mean se t_hac", sql=f"""WITH {REG}, u AS (SELECT symbol, ts, next_return AS v, next_return - avg(next_return) OVER (PARTITION BY symbol) AS u FROM reg WHERE next_return IS NOT NULL),
-q AS (SELECT symbol, v, u * u + {' + '.join(f'coalesce(2 * (1 - {l} / 5.0::DOUBLE) * u * lag(u, {l}) OVER (PARTITION BY symbol ORDER BY ts), 0)' for l in range(1, 5))} AS q FROM u)
-SELECT symbol, count(*) AS n, avg(v) AS mean, sqrt(greatest(sum(q), 0)) / count(*) AS se, avg(v) / (sqrt(greatest(sum(q), 0)) / count(*)) AS t_hac FROM q GROUP BY 1""")
+@query("R8_hac_mean", use="daily", dbl="mean se t_hac p_value", sql=f"""WITH {REG}, u AS (SELECT symbol, ts, next_return AS v, next_return - avg(next_return) OVER (PARTITION BY symbol) AS u FROM reg WHERE next_return IS NOT NULL),
+q AS (SELECT symbol, v, u * u + {' + '.join(f'coalesce(2 * (1 - {l} / 5.0::DOUBLE) * u * lag(u, {l}) OVER (PARTITION BY symbol ORDER BY ts), 0)' for l in range(1, 5))} AS q FROM u),
+g AS (SELECT symbol, count(*) AS n, avg(v) AS mean, sqrt(greatest(sum(q), 0)) / count(*) AS se, avg(v) / (sqrt(greatest(sum(q), 0)) / count(*)) AS t_hac FROM q GROUP BY 1) SELECT *, {beta_sql('t_hac', '(n - 1)')} AS p_value FROM g""")
 def _(t):
     return R.hac_mean(regimes(t), ["symbol"], "next_return", order="ts", lags=4)
 
@@ -184,8 +200,8 @@ def _(t):
     return slopes(t)
 
 
-@query("R10_fama_macbeth_mean", use="cross_section", dbl="mean se t_hac", sql=f"""WITH {FM}, u AS (SELECT *, slope - avg(slope) OVER () AS u FROM fm), q AS (SELECT slope, u * u + coalesce(2 * 0.5::DOUBLE * u * lag(u) OVER (ORDER BY yr), 0) AS q FROM u)
-SELECT 'signal' AS test, count(*) AS n, avg(slope) AS mean, sqrt(greatest(sum(q), 0)) / count(*) AS se, avg(slope) / (sqrt(greatest(sum(q), 0)) / count(*)) AS t_hac FROM q""")
+@query("R10_fama_macbeth_mean", use="cross_section", dbl="mean se t_hac p_value", sql=f"""WITH {FM}, u AS (SELECT *, slope - avg(slope) OVER () AS u FROM fm), q AS (SELECT slope, u * u + coalesce(2 * 0.5::DOUBLE * u * lag(u) OVER (ORDER BY yr), 0) AS q FROM u),
+g AS (SELECT 'signal' AS test, count(*) AS n, avg(slope) AS mean, sqrt(greatest(sum(q), 0)) / count(*) AS se, avg(slope) / (sqrt(greatest(sum(q), 0)) / count(*)) AS t_hac FROM q) SELECT *, {beta_sql('t_hac', '(n - 1)')} AS p_value FROM g""")
 def _(t):
     return R.hac_mean(slopes(t).withColumn("test", F.lit("signal")), ["test"], "slope", order="yr", lags=1)
 
@@ -202,7 +218,15 @@ def _(t):
     return t.cross.where("y IS NOT NULL").groupBy("yr").agg(R.book_return("y", "weight").alias("book_return"))
 
 
-@query("R12_book_alpha", use="equities")
+@query("R12_book_alpha", use="equities", dbl="estimate se t_hac p_value", sql=f"""WITH e AS (SELECT code, epoch_ms(date::TIMESTAMP) AS ts, shares, turnover, ln(close / lag(close) OVER (PARTITION BY code ORDER BY date)) AS r FROM equities),
+d AS (SELECT ts, sum(r * shares) / sum(shares) AS y, sum(r * turnover) / sum(turnover) AS m, avg(r) - sum(r * turnover) / sum(turnover) AS s FROM e WHERE r IS NOT NULL GROUP BY 1), a AS (SELECT count(*) AS n, avg(m) AS mm, avg(s) AS ms, avg(y) AS my FROM d),
+c AS (SELECT sum((m - mm) * (m - mm)) AS mm2, sum((s - ms) * (s - ms)) AS ss2, sum((m - mm) * (s - ms)) AS msx, sum((m - mm) * (y - my)) AS mxy, sum((s - ms) * (y - my)) AS sxy FROM d, a),
+b AS (SELECT *, mm2 * ss2 - msx * msx AS det, (mxy * ss2 - sxy * msx) / (mm2 * ss2 - msx * msx) AS bm, (sxy * mm2 - mxy * msx) / (mm2 * ss2 - msx * msx) AS bs FROM c),
+z AS (SELECT d.*, n, mm, ms, bm, bs, my - bm * mm - bs * ms AS b0, (ss2 * (m - mm) - msx * (s - ms)) / det AS wm, (mm2 * (s - ms) - msx * (m - mm)) / det AS ws FROM d, a, b),
+u AS (SELECT ts, n, unnest(['const', 'market', 'size']) AS term, unnest([b0, bm, bs]) AS estimate, unnest([1 / n - mm * wm - ms * ws, wm, ws]) * (y - b0 - bm * m - bs * s) AS u FROM z),
+q AS (SELECT *, u * u + {' + '.join(f"coalesce(2 * (1 - {l} / 6.0::DOUBLE) * u * lag(u, {l}) OVER (PARTITION BY term ORDER BY ts), 0)" for l in range(1, 6))} AS q FROM u),
+g AS (SELECT term, any_value(n) AS n, any_value(estimate) AS estimate, sqrt(greatest(sum(q), 0)) AS se, any_value(estimate) / sqrt(greatest(sum(q), 0)) AS t_hac FROM q GROUP BY 1)
+SELECT 'long_book' AS k, *, {beta_sql('t_hac', '(n - 3)')} AS p_value FROM g""")
 def _(t):
     e = day_ts(t.equities)
     p = previous(e, ["code"], ["ts"], None, ["close"]).withColumn("r", F.ln(F.col("close") / F.col("prev_close"))).where("r IS NOT NULL")
@@ -223,37 +247,35 @@ def returns(t):
 w AS (SELECT *, count(xk) OVER w AS n, regr_slope(yk, xk) OVER w AS b, regr_intercept(yk, xk) OVER w AS a, regr_syy(yk, xk) OVER w AS syy, regr_sxy(yk, xk) OVER w AS sxy FROM k WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
 SELECT code, date, CASE WHEN n >= 30 AND x IS NOT NULL AND y IS NOT NULL AND syy - b * sxy > 0 THEN (y - a - b * x) / sqrt((syy - b * sxy) / (n - 2)) END AS z FROM w""")
 def _(t):
-    return R.rolling_residual_z(returns(t), ["code"], y="y", x=["x"], order="ts", window=60, min_obs=30).select("code", "date", "z")
+    return R.rolling_residual_z(returns(t), ["code"], y="y", x=["x"], order="ts", window=60, min_obs=30, width=365 * DAY).select("code", "date", "z")
 
 
 @query("R14_basket_signal", use="equities", dbl="signal", digits=5, sql=f"""WITH {RES}, k AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END AS xk, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN y END AS yk FROM r0),
 w AS (SELECT *, count(xk) OVER w AS n, regr_slope(yk, xk) OVER w AS b, regr_intercept(yk, xk) OVER w AS a, regr_syy(yk, xk) OVER w AS syy, regr_sxy(yk, xk) OVER w AS sxy FROM k WINDOW w AS (PARTITION BY code ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))
 SELECT date, count(*) AS members, avg((y - a - b * x) / sqrt((syy - b * sxy) / (n - 2))) AS signal FROM w WHERE n >= 30 AND x IS NOT NULL AND y IS NOT NULL AND syy - b * sxy > 0 GROUP BY 1""")
 def _(t):
-    z = R.rolling_residual_z(returns(t), ["code"], y="y", x=["x"], order="ts", window=60, min_obs=30).where("z IS NOT NULL")
+    z = R.rolling_residual_z(returns(t), ["code"], y="y", x=["x"], order="ts", window=60, min_obs=30, width=365 * DAY).where("z IS NOT NULL")
     return z.groupBy("date").agg(F.count("*").alias("members"), F.avg("z").alias("signal"))
 
 
 FC = f"""{REG}, f0 AS (SELECT symbol, ts, date, log_return AS x, ln(realized_vol) AS lv, lead(ln(realized_vol)) OVER (PARTITION BY symbol ORDER BY ts) AS yy FROM reg),
-fk AS (SELECT *, CASE WHEN lv IS NOT NULL AND yy IS NOT NULL THEN lv END AS xk, CASE WHEN lv IS NOT NULL AND yy IS NOT NULL THEN yy END AS yk FROM f0),
-fw AS (SELECT *, count(xk) OVER w AS n, regr_slope(yk, xk) OVER w AS b, regr_intercept(yk, xk) OVER w AS a, regr_syy(yk, xk) OVER w AS syy, regr_sxy(yk, xk) OVER w AS sxy, avg(yk) OVER w AS my, var_samp(yk) OVER w AS vy FROM fk WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {3 * DAY} PRECEDING)),
-fo AS (SELECT symbol, ts, date, yy AS target, my AS pred_mean, vy AS s2_mean, a + b * lv AS pred_big, (syy - b * sxy) / (n - 2) AS s2_big FROM fw WHERE n >= 20 AND lv IS NOT NULL AND yy IS NOT NULL)"""
+fk AS (SELECT *, x IS NOT NULL AND lv IS NOT NULL AND yy IS NOT NULL AS ok, CASE WHEN ok THEN lv END AS xk, CASE WHEN ok THEN x END AS zk, CASE WHEN ok THEN yy END AS yk FROM f0),
+fw AS (SELECT *, count(xk) OVER w AS n, regr_slope(yk, xk) OVER w AS b, regr_intercept(yk, xk) OVER w AS a, regr_syy(yk, xk) OVER w AS syy, regr_sxy(yk, xk) OVER w AS sxy, avg(yk) OVER w AS my, var_samp(yk) OVER w AS vy,
+ avg(xk) OVER w AS mx, avg(zk) OVER w AS mz, regr_sxx(yk, xk) OVER w AS sxx, regr_sxx(yk, zk) OVER w AS szz, regr_sxy(zk, xk) OVER w AS sxz, regr_sxy(yk, zk) OVER w AS szy FROM fk WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {3 * DAY} PRECEDING)),
+fb AS (SELECT *, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS b1, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS b2 FROM fw),
+fo AS (SELECT symbol, ts, date, yy AS target, my AS pred_mean, vy AS s2_mean, a + b * lv AS pred_big, (syy - b * sxy) / (n - 2) AS s2_big, my + b1 * (lv - mx) + b2 * (x - mz) AS pred_two, (syy - b1 * sxy - b2 * szy) / (n - 3) AS s2_two FROM fb WHERE n >= 20 AND ok)"""
 
 
 def forecasts(t):
-    r = regimes(t)
     w = Window.partitionBy("symbol").orderBy("ts")  # daily series
-    d = r.select("symbol", "ts", "date", F.ln("realized_vol").alias("lv")).withColumn("target", F.lead("lv").over(w))
-    d = R.expanding_forecast(d, ["symbol"], y="target", x=["lv"], ts="ts", horizon=3 * DAY, min_train=20, name="big")
-    x = Window.partitionBy("symbol").orderBy("ts").rangeBetween(Window.unboundedPreceding, -3 * DAY)
-    known = F.when(F.col("lv").isNotNull() & F.col("target").isNotNull(), F.col("target"))
-    d = d.withColumn("pred_mean", F.avg(known).over(x)).withColumn("s2_mean", F.var_samp(known).over(x))
-    return d.where("n_train_big >= 20 AND lv IS NOT NULL AND target IS NOT NULL")
+    d = regimes(t).select("symbol", "ts", "date", F.col("log_return").alias("x"), F.ln("realized_vol").alias("lv")).withColumn("target", F.lead("lv").over(w))
+    d = R.expanding_forecasts(d, ["symbol"], y="target", models={"big": ["lv"], "two": ["lv", "x"]}, ts="ts", horizon=3 * DAY, width=365 * DAY)
+    return d.where("n_train >= 20 AND lv IS NOT NULL AND x IS NOT NULL AND target IS NOT NULL")
 
 
-@query("R15_expanding_ols_forecast", use="daily", dbl="target pred_mean s2_mean pred_big s2_big", sql=f"WITH {FC} SELECT * FROM fo")
+@query("R15_expanding_ols_forecast", use="daily", dbl="target pred_mean s2_mean pred_big s2_big pred_two s2_two", sql=f"WITH {FC} SELECT * FROM fo")
 def _(t):
-    return forecasts(t).select("symbol", "ts", "date", "target", "pred_mean", "s2_mean", "pred_big", "s2_big")
+    return forecasts(t).select("symbol", "ts", "date", "target", "pred_mean", "s2_mean", "pred_big", "s2_big", "pred_two", "s2_two")
 
 
 @query("R16_har_features", use="bars", dbl="rv_1d rv_7d fwd_vol low high", sql=f"""
@@ -279,9 +301,9 @@ def _(t):
     return wide.join(path, ["symbol", "t"], "left")
 
 
-@query("R17_clark_west", use="daily", dbl="cw_mean cw_t", sql=f"""WITH {FC}, c AS (SELECT symbol, ts, pow(target - pred_mean, 2) - (pow(target - pred_big, 2) - pow(pred_mean - pred_big, 2)) AS v FROM fo), u AS (SELECT *, v - avg(v) OVER (PARTITION BY symbol) AS u FROM c),
-q AS (SELECT symbol, v, u * u + {' + '.join(f'coalesce(2 * (1 - {l} / 4.0::DOUBLE) * u * lag(u, {l}) OVER (PARTITION BY symbol ORDER BY ts), 0)' for l in range(1, 4))} AS q FROM u)
-SELECT symbol, count(*) AS n, avg(v) AS cw_mean, avg(v) / (sqrt(greatest(sum(q), 0)) / count(*)) AS cw_t FROM q GROUP BY 1""")
+@query("R17_clark_west", use="daily", dbl="cw_mean cw_t cw_p", sql=f"""WITH {FC}, c AS (SELECT symbol, ts, pow(target - pred_mean, 2) - (pow(target - pred_big, 2) - pow(pred_mean - pred_big, 2)) AS v FROM fo), u AS (SELECT *, v - avg(v) OVER (PARTITION BY symbol) AS u FROM c),
+q AS (SELECT symbol, v, u * u + {' + '.join(f'coalesce(2 * (1 - {l} / 4.0::DOUBLE) * u * lag(u, {l}) OVER (PARTITION BY symbol ORDER BY ts), 0)' for l in range(1, 4))} AS q FROM u),
+g AS (SELECT symbol, count(*) AS n, avg(v) AS cw_mean, avg(v) / (sqrt(greatest(sum(q), 0)) / count(*)) AS cw_t FROM q GROUP BY 1) SELECT *, 0.5 - sign(cw_t) * exp(-cw_t * cw_t / 2) / sqrt(2 * pi()) * list_sum([exp((2 * i + 1) * ln(greatest(abs(cw_t), 1e-300::DOUBLE)) - (i + 1) * ln(2) - lgamma(i + 1.5::DOUBLE) + 0.5::DOUBLE * ln(pi())) FOR i IN range(0, 200)]) AS cw_p FROM g""")
 def _(t):
     return R.clark_west(forecasts(t), ["symbol"], y="target", small="pred_mean", big="pred_big", order="ts", lags=3)
 
@@ -352,7 +374,7 @@ def _(t):
     return R.autocorrelation(regimes(t), ["symbol"], "next_return", order="ts", lags=[1, 2, 3, 4])
 
 
-@query("R21_block_intervals", use="daily", dbl="mean ci_low ci_high t_equivalent", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, 'all' AS state, next_return AS v FROM reg WHERE next_return IS NOT NULL), {block_sql('s0', 40, 8, 'sc').replace('CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) = %d THEN 0 ELSE 1 END' % DAY, 'CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) = 1 THEN 1 ELSE 0 END')} SELECT symbol, n, mean, ci_low, ci_high, mean / draw_sd AS t_equivalent FROM bx")
+@query("R21_block_intervals", use="daily", dbl="mean ci_low ci_high t_equivalent", sql=f"WITH {REG}, s0 AS (SELECT symbol, ts, 'all' AS state, next_return AS v FROM reg WHERE next_return IS NOT NULL), {block_sql('s0', 2000, 8, 'sc').replace('CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) = %d THEN 0 ELSE 1 END' % DAY, 'CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) = 1 THEN 1 ELSE 0 END')} SELECT symbol, n, mean, ci_low, ci_high, mean / draw_sd AS t_equivalent FROM bx")
 def _(t):
-    b = R.block_bootstrap(regimes(t), ["symbol"], order="ts", value="next_return", block=8, draws=40, seed="sc", segments=False)
+    b = R.block_bootstrap(regimes(t), ["symbol"], order="ts", value="next_return", block=8, draws=2000, seed="sc", segments=False)
     return b.select("symbol", "n", "mean", "ci_low", "ci_high", (F.col("mean") / F.col("draw_sd")).alias("t_equivalent"))
