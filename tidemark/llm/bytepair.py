@@ -21,7 +21,7 @@ Ranks decide merges: least rank first, leftmost of equals; a piece that is itsel
 public library for such rank files. No special tokens: their strings are ordinary text.
 
 Bounds: the rank table (some 50,000 entries, half a megabyte of file) is broadcast; a worker keeps the tokens of at most
-``PIECES`` distinct pieces and forgets all of them beyond that, which costs time alone. A text is one row of one task.
+``PIECES`` distinct pieces, lately met ones longer, which costs time alone. A text is one row of one task.
 
 Defined results: NULL and empty texts have no tokens and decode to no bytes; repeated rows are each returned; a NULL doc_id
 is returned as NULL; other columns are ignored; empty tables give empty results. Decoding an id outside the vocabulary
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 
 BLOCK = 16_384  # characters of a leaf of the text's tree
 LEAF = 16  # bytes of a leaf of a piece's tree
-PIECES = 200_000
+PIECES = 400_000
 BATCH = 1 << 18  # tokens decoded at once
 
 
@@ -94,6 +94,25 @@ class Splitter:
         return n
 
 
+class Pieces(dict):
+    """Tokens of the pieces met, in two generations of half of ``PIECES``: when the younger one is full it becomes the elder,
+    whose pieces come back as they are met again."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.encode, self.elder = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.elder.get(piece)
+        if ids is None:
+            ids = np.array(self.encode(piece.encode()), np.int32).tobytes()
+        if len(self) >= PIECES // 2:
+            self.elder = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Codec:
     """Encoder and decoder of one rank table."""
 
@@ -105,25 +124,13 @@ class Codec:
         self.lengths = np.fromiter(map(len, self.tokens), np.int64, len(self.tokens))
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
-        self.known: dict[str, bytes] = {}
+        self.known = Pieces(self.piece)
         self.fits: dict[tuple[int, int], bool] = {}
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        known, pieces = self.known, self.splitter.split(text)
-        try:
-            return np.frombuffer(b"".join([known[p] for p in pieces]), np.int32)
-        except KeyError:
-            out = []
-            for p in pieces:
-                ids = known.get(p)
-                if ids is None:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    ids = known[p] = np.array(self.piece(p.encode()), np.int32).tobytes()
-                out.append(ids)
-            return np.frombuffer(b"".join(out), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.splitter.split(text))), np.int32)
 
     def piece(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
