@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,34 @@ def available_prefix(bars: DataFrame, *, as_of: str, step: int, received: str |
     return bars.where(ok)
 
 
+def prefix_problems(bars: DataFrame, keys: Sequence[str], *, as_of: str, step: int, mode: str = "observed", received: str = "received_ts") -> DataFrame:
+    """``bars`` with ``problem``: NULL for a bar of the causal prefix, else why it is no part of it. not_complete, not_received
+    and not_yet_received only mean that the bar is not there yet; all other reasons are faults, looked at in the prefix
+    alone, so that a later payload can't change a past result."""
+    end, cutoff = F.col("ts") + step, F.col(as_of)
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    priced, amounts = F.lit(True), F.lit(True)
+    for c in prices:
+        priced = priced & finite(c.cast("double")) & (c > 0)
+    o, h, l, c = prices
+    quote, buy = F.col("quote_volume").cast("double"), F.col("taker_buy_quote").cast("double")
+    for v in (quote, buy):
+        amounts = amounts & (v.isNull() | (finite(v) & (v >= 0)))
+    problem = F.when(F.col("ts") % step != 0, "misaligned_time").when(end > cutoff, "not_complete")
+    if mode == "observed":
+        at = F.col(received)
+        problem = problem.when(at.isNull(), "not_received").when(at < end, "received_before_completion").when(at > cutoff, "not_yet_received")
+    problem = (problem.when(~F.coalesce(priced, F.lit(False)), "invalid_price").when(~((l <= F.least(o, c)) & (F.greatest(o, c) <= h)), "invalid_ohlc_order")
+               .when(~F.coalesce(amounts, F.lit(False)), "invalid_volume").when(buy.isNotNull() & (quote.isNull() | (buy > quote)), "taker_above_total"))
+    d = bars.withColumn("_p", problem)
+    # A time that two bars of the prefix share is a fault of both; only times are counted, so no key is in one task.
+    twice = d.where("_p IS NULL").groupBy(*keys, "ts").agg(F.count("*").alias("_n")).where("_n > 1")
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in (*keys, "ts")]
+    j = d.join(twice.select(*[F.col(k).alias(f"_k_{k}") for k in (*keys, "ts")], "_n"), reduce(and_, same), "left")
+    return j.select(*bars.columns, F.when(F.col("_p").isNotNull(), F.col("_p")).when(F.col("_n").isNotNull(), "duplicate_time").alias("problem"))
+
+
 def receipt_report(log: DataFrame, clocks: DataFrame, keys: Sequence[str], *, step: int, width: int, received: str = "received_ts") -> DataFrame:
     """Per key and batch of a two-clock replay: rows received, on time, late, dropped by the watermark, and ``waiting``, the
     rows complete by event time at the batch's cutoff that came later.
@@ -77,10 +107,15 @@ def _median(values: list[Column]) -> Column:
 
 
 def warning_states(bars: DataFrame, keys: Sequence[str], *, step: int, width: int, context: int = 60, short: int = 15, confirm: int = 5, confirm_bars: int = 2,
-                   reclaim: int = 3, pressure: float = 0.1, compression: float = 0.6, near_atr: float = 1.0, breakout_volume: float = 1.5) -> DataFrame:
+                   reclaim: int = 3, pressure: float = 0.1, compression: float = 0.6, near_atr: float = 1.0, breakout_volume: float = 1.5,
+                   second: DataFrame | None = None, levels: DataFrame | None = None) -> DataFrame:
     """Metrics, flags, confirmation and state at the close of every bar.
 
-    Levels come from the ``context`` bars before the confirmation blocks, blocks are aligned to ``confirm`` bars.
+    Levels come from the ``context`` bars before the confirmation blocks, blocks are aligned to ``confirm`` bars. With
+    ``levels`` (keys, support, resistance, known_at, expires_at) the latest one known at the bar's close counts while it has not
+    expired, and only bars that begin at or after its ``known_at`` can confirm or reclaim it; without a valid one the state is
+    insufficient_data. ``second`` are the bars of another market of the same keys: where its context window is complete at
+    the same close, its flow adds flags of its own (..._second); otherwise it says nothing.
     States: support_lost > price_breakout_confirmed > breakout_faded > early_watch > neutral, insufficient_data
     when the needed history has a gap.
     """
@@ -117,11 +152,23 @@ def warning_states(bars: DataFrame, keys: Sequence[str], *, step: int, width: in
         d = look(d, last_block - i * size, {"close": f"_c{i}", "_ratio": f"_r{i}"})
     vol_end = F.col("ts") + step - short * step
     d = look(d, (F.floor(vol_end / size) * size - step).cast("bigint"), {"_scale": "atr"})
-    # closes inside the short window relative to support, only bars starting at or after the reference end
+    # closes inside the short window relative to support, only bars starting at or after the levels became known
     ref_end = F.col("ts") + step - F.col("_end_gap") - confirm_bars * size
+    if levels is None:
+        d = d.withColumn("_known", ref_end)
+    else:
+        at = d.drop("resistance", "support").withColumn("_close_ts", F.col("ts") + step)
+        found = asof_backward(at, levels, by=keys, take=["support", "resistance", "expires_at"], width=width, left_on="_close_ts", right_on="known_at", prefix="_l_")
+        valid = (F.col("_l_support") > 0) & (F.col("_l_support") <= F.col("_l_resistance")) & (F.col("_l_expires_at").isNull() | (F.col("_l_expires_at") > F.col("_close_ts")))
+        d = found.withColumns({"support": F.when(valid, F.col("_l_support")), "resistance": F.when(valid, F.col("_l_resistance")), "_known": F.when(valid, F.col("_l_source_ts"))})
+        d = d.drop("_close_ts", *[c for c in d.columns if c.startswith("_l_")])
+    if second is not None:
+        other = window_metrics(second, keys, {"short": short, "context": context}, step=step, width=width)
+        names = {f"second_{w}_{m}": F.when(F.col("context_return").isNotNull(), F.col(f"{w}_{m}")) for w in ("short", "context") for m in ("return", "imbalance")}
+        d = d.join(other.select(*keys, "ts", *[c.alias(n) for n, c in names.items()]), [*keys, "ts"], "left")
     hh = range_halo(d, width, back=(short - 1) * step)
     recent = F.collect_list(F.struct("ts", "close")).over(_win(keys, -(short - 1) * step, 0))
-    d = own_rows(hh.withColumn("_recent", F.filter(F.array_sort(recent), lambda b: b.ts >= ref_end)))
+    d = own_rows(hh.withColumn("_recent", F.filter(F.array_sort(recent), lambda b: b.ts >= F.col("_known"))))
     tail = F.slice("_recent", -reclaim, reclaim)
     head = F.slice(F.col("_recent"), F.lit(1), F.greatest(F.size("_recent") - reclaim, F.lit(0)))
     reclaimed = (F.size("_recent") > reclaim) & F.exists(head, lambda b: b.close < F.col("support")) & F.forall(tail, lambda b: b.close > F.col("support"))
@@ -130,12 +177,16 @@ def warning_states(bars: DataFrame, keys: Sequence[str], *, step: int, width: in
     ratio = F.when(F.col("_prior_ranges") > 0, F.col("short_range") / F.col("_prior_ranges"))
     price_ok, volume_ok = F.lit(True), F.lit(False)
     for i in range(confirm_bars):
-        price_ok = price_ok & F.coalesce(F.col(f"_c{i}") > F.col("resistance"), F.lit(False))
+        begins = F.col("ts") + step - F.col("_end_gap") - (i + 1) * size
+        price_ok = price_ok & F.coalesce((F.col(f"_c{i}") > F.col("resistance")) & (begins >= F.col("_known")), F.lit(False))
         volume_ok = volume_ok | F.coalesce(F.col(f"_r{i}") >= breakout_volume, F.lit(False))
     resil = lambda p: F.when((F.col(f"{p}_imbalance") <= -pressure) & (F.col(f"{p}_return") >= 0), f"sell_resilience_{p}")
+    buys = lambda p: near & (F.col(f"{p}short_imbalance") >= pressure) & (F.col(f"{p}short_return") > 0)
+    more = second is not None
     flags = F.array_compact(F.array(
-        resil("short"), resil("context"), F.when(near & (ratio <= compression), "compression_near_resistance"),
-        F.when(near & (F.col("short_imbalance") >= pressure) & (F.col("short_return") > 0), "buy_pressure_near_resistance"),
+        resil("short"), resil("context"), *[F.when((F.col(f"second_{w}_imbalance") <= -pressure) & (F.col(f"second_{w}_return") >= 0), f"sell_resilience_second_{w}") for w in ("short", "context") if more],
+        F.when(near & (ratio <= compression), "compression_near_resistance"), F.when(buys(""), "buy_pressure_near_resistance"),
+        *[F.when(buys("second_"), "buy_pressure_near_resistance_second") for _ in range(more)],
         F.when(reclaimed, "support_reclaimed"), F.when(price_ok, "resistance_close_confirmation")))
     ready = (F.col("_have") == need) & F.col("support").isNotNull() & (F.col("support") != F.col("resistance"))
     above = F.col("close") > F.col("resistance")
@@ -147,10 +198,12 @@ def warning_states(bars: DataFrame, keys: Sequence[str], *, step: int, width: in
                       "price_confirmed", "volume_confirmed", F.when(F.col("state") == "insufficient_data", F.array().cast("array<string>")).otherwise(F.col("flags")).alias("flags"), "state")
 
 
-def publishable_state(state: str, *, age: Column, max_age: int, clock_valid: Column, reference_expires: Column, published: Column) -> Column:
-    """What may be shown live: invalid clock, then an expired reference, then staleness."""
-    return (F.when(~clock_valid, "invalid_clock").when(reference_expires.isNotNull() & (reference_expires <= published), "expired_reference")
-            .when(age > max_age, "stale_data").otherwise(F.col(state)))
+def publishable_state(state: str, *, age: Column, max_age: int, clock_valid: Column, reference_expires: Column, published: Column, mode: Column | str = "observed") -> Column:
+    """What may be shown live: nothing without data, a market-time replay only as such, then an invalid clock, an expired
+    reference and staleness."""
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return (F.when(F.col(state) == "insufficient_data", "insufficient_data").when(mode == "market_time_replay", "historical_replay").when(~clock_valid, "invalid_clock")
+            .when(reference_expires.isNotNull() & (reference_expires <= published), "expired_reference").when(age > max_age, "stale_data").otherwise(F.col(state)))
 
 
 def flow_and_volume(bars: DataFrame, keys: Sequence[str], n: int, *, step: int, width: int) -> DataFrame:

@@ -245,11 +245,48 @@ def _(t):
     return states(t).select("symbol", "ts", "atr", "compression", "resistance", "near_resistance", "price_confirmed", "volume_confirmed", F.array_join("flags", ",").alias("flags"))
 
 
-@query("L6_warning_state", use="bars", sql=f"WITH {WS} SELECT symbol, ts, state, CASE WHEN ts % {5 * HOUR} = 0 THEN 'invalid_clock' WHEN ts % {7 * HOUR} = 0 THEN 'expired_reference' WHEN ts % {3 * HOUR} = 0 THEN 'stale_data' ELSE state END AS publishable FROM st")
+SINCE = f"coalesce(c0 > resistance AND ts + {HOUR} - gap - {2 * HOUR} >= known, false) AND coalesce(c1 > resistance AND ts + {HOUR} - gap - {4 * HOUR} >= known, false) AS pok"
+WS2 = WS.replace("coalesce(c0 > resistance, false) AND coalesce(c1 > resistance, false) AS pok", SINCE).replace(f"x.t >= ts + {HOUR} - gap - {4 * HOUR}", "x.t >= known") \
+    .replace("\nz AS (", f"""\nlv AS (SELECT symbol, min(low) AS support, max(high) AS resistance, (ts // {DAY}) * {DAY} + {27 * HOUR} AS known, CASE WHEN (ts // {DAY}) % 3 <> 0 THEN (ts // {DAY}) * {DAY} + {63 * HOUR} END AS expires FROM bars GROUP BY 1, 4, 5),
+wl AS (SELECT w.* EXCLUDE (support, resistance), CASE WHEN l.support > 0 AND (expires IS NULL OR expires > w.ts + {HOUR}) THEN l.support END AS support, CASE WHEN l.support > 0 AND (expires IS NULL OR expires > w.ts + {HOUR}) THEN l.resistance END AS resistance, CASE WHEN l.support > 0 AND (expires IS NULL OR expires > w.ts + {HOUR}) THEN known END AS known
+ FROM w ASOF LEFT JOIN lv l ON w.symbol = l.symbol AND w.ts + {HOUR} >= l.known),
+pm AS (SELECT symbol, ts, short_imbalance AS psi, short_return AS psr, context_imbalance AS pci, context_return AS pcr FROM (SELECT symbol, ts, close{WM} FROM perp_bars {WN}) WHERE context_return IS NOT NULL),\nz AS (""").replace("AS rec FROM w WINDOW", "AS rec FROM wl WINDOW") \
+    .replace("CASE WHEN near AND comp <= 0.6", "CASE WHEN psi <= -0.1 AND psr >= 0 THEN 'sell_resilience_second_short' END, CASE WHEN pci <= -0.1 AND pcr >= 0 THEN 'sell_resilience_second_context' END, CASE WHEN near AND comp <= 0.6") \
+    .replace("CASE WHEN recl THEN", "CASE WHEN near AND psi >= 0.1 AND psr > 0 THEN 'buy_pressure_near_resistance_second' END, CASE WHEN recl THEN").replace("AS flags FROM y)", "AS flags FROM y LEFT JOIN pm USING (symbol, ts))")
+
+
+@query("L4_L5_two_markets", use="bars perp_bars", dbl="support resistance", sql=f"WITH {WS2} SELECT symbol, ts, support, resistance, near AS near_resistance, pok AS price_confirmed, array_to_string(CASE WHEN state = 'insufficient_data' THEN [] ELSE flags END, ',') AS flags, state FROM st")
+def _(t):
+    day = F.floor(F.col("ts") / DAY) * DAY
+    lv = t.bars.groupBy("symbol", day.alias("day")).agg(F.min("low").alias("support"), F.max("high").alias("resistance"))
+    lv = lv.select("symbol", "support", "resistance", (F.col("day") + 27 * HOUR).alias("known_at"), F.when((F.col("day") / DAY).cast("long") % 3 != 0, F.col("day") + 63 * HOUR).alias("expires_at"))
+    out = wn.warning_states(t.bars, ["symbol"], step=HOUR, width=BW, second=t.perp_bars, levels=lv, **CFG)
+    return out.select("symbol", "ts", "support", "resistance", "near_resistance", "price_confirmed", F.array_join("flags", ",").alias("flags"), "state")
+
+
+BAD = """bad AS (SELECT symbol, ts + CASE WHEN trades % 17 = 0 THEN 7 ELSE 0 END + CASE WHEN trades % 19 = 0 THEN 3600000 ELSE 0 END AS ts, CASE WHEN trades % 7 = 0 THEN -open ELSE open END AS open, CASE WHEN trades % 11 = 0 THEN low / 2 ELSE high END AS high, low, CASE WHEN trades % 13 = 0 THEN 'nan'::DOUBLE ELSE close END AS close,
+ CASE WHEN trades % 5 = 0 THEN NULL ELSE quote_volume END AS quote_volume, CASE WHEN trades % 6 = 0 THEN -1.0 WHEN trades % 9 = 0 THEN quote_volume * 2 ELSE taker_buy_quote END AS taker_buy_quote, CASE WHEN trades % 8 = 0 THEN NULL WHEN trades % 10 = 0 THEN ts ELSE ts + 3600000 + trades * 86400000 END AS rc FROM bars)"""
+
+
+@query("L1_prefix_problems", use="bars", sql=f"""WITH {BAD}, q AS (SELECT symbol, ts, CASE WHEN ts % {HOUR} <> 0 THEN 'misaligned_time' WHEN ts + {HOUR} > {AS_OF} THEN 'not_complete' WHEN rc IS NULL THEN 'not_received' WHEN rc < ts + {HOUR} THEN 'received_before_completion' WHEN rc > {AS_OF} THEN 'not_yet_received'
+ WHEN NOT (isfinite(open) AND isfinite(high) AND isfinite(low) AND isfinite(close) AND open > 0 AND high > 0 AND low > 0 AND close > 0) THEN 'invalid_price' WHEN NOT (low <= least(open, close) AND greatest(open, close) <= high) THEN 'invalid_ohlc_order' WHEN quote_volume < 0 OR taker_buy_quote < 0 THEN 'invalid_volume'
+ WHEN taker_buy_quote IS NOT NULL AND (quote_volume IS NULL OR taker_buy_quote > quote_volume) THEN 'taker_above_total' END AS p FROM bad),
+r AS (SELECT *, count(*) FILTER (p IS NULL) OVER (PARTITION BY symbol, ts) AS n FROM q) SELECT symbol, coalesce(p, CASE WHEN n > 1 THEN 'duplicate_time' END, 'in_prefix') AS problem, count(*) AS bars FROM r GROUP BY 1, 2""")
+def _(t):
+    k = lambda m: F.col("trades") % m == 0
+    b = t.bars.withColumn("received_ts", F.when(k(8), None).when(k(10), F.col("ts")).otherwise(F.col("ts") + HOUR + F.col("trades") * DAY))
+    b = b.withColumns({"ts": F.col("ts") + F.when(k(17), 7).otherwise(0) + F.when(k(19), HOUR).otherwise(0), "open": F.when(k(7), -F.col("open")).otherwise(F.col("open")), "high": F.when(k(11), F.col("low") / 2).otherwise(F.col("high")),
+                       "close": F.when(k(13), float("nan")).otherwise(F.col("close")), "taker_buy_quote": F.when(k(6), -1.0).when(k(9), F.col("quote_volume") * 2).otherwise(F.col("taker_buy_quote"))})
+    b = b.withColumn("quote_volume", F.when(k(5), None).otherwise(F.col("quote_volume"))).withColumn("as_of", F.lit(AS_OF))
+    d = wn.prefix_problems(b, ["symbol"], as_of="as_of", step=HOUR)
+    return d.groupBy("symbol", F.coalesce("problem", F.lit("in_prefix")).alias("problem")).agg(F.count("*").alias("bars"))
+
+
+@query("L6_warning_state", use="bars", sql=f"WITH {WS} SELECT symbol, ts, state, CASE WHEN state = 'insufficient_data' THEN state WHEN ts % {11 * HOUR} = 0 THEN 'historical_replay' WHEN ts % {5 * HOUR} = 0 THEN 'invalid_clock' WHEN ts % {7 * HOUR} = 0 THEN 'expired_reference' WHEN ts % {3 * HOUR} = 0 THEN 'stale_data' ELSE state END AS publishable FROM st")
 def _(t):
     ts = F.col("ts")
     p = wn.publishable_state("state", age=F.when(ts % (3 * HOUR) == 0, 2 * HOUR).otherwise(0), max_age=HOUR, clock_valid=ts % (5 * HOUR) != 0,
-                             reference_expires=F.when(ts % (7 * HOUR) == 0, ts), published=ts)
+                             reference_expires=F.when(ts % (7 * HOUR) == 0, ts), published=ts, mode=F.when(ts % (11 * HOUR) == 0, "market_time_replay").otherwise("observed"))
     return states(t).select("symbol", "ts", "state", p.alias("publishable"))
 
 

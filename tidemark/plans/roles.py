@@ -60,9 +60,18 @@ class Tables:
 
     @property
     def bars(self) -> DataFrame:
+        return self.bars_of(self.ticks)
+
+    @property
+    def perp_bars(self) -> DataFrame:
+        """A second market of the same symbols: every other tick, so with gaps of its own."""
+        return self.bars_of(self.ticks.where("event_id % 2 = 0"))
+
+    @staticmethod
+    def bars_of(ticks: DataFrame) -> DataFrame:
         usd = F.col("px") * F.col("sz")
         order = F.struct("ts", "event_id")
-        return (self.ticks.groupBy("symbol", (F.floor(F.col("ts") / HOUR) * HOUR).alias("bar_ts"))
+        return (ticks.groupBy("symbol", (F.floor(F.col("ts") / HOUR) * HOUR).alias("bar_ts"))
                 .agg(F.min_by("px", order).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
                      F.max_by("px", order).alias("close"), F.sum("sz").alias("volume"), F.sum(usd).alias("quote_volume"),
                      F.count("*").alias("trades"), F.sum(F.when(F.col("side") == "B", usd).otherwise(0.0)).alias("taker_buy_quote"))
@@ -198,6 +207,9 @@ _SQL = {
     "bars": ("ticks", f"""SELECT symbol, (ts // {HOUR}) * {HOUR} AS ts, first(px ORDER BY t.ts, event_id) AS open, max(px) AS high,
         min(px) AS low, last(px ORDER BY t.ts, event_id) AS close, sum(sz) AS volume, sum(px * sz) AS quote_volume, count(*) AS trades,
         sum(CASE WHEN side = 'B' THEN px * sz ELSE 0 END) AS taker_buy_quote FROM ticks t GROUP BY symbol, (t.ts // {HOUR}) * {HOUR}"""),
+    "perp_bars": ("ticks", f"""SELECT symbol, (ts // {HOUR}) * {HOUR} AS ts, first(px ORDER BY t.ts, event_id) AS open, max(px) AS high,
+        min(px) AS low, last(px ORDER BY t.ts, event_id) AS close, sum(sz) AS volume, sum(px * sz) AS quote_volume, count(*) AS trades,
+        sum(CASE WHEN side = 'B' THEN px * sz ELSE 0 END) AS taker_buy_quote FROM ticks t WHERE event_id % 2 = 0 GROUP BY symbol, (t.ts // {HOUR}) * {HOUR}"""),
     "funding": ("ticks", "SELECT user_id, ts, event_id, (px - 20) / 10000 AS rate FROM ticks WHERE symbol = 'signup'"),
     "decisions": ("ticks", "SELECT user_id, ts, event_id, px, side FROM ticks WHERE symbol = 'purchase'"),
     "daily": ("", """SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS date, arg_max(o_totalprice, o_orderkey) AS close,
