@@ -1,5 +1,7 @@
 """Event ledgers, paths, scenarios, funding legs and book arithmetic: hand-checked numbers."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,8 +129,9 @@ def test_walls(spark):
 
 
 def fold(rows_, **kw):
-    base = dict(usd=100.0, is_wall=True, distance=50.0, next_distance=60.0, next_cov=1e9, next_crossed=False)
-    return ob.fold_level([{**base, **r} for r in rows_], 0.5, 150_000, 20.0)
+    base = dict(stream=1, side="bid", px=1.0, usd=100.0, is_wall=True, distance=50.0, next_distance=60.0, next_cov=1e9, next_crossed=False, **dict.fromkeys(ob._EPISODE))
+    table = pa.Table.from_pylist([{**base, **r} for r in rows_])
+    return [e for t in ob._fold(0.5, 150_000, 20.0, False)(table, np.array([0])) for e in t.to_pylist()]
 
 
 def test_wall_episode_endings():

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import book as bk
 from ..functions.scalar import fixed_bins
 from .asof import asof_nearest
+from .batches import by_group, spans
 from .infer import cluster_bootstrap_diff
 from .joins import pairs
 from .ordered import quantiles, with_quantiles
+from .scan import Run, scan
 
 
 def _snapshot_quantiles(metrics: DataFrame, keys: Sequence[str], aggs: Sequence[Column], complete: dict[str, tuple[str, float]], impact: dict[str, tuple[str, float]]) -> DataFrame:
@@ -61,93 +65,101 @@ EPISODE = T.StructType([T.StructField(n, t) for n, t in (
     ("stream", T.LongType()), ("side", T.StringType()), ("px", T.DoubleType()), ("start_ms", T.LongType()), ("last_seen_ms", T.LongType()),
     ("end_ms", T.LongType()), ("end_reason", T.StringType()), ("snapshots", T.LongType()), ("first_usd", T.DoubleType()), ("last_usd", T.DoubleType()),
     ("max_usd", T.DoubleType()), ("first_distance_bp", T.DoubleType()), ("min_distance_bp", T.DoubleType()), ("duration_sec", T.DoubleType()))])
-
-
-def _close_reason(row: dict, near: float, max_gap: int, approach: float) -> tuple[str, int]:
-    if row["next_ts"] is None or row["next_ts"] != row["next_ts"]:
-        return "censored_at_end", int(row["ts"])
-    if row["next_ts"] - row["ts"] > max_gap:
-        return "observation_gap", int(row["ts"])
-    end = int(row["next_ts"])
-    if row["next_crossed"]:
-        return "price_crossed", end
-    if row["next_distance"] > row["next_cov"]:
-        return "out_of_view", end
-    return ("removed_after_approach" if min(near, row["next_distance"]) <= approach else "removed_while_mid_away"), end
-
-
-def fold_level(rows: list[dict], persist: float, max_gap: int, approach: float) -> list[dict]:
-    """Episodes of one price level. ``rows`` are the snapshots that show the level, in order, each with the
-    following snapshot's view of it (next_*)."""
-    out, ep, last = [], None, None
-
-    def close() -> None:
-        reason, end = _close_reason(last, ep["min_distance_bp"], max_gap, approach)
-        out.append({**ep, "end_reason": reason, "end_ms": end, "duration_sec": (ep["last_seen_ms"] - ep["start_ms"]) / 1000})
-
-    for r in rows:
-        if ep is not None:
-            adjacent = last["next_ts"] == r["ts"] and r["ts"] - last["ts"] <= max_gap
-            if adjacent and (r["is_wall"] or r["usd"] >= persist * ep["max_usd"]):
-                ep.update(last_seen_ms=int(r["ts"]), snapshots=ep["snapshots"] + 1, last_usd=r["usd"], max_usd=max(ep["max_usd"], r["usd"]),
-                          min_distance_bp=min(ep["min_distance_bp"], r["distance"]))
-                last = r
-                continue
-            close()
-            ep = None
-        if r["is_wall"]:
-            ep = {"start_ms": int(r["ts"]), "last_seen_ms": int(r["ts"]), "snapshots": 1, "first_usd": r["usd"], "last_usd": r["usd"],
-                  "max_usd": r["usd"], "first_distance_bp": r["distance"], "min_distance_bp": r["distance"]}
-            last = r
-    if ep is not None:
-        close()
-    return out
+# What an open episode's level looked like in the snapshot after its last one: enough to go on or to end it.
+AHEAD = T.StructType([T.StructField(n, t) for n, t in (("next_ts", T.LongType()), ("next_distance", T.DoubleType()), ("next_cov", T.DoubleType()), ("next_crossed", T.BooleanType()))])
+OPEN_EPISODE = T.StructType([*EPISODE.fields, *AHEAD.fields])
+_LEVEL = ("stream", "side", "px")
+_VIEW = ("ts", "usd", "is_wall", "distance", *AHEAD.names)
+_EPISODE = ("start_ms", "last_seen_ms", "snapshots", "first_usd", "last_usd", "max_usd", "first_distance_bp", "min_distance_bp")
+
+
+def _close_reason(last: dict, near: float, max_gap: int, approach: float) -> tuple[str, int]:
+    """(reason, time) of an episode's end by the snapshot after its last one."""
+    if last["next_ts"] is None:
+        return "censored_at_end", last["ts"]
+    if last["next_ts"] - last["ts"] > max_gap:
+        return "observation_gap", last["ts"]
+    if last["next_crossed"]:
+        return "price_crossed", last["next_ts"]
+    if last["next_distance"] > last["next_cov"]:
+        return "out_of_view", last["next_ts"]
+    return ("removed_after_approach" if min(near, last["next_distance"]) <= approach else "removed_while_mid_away"), last["next_ts"]
+
+
+def _fold(persist: float, max_gap: int, approach: float, keep_open: bool) -> Callable[[pa.Table, np.ndarray], Iterator[pa.Table]]:
+    """Views of levels, each after the level's open episode if it has one, to episodes. ``keep_open``: an episode that the
+    stream's last snapshot still shows has a NULL end_reason."""
+    def fn(table: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        cols = {c: table.column(c).to_pylist() for c in table.column_names}
+        out: dict[str, list] = {c: [] for c in OPEN_EPISODE.names}
+
+        def emit(at: int, ep: dict, last: dict, reason: str | None, end: int | None) -> None:
+            whole = {**{c: cols[c][at] for c in _LEVEL}, **ep, "end_reason": reason, "end_ms": end, "duration_sec": (ep["last_seen_ms"] - ep["start_ms"]) / 1000, **{c: last[c] for c in AHEAD.names}}
+            for c in OPEN_EPISODE.names:
+                out[c].append(whole[c])
+
+        for lo, hi in spans(starts, table.num_rows):
+            ep = last = None
+            for i in range(lo, hi):
+                r = {c: cols[c][i] for c in _VIEW}
+                if cols["start_ms"][i] is not None:  # the episode so far
+                    ep, last = {c: cols[c][i] for c in _EPISODE}, r
+                    continue
+                if ep is not None:
+                    if r["ts"] == last["ts"]:  # its last snapshot again, now that the next one is known
+                        last = r
+                        continue
+                    if last["next_ts"] == r["ts"] and r["ts"] - last["ts"] <= max_gap and (r["is_wall"] or r["usd"] >= persist * ep["max_usd"]):
+                        ep.update(last_seen_ms=r["ts"], snapshots=ep["snapshots"] + 1, last_usd=r["usd"], max_usd=max(ep["max_usd"], r["usd"]), min_distance_bp=min(ep["min_distance_bp"], r["distance"]))
+                        last = r
+                        continue
+                    emit(lo, ep, last, *_close_reason(last, ep["min_distance_bp"], max_gap, approach))
+                    ep = None
+                if r["is_wall"]:
+                    ep = {"start_ms": r["ts"], "last_seen_ms": r["ts"], "snapshots": 1, "first_usd": r["usd"], "last_usd": r["usd"], "max_usd": r["usd"], "first_distance_bp": r["distance"], "min_distance_bp": r["distance"]}
+                    last = r
+            if ep is not None:
+                emit(lo, ep, last, *((None, None) if keep_open and last["next_ts"] is None else _close_reason(last, ep["min_distance_bp"], max_gap, approach)))
+        yield pa.table({c: pa.array(out[c], to_arrow_type(OPEN_EPISODE[c].dataType)) for c in OPEN_EPISODE.names})
+
+    return fn
 
 
 def _priced(side: str) -> Column:
     return F.transform(bk.levels(side), lambda l: F.struct(F.lit(side).alias("side"), l.px.alias("px"), (l.px * l.sz).alias("usd")))
 
 
-def level_views(books: DataFrame, *, ts: str = "received_ms", **rule) -> DataFrame:
+def level_views(books: DataFrame, *, width: int, ts: str = "received_ms", **rule) -> DataFrame:
     """One row per (stream, snapshot, level) with its wall flag and the next snapshot's view of the price."""
-    w = Window.partitionBy("stream").orderBy("ts")  # one row per tick of a stream
-    ahead = lambda c: F.lead(c).over(w)
     s = books.select("stream", F.col(ts).alias("ts"), bk.mid().alias("mid"), bk.best("bid").alias("bb"), bk.best("ask").alias("ba"), "bid_cov", "ask_cov",
                      *[_priced(x).alias(f"{x}_l") for x in ("bid", "ask")],
                      *[F.transform(bk.walls(x, **rule), lambda l: l.px).alias(f"{x}_w") for x in ("bid", "ask")])
-    nxt = s.withColumns({"next_ts": ahead("ts"), "n_mid": ahead("mid"), "n_bb": ahead("bb"), "n_ba": ahead("ba"), "n_bc": ahead("bid_cov"), "n_ac": ahead("ask_cov")})
+    nxt = scan(s, ["stream"], ["ts"], width, {"_n": Run("last", F.struct("ts", "mid", "bb", "ba", "bid_cov", "ask_cov"), reverse=True, inclusive=False)})
     l = nxt.withColumn("l", F.explode(F.concat("bid_l", "ask_l")))
     bid = F.col("l.side") == "bid"
     return l.select("stream", "ts", F.col("l.side").alias("side"), F.col("l.px").alias("px"), F.col("l.usd").alias("usd"),
                     F.when(bid, F.array_contains("bid_w", F.col("l.px"))).otherwise(F.array_contains("ask_w", F.col("l.px"))).alias("is_wall"),
-                    bk.distance_bp(F.col("l.px"), F.col("mid")).alias("distance"), "next_ts", bk.distance_bp(F.col("l.px"), F.col("n_mid")).alias("next_distance"),
-                    F.when(bid, F.col("n_bc")).otherwise(F.col("n_ac")).alias("next_cov"),
-                    F.when(bid, F.col("n_ba") <= F.col("l.px")).otherwise(F.col("n_bb") >= F.col("l.px")).alias("next_crossed"))
-
-
-def wall_episodes(books: DataFrame, *, max_gap: int, persist: float = 0.5, approach: float = 20.0, **rule) -> DataFrame:
-    """Follow each price level that becomes a wall until it ends, with the reason.
-
-    Levels that never are walls are dropped first. A level has at most one row per tick; whole levels are
-    packed into hash buckets (four per shuffle partition), so one Python call folds many of them.
-    """
-    v = level_views(books, **rule)
-    level = ["stream", "side", "px"]
-    v = v.withColumn("_ever", F.max("is_wall").over(Window.partitionBy(*level))).where("_ever").drop("_ever")
-    buckets = 4 * int(books.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    v = v.withColumn("_bucket", F.pmod(F.xxhash64(*level), F.lit(buckets)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values([*level, "ts"]).to_dict("records")
-        out, lo = [], 0
-        for hi in range(1, len(rows) + 1):
-            if hi == len(rows) or any(rows[hi][k] != rows[lo][k] for k in level):
-                head = {k: rows[lo][k] for k in level}
-                out += [{**head, **e} for e in fold_level(rows[lo:hi], persist, max_gap, approach)]
-                lo = hi
-        return pd.DataFrame(out, columns=EPISODE.names)
-
-    return v.groupBy("_bucket").applyInPandas(run, EPISODE)
+                    bk.distance_bp(F.col("l.px"), F.col("mid")).alias("distance"), F.col("_n.ts").alias("next_ts"), bk.distance_bp(F.col("l.px"), F.col("_n.mid")).alias("next_distance"),
+                    F.when(bid, F.col("_n.bid_cov")).otherwise(F.col("_n.ask_cov")).alias("next_cov"),
+                    F.when(bid, F.col("_n.ba") <= F.col("l.px")).otherwise(F.col("_n.bb") >= F.col("l.px")).alias("next_crossed"))
+
+
+def fold_walls(views: DataFrame, *, max_gap: int, persist: float = 0.5, approach: float = 20.0, opened: DataFrame | None = None) -> DataFrame:
+    """Episodes (OPEN_EPISODE) of the levels' ``views``. With ``opened`` it goes on from those episodes, whose last snapshot is
+    looked at again, and what the last snapshot of a stream still shows stays open. Levels without a wall or an open episode are left out first;
+    a level's rows of one call go through one task in batches of many levels."""
+    level = list(_LEVEL)
+    v = views.withColumns({c: F.lit(None).cast("double" if c.endswith(("usd", "bp")) else "bigint") for c in _EPISODE})
+    if opened is not None:
+        before = opened.withColumns({"ts": F.col("last_seen_ms"), "usd": F.col("last_usd"), "is_wall": F.lit(True), "distance": F.col("min_distance_bp")})
+        v = v.unionByName(before.select(*v.columns))
+    v = v.withColumn("_ever", F.max("is_wall").over(Window.partitionBy(*level))).where("_ever").drop("_ever")  # at most one row per tick
+    return by_group(v, level, ["_kind", "ts"], _fold(persist, max_gap, approach, opened is not None), OPEN_EPISODE, True, rows=1 << 62, extra={"_kind": F.col("start_ms").isNull().cast("int")})
+
+
+def wall_episodes(books: DataFrame, *, max_gap: int, width: int, persist: float = 0.5, approach: float = 20.0, **rule) -> DataFrame:
+    """Follow each price level that becomes a wall until it ends, with the reason."""
+    return fold_walls(level_views(books, width=width, **rule), max_gap=max_gap, persist=persist, approach=approach).select(*EPISODE.names)
 
 
 def wall_summary(episodes: DataFrame, keys: Sequence[str] = ("stream", "side", "end_reason")) -> DataFrame:

@@ -11,6 +11,7 @@ from .registry import query
 BANDS, NOTIONALS = (100, 180), (2000, 6000)
 EDGES = (-1.0, -0.6, -0.2, 0.2, 0.6, 1.0)
 TICK = 30 * DAY
+BOOK_WIDTH = 365 * DAY
 RULE = dict(band_bp=150.0, multiple=1.5, min_usd=1_000.0, min_share=0.0)
 
 _bidcov = "CASE WHEN stream % 2 = 0 THEN 150.0::DOUBLE ELSE 'inf'::DOUBLE END"
@@ -86,7 +87,7 @@ EPD = "px first_usd last_usd max_usd first_distance_bp min_distance_bp duration_
 
 
 def episodes(t):
-    return ob.wall_episodes(t.books, max_gap=2 * TICK, **RULE)
+    return ob.wall_episodes(t.books, max_gap=2 * TICK, width=BOOK_WIDTH, **RULE)
 
 
 @query("B9_wall_episodes", use="levels", dbl=EPD, digits=8, sql=f"WITH RECURSIVE {EPI} SELECT * FROM es")

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import book as ob
 from ..operators import warning as wn
 from ..session import DAY, HOUR, scratch_path
 from ..streaming import jobs
-from .book import EPI, RULE, TICK
+from .book import BOOK_WIDTH, EPI, RULE, TICK
 from .flow import CFG, WS
 from .registry import query
 from .roles import millis
@@ -136,9 +137,11 @@ def _(t):
 
 @query("T8_stream_wall_tracker", use="levels", sql=f"WITH RECURSIVE {EPI} SELECT side, end_reason, count(*) AS episodes, sum(snapshots)::BIGINT AS snapshots FROM es WHERE end_reason <> 'censored_at_end' GROUP BY 1, 2")
 def _(t):
-    out = scratch_path(t.spark, "walls")
-    in_parts(t, t.books, "received_ms", jobs.wall_sink(jobs.VersionedTable(t.spark, scratch_path(t.spark, "open-walls"), t.books.schema), out, max_gap=2 * TICK, **RULE), "books")
-    return t.spark.read.parquet(out).groupBy("side", "end_reason").agg(F.count("*").alias("episodes"), F.sum("snapshots").alias("snapshots"))
+    last = jobs.VersionedTable(t.spark, scratch_path(t.spark, "last-books"), t.books.schema)
+    episodes = jobs.VersionedTable(t.spark, scratch_path(t.spark, "walls"), ob.OPEN_EPISODE)
+    in_parts(t, t.books, "received_ms", jobs.wall_sink(last, episodes, max_gap=2 * TICK, width=BOOK_WIDTH, **RULE), "books")
+    ended = t.spark.read.parquet(episodes.root).where("end_reason IS NOT NULL")
+    return ended.groupBy("side", "end_reason").agg(F.count("*").alias("episodes"), F.sum("snapshots").alias("snapshots"))
 
 
 BATCHES, DELAY = 5, 2 * DAY

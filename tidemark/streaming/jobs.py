@@ -203,25 +203,20 @@ def observation_frames_sink(positions: DataFrame, accounts: VersionedTable, fram
     return write
 
 
-def wall_sink(history: VersionedTable, out: str, *, max_gap: int, ts: str = "received_ms", **rule) -> Callable[[DataFrame, int], None]:
-    """Wall episodes of each stream as they end.
+def wall_sink(last: VersionedTable, episodes: VersionedTable, *, max_gap: int, width: int, ts: str = "received_ms", persist: float = 0.5, approach: float = 20.0, **rule) -> Callable[[DataFrame, int], None]:
+    """Wall episodes of each stream as they end, by the batch operator's fold.
 
-    The batch operator runs over the snapshots that still matter and the new ones. What still matters is carried: every
-    stream's snapshots since its earliest open wall, or its last one. An episode that had ended before is not repeated.
+    What is carried from batch to batch is one snapshot per stream (its levels' future is not known yet) and one row per open
+    episode; neither grows with a wall's life. Each version of ``episodes`` holds the episodes that ended in its batch and,
+    with a NULL end_reason, the open ones.
     """
-    level = ["stream", "side", "px", "start_ms"]
-
-    def ended(books: DataFrame) -> DataFrame:
-        return ob.wall_episodes(books, max_gap=max_gap, ts=ts, **rule).where("end_reason <> 'censored_at_end'")
-
     def write(batch: DataFrame, version: int) -> None:
-        old = history.read(version - 1)
-        books = old.unionByName(batch.select(*history.schema.names))
-        ended(books).join(ended(old).select(*level), level, "left_anti").write.mode("overwrite").parquet(f"{out}/batch={version}")
-        still = ob.wall_episodes(books, max_gap=max_gap, ts=ts, **rule).where("end_reason = 'censored_at_end'").groupBy("stream").agg(F.min("start_ms").alias("_from"))
-        last = books.groupBy("stream").agg(F.max(ts).alias("_last"))
-        keep = books.join(last, "stream").join(still, "stream", "left").where(F.col(ts) >= F.least("_from", "_last"))
-        history.write(keep.select(*history.schema.names), version)
+        books = last.read(version - 1).unionByName(batch.select(*last.schema.names))
+        until = books.groupBy("stream").agg(F.max(ts).alias("_until"))
+        views = ob.level_views(books, width=width, ts=ts, **rule)
+        opened = episodes.read(version - 1).where("end_reason IS NULL")
+        episodes.write(ob.fold_walls(views, max_gap=max_gap, persist=persist, approach=approach, opened=opened), version)
+        last.write(books.join(until, "stream").where(F.col(ts) == F.col("_until")).select(*last.schema.names), version)
 
     return write
 
