@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
 from ..session import DAY, HOUR
-from .ordered import quantiles, with_quantiles
+from .ordered import with_quantiles
 from .scan import previous, running
 
 
@@ -171,9 +171,11 @@ def funding_phases(rates: DataFrame, keys: Sequence[str], *, launch: int, bounda
 
     daily = r.groupBy(*k, F.floor(F.col("ts") / DAY).alias("_p")).agg(F.sum("rate").alias("_s"))
     weekly = r.groupBy(*k, F.floor((F.col("ts") - F.col("first_ts")) / (7 * DAY)).alias("_p")).agg(F.sum("rate").alias("_s"))
-    spread = quantiles(weekly, k, {"s": F.col("_s") * 10_000}, {f"weekly_sum_bp_p{int(q * 100)}": ("s", q) for q in (0.1, 0.5, 0.9)})
+    # One row per week: bounded by the calendar.
+    spread = [*[F.percentile(F.col("_s") * 10_000, F.lit(q)).alias(f"weekly_sum_bp_p{int(q * 100)}") for q in (0.1, 0.5, 0.9)],
+              F.avg((F.col("_s") < 0).cast("int")).alias("share_weeks_negative")]
     return (base.join(_autocorr(daily, k, "daily_autocorr_lag1"), k)
-            .join(_autocorr(weekly, k, "weekly_autocorr_lag1", F.avg((F.col("_s") < 0).cast("int")).alias("share_weeks_negative")), k).join(spread, k))
+            .join(_autocorr(weekly, k, "weekly_autocorr_lag1", *spread), k))
 
 
 def _autocorr(sums: DataFrame, k: list[str], name: str, *more: Column) -> DataFrame:

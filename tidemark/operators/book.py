@@ -21,38 +21,49 @@ from .ordered import quantiles, with_quantiles
 from .scan import Run, scan
 
 
-def _snapshot_quantiles(metrics: DataFrame, keys: Sequence[str], aggs: Sequence[Column], complete: dict[str, tuple[str, float]], impact: dict[str, tuple[str, float]]) -> DataFrame:
-    """``aggs`` per group with two kinds of quantiles (name: column, share). ``complete``: only when every value is known.
-    ``impact``: the next observed value, an unknown counting as dearer than any known one; NULL among the unknown."""
+_ROWS = {"snapshots": ("_all", lambda v, n: F.sum(n))}
+
+
+def _known_share(column: str) -> tuple[str, Callable[[Column, Column], Column]]:
+    """Share of the values below infinity, which stands for an unknown one."""
+    return column, lambda v, n: F.coalesce(F.sum(F.when(v < float("inf"), n)), F.lit(0)) / F.sum(n)
+
+
+def _snapshot_quantiles(metrics: DataFrame, keys: Sequence[str], stats: dict, columns: dict[str, Column], complete: dict[str, tuple[str, float]], impact: dict[str, tuple[str, float]]) -> DataFrame:
+    """``stats`` and two kinds of quantiles (name: column, share) per group, all from one evaluation of the metrics.
+    ``complete``: only when every value is known. ``impact``: the next observed value, an unknown counting as dearer than any
+    known one; NULL among the unknown."""
     dear = float("inf")
-    columns = {**{c: F.col(c) for c, _ in complete.values()}, **{f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(dear)) for c, _ in impact.values()}}
+    columns = {**columns, "_all": F.lit(1.0), **{c: F.col(c) for c, _ in complete.values()}, **{f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(dear)) for c, _ in impact.values()}}
     wanted = {**complete, **{n: (f"_{c}", q) for n, (c, q) in impact.items()}}
-    known = {f"_all_{c}": F.count(c) == F.count("*") for c, _ in complete.values()}
-    g = with_quantiles(metrics, keys, [*aggs, *[v.alias(n) for n, v in known.items()]], columns, wanted, higher=impact)
-    g = g.withColumns({**{n: F.when(F.col(f"_all_{c}"), F.col(n)) for n, (c, _) in complete.items()}, **{n: F.when(F.col(n) < dear, F.col(n)) for n in impact}})
-    return g.drop(*known)
+    counts = {f"_n_{c}": (c, lambda v, n: F.sum(n)) for c, _ in complete.values()}
+    g = quantiles(metrics, keys, columns, wanted, higher=impact, stats={**_ROWS, **stats, **counts})
+    whole = lambda c: F.col(f"_n_{c}") == F.col("snapshots")
+    g = g.withColumns({**{n: F.when(whole(c), F.col(n)) for n, (c, _) in complete.items()}, **{n: F.when(F.col(n) < dear, F.col(n)) for n in impact}})
+    return g.drop(*counts)
 
 
 def stream_summary(metrics: DataFrame, keys: Sequence[str], *, bands: Sequence[int], notionals: Sequence[int]) -> DataFrame:
-    aggs = [F.count("*").alias("snapshots"), F.min("received_ms").alias("first_ms"), F.max("received_ms").alias("last_ms")]
     complete = {"spread_bp_p50": ("spread_bp", 0.5), "spread_bp_p90": ("spread_bp", 0.9), "latency_ms_p50": ("latency_ms", 0.5)}
-    impact = {}
+    columns, impact = {"_received": F.col("received_ms")}, {}
+    stats = {"first_ms": ("_received", lambda v, n: F.min(v).cast("bigint")), "last_ms": ("_received", lambda v, n: F.max(v).cast("bigint"))}
     for b in bands:
         bid, ask = f"bid_usd_{b}bp", f"ask_usd_{b}bp"
         complete |= {f"{c}_p{int(q * 100)}": (c, q) for c in (bid, ask) for q in (0.5, 0.1)}
-        aggs.append(F.avg((F.col(bid).isNotNull() & F.col(ask).isNotNull()).cast("int")).alias(f"depth_known_share_{b}bp"))
+        columns[f"_known_{b}bp"] = F.when(F.col(bid).isNotNull() & F.col(ask).isNotNull(), 1.0).otherwise(float("inf"))
+        stats[f"depth_known_share_{b}bp"] = _known_share(f"_known_{b}bp")
     for n in notionals:
         for side in ("buy", "sell"):
             c = f"{side}_impact_bp_{n}"
             impact |= {f"{c}_p{int(q * 100)}": (c, q) for q in (0.5, 0.9)}
-            aggs.append(F.avg(F.col(c).isNotNull().cast("int")).alias(f"{side}_known_share_{n}"))
-    return _snapshot_quantiles(metrics, keys, aggs, complete, impact)
+            stats[f"{side}_known_share_{n}"] = _known_share(f"_{c}")
+    return _snapshot_quantiles(metrics, keys, stats, columns, complete, impact)
 
 
 def by_hour(metrics: DataFrame, keys: Sequence[str], *, depth: Sequence[str], impact: Sequence[str]) -> DataFrame:
     """Snapshots and medians per UTC hour; the columns keep their names."""
     m = metrics.withColumn("hour_utc", F.hour(F.timestamp_millis("received_ms")))
-    return _snapshot_quantiles(m, [*keys, "hour_utc"], [F.count("*").alias("snapshots")], {c: (c, 0.5) for c in ("spread_bp", *depth)}, {c: (c, 0.5) for c in impact})
+    return _snapshot_quantiles(m, [*keys, "hour_utc"], {}, {}, {c: (c, 0.5) for c in ("spread_bp", *depth)}, {c: (c, 0.5) for c in impact})
 
 
 def wall_rows(books: DataFrame, keys: Sequence[str], **rule) -> DataFrame:

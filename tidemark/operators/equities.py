@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import liquidation_room
-from .ordered import quantiles, with_quantiles
+from .ordered import quantiles
 from .windows import adjusted_log_price, daily_moves
 
 
@@ -108,8 +108,8 @@ def reaction_moves(moves: DataFrame, reactions: DataFrame, code: str, *, leverag
         F.count("*").alias("days"), F.count_if(on).alias("event_days"), F.avg(F.when(on, size)).alias("event_mean_abs"), F.avg(F.when(~on, size)).alias("other_mean_abs"),
         F.max(F.when(on, F.col("rise_high"))).alias("event_max_rise"),
         F.min(F.when(on, F.col("fall_low"))).alias("event_min_fall"), F.max_by("date", F.when(on, F.struct(F.col("rise_high"), -F.unix_date("date")))).alias("event_worst_date"),
-        F.max("rise_high").alias("max_rise")]
-    g = with_quantiles(j, [code], aggs, {"rise": F.when(on, F.col("rise_high"))}, {"event_p99_rise": ("rise", 0.99)})
+        F.max("rise_high").alias("max_rise"), F.percentile(F.when(on, F.col("rise_high")), F.lit(0.99)).alias("event_p99_rise")]
+    g = j.groupBy(code).agg(*aggs)  # one row per code and trading day: a group is bounded by the calendar
     return g.withColumn("leverage", choose_leverage(F.col("max_rise"), leverages, buffer=buffer, max_leverage=max_leverage))
 
 
@@ -131,8 +131,8 @@ def risk_card(bars: DataFrame, market: DataFrame, reactions: DataFrame, code: st
         ov.alias("overnight_vol"), iv.alias("intraday_vol"), F.count_if(on).alias("event_days"), F.avg(F.when(on, size)).alias("event_mean_abs"), F.avg(F.when(~on, size)).alias("other_mean_abs"),
         F.avg((F.col("close") == F.col("high")).cast("int")).alias("limit_up_share"), F.avg((F.col("close") == F.col("low")).cast("int")).alias("limit_down_share"),
         F.when(F.count(x) >= min_days, F.try_divide(F.covar_samp(y, x), F.var_samp(x))).alias("beta")]
-    columns = {"turnover": F.when(F.col("_t") <= last, F.col("turnover")), "size": size}
-    g = with_quantiles(j, [code], aggs, columns, {"median_turnover": ("turnover", 0.5), "p99_abs_change": ("size", 0.99)})
+    tails = {"median_turnover": (F.when(F.col("_t") <= last, F.col("turnover")), 0.5), "p99_abs_change": (size, 0.99)}
+    g = j.groupBy(code).agg(*aggs, *[F.percentile(c, F.lit(q)).alias(n) for n, (c, q) in tails.items()])  # bounded by the calendar
     return g.where(F.col("days") >= min_days)
 
 

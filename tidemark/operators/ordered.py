@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PARTS = 64
+SORTED = 1 << 16
 
 
 def _same(keys: Sequence[str], left: str = "", right: str = "_k_") -> Column:
@@ -30,20 +31,22 @@ def _named(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], columns: dict[str, Column]) -> DataFrame:
-    """(keys, _m, _v, _n): how often each value of each column occurs in a group; NULLs are left out."""
-    named = [F.struct(F.lit(m).alias("m"), v.cast("double").alias("v")) for m, v in columns.items()]
-    long = df.select(*keys, F.explode(F.array(*named)).alias("_x")).where("_x.v IS NOT NULL")
+    """(keys, _m, _v, _n): how often each value of the column number i (_m: _ci) occurs in a group; NULLs are left out."""
+    wide = df.select(*keys, *[v.cast("double").alias(f"_c{i}") for i, v in enumerate(columns.values())])
+    long = wide.unpivot(list(keys), [f"_c{i}" for i in range(len(columns))], "_m", "_v").where("_v IS NOT NULL")
     # The count stays in use in all later branches, which therefore share one exchange.
-    return long.groupBy(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_n")).where("_n > 0")
+    return long.groupBy(*keys, "_m", "_v").agg(F.count("*").alias("_n")).where("_n > 0")
 
 
 def _ranges(counts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(counts with _part, ranges): ranges holds (keys, _m, _part, _before, _size, _total)."""
     group = [*keys, "_m"]
     cuts = [i / PARTS for i in range(1, PARTS)]
-    bounds = counts.groupBy(*group).agg(F.percentile_approx("_v", cuts, 2000).alias("_bounds"))
+    # Values of one sort's size need no bounds.
+    sampled = F.array_distinct(F.percentile_approx("_v", cuts, 2000))
+    bounds = counts.groupBy(*group).agg(F.when(F.count("*") <= SORTED, F.array().cast("array<double>")).otherwise(sampled).alias("_bounds"))
     placed = counts.join(_named(bounds, group), _same(group)).drop(*[f"_k_{k}" for k in group])
-    placed = placed.withColumn("_part", F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col("_v")))).drop("_bounds")
+    placed = placed.withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
     w = Window.partitionBy(*group)  # at most PARTS rows
     ranges = placed.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
     before = F.sum("_size").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
@@ -71,9 +74,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, Column], wa
     if not keys:
         return quantiles(df.withColumn("_all", F.lit(0)), ["_all"], columns, wanted, higher=higher, stats=stats).drop("_all")
     counts = value_counts(df, keys, columns)
+    number = {m: f"_c{i}" for i, m in enumerate(columns)}
     placed, ranges = _ranges(counts, keys)
     part = [*keys, "_m", "_part"]
-    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), F.lit(float(q)).alias("q")) for name, (m, q) in wanted.items()]))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(number[m]).alias("m"), F.lit(float(q)).alias("q")) for name, (m, q) in wanted.items()]))
     holds = lambda i, first, n: (F.col(first) <= i) & (i < F.col(first) + F.col(n))
     hit = ranges.withColumn("_w", asked).where("_w.m = _m").withColumn("_at", F.col("_w.q") * (F.col("_total") - 1))
     lo, hi = F.floor("_at"), F.ceil("_at")
@@ -81,18 +85,17 @@ def quantiles(df: DataFrame, keys: Sequence[str], columns: dict[str, Column], wa
     rows = placed.join(_named(hit, part), _same(part)).drop(*[f"_k_{c}" for c in part])
     inside = Window.partitionBy(*part, "_name").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    found = {}
-    for name in wanted:
-        at = lambda i: F.max(F.when((F.col("_name") == name) & holds(i, "_first", "_n"), F.col("_v")))  # noqa: E731,B023
-        weight = F.max(F.when(F.col("_name") == name, F.col("_at") - lo))
-        # Equal ends as they are: infinite values have no difference.
-        low, high = at(lo), at(hi)
-        found[name] = high if name in higher else F.when(low == high, low).otherwise(low + (high - low) * weight)
-    out = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in found.items()])
+    at = lambda i: F.max(F.when(holds(i, "_first", "_n"), F.col("_v")))
+    each = rows.groupBy(*keys, "_name").agg(at(lo).alias("_lo"), at(hi).alias("_hi"), F.max(F.col("_at") - lo).alias("_w"))
+    # Equal ends as they are: infinite values have no difference.
+    value = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w"))
+    value = F.when(F.col("_name").isin(list(higher)), F.col("_hi")).otherwise(value) if higher else value
+    each = each.select(*keys, "_name", value.alias("_value"))
+    out = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_value"))).alias(n) for n in wanted])
     if stats:
         aggs = []
         for name, (m, fn) in stats.items():
-            own = F.col("_m") == m
+            own = F.col("_m") == number[m]
             aggs.append(fn(F.when(own, F.col("_v")), F.when(own, F.col("_n"))).alias(name))
         out = counts.groupBy(*keys).agg(*aggs).join(_named(out, keys), _same(keys), "left").drop(*[f"_k_{k}" for k in keys])
     return out
