@@ -173,10 +173,10 @@ def business_index(df: DataFrame, calendar: DataFrame, on: str, *, out: str = "i
     """
     b = _bounds(calendar, "date")
     spine = b.select(F.explode(F.sequence("_from", F.coalesce(F.date_sub("_to", 1), F.col("_from")))).alias("_day"), F.col("idx").alias(out))
-    end = calendar.groupBy(F.lit(0).alias("_one")).agg(F.max("date").alias("_end"))
-    day = df.withColumn("_one", F.lit(0)).join(end, "_one", "left").withColumn("_day", F.least(F.col(on), F.col("_end")))
+    end = F.broadcast(calendar.agg(F.max("date").alias("_end")))  # one row
+    day = df.join(end, F.lit(True), "left").withColumn("_day", F.least(F.col(on), F.col("_end")))
     found = day.join(spine, "_day", "left").withColumn(out, F.when(F.col(on).isNotNull(), F.coalesce(F.col(out), F.lit(0))))
-    return found.drop("_one", "_end", "_day")
+    return found.drop("_end", "_day")
 
 
 def nth_business_day_after(df: DataFrame, calendar: DataFrame, on: str, n: int, *, out: str) -> DataFrame:

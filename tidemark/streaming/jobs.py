@@ -191,10 +191,10 @@ def observation_frames_sink(positions: DataFrame, accounts: VersionedTable, fram
     def write(batch: DataFrame, version: int) -> None:
         accounts.write(_with_latest(accounts.read(version - 1), batch), version)
         known = accounts.read(version)
-        cutoff = batch.agg(F.max("observed_ts").alias("_cutoff")).withColumn("_one", F.lit(0))
-        seen = positions.withColumn("_one", F.lit(0)).join(cutoff, "_one").where("ts <= _cutoff").drop("_one", "_cutoff")
+        cutoff = batch.agg(F.max("observed_ts")).first()[0]
+        seen = positions.where(F.col("ts") <= F.lit(cutoff).cast("long"))
         current = fl.bucket_totals(latest_positions(known, seen), mid, ["coin"], **bins)
-        before = frames.read(version - 1).select("coin", "bucket", F.col("notional").alias("_old"))
+        before = frames.read(version - 1).where("count > 0").select("coin", "bucket", F.col("notional").alias("_old"))
         new, old = F.coalesce("notional", F.lit(0.0)), F.coalesce("_old", F.lit(0.0))
         change = F.when(F.lit(version > 0), new - old)
         frame = current.join(before, ["coin", "bucket"], "full").select("coin", "bucket", new.alias("notional"), F.coalesce("count", F.lit(0)).alias("count"), change.alias("change"))
