@@ -29,11 +29,11 @@ def _(t):
 
 @query("Q4_quality_tokens", sql="""WITH c AS (SELECT 'brand_size' AS "column", CASE WHEN p_size % 10 = 0 THEN p_brand ELSE p_size::VARCHAR END AS token FROM part UNION ALL SELECT 'price', CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_retailprice::VARCHAR END FROM part UNION ALL SELECT 'name_flag', p_name FROM part),
 n AS (SELECT "column", token, count(*) AS n FROM c WHERE TRY_CAST(token AS DOUBLE) IS NULL GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, token) AS r FROM n)
-SELECT "column", token, n FROM r WHERE r <= 5 UNION ALL SELECT "column", '<other>', sum(n)::BIGINT FROM r WHERE r > 5 GROUP BY 1""")
+SELECT "column", token, n FROM r WHERE r <= 20 UNION ALL SELECT "column", '<other>', sum(n)::BIGINT FROM r WHERE r > 20 GROUP BY 1""")
 def _(t):
     p = t.table("part").select(F.when(F.col("p_size") % 10 == 0, F.col("p_brand")).otherwise(F.col("p_size").cast("string")).alias("brand_size"),
                                F.when(F.col("p_partkey") % 7 == 0, F.col("p_type")).otherwise(F.col("p_retailprice").cast("string")).alias("price"), F.col("p_name").alias("name_flag"))
-    return q.quality_tokens(p, {"brand_size": "double", "price": "double", "name_flag": "double"}, top=5)
+    return q.quality_tokens(p, {"brand_size": "double", "price": "double", "name_flag": "double"})
 
 
 @query("Q6_raw_hour_coverage", use="bars", sql=f"""WITH g AS (SELECT symbol, (ts // {6 * HOUR}) * {6 * HOUR} AS b, count(*) = 6 AS w FROM bars WHERE symbol IN ('click', 'view') GROUP BY 1, 2), p AS (SELECT b, bool_or(w AND symbol = 'click') AS x, bool_or(w AND symbol = 'view') AS y FROM g GROUP BY 1)
