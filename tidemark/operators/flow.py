@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,6 +176,18 @@ def public_view(frame: DataFrame, identifiers: Sequence[str], lists: Sequence[st
     return frame.select(*keep, *[F.size(c).alias(f"{c}_count") for c in lists])
 
 
+def public_counts(rows: DataFrame, by: Sequence[str], aggs: Sequence[Column], identifiers: Sequence[str]) -> DataFrame:
+    """``public_view`` of grouped rows without building the identifier lists: each identifier becomes the number of its
+    distinct values. Values are made distinct before the group is brought together, so no group's list is in one task."""
+    out = rows.groupBy(*by).agg(*aggs)
+    for name in identifiers:
+        n = rows.select(*by, name).where(F.col(name).isNotNull()).distinct().groupBy(*by).agg(F.count("*").alias(f"{name}_count"))
+        same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by]
+        out = out.join(n.select(*[F.col(k).alias(f"_k_{k}") for k in by], f"{name}_count"), reduce(and_, same), "left").drop(*[f"_k_{k}" for k in by])
+        out = out.withColumn(f"{name}_count", F.coalesce(f"{name}_count", F.lit(0)))
+    return out
+
+
 def candidate_set(sightings: DataFrame, *, now: int, ttl: int, limit: int) -> DataFrame:
     """Users seen within ``ttl``, the most recently seen ``limit`` of them, with first and last sighting and coins."""
     g = sightings.groupBy("user").agg(F.min("ts").alias("first_seen_ts"), F.max("ts").alias("last_seen_ts"), F.array_sort(F.collect_set("coin")).alias("coins"))

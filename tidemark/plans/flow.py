@@ -187,8 +187,8 @@ def _(t):
 
 @query("Q12_public_view", use="fills", dbl="notional", digits=4, sql="SELECT ts, sum(px * sz) AS notional, count(DISTINCT order_id) AS orders_count FROM fills GROUP BY 1")
 def _(t):
-    frame = t.fills.groupBy("ts").agg(F.sum(F.col("px") * F.col("sz")).alias("notional"), F.collect_set("order_id").alias("orders"), F.first("part").alias("part"))
-    return fl.public_view(frame, ["part"], ["orders"])
+    d = fl.public_counts(t.fills.withColumnRenamed("order_id", "orders"), ["ts"], [F.sum(F.col("px") * F.col("sz")).alias("notional"), F.first("part").alias("part")], ["orders"])
+    return fl.public_view(d, ["part"], [])
 
 
 @query("T5_candidate_set_batch", use="ticks", sql=f"""SELECT user_id AS "user", min(ts) AS first_seen_ts, max(ts) AS last_seen_ts, list_sort(list(DISTINCT symbol)) AS coins FROM ticks GROUP BY 1 HAVING max(ts) >= {1_706_659_200_000 - DAY} ORDER BY last_seen_ts DESC, 1 LIMIT 300""")
