@@ -44,9 +44,9 @@ def metrics(t):
                           *bk.snapshot_metrics(BANDS, NOTIONALS))
 
 
-@query("B1_levels_valid", use="levels", sql="""SELECT stream, tick_ms, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks, CASE WHEN any_value(best_bid >= best_ask) THEN 'crossed_or_locked' END AS problem FROM levels GROUP BY 1, 2""")
+@query("B1_levels_valid", use="book_levels", sql="""SELECT stream, tick_ms, count(*) FILTER (side = 'bid') AS bids, count(*) FILTER (side = 'ask') AS asks, CASE WHEN count(DISTINCT side) < 2 THEN 'empty_side' WHEN max(px) FILTER (side = 'bid') >= min(px) FILTER (side = 'ask') THEN 'crossed_or_locked' END AS problem FROM book_levels GROUP BY 1, 2""")
 def _(t):
-    return t.books.select("stream", "tick_ms", F.size("bids").alias("bids"), F.size("asks").alias("asks"), bk.book_problem().alias("problem"))
+    return t.all_books.select("stream", "tick_ms", F.size("bids").alias("bids"), F.size("asks").alias("asks"), bk.book_problem().alias("problem"))
 
 
 @query("B2_B4_B5_B6_B8_snapshot_metrics", use="levels", dbl=" ".join(METRIC_COLS), digits=7, sql=f"WITH {MET} SELECT stream, tick_ms, {', '.join(METRIC_COLS)} FROM mt")

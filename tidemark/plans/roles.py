@@ -125,12 +125,16 @@ class Tables:
 
     @property
     def books(self) -> DataFrame:
+        return self.all_books.where((F.size("bids") > 0) & (F.size("asks") > 0))
+
+    @property
+    def all_books(self) -> DataFrame:
+        """Snapshots with one side empty too."""
         level = F.struct(F.col("px"), F.col("sz"), F.col("n"))
         sides = (self.book_levels.groupBy("stream", "tick_ms")
                  .agg(F.collect_list(F.when(F.col("side") == "bid", level)).alias("b"),
                       F.collect_list(F.when(F.col("side") == "ask", level)).alias("a")))
         return (sides.select("stream", "tick_ms", F.reverse(F.array_sort("b")).alias("bids"), F.array_sort("a").alias("asks"))
-                .where((F.size("bids") > 0) & (F.size("asks") > 0))
                 .withColumn("bid_cov", F.when(F.col("stream") % 2 == 0, 150.0).otherwise(float("inf")))
                 .withColumn("ask_cov", F.lit(float("inf")))
                 .withColumn("requested_ms", F.col("tick_ms") + (F.col("stream") % 24) * HOUR)
