@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from functools import cache
 
 import pytest
 
@@ -179,13 +180,36 @@ def edit_distance(a, b):
     return row[-1]
 
 
+def within(a, b, most):
+    """Whether the edit distance is at most ``most``: the band of the matrix that can stay so low, row by row."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    row = {j: j for j in range(min(most, len(b)) + 1)}
+    for i, x in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            cell = i if j == 0 else min(row.get(j, most + 1) + 1, new.get(j - 1, most + 1) + 1, row.get(j - 1, most + 1) + (x != b[j - 1]))
+            new[j] = min(cell, most + 1)
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), most + 1) <= most
+
+
+def test_within_is_the_edit_distance():
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(12))) for _ in range(2))
+        for most in range(6):
+            assert within(a, b, most) == (edit_distance(a, b) <= most)
+
+
 def test_fuzzy_lines(spark, nothing):
     rng = random.Random(9)
     body = [prose(rng, 60) for _ in range(6)]
     rows = [(i, "\n".join(rng.choice(body) if rng.random() < 0.5 else edited(rng, rng.choice(body), 1) for _ in range(4)) + f"\nshort {i}") for i in range(30)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    sims = {(r.doc_id, r.line_no): r.sim for r in lines.simhashes(lines.lines(frame, 5)).collect()}
-    at = sorted(sims)
+    at = sorted((i, j) for i, _ in rows for j in range(4))
     norm = {(i, j): " ".join(line_words(t.split("\n")[j])) for i, t in rows for j in range(4)}
     parent = {p: p for p in at}
 
@@ -194,11 +218,13 @@ def test_fuzzy_lines(spark, nothing):
             p = parent[p]
         return p
 
+    @cache
+    def near(a, b):
+        return a == b or within(a, b, max(len(a), len(b)) // 10)
+
     for i, p in enumerate(at):
         for q in at[:i]:
-            same = norm[p] == norm[q]
-            near = (sims[p] ^ sims[q]) % (1 << 64)
-            if same or (bin(near).count("1") <= 2 and edit_distance(norm[p], norm[q]) <= 0.1 * max(len(norm[p]), len(norm[q]))):
+            if near(*sorted((norm[p], norm[q]))):
                 a, b = sorted((root(p), root(q)))
                 parent[b] = a
     want = defaultdict(list)
