@@ -120,7 +120,7 @@ def test_license_matches_across_blocks(spark):
 
 
 def test_quality_counts(docs, nothing, table):
-    got = Counter(tuple(r)[:7] for r in quality.verdicts(docs, least=5).collect())
+    got = Counter(tuple(r)[:7] for r in quality.verdicts(docs).collect())
     want = Counter()
     for doc_id, text, *_ in table[0]:
         text = text or ""
@@ -136,19 +136,117 @@ def test_quality_counts(docs, nothing, table):
 
 def test_quality_thresholds_adapt(spark):
     rng = random.Random(3)
-    rows = [(i, prose(rng, 100), "en", "a") for i in range(60)]
-    rows += [(100 + i, " ".join(w + "#" if j % 2 else w for j, w in enumerate(prose(rng, 100).split())), "en", "b") for i in range(60)]
-    rows += [(900, rows[60][1], "en", "a"), (901, prose(rng, 100), None, None)]
-    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), least=20).collect()}
-    assert all(got[i].kept for i in range(60)) and all(got[100 + i].kept for i in range(60)) and got[901].kept  # usual in its own group
+    rows = [(i, prose(rng, 100), "en", "ac"[i % 2]) for i in range(120)]
+    rows += [(200 + i, " ".join(w + "#" if j < 11 else w for j, w in enumerate(prose(rng, 100).split())), "en", "b") for i in range(60)]
+    rows += [(900, rows[120][1], "en", "a"), (901, prose(rng, 100), None, None)]
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=20).collect()}
+    assert all(got[i].kept for i in range(120)) and all(got[200 + i].kept for i in range(60)) and got[901].kept  # usual in its own group
     assert not got[900].kept and got[900].failed_rules == "symbols"  # the same text is out of line elsewhere
 
 
+def brute_limits(measured, fence=3.0, prior=100.0):
+    """Limits of (lang, source) from rows (lang, source, n_words, word_chars, the other counts)."""
+    import math
+
+    def bucket(v):
+        return 0.0 if v <= 0 else 2 * 1.02 ** math.ceil(math.log(v) / math.log(1.02)) / 2.02
+
+    def reach(values, tolerance):
+        values = sorted(values)
+        low, mid, top = (values[math.ceil(q * len(values) - 1e-9) - 1] for q in (0.1, 0.5, 0.9))
+        return math.log(1.02 * top + fence * (top - mid) + tolerance) if tolerance > 0 else math.log(max(low / 1.02 - fence * (mid - low) + tolerance, 1e-3))
+
+    def median(parts):
+        parts, upto = sorted((r, n / (n + prior)) for n, r in parts), 0.0
+        for r, w in parts:
+            upto += w
+            if upto * (1 + 1e-9) >= sum(w for _, w in parts) / 2:
+                return r
+
+    out = defaultdict(dict)
+    rules = {
+        "symbols": (0.05, lambda r: max(r[4] - 5, 0) / r[2]),
+        "dup_lines": (0.05, lambda r: max(r[5] - 1, 0) / r[7]),
+        "repeats": (0.05, lambda r: max(r[6] - 50, 0) / r[2]),
+        "capitals": (0.05, lambda r: max(r[8] - 10, 0) / r[3]),
+        "marks": (0.05, lambda r: max(r[9] - 5, 0) / r[2]),
+        "long_words": (0.5, lambda r: r[3] / r[2]),
+        "short_words": (-0.5, lambda r: r[3] / r[2]),
+    }
+    good = [r for r in measured if r[2] >= 50 and 100 * r[6] <= 50 * r[2]]
+    for name, (tolerance, of) in rules.items():
+        groups = defaultdict(list)
+        for r in good:
+            groups[r[0], r[1]].append(bucket(of(r)))
+        own = {g: (len(values), reach(values, tolerance)) for g, values in groups.items()}
+        langs = {lang: [own[g] for g in own if g[0] == lang] for lang, _ in own}
+        langs = {lang: (sum(n for n, _ in parts), median(parts)) for lang, parts in langs.items()}
+        every = median(list(langs.values()))
+        for g, (n, r) in own.items():
+            m, lang_reach = langs[g[0]]
+            lang_limit = every + (lang_reach - every) * m / (m + prior)
+            out[g][name] = math.exp(lang_limit + (r - lang_limit) * n / (n + prior) / 2)
+    return out, rules
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = prose(rng, rng.choice((20, 60, 90, 150))).split()
+        if rng.random() < (0.6 if i % 5 == 0 else 0.1):
+            words = [w + rng.choice("#%&") if rng.random() < 0.6 else w for w in words]
+        if rng.random() < 0.1:
+            words = [w.upper() if rng.random() < 0.5 else w for w in words]
+        text = " ".join(words) + ("\n" + "again and again the same line!" * 2) * rng.choice((0, 0, 1, 4))
+        rows.append((i, text, rng.choice(("en", "en", "de", None)), f"s{i % 5}"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    counted = {i: (lang, source, *quality.measure(text.encode())) for i, text, lang, source in rows}
+    limits, rules = brute_limits(list(counted.values()))
+    got = {r.doc_id: r for r in quality.verdicts(frame).collect()}
+    for i, r in counted.items():
+        base = r[2] < 50 or 100 * r[6] > 50 * r[2]
+        if not base:
+            broken = [k for k, (tolerance, of) in rules.items() if (of(r) > limits[r[0], r[1]][k]) == (tolerance > 0) and of(r) != limits[r[0], r[1]][k]]
+            assert got[i].failed_rules == ",".join(broken), i
+            assert got[i].kept == (not broken)
+        assert got[i].base_failed == base and not (base and got[i].kept)
+    assert any(got[i].failed_rules for i in got)
+
+
+def test_a_dirty_hot_source_does_not_excuse_itself(spark):
+    rng = random.Random(4)
+
+    def dirty():
+        return " ".join(w + "#" if rng.random() < 0.7 else w for w in prose(rng, 90).split())
+
+    rows = [(i, prose(rng, 90), "en", f"s{i % 6}") for i in range(300)]
+    rows += [(1000 + i, dirty(), "en", "hot") for i in range(200)]
+    rows += [(2000 + i, prose(rng, 90), "en", "hot") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.verdicts(frame).collect()}
+    assert not any(kept[1000 + i] for i in range(200)) and all(kept[2000 + i] for i in range(40))
+    assert sum(kept[i] for i in range(300)) >= 297
+
+
+def test_learned_fences_decide(spark):
+    """Word length and capitals have fences of their own in every group; a text beyond one goes although no fixed cutoff says so."""
+    rng = random.Random(6)
+    short, long_ = "a be so to on in at it up we".split(), "internationalisation responsibilities characterisation straightforwardness".split()
+    texts = {"plain": lambda: " ".join(rng.choice(short) + rng.choice(short) for _ in range(80)), "legal": lambda: " ".join(rng.choice(long_) + rng.choice(short) for _ in range(80))}
+    rows = [(i + 1000 * j, make(), lang, "s") for j, (lang, make) in enumerate(texts.items()) for i in range(300)]
+    rows += [(5000, texts["legal"](), "plain", "s"), (5001, texts["plain"](), "legal", "s")]
+    got = {r.doc_id: r for r in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), prior=5).collect()}
+    assert got[5000].failed_rules == "long_words" and got[5001].failed_rules == "short_words"
+    assert all(got[i].kept and got[1000 + i].kept for i in range(300))
+
+
 def test_sketches_merge(spark):
     rng = random.Random(1)
     vals = [rng.lognormvariate(0, 2) for _ in range(4000)]
     measured = spark.createDataFrame([(f"l{i % 3}", "s", 1000, int(v * 1000), 0, 0, 0, 1, 0, 0) for i, v in enumerate(vals)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long, n_marks long")
-    row = quality.quartiles(quality.sketch(measured), []).where("measure = 'long_words'").first()
+    merged = quality.sketch(measured).groupBy("measure", "bucket").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    row = quality.quantiles(merged, [], {"q1": 0.25, "q3": 0.75}).where("measure = 'long_words'").first()
     exact = sorted(int(v * 1000) / 1000 for v in vals)
     assert abs(row.q1 / exact[999] - 1) < 0.011 and abs(row.q3 / exact[2999] - 1) < 0.011
 

@@ -1,10 +1,19 @@
 """Quality rules with adaptive thresholds.
 
-Every document gets a few measures. Their distributions per language and source go into mergeable quantile sketches:
+Every document gets a few measures, each lowered by a count too small to tell anything (one repeated line, five symbols).
+The distributions of the documents that pass the base rule go, per language and source, into mergeable quantile sketches:
 counts of logarithmic buckets (GAMMA apart, so a quantile is right within 1 %), which add up over partitions, sources and
-languages. A measure's threshold is a fence above (or below) the group's quartiles; groups of fewer than ``least``
-documents take their language's sketch, languages of fewer the sketch of all. Documents are then joined with their
-group's thresholds and filtered.
+languages. The fence of a sketch lies ``fence`` times the way from the median to the ninth decile beyond that decile, plus
+a small absolute tolerance.
+
+* A language's fence is the median of its sources' fences, each source weighing n / (n + ``prior``): a source that holds
+  a third of all rows is one voice among its fellows. The fence of all is the median of the languages' in the same way.
+* A language's limit goes from the fence of all to its own fence by m / (m + ``prior``), a source's limit from its
+  language's limit to its own fence by half of n / (n + ``prior``), both on the logarithmic scale. There is no size at which the
+  rule changes, few rows say little, and a dirty source moves its limit half of the way at most: it does not excuse itself.
+  A language most of whose sources are dirty does.
+
+Documents are then joined with their group's limits and filtered.
 
 Defined results: NULL and empty texts have no words, fail the base rule and are not kept. NULL language and NULL source
 are groups of their own. Repeated rows and NULL doc_ids are judged like any other, other columns are ignored, an empty
@@ -25,17 +34,17 @@ from .common import cut
 GAMMA = 1.02
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-# Fixed values. measure: (SQL, side of the fence, the fence never comes nearer to clean text than this). A group whose
-# quartiles coincide would else reject every small deviation.
+# Fixed values. measure: (SQL, side of the fence, absolute tolerance beyond it).
 MEASURES = {
-    "symbols": ("try_divide(n_symbols, n_words)", "above", 0.25),
-    "dup_lines": ("try_divide(n_dup_lines, n_lines)", "above", 0.50),
-    "repeats": ("try_divide(n_repeat_words, n_words)", "above", 0.40),
-    "capitals": ("try_divide(n_capitals, word_chars)", "above", 0.40),
-    "marks": ("try_divide(n_marks, n_words)", "above", 0.40),
-    "long_words": ("try_divide(word_chars, n_words)", "above", 14.0),
-    "short_words": ("try_divide(word_chars, n_words)", "below", 2.5),
+    "symbols": ("try_divide(greatest(n_symbols - 5, 0), n_words)", "above", 0.05),
+    "dup_lines": ("try_divide(greatest(n_dup_lines - 1, 0), n_lines)", "above", 0.05),
+    "repeats": ("try_divide(greatest(n_repeat_words - 50, 0), n_words)", "above", 0.05),
+    "capitals": ("try_divide(greatest(n_capitals - 10, 0), word_chars)", "above", 0.05),
+    "marks": ("try_divide(greatest(n_marks - 5, 0), n_words)", "above", 0.05),
+    "long_words": ("try_divide(word_chars, n_words)", "above", 0.5),
+    "short_words": ("try_divide(word_chars, n_words)", "below", 0.5),
 }
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -93,50 +102,61 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): bucket i holds values in (GAMMA^(i-1), GAMMA^i], bucket NULL zeros. Sketches
-    merge by adding n."""
+    """(lang, source, measure, bucket, n) of the documents that pass the base rule: bucket i holds values in (GAMMA^(i-1),
+    GAMMA^i], bucket NULL zeros. Sketches merge by adding n."""
     values = F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(sql).alias("v")) for k, (sql, _, _) in MEASURES.items()])
-    some = measured.where("n_words > 0").select("lang", "source", F.explode(values).alias("x"))
+    some = measured.where(f"NOT ({BASE_FAILED})").select("lang", "source", F.explode(values).alias("x"))
     bucket = F.when(F.col("x.v") > 0, F.ceil(F.log(F.col("x.v")) / float(np.log(GAMMA)))).cast("int")
     return some.select("lang", "source", F.col("x.measure").alias("measure"), bucket.alias("bucket")).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, measure, n, q1, q3): quartiles of merged sketches. A group has at most a few thousand buckets."""
-    merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> DataFrame:
+    """(keys, measure, n, one column for each quantile of ``at``). A group has at most a few thousand buckets."""
     w = Window.partitionBy(*keys, "measure")
     upto = w.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    merged = merged.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
+    x = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(w))
     value = F.coalesce(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (1 + GAMMA), F.lit(0.0))
-    at = [F.min(F.when(F.col("upto") >= q * F.col("all"), value)).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))]
-    return merged.groupBy(*keys, "measure").agg(F.max("all").alias("n"), *at)
+    found = [F.min(F.when(F.col("upto") >= q * F.col("all"), value)).alias(name) for name, q in at.items()]
+    return x.groupBy(*keys, "measure").agg(F.max("all").alias("n"), *found)
 
 
-def thresholds(sketches: DataFrame, *, fence: float = 3.0, least: int = 200) -> DataFrame:
-    """(lang, source, one column for each measure): the fences of every group."""
-    own = quartiles(sketches, ["lang", "source"])
-    by_lang = quartiles(sketches, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("n").alias("ln"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
-    every = quartiles(sketches, []).select(F.col("measure").alias("am"), F.col("q1").alias("a1"), F.col("q3").alias("a3"))
-    # One row for each group and measure.
-    x = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(every, F.col("measure") == F.col("am"))
+def fences(sketches: DataFrame, fence: float) -> DataFrame:
+    """(lang, source, measure, n, reach): the logarithm of every group's own fence."""
+    x = quantiles(sketches, ["lang", "source"], {"q1": 0.1, "q5": 0.5, "q9": 0.9})
+    beyond = F.create_map(*[F.lit(v) for k, (_, side, tolerance) in MEASURES.items() for v in (k, tolerance if side == "above" else -tolerance)])[F.col("measure")]
+    # GAMMA covers the sketch's own error, so a group of equal values is never outside its fence.
+    above = GAMMA * F.col("q9") + fence * (F.col("q9") - F.col("q5")) + beyond
+    below = F.greatest(F.col("q1") / GAMMA - fence * (F.col("q5") - F.col("q1")) + beyond, F.lit(1e-3))
+    return x.select("lang", "source", "measure", "n", F.log(F.when(beyond > 0, above).otherwise(below)).alias("reach"))
 
-    def pick(a: str, b: str, c: str):
-        return F.when(F.col("n") >= least, F.col(a)).when(F.col("ln") >= least, F.col(b)).otherwise(F.col(c))
 
-    x = x.withColumn("low", pick("q1", "l1", "a1")).withColumn("high", pick("q3", "l3", "a3"))
-    limit = F.lit(None).cast("double")
-    for k, (_, side, guard) in MEASURES.items():
-        # GAMMA covers the sketch's own error, so a group of equal values is never outside its fence.
-        spread = fence * (F.col("high") - F.col("low"))
-        reach = F.greatest(GAMMA * F.col("high") + spread, F.lit(guard)) if side == "above" else F.least(F.col("low") / GAMMA - spread, F.lit(guard))
-        limit = F.when(F.col("measure") == k, reach).otherwise(limit)
-    return x.withColumn("limit", limit).groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(f"limit_{k}") for k in MEASURES])
+def median_fence(groups: DataFrame, keys: list[str], prior: float) -> DataFrame:
+    """(keys, measure, n, reach): the least reach at which half of the groups' weights is met. One row for each group."""
+    w = Window.partitionBy(*keys, "measure")
+    upto = w.orderBy("reach", "n").rowsBetween(Window.unboundedPreceding, 0)
+    x = groups.withColumn("weight", F.col("n") / (F.col("n") + prior))
+    # The sum's rounding must not decide where half of the weight is met.
+    met = F.sum("weight").over(upto) * (1 + 1e-9) >= F.sum("weight").over(w) / 2
+    return x.withColumn("met", met).groupBy(*keys, "measure").agg(F.sum("n").alias("n"), F.min(F.when(F.col("met"), F.col("reach"))).alias("reach"))
+
+
+def thresholds(sketches: DataFrame, *, fence: float = 3.0, prior: float = 100.0) -> DataFrame:
+    """(lang, source, one column for each measure): the limits of every group."""
+    own = fences(sketches, fence)
+    langs = median_fence(own, ["lang"], prior)
+    every = median_fence(langs, [], prior).select(F.col("measure").alias("am"), F.col("reach").alias("all_reach"))
+    by_lang = langs.select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("n").alias("ln"), F.col("reach").alias("lang_reach"))
+    # One row for each group and measure.
+    x = own.join(by_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(every, F.col("measure") == F.col("am"))
+    x = x.withColumn("lang_limit", F.col("all_reach") + (F.col("lang_reach") - F.col("all_reach")) * F.col("ln") / (F.col("ln") + prior))
+    x = x.withColumn("limit", F.exp(F.col("lang_limit") + (F.col("reach") - F.col("lang_limit")) * F.col("n") / (F.col("n") + prior) / 2))
+    return x.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("limit"))).alias(f"limit_{k}") for k in MEASURES])
 
 
-def verdicts(docs: DataFrame, *, fence: float = 3.0, least: int = 200) -> DataFrame:
+def verdicts(docs: DataFrame, *, fence: float = 3.0, prior: float = 100.0) -> DataFrame:
     """(doc_id, the five counts, base_failed, kept, failed_rules) of every row."""
     measured = cut(measures(docs), "measures")
-    limits = cut(thresholds(sketch(measured), fence=fence, least=least), "thresholds")
+    limits = cut(thresholds(sketch(measured), fence=fence, prior=prior), "thresholds")
     limits = limits.withColumnRenamed("lang", "_l").withColumnRenamed("source", "_s")
     x = measured.join(limits, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     broken = []
@@ -144,5 +164,5 @@ def verdicts(docs: DataFrame, *, fence: float = 3.0, least: int = 200) -> DataFr
         beyond = F.expr(f"({sql}) {'>' if side == 'above' else '<'} limit_{k}")
         broken.append(F.when(F.coalesce(beyond, F.lit(False)), F.lit(k)))
     x = x.withColumn("failed_rules", F.array_join(F.array(*broken), ","))
-    x = x.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+    x = x.withColumn("base_failed", F.expr(BASE_FAILED))
     return x.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.col("failed_rules") == "")).alias("kept"), "failed_rules")
