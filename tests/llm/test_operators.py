@@ -622,6 +622,24 @@ def test_near_duplicates(docs, nothing, table):
     assert setsketch.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_of_any_id(spark, nothing):
+    """Ids over the whole 64-bit range, one doc_id with two texts, NULL ids, columns with internal names."""
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    big = (1 << 62) + 5
+    rows = [(big, a), (big + 1, a), (-(1 << 63), c), ((1 << 63) - 1, c), (1, b), (1, d), (5, b + " more"), (6, d + " more"), (None, d), (None, "alone in the world of all these words"), (1, b)]
+    frame = spark.createDataFrame([(i, t, f"id{k}", f"_id{k}", k, f"h{k}") for k, (i, t) in enumerate(rows)], "doc_id long, text string, id string, _id string, comp int, h string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in setsketch.near_duplicates(frame).collect())
+    want = [(big, big, True), (big + 1, big, False), (-(1 << 63), -(1 << 63), True), ((1 << 63) - 1, -(1 << 63), False)]
+    want += [(1, 1, True)] * 3 + [(5, 1, False), (6, 1, False), (None, 1, False), (None, None, True)]
+    assert got == Counter(want)
+    kept = setsketch.one_per_group(frame)
+    assert kept.columns == frame.columns
+    assert Counter(r.text for r in kept.collect()) == Counter([a, b, c, d, "alone in the world of all these words"])
+    assert {r._id for r in kept.collect()} <= {f"_id{k}" for k in range(len(rows))}
+    assert setsketch.one_per_group(nothing).count() == 0
+
+
 def test_crowd_of_unlike_copies(spark):
     """Many copies with random edits: most pairs meet in bands, few are links; none may be lost."""
     rng = random.Random(21)

@@ -8,9 +8,10 @@ likelihood test on all registers and are confirmed on the full sets.
 
 Defined results: NULL and empty text and text without words have the empty set (0 shingles), are linked with nothing and
 kept. Equal sets are collapsed before anything is compared and expanded again at the end; repeated rows of a doc_id are
-each returned. A row with a NULL doc_id takes part by its text and is the last choice of its component, whose id is NULL if
-it has no other; it is kept then. Columns other than doc_id and text are ignored. An empty
-table gives an empty result.
+each returned, and different texts of one doc_id take part by themselves. A row with a NULL doc_id takes part by its text and
+is the last choice of its component, whose id is NULL if it has no other; it is kept then. Any 64-bit doc_id will do. A row is
+known inside by (no doc_id, doc_id, hash of the text). Other columns are passed on in one column, so no name can clash. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .graph import bucket_mates, linked_groups
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 24, 6  # misses a pair of similarity 0.85 with probability (1 - 0.85^6)^24, about 1e-5
 REGISTERS = BANDS * ROWS
-NO_ID = 1 << 62
-SKETCH = "id long, n_shingles long, key1 long, key2 long, bands array<long>, registers binary"
+ID = "missing int, doc long, h long"
+SKETCH = f"{ID}, n_shingles long, key1 long, key2 long, bands array<long>, registers binary"
 
 _GRID = np.linspace(0.0, 1.0, 201)[:-1]
 
@@ -62,20 +63,21 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids = WordIds()
     for batch in batches:
         out = []
-        for doc, text in zip(batch["id"], batch["text"]):
+        for *doc, text in zip(batch["missing"], batch["doc"], batch["h"], batch["text"]):
             full = np.unique(shingles(ids.of(space_words(text))))
             if len(full) == 0:
-                out.append((doc, 0, 0, 0, [], b""))
+                out.append((*doc, 0, 0, 0, [], b""))
                 continue
             regs = registers(full)
             keys = np.array([full.sum(dtype=np.uint64), mix64(full).sum(dtype=np.uint64)]).view(np.int64)
-            out.append((doc, len(full), keys[0], keys[1], band_keys(regs).view(np.int64), regs.tobytes()))
-        yield pd.DataFrame(out, columns=["id", "n_shingles", "key1", "key2", "bands", "registers"])
+            out.append((*doc, len(full), keys[0], keys[1], band_keys(regs).view(np.int64), regs.tobytes()))
+        yield pd.DataFrame(out, columns=["missing", "doc", "h", "n_shingles", "key1", "key2", "bands", "registers"])
 
 
 def _id() -> Column:
-    """doc_id; a row without one gets an id from its text, above all others."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 3))
+    """(missing, doc, h): rows without a doc_id come last; the hash tells the texts of one doc_id apart."""
+    doc = F.col("doc_id").cast("long")
+    return F.struct(doc.isNull().cast("int").alias("missing"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64("text").alias("h"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -83,9 +85,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(_id().alias("id"), F.col("text").cast("binary").alias("text"))
 
 
+def _named(flat: DataFrame) -> DataFrame:
+    """The three parts of an id as the column id again; Python gets them as plain columns."""
+    return flat.select(F.struct("missing", "doc", "h").alias("id"), *[c for c in flat.columns if c not in ("missing", "doc", "h")])
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(id, n_shingles, key1, key2, bands, registers): one row per document; key1 and key2 name its set."""
-    return _rows(docs).mapInPandas(_sketch, SKETCH)
+    return _named(_rows(docs).select("id.*", "text").mapInPandas(_sketch, SKETCH))
 
 
 def likelihood(na: np.ndarray, nb: np.ndarray, less: np.ndarray, more: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -121,7 +128,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ids = WordIds()
     for batch in batches:
         full = [np.unique(shingles(ids.of(space_words(t)))).view(np.int64) for t in batch["text"]]
-        yield pd.DataFrame({"id": batch["id"], "members": full})
+        yield pd.DataFrame({"missing": batch["missing"], "doc": batch["doc"], "h": batch["h"], "members": full})
 
 
 def prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
@@ -144,8 +151,9 @@ def prefix_pairs(sets: DataFrame, ids: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``."""
-    doc_id, comp = (F.when(F.col(c) < NO_ID, F.col(c)) for c in ("id", "comp"))
-    return groups_of(docs, percent=percent).select(doc_id.alias("doc_id"), "n_shingles", comp.alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+    doc_id, comp = (F.when(F.col(f"{c}.missing") == 0, F.col(f"{c}.doc")) for c in ("id", "comp"))
+    kept = F.coalesce(doc_id == comp, F.col("id") == F.col("comp"))
+    return groups_of(docs, percent=percent).select(doc_id.alias("doc_id"), "n_shingles", comp.alias("component_id"), kept.alias("kept"))
 
 
 def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFrame:
@@ -158,13 +166,13 @@ def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFram
     full = sk.where("n_shingles > 0")
     names = ["key1", "key2", "n_shingles"]
     reps = cut(full.groupBy(*names).agg(F.min("id").alias("rep")), "reps")
-    # One document stands for each distinct set. Repeated rows of its id are equal.
+    # One document stands for each distinct set. Rows of an id have one text.
     heads = full.join(reps.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
     heads = cut(heads.select("id", "n_shingles", "bands", "registers"), "heads")
     mates = cut(bucket_mates(heads.select(F.explode("bands").alias("bucket"), "id")), "mates")
     active = cut(mates.select("id").distinct(), "active")
     texts = _rows(docs).join(active, "id").dropDuplicates(["id"])
-    sets = cut(texts.mapInPandas(_sets, "id long, members array<long>"), "sets")
+    sets = cut(_named(texts.select("id.*", "text").mapInPandas(_sets, f"{ID}, members array<long>")), "sets")
     info = cut(heads.join(active, "id").select("id", "n_shingles", "registers"), "active-heads")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -186,6 +194,7 @@ def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFram
 
 
 def one_per_group(docs: DataFrame, *, percent: int = 85) -> DataFrame:
-    """Rows of ``docs`` whose document stays: one per group; repeated rows of the kept doc_id stay once."""
-    keep = groups_of(docs.select("doc_id", "text"), percent=percent).where("id = comp").select(F.col("id").alias("_id"))
-    return docs.withColumn("_id", _id()).join(keep.distinct(), "_id", "left_semi").dropDuplicates(["_id"]).select(*docs.columns)
+    """Rows of ``docs`` whose document stays: one per group; repeated rows of the kept document stay once."""
+    keep = groups_of(docs.select("doc_id", "text"), percent=percent).where("id = comp").select("id").distinct()
+    rows = docs.select(F.struct("*").alias("row"), _id().alias("id"))
+    return rows.join(keep, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
