@@ -474,6 +474,17 @@ def test_decontamination(spark, docs, nothing, table):
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_clean_keeps_every_column(spark):
+    rng = random.Random(2)
+    item = prose(rng, 12)
+    docs = spark.createDataFrame([(1, prose(rng, 30), "a", "b", "c"), (2, "so " + item + " end", "d", "e", "f"), (None, None, "g", None, "h")], "doc_id long, text string, _k string, k string, row string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.clean(docs, items)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r._k, r.k, r.row) for r in got.collect()} == {(1, "a", "b", "c"), (None, "g", None, "h")}
+    assert decontaminate.clean(docs.limit(0), items).count() == 0
+
+
 def test_proximity(spark):
     item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
     rows = [(1, "x " + item), (2, item.replace("charlie", "charlie the very")), (3, "alpha bravo " + "pad " * 40 + "charlie"), (4, "nothing")]

@@ -118,6 +118,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, width: int = 10, lists:
 
 def clean(docs: DataFrame, items: DataFrame, *, width: int = 10) -> DataFrame:
     """Rows of ``docs`` without an exact benchmark phrase, all columns."""
-    hits = phrase_hits(docs, items, width=width).select(F.col("k").alias("_k"))
+    hits = phrase_hits(docs, items, width=width).select("k")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.withColumn("_k", key).join(hits, "_k", "left_anti").select(*docs.columns)
+    # The columns travel as one, so that none can clash.
+    return docs.select(F.struct("*").alias("row"), key.alias("k")).join(hits, "k", "left_anti").select("row.*")
