@@ -159,3 +159,22 @@ def test_running_null_keys(spark):
     d = spark.createDataFrame([(None, 1, 1), (None, 5, 2), (None, 12, 4), ("a", 3, 10)], "k string, ts long, v long")
     out = scan.running(d, ["k"], ["ts"], 4, {"s": ("sum", F.col("v"))})
     assert rows(out, "k", "ts", "s") == rows(spark.createDataFrame([(None, 1, 1), (None, 5, 3), (None, 12, 7), ("a", 3, 10)], "k string, ts long, s long"))
+
+
+def test_lifecycle_calls_python_by_bucket(spark, tmp_path):
+    """Orders that share a bucket, over batches with late fills, timeouts and a missing id, equal the rule told per order."""
+    f = spark.sql("""SELECT CASE WHEN o = 7 THEN NULL WHEN o = 8 THEN 9007199254740993 ELSE o END AS order_id, 10000L + 1000 * o + 40000 * i AS ts, 1.0D + (o + i) % 3 AS sz,
+                     CASE WHEN o % 4 <> 3 THEN 4.0D + o % 5 END AS declared_sz FROM (SELECT explode(sequence(0L, 59L)) AS o) LATERAL VIEW explode(sequence(0, o % 3)) AS i
+                     UNION ALL SELECT 1000L, 900000L, 1.0D, NULL""")
+    orders = {}
+    for r in f.collect():
+        orders.setdefault(r.order_id, []).append(r)
+    want = set()
+    for name, fills in orders.items():
+        if fills[0].declared_sz is not None and sum(r.sz for r in fills) >= 0.98 * fills[0].declared_sz:
+            want.add((name, "completed"))
+        elif name != 1000:  # still within its gap at the stream's end
+            want.add((name, "ended_suspected"))
+    for buckets in (1, 8):
+        got = drain(spark, tmp_path / str(buckets), jobs.order_lifecycle(feed(spark, tmp_path / str(buckets), f, 3, "ts"), gap_ms=200_000, delay="1 second", buckets=buckets))
+        assert {(r.order_id, r.status) for r in got.collect()} == want and got.count() == len(want)

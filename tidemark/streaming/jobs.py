@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -113,41 +114,77 @@ def latest_candidates(snapshots: DataFrame) -> DataFrame:
 # -- order lifecycle --------------------------------------------------------------------------------
 
 LIFECYCLE = T.StructType([T.StructField("order_id", T.LongType()), T.StructField("status", T.StringType()), T.StructField("cum_sz", T.DoubleType()), T.StructField("last_fill_ts", T.LongType())])
-_LIFE_STATE = T.StructType([T.StructField("cum_sz", T.DoubleType()), T.StructField("last_fill_ts", T.LongType()), T.StructField("declared_sz", T.DoubleType()), T.StructField("status", T.StringType())])
+_LIVES = {"order_id": T.LongType(), "unnamed": T.BooleanType(), "cum_sz": T.DoubleType(), "last_fill_ts": T.LongType(), "declared_sz": T.DoubleType(), "status": T.StringType(), "deadline": T.LongType()}
+_LIFE_STATE = T.StructType([T.StructField(c, T.ArrayType(t)) for c, t in _LIVES.items()])
+_LIFE_DTYPES = {"order_id": "int64", "unnamed": "bool", "cum_sz": "float64", "last_fill_ts": "int64", "declared_sz": "float64", "status": "object", "deadline": "int64"}
 
 
-def order_lifecycle(fills: DataFrame, *, gap_ms: int, delay: str, completed: float = 0.98) -> DataFrame:
+def order_lifecycle(fills: DataFrame, *, gap_ms: int, delay: str, completed: float = 0.98, buckets: int = 2048) -> DataFrame:
     """Status changes per order: completed at ``completed`` of the declared size, ended_suspected once the
     watermark passes the last fill by ``gap_ms``. ``fills``: order_id, ts, sz, declared_sz.
 
     Every order's state expires: a completed one after one silent gap, a suspected one after a second gap, until which
-    a late fill goes on from the size so far."""
+    a late fill goes on from the size so far.
+
+    Python is called per bucket of orders (by the hash of their id), not per order: a bucket's state has one array per column,
+    with an entry for each order not forgotten, and its timeout is the earliest of their deadlines."""
+    ident = ["order_id", "unnamed"]
+
+    def lives(state: GroupState) -> pd.DataFrame:
+        columns = state.get if state.exists else [[] for _ in _LIVES]
+        return pd.DataFrame({c: pd.Series(list(v), dtype=_LIFE_DTYPES[c]) for c, v in zip(_LIVES, columns)})
+
+    def advance(known: pd.DataFrame, fills: pd.DataFrame, watermark: int) -> pd.DataFrame:
+        """The orders with fills: their sums go on, and an order not completed before is open or completed now."""
+        new = fills.groupby(ident, as_index=False).agg(add=("sz", "sum"), at=("ts", "max"), told=("declared_sz", "first"))
+        d = new.merge(known, on=ident, how="left")
+        d["cum_sz"] = d["cum_sz"].fillna(0.0) + d["add"]
+        # Whole numbers of 64 bits, which a float would round.
+        past = d[ident].merge(known[[*ident, "last_fill_ts"]], on=ident)
+        d["last_fill_ts"] = d["at"].astype("int64")
+        held = d["status"].notna().to_numpy()
+        d.loc[held, "last_fill_ts"] = np.maximum(d.loc[held, "last_fill_ts"].to_numpy(), past["last_fill_ts"].to_numpy())
+        d["declared_sz"] = d["told"].fillna(d["declared_sz"])
+        was = (d["status"] == "completed").to_numpy()
+        full = ((d["declared_sz"] != 0) & (d["cum_sz"] >= d["declared_sz"] * completed)).to_numpy()
+        d["change"] = np.where(full & ~was, "completed", None)
+        d["status"] = np.where(was | full, "completed", "open")
+        d["deadline"] = np.maximum(d["last_fill_ts"] + gap_ms, watermark + 1)
+        return d[[*_LIVES, "change"]]
+
+    def expire(known: pd.DataFrame, watermark: int) -> pd.DataFrame:
+        """The others: past its deadline an open order is suspected for one more gap, any other is forgotten."""
+        d = known.assign(change=None)
+        over, opened = (d["deadline"] < watermark).to_numpy(), (d["status"] == "open").to_numpy()
+        d = d.astype({"change": "object"})
+        d.loc[over & opened, ["change", "status"]] = "ended_suspected"
+        d.loc[over & opened, "deadline"] = np.maximum(d.loc[over & opened, "last_fill_ts"] + gap_ms, watermark + gap_ms)
+        return d[opened | ~over]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cum, last, declared, status = state.get if state.exists else (0.0, 0, None, "open")
-        change = None
-        if state.hasTimedOut:
-            change = "ended_suspected" if status == "open" else "forget"
+        watermark = state.getCurrentWatermarkMs()
+        known, parts = lives(state), []
+        if not state.hasTimedOut:
+            fills = pd.concat(list(batches))
+            touched = advance(known, fills, watermark)
+            parts.append(touched)
+            seen = pd.MultiIndex.from_frame(known[ident]).isin(pd.MultiIndex.from_frame(touched[ident]))
+            known = known[~seen]
+        parts.append(expire(known, watermark))
+        now = pd.concat([p for p in parts if len(p)] or parts[-1:])
+        if len(now):
+            state.update(tuple(now[c].tolist() for c in _LIVES))
+            state.setTimeoutTimestamp(max(int(now["deadline"].min()), watermark + 1))
         else:
-            for b in batches:
-                cum += float(b["sz"].sum())
-                last = max(last, int(b["ts"].max()))
-                known = b["declared_sz"].dropna()
-                declared = float(known.iloc[0]) if len(known) else declared
-            if status != "completed":
-                status = "open"
-                if declared and cum >= declared * completed:
-                    change = "completed"
-        if change == "forget":
             state.remove()
-        else:
-            status = change or status
-            state.update((cum, last, declared, status))
-            state.setTimeoutTimestamp(max(last + gap_ms, state.getCurrentWatermarkMs() + (gap_ms if change == "ended_suspected" else 1)))
-        out = [(key[0], change, cum, last)] if change in ("completed", "ended_suspected") else []
-        yield pd.DataFrame(out, columns=LIFECYCLE.names)
-
-    return event_time(fills, delay=delay).groupBy("order_id").applyInPandasWithState(step, LIFECYCLE, _LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        out = now[now["change"].notna()]
+        ids = pd.Series([None if u else i for i, u in zip(out["order_id"], out["unnamed"])], dtype="Int64")
+        yield pd.DataFrame({"order_id": ids, "status": out["change"].to_numpy(), "cum_sz": out["cum_sz"].to_numpy(), "last_fill_ts": out["last_fill_ts"].to_numpy()})
+
+    rows = event_time(fills, delay=delay).select("event_time", F.pmod(F.hash("order_id"), F.lit(buckets)).alias("bucket"), F.coalesce("order_id", F.lit(0)).cast("long").alias("order_id"),
+                                                 F.col("order_id").isNull().alias("unnamed"), F.coalesce("ts", F.lit(0)).cast("long").alias("ts"),
+                                                 F.col("sz").cast("double").alias("sz"), F.col("declared_sz").cast("double").alias("declared_sz"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, LIFECYCLE, _LIFE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # -- micro-batch jobs over the batch operators ---------------------------------------------------------
