@@ -167,3 +167,18 @@ def test_decomposition_closes(spark):
     g = fl.change_decomposition(old, new_same, cohort, old_mid=F.lit(100.0), new_mid=F.lit(100.0)).first()
     assert (g.common_position_change_fixed_mid, g.departures, g.residual_notional) == (-100.0, 0.0, 0.0)
     assert new.count() == 1
+
+
+def test_paths_with_a_price_of_zero(spark):
+    """Invalid by default; with ``positive=False`` a price like any other, and a move from it infinite."""
+    b = bars(spark, [(MINUTE, 100.0, 110.0, 0.0, 105.0), (2 * MINUTE, 0.0, 1.0, 0.0, 1.0), (3 * MINUTE, 50.0, 50.0, 50.0, 50.0)], "ts long, open double, high double, low double, close double")
+    e = bars(spark, [("a", MINUTE, 3 * MINUTE, "long"), ("b", 2 * MINUTE, 3 * MINUTE, "long")], "event_id string, entry_ts long, exit_ts long, direction string")
+    kw = dict(by=["k"], step=MINUTE, stop_bp=5_000, take_bp=15_000)
+    assert {r.reason for r in E.path_metrics(e, b, **kw).collect()} == {"invalid_ohlc"}
+    got = {r.event_id: r for r in E.path_metrics(e, b, **kw, positive=False).collect()}
+    assert (got["a"].reason, got["a"].mae_bp, got["a"].mae_ts, got["a"].first_barrier) == ("", -10_000.0, MINUTE, "stop_intrabar")
+    assert (got["b"].reason, got["b"].mfe_bp) == ("", float("inf"))
+    src = e.withColumn("source_entry_px", F.lit(None).cast("double")).withColumn("source_exit_px", F.lit(None).cast("double")).withColumn("source_net_bp", F.when(F.col("event_id") == "a", -5_014.0).otherwise(float("inf")))
+    audit = dict(**kw, cutoff=10**9)
+    assert {r.reason for r in E.path_audit(src, b, **audit, positive=False).collect()} == {""}
+    assert {r.event_id: r.reason for r in E.path_audit(src, b, **audit).collect()}["a"] == "invalid_ohlc"

@@ -35,6 +35,12 @@ def finite_or_null(x: str | Column) -> Column:
     return F.when(finite(x), _c(x))
 
 
+def ieee_divide(a: Column, b: Column) -> Column:
+    """Ratio of doubles that a zero divisor makes infinite, or NaN for zero by zero, instead of NULL."""
+    at_zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, at_zero).otherwise(F.try_divide(a, b))
+
+
 def bar_problem(step: int = MINUTE, ts: str = "ts") -> Column:
     """First reason a bar is unusable, NULL when it is fine."""
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))

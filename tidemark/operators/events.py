@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import finite
+from ..functions.scalar import finite, ieee_divide
 from ..session import DAY, HOUR, materialize
 from .asof import asof_forward
 from .greedy import greedy_select
@@ -202,10 +202,12 @@ def two_leg_pnl(ledger: DataFrame, *, quantity: float, fee_bp: float, slippage_b
 
 # -- paths ------------------------------------------------------------------------------------------
 
-def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: int, stop_bp: float, take_bp: float) -> DataFrame:
+def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: int, stop_bp: float, take_bp: float,
+                 positive: bool = True) -> DataFrame:
     """Excursions, underwater bars and the first barrier on [entry, exit) plus the exit open.
 
-    A bar whose range covers both barriers is ambiguous; a gap through a barrier at an open is not.
+    A bar whose range covers both barriers is ambiguous; a gap through a barrier at an open is not. ``positive``: a path
+    with a price of zero or less is invalid. Without it zero is a price like any other and a move from it infinite.
     """
     b = bars.select(*by, "ts", "open", "high", "low", "close")
     e = exact_lookup(events, b, by=by, at=F.col("entry_ts"), take={"open": "entry_px"})
@@ -213,7 +215,8 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step:
     p = interval_join(e, b, by=by, start="entry_ts", stop="exit_ts", how="outer")
     long = F.col("direction") == "long"
     sign = F.when(long, 1.0).otherwise(-1.0)
-    move = lambda c: sign * (F.try_divide(F.col(c), F.col("entry_px")) - 1)
+    ratio = F.try_divide if positive else ieee_divide
+    move = lambda c: sign * (ratio(F.col(c), F.col("entry_px")) - 1)
     worst, best = F.when(long, move("bar_low")).otherwise(move("bar_high")), F.when(long, move("bar_high")).otherwise(move("bar_low"))
     stop, take = F.lit(-stop_bp / 10_000), F.lit(take_bp / 10_000)
     stop_px = F.col("entry_px") * (1 + sign * stop)
@@ -226,20 +229,20 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step:
     label = (F.when(past_stop("bar_open"), "stop_open").when(past_take("bar_open"), "take_open")
              .when(touch_stop & touch_take, "ambiguous").when(touch_stop, "stop_intrabar").when(touch_take, "take_intrabar"))
     o, h, l, c = (F.col(f"bar_{x}") for x in ("open", "high", "low", "close"))
-    bad = F.least(o, h, l, c) <= 0
+    bad = (F.least(o, h, l, c) <= 0) & F.lit(positive)
     unordered = (l > F.least(o, c)) | (F.greatest(o, c) > h)
     under = F.when(long, c < F.col("entry_px")).otherwise(c > F.col("entry_px"))
     g = (p.withColumn("_w", worst).withColumn("_b", best).withColumn("_label", label)
          .groupBy(*e.columns).agg(F.count("bar_ts").alias("_n"), F.min("bar_ts").alias("_first"), F.count_if(bad).alias("_bad"), F.count_if(unordered).alias("_unord"),
                              F.min("_w").alias("_mae"), F.min_by("bar_ts", F.struct("_w", "bar_ts")).alias("_mae_ts"), F.max("_b").alias("_mfe"),
-                             F.max_by("bar_ts", F.struct(F.col("_b"), -F.col("bar_ts"))).alias("_mfe_ts"), F.count_if(under).alias("underwater"),
+                             F.min_by("bar_ts", F.struct(-F.col("_b"), F.col("bar_ts"))).alias("_mfe_ts"), F.count_if(under).alias("underwater"),
                              F.min_by("_label", F.when(F.col("_label").isNotNull(), F.col("bar_ts"))).alias("_hit"),
                              F.min(F.when(F.col("_label").isNotNull(), F.col("bar_ts"))).alias("_hit_ts")))
     need = (F.col("exit_ts") - F.col("entry_ts")) / step
     reason = (F.when(F.col("_first").isNull() | (F.col("_first") != F.col("entry_ts")), "missing_entry_bar")
               .when((F.col("_n") != need) | (F.col("entry_ts") % step != 0), "missing_path_bar").when(F.col("_bad") > 0, "invalid_ohlc")
               .when(F.col("_unord") > 0, "invalid_ohlc_order")
-              .when(F.col("exit_open_px").isNull() | (F.col("exit_open_px") <= 0), "missing_or_invalid_exit_open").otherwise(""))
+              .when(F.col("exit_open_px").isNull() | ((F.col("exit_open_px") <= 0) & F.lit(positive)), "missing_or_invalid_exit_open").otherwise(""))
     end = move("exit_open_px")
     last = F.when(past_stop("exit_open_px"), "stop_open").when(past_take("exit_open_px"), "take_open")
     ok = F.col("reason") == ""
@@ -253,23 +256,27 @@ def path_metrics(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step:
 
 
 def path_audit(events: DataFrame, bars: DataFrame, *, by: Sequence[str], step: int, cutoff: int, stop_bp: float,
-               take_bp: float, cost_bp: float = 14.0) -> DataFrame:
+               take_bp: float, cost_bp: float = 14.0, positive: bool = True) -> DataFrame:
     """First failing check per row, otherwise the path metrics; the source net return must be reproduced.
 
-    ``events`` carries entry_ts, exit_ts, direction, source_net_bp, source_entry_px, source_exit_px.
+    ``events`` carries entry_ts, exit_ts, direction, source_net_bp, source_entry_px, source_exit_px. ``positive`` as in
+    ``path_metrics``; without it the net return of an entry at zero may be infinite too.
     """
-    m = path_metrics(events, bars, by=by, step=step, stop_bp=stop_bp, take_bp=take_bp)
+    m = path_metrics(events, bars, by=by, step=step, stop_bp=stop_bp, take_bp=take_bp, positive=positive)
     en, ex, d = F.col("entry_ts"), F.col("exit_ts"), F.col("direction")
     sign = F.when(d == "long", 1.0).otherwise(-1.0)
-    gross = sign * (F.try_divide("exit_open_px", "entry_px") - 1) * 10_000
-    bad_px = lambda c: F.col(c).isNull() | (F.col(c) <= 0)
+    ratio = F.try_divide if positive else ieee_divide
+    gross = sign * (ratio(F.col("exit_open_px"), F.col("entry_px")) - 1) * 10_000
+    bad_px = lambda c: F.col(c).isNull() | ((F.col(c) <= 0) & F.lit(positive))
+    net = F.col("source_net_bp")
+    bad_net = ~finite("source_net_bp") & (F.lit(positive) | net.isNull() | finite(gross))
     off = lambda s, a: F.col(s).isNotNull() & (F.abs(F.col(s) - F.col(a)) > 1e-9)
     reason = (F.when(en.isNull() | ex.isNull(), "invalid_timestamp").when((en < 0) | (ex <= en), "invalid_interval")
               .when(ex >= cutoff, "exit_after_cutoff").when((en % step != 0) | (ex % step != 0), "unaligned_timestamp")
-              .when(d.isNull() | ~d.isin("long", "short"), "unknown_direction").when(~finite("source_net_bp"), "invalid_source_net")
+              .when(d.isNull() | ~d.isin("long", "short"), "unknown_direction").when(bad_net, "invalid_source_net")
               .when(bad_px("entry_px") | bad_px("exit_open_px"), "missing_or_invalid_endpoint_open")
               .when(off("source_entry_px", "entry_px"), "source_entry_price_mismatch").when(off("source_exit_px", "exit_open_px"), "source_exit_price_mismatch")
-              .when(F.abs(gross - (F.col("source_net_bp") + cost_bp)) > 1e-6, "source_net_mismatch").otherwise(F.col("reason")))
+              .when((F.abs(gross - (net + cost_bp)) > 1e-6) & (gross != net + cost_bp), "source_net_mismatch").otherwise(F.col("reason")))
     out = m.withColumn("reason", reason).withColumn("path_complete", F.col("reason") == "")
     keep = ["mae_bp", "mae_ts", "mfe_bp", "mfe_ts", "underwater_bars", "first_barrier", "barrier_ts"]
     return out.select(*events.columns, "entry_px", "exit_open_px", "reason", "path_complete",
