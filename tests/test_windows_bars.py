@@ -106,6 +106,16 @@ def test_labels(spark):
     assert pick(S.bias_label(F.lit(3.0), F.lit(1.0), "a", "b"), S.bias_label(F.lit(0.0), F.lit(0.0), "a", "b")) == ("a優勢(3.0倍)", "拮抗(データなし)")
 
 
+@pytest.mark.parametrize("width", [100, 10**9])
+def test_islands_number_rows_of_one_time_alike(spark, width):
+    """Two rows of one time with unlike states: the order is that of ``tie``, the number that of the later one."""
+    d = spark.createDataFrame([("k", 10, 3, "A"), ("k", 20, 2, "B"), ("k", 20, 1, "A"), ("k", 20, 4, "A"), ("k", 130, 5, "A"), ("k", 140, 6, "B")], "symbol string, ts long, event_id long, side string")
+    out = W.islands(d, ["symbol"], width=width, gap=1_000, state="side", tie=["event_id"], peers=True)
+    assert rows(out, "event_id", "island") == [(1, 3), (2, 3), (3, 1), (4, 3), (5, 3), (6, 4)]
+    runs = W.run_lengths(d, ["symbol"], "side", gap=1_000, width=width, tie=["event_id"], peers=True)
+    assert rows(runs, "side", "count", "runs", "max_contiguous") == [("A", 4, 2, 3), ("B", 2, 2, 1)]
+
+
 def test_clip_position_at_zero_prices(spark):
     """A registered query's ratios to a zero open or low are infinite, as its SQL has them."""
     s = "a double, b double"

@@ -138,18 +138,19 @@ def rolling(df: DataFrame, keys: Sequence[str], value: str, rows: int, *, width:
 
 
 def islands(df: DataFrame, keys: Sequence[str], *, width: int | None, gap: int | None = None, state: str | None = None,
-            out: str = "island", ts: str = "ts") -> DataFrame:
-    """Run number: a new run starts where the time step exceeds ``gap`` or ``state`` changes."""
+            out: str = "island", ts: str = "ts", tie: Sequence[str] = (), peers: bool = False) -> DataFrame:
+    """Run number: a new run starts where the time step exceeds ``gap`` or ``state`` changes. Rows of one time follow in
+    the order of ``tie``; with ``peers`` all of them have the number that the last one reaches."""
     def fresh(now, before):
         far = now(ts) - before(ts) > gap if gap is not None else F.lit(False)
         return far | ~now(state).eqNullSafe(before(state)) if state else far
 
-    return numbered_runs(df, keys, [ts], width, fresh, [ts, *([state] if state else [])], out=out, ts=ts)
+    return numbered_runs(df, keys, [ts, *tie], width, fresh, [ts, *([state] if state else [])], out=out, ts=ts, peers=peers)
 
 
-def run_lengths(df: DataFrame, keys: Sequence[str], state: str, *, gap: int, width: int | None) -> DataFrame:
-    """Per state: rows, runs and the longest contiguous run."""
-    runs = islands(df, keys, width=width, gap=gap, state=state).groupBy(*keys, state, "island").agg(F.count("*").alias("_n"))
+def run_lengths(df: DataFrame, keys: Sequence[str], state: str, *, gap: int, width: int | None, tie: Sequence[str] = (), peers: bool = False) -> DataFrame:
+    """Per state: rows, runs and the longest contiguous run; ``tie`` and ``peers`` as in ``islands``."""
+    runs = islands(df, keys, width=width, gap=gap, state=state, tie=tie, peers=peers).groupBy(*keys, state, "island").agg(F.count("*").alias("_n"))
     return runs.groupBy(*keys, state).agg(F.sum("_n").alias("count"), F.count("*").alias("runs"), F.max("_n").alias("max_contiguous"))
 
 
