@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = float("inf")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, also where the body reads it for every level."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def best(side: str) -> Column:
     return F.get(F.col("bids" if side == "bid" else "asks"), F.lit(0)).getField("px")
 
@@ -95,19 +102,25 @@ def impact_bp(side: str, notional: float) -> Column:
 
 def walls(side: str, *, band_bp: float, multiple: float, min_usd: float, min_share: float = 0.0) -> Column:
     """Levels in view of at least min_usd, ``multiple`` times the side's median level and ``min_share`` of it."""
-    m = mid()
-    limit = F.least(F.lit(float(band_bp)), coverage(side))
-    inside = F.filter(levels(side), lambda l: distance_bp(l.px, m) <= limit)
-    usd = F.array_sort(F.transform(inside, lambda l: l.px * l.sz))
-    n = F.size(usd)
-    median = (F.get(usd, ((n - 1) / 2).cast("int")) + F.get(usd, (n / 2).cast("int"))) / 2
-    total = F.aggregate(usd, F.lit(0.0), lambda a, x: a + x)
-    threshold = F.greatest(F.lit(float(min_usd)), multiple * median, min_share * total)
-    found = F.filter(inside, lambda l: l.px * l.sz >= threshold)
-    out = F.transform(found, lambda l: F.struct(F.lit(side).alias("side"), l.px.alias("px"), (l.px * l.sz).alias("usd"),
-                                                distance_bp(l.px, m).alias("distance_bp"), (l.px * l.sz / total).alias("share"),
-                                                l.n.alias("orders"), median.alias("median_level_usd")))
-    return F.when(n >= 3, out).otherwise(F.slice(out, F.lit(1), F.lit(0)))
+    bounds = F.struct(mid().alias("m"), F.least(F.lit(float(band_bp)), coverage(side)).alias("limit"))
+
+    def side_stats(inside: Column, m: Column) -> Column:
+        return let(F.array_sort(F.transform(inside, lambda l: l.px * l.sz)), lambda usd: F.struct(
+            inside.alias("inside"), m.alias("m"), F.size(usd).alias("n"), F.aggregate(usd, F.lit(0.0), lambda a, x: a + x).alias("total"),
+            ((F.get(usd, ((F.size(usd) - 1) / 2).cast("int")) + F.get(usd, (F.size(usd) / 2).cast("int"))) / 2).alias("median")))
+
+    def in_view(v: Column) -> Column:
+        return let(F.filter(levels(side), lambda l: distance_bp(l.px, v["m"]) <= v["limit"]), lambda inside: side_stats(inside, v["m"]))
+
+    def found(s: Column) -> Column:
+        return let(F.greatest(F.lit(float(min_usd)), multiple * s["median"], min_share * s["total"]), lambda t: F.filter(s["inside"], lambda l: (s["n"] >= 3) & (l.px * l.sz >= t)))
+
+    def described(s: Column) -> Column:
+        return F.transform(found(s), lambda l: F.struct(F.lit(side).alias("side"), l.px.alias("px"), (l.px * l.sz).alias("usd"),
+                                                        distance_bp(l.px, s["m"]).alias("distance_bp"), (l.px * l.sz / s["total"]).alias("share"),
+                                                        l.n.alias("orders"), s["median"].alias("median_level_usd")))
+
+    return let(let(bounds, in_view), described)
 
 
 def largest_levels(side: str, n: int = 3) -> Column:
