@@ -99,3 +99,17 @@ def test_negative_episodes_across_chunks(spark):
     for width in (5, 40, 700, None):
         got = {(r.k, r.start_ts, r.end_ts, r.depth_bp / 10_000, r.recovered) for r in W.negative_episodes(frame, ["k"], "v", width=width).collect()}
         assert got == want
+
+
+def test_quantiles_of_small_and_large_groups(spark, monkeypatch):
+    """Only groups beyond one sort's size are sampled and cut; both kinds are exact."""
+    import numpy as np
+
+    from tidemark.operators import ordered
+    monkeypatch.setattr(ordered, "SORTED", 20)
+    d = spark.sql("SELECT IF(id < 7, 's', IF(id < 400, 'm', NULL)) AS k, CAST(pmod(id * 7919, 1009) AS DOUBLE) AS v FROM range(900)")
+    got = {r.k: (r.q1, r.q9) for r in ordered.quantiles(d, ["k"], {"v": F.col("v")}, {"q1": ("v", 0.1), "q9": ("v", 0.9)}).collect()}
+    values = {}
+    for r in d.collect():
+        values.setdefault(r.k, []).append(r.v)
+    assert {k: tuple(round(x, 9) for x in v) for k, v in got.items()} == {k: tuple(round(float(x), 9) for x in np.quantile(v, [0.1, 0.9])) for k, v in values.items()}

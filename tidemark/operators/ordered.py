@@ -42,11 +42,13 @@ def _ranges(counts: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFram
     """(counts with _part, ranges): ranges holds (keys, _m, _part, _before, _size, _total)."""
     group = [*keys, "_m"]
     cuts = [i / PARTS for i in range(1, PARTS)]
-    # Values of one sort's size need no bounds.
+    # Values of one sort's size need no bounds: only the larger groups are sampled and joined.
+    large = counts.groupBy(*group).count().where(F.col("count") > SORTED).select(*group)
     sampled = F.array_distinct(F.percentile_approx("_v", cuts, 2000))
-    bounds = counts.groupBy(*group).agg(F.when(F.count("*") <= SORTED, F.array().cast("array<double>")).otherwise(sampled).alias("_bounds"))
-    placed = counts.join(_named(bounds, group), _same(group)).drop(*[f"_k_{k}" for k in group])
-    placed = placed.withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col("_v")))).drop("_bounds")
+    within = counts.join(_named(large, group), _same(group), "left_semi")
+    bounds = within.groupBy(*group).agg(sampled.alias("_bounds"))
+    placed = counts.join(_named(bounds, group), _same(group), "left").drop(*[f"_k_{k}" for k in group])
+    placed = placed.withColumn("_part", F.when(F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b < F.col("_v"))))).drop("_bounds")
     w = Window.partitionBy(*group)  # at most PARTS rows
     ranges = placed.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
     before = F.sum("_size").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
