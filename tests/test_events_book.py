@@ -182,3 +182,19 @@ def test_paths_with_a_price_of_zero(spark):
     audit = dict(**kw, cutoff=10**9)
     assert {r.reason for r in E.path_audit(src, b, **audit, positive=False).collect()} == {""}
     assert {r.event_id: r.reason for r in E.path_audit(src, b, **audit).collect()}["a"] == "invalid_ohlc"
+
+
+def test_book_steps_are_evaluated_once(spark):
+    """A side's view and median are bound once for its levels; what several branches read comes from the shared folder."""
+    assert spark.range(3).select(bk.let(F.rand(), lambda v: v - v).alias("x")).distinct().collect()[0].x == 0.0
+    level = "array<struct<px double, sz double, n long>>".replace(" double", ":double").replace(" long", ":long")
+    books = spark.createDataFrame([(1, t, 9e9, 9e9, [(99.0, 10.0, 1), (98.0, 50.0, 1), (97.0, 11.0, 1)], [(101.0, 10.0, 1)]) for t in (1_000, 2_000, 3_000)],
+                                  f"stream long, received_ms long, bid_cov double, ask_cov double, bids {level}, asks {level}")
+    rule = dict(band_bp=500.0, multiple=1.5, min_usd=1_000.0)
+    assert rows(ob.wall_rows(books, ["received_ms"], **rule), "received_ms", "px", "median_level_usd") == [(t, 98.0, 97.0 * 11) for t in (1_000, 2_000, 3_000)]
+    episodes = ob.wall_episodes(books, max_gap=5_000, width=10**6, **rule)
+    assert episodes.inputFiles() and all("wall-books" in f for f in episodes.inputFiles())
+    metrics = books.select("stream", F.col("received_ms").alias("tick_ms"), "received_ms", bk.mid().alias("mid"), F.lit(0.5).alias("imb"))
+    fwd = ob.forward_mid(metrics, imbalance="imb", horizons=[1_000], edges=(-1.0, 0.0, 1.0), width=10**6)
+    assert fwd.inputFiles() and all("forward-mid" in f for f in fwd.inputFiles())
+    assert fwd.count() == 2

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import book as bk
 from ..functions.scalar import fixed_bins
+from ..session import materialize
 from .asof import asof_nearest
 from .batches import by_group, spans
 from .infer import cluster_bootstrap_diff
@@ -170,10 +171,12 @@ def fold_walls(views: DataFrame, *, max_gap: int, persist: float = 0.5, approach
 
 def wall_episodes(books: DataFrame, *, max_gap: int, width: int, persist: float = 0.5, approach: float = 20.0, **rule) -> DataFrame:
     """Follow each price level that becomes a wall until it ends, with the reason."""
+    books = materialize(books, "wall-books")  # the scan reads them twice
     return fold_walls(level_views(books, width=width, **rule), max_gap=max_gap, persist=persist, approach=approach).select(*EPISODE.names)
 
 
 def wall_summary(episodes: DataFrame, keys: Sequence[str] = ("stream", "side", "end_reason")) -> DataFrame:
+    episodes = materialize(episodes, "wall-episodes")  # read twice
     aggs = [F.count("*").alias("episodes"), F.count_if(F.col("snapshots") >= 2).alias("multi_snapshot_episodes")]
     columns = {c: F.col(c) for c in ("duration_sec", "max_usd", "min_distance_bp")}
     return with_quantiles(episodes, keys, aggs, columns, {f"{c}_p50": (c, 0.5) for c in columns})
@@ -183,6 +186,7 @@ def forward_mid(metrics: DataFrame, *, imbalance: str, horizons: Sequence[int],
     """Mid change to the nearest later snapshot around ts + horizon, within half the stream's median gap."""
     first = Window.partitionBy("stream", ts).orderBy("received_ms")
     d = metrics.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("stream", F.col(ts).alias("ts"), "mid", F.col(imbalance).alias("imbalance"))
+    d = materialize(d, "forward-mid")  # four columns of the metrics, read four times
     w = Window.partitionBy("stream").orderBy("ts")  # one row per tick
     gaps = d.withColumn("_g", F.col("ts") - F.lag("ts").over(w))
     gaps = quantiles(gaps, ["stream"], {"g": F.col("_g")}, {"tolerance": ("g", 0.5)}).withColumn("tolerance", F.col("tolerance") / 2)
@@ -193,6 +197,7 @@ def forward_mid(metrics: DataFrame, *, imbalance: str, horizons: Sequence[int],
 
 
 def imbalance_bins(fwd: DataFrame, keys: Sequence[str]) -> DataFrame:
+    fwd = materialize(fwd, "imbalance-bins")  # read twice
     day = F.floor(F.col("ts") / 86_400_000)
     aggs = [F.count("*").alias("obs"), F.count_distinct(day).alias("days"), F.avg("fwd_bp").alias("mean_fwd_bp"), F.avg((F.col("fwd_bp") > 0).cast("int")).alias("share_up")]
     return with_quantiles(fwd, [*keys, "bin"], aggs, {"fwd": F.col("fwd_bp")}, {"median_fwd_bp": ("fwd", 0.5)})
@@ -200,6 +205,7 @@ def imbalance_bins(fwd: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def top_minus_bottom(fwd: DataFrame, keys: Sequence[str], *, top: str, bottom: str, draws: int, seed: str, min_days: int, min_obs: int) -> DataFrame:
     """Difference of the extreme bins with a day-cluster interval, and the verdict."""
+    fwd = materialize(fwd, "top-minus-bottom")  # read twice and more
     d = fwd.where(F.col("bin").isin(top, bottom)).withColumn("cluster", F.floor(F.col("ts") / 86_400_000)).withColumn("is_a", F.col("bin") == top)
     ci = cluster_bootstrap_diff(d, keys, value="fwd_bp", member="is_a", cluster="cluster", draws=draws, seed=seed, other_only=True)
     base = fwd.groupBy(*keys).agg(F.count("*").alias("obs"), F.count_distinct(F.floor(F.col("ts") / 86_400_000)).alias("days"),
