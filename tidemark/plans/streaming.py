@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from ..operators import book as ob
 from ..operators import warning as wn
-from ..session import DAY, HOUR, scratch_path
+from ..session import DAY, HOUR, materialize, scratch_path
 from ..streaming import jobs
 from .book import BOOK_WIDTH, EPI, RULE, TICK
 from .flow import CFG, WS
@@ -47,7 +47,8 @@ def stretches(df, ts, parts):
 
 def in_parts(t, df, ts, sink, name, parts=3):
     """Feed a table to a micro-batch sink in ``parts`` equal stretches of time, one batch each, and return the last batch's
-    number. Each stretch is as many files as Spark writes."""
+    number. Each stretch is as many files as Spark writes; the table itself is evaluated once."""
+    df = materialize(df, f"{name}-whole")
     path, ckpt = scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-ckpt")
     for part in stretches(df, ts, parts):
         part.write.mode("append").parquet(path)
@@ -131,7 +132,8 @@ def _(t):
     accounts = jobs.VersionedTable(t.spark, scratch_path(t.spark, "accounts"), T.StructType([a.schema[c] for c in ("user", "observed_ts", "attempt_id", "status")]))
     schema = T.StructType([T.StructField("coin", T.StringType()), T.StructField("bucket", T.StringType()), T.StructField("notional", T.DoubleType()), T.StructField("count", T.LongType()), T.StructField("change", T.DoubleType())])
     frames = jobs.VersionedTable(t.spark, scratch_path(t.spark, "frames"), schema)
-    sink = jobs.observation_frames_sink(t.positions, accounts, frames, F.lit(100.0), min_usd=20_000, band_pct=3.0, range_pct=30.0)
+    positions = materialize(t.positions, "positions")  # each frame reads them
+    sink = jobs.observation_frames_sink(positions, accounts, frames, F.lit(100.0), min_usd=20_000, band_pct=3.0, range_pct=30.0)
     return frames.read(in_parts(t, a, "observed_ts", sink, "attempts"))
 
 
