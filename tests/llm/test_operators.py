@@ -710,3 +710,35 @@ def test_components(spark):
     got = {r.id: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: comp[x] for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_cut_frees_its_shuffle_files(spark):
+    """Disk holds the shuffles of one step, not of all steps so far."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import TIDY, cut
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+    before, setting = shuffles(), spark.conf.get(TIDY, None)
+    out = cut(spark.range(2000).groupBy(F.col("id") % 100).agg(F.count("*").alias("n")), "tidy")
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before and out.count() == 100 and spark.conf.get(TIDY, None) == setting
+
+
+def test_among(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import among, cut
+
+    rows = spark.range(5000).select(F.struct((F.col("id") % 2).alias("m"), F.col("id").alias("d")).alias("id"), F.lit("x").alias("text"))
+    for step in (1, 3, 5000):
+        ids = cut(rows.where(f"id.d % {step} = 0").select("id"), "ids")
+        assert sorted(r.id.d for r in among(rows, ids).collect()) == list(range(0, 5000, step))
+    assert among(rows, cut(rows.where("false").select("id"), "ids")).count() == 0

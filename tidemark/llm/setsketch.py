@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, cut, mix64, shingles, space_words
+from .common import WordIds, among, cut, mix64, shingles, space_words
 from .graph import bucket_mates, linked_groups
 
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -165,15 +165,15 @@ def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFram
     sk = cut(sketches(docs), "sketch")
     full = sk.where("n_shingles > 0")
     names = ["key1", "key2", "n_shingles"]
-    reps = cut(full.groupBy(*names).agg(F.min("id").alias("rep")), "reps")
-    # One document stands for each distinct set. Rows of an id have one text.
-    heads = full.join(reps.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
-    heads = cut(heads.select("id", "n_shingles", "bands", "registers"), "heads")
+    # One document stands for each distinct set; equal sets have equal sketches.
+    heads = cut(full.groupBy(*names).agg(F.min("id").alias("id"), F.first(F.struct("bands", "registers")).alias("x")).select(*names, "id", "x.*"), "heads")
+    reps = heads.select(*names, F.col("id").alias("rep"))
     mates = cut(bucket_mates(heads.select(F.explode("bands").alias("bucket"), "id")), "mates")
     active = cut(mates.select("id").distinct(), "active")
-    texts = _rows(docs).join(active, "id").dropDuplicates(["id"])
+    # Rows of an id have one text.
+    texts = among(_rows(docs), active).dropDuplicates(["id"])
     sets = cut(_named(texts.select("id.*", "text").mapInPandas(_sets, f"{ID}, members array<long>")), "sets")
-    info = cut(heads.join(active, "id").select("id", "n_shingles", "registers"), "active-heads")
+    info = cut(among(heads.select("id", "n_shingles", "registers"), active), "active-heads")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = info.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
