@@ -742,3 +742,23 @@ def test_among(spark):
         ids = cut(rows.where(f"id.d % {step} = 0").select("id"), "ids")
         assert sorted(r.id.d for r in among(rows, ids).collect()) == list(range(0, 5000, step))
     assert among(rows, cut(rows.where("false").select("id"), "ids")).count() == 0
+
+
+def test_passages_with_an_edit(spark):
+    """Passages of 50 to 60 words with one word changed in them, most of them behind a smaller id that holds a fragment; and
+    many documents that share one line of 30 words and no passage."""
+    rng = random.Random(29)
+    rows, want, line = [], {}, prose(rng, 30)
+    for i in range(30):
+        words = prose(rng, (50, 52, 56, 60)[i % 4]).split(" ")
+        at = rng.randrange(20, 31) if len(words) > 50 else 25
+        changed = " ".join([*words[:at], f"x{i}", *words[at + 1 :]])
+        if i % 3:
+            rows.append((i, " ".join([prose(rng, 30), *words[:40], prose(rng, 30)])))
+        first, second = 1000 + 2 * i, 1001 + 2 * i
+        rows += [(first, " ".join([prose(rng, 30), *words, prose(rng, 30)])), (second, " ".join([prose(rng, 20), changed, prose(rng, 40)]))]
+        want |= {first: first, second: first}
+    rows += [(2000 + i, " ".join([prose(rng, 40), line, prose(rng, 40)])) for i in range(40)]
+    got = {r.doc_id: r for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.class_id for i, r in got.items()} == want
+    assert all(r.n_repeated >= 50 for r in got.values())
