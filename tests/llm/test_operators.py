@@ -8,10 +8,11 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from tidemark.llm import decontaminate, language, licenses, lines, mixing, neighbours, passages, quality, setsketch, toxicity  # noqa: E402
+from tidemark.llm import decontaminate, graph, language, licenses, lines, mixing, neighbours, passages, quality, setsketch, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, k string, n long, size string, words string, bucket int, member string"
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -362,6 +363,37 @@ def test_fuzzy_lines_of_every_length(spark):
     assert not any(got[2 * i] for i in range(len(pairs)))
 
 
+def test_bounds_before_the_edit_distance_are_exact(spark):
+    """Random edits of repetitive and of other texts: the pair test says what the plain edit distance says."""
+    rng, rows = random.Random(5), []
+    for i in range(240):
+        words = ["".join(rng.choices("abcdeé𝔞xyz", k=rng.randint(1, 8))) for _ in range(rng.choice([3, 40]))]
+        a = " ".join(rng.choices(words, k=rng.choice([12, 120])))
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, len(a) // 7))):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", " ", "𝔞"])
+        rows.append((a, "".join(b) if i % 4 else " ".join(rng.choices(words, k=a.count(" ") + 1))))
+    both = spark.createDataFrame(rows, "ta string, tb string").withColumn("la", lines.letters("ta")).withColumn("lb", lines.letters("tb"))
+    most = "cast(floor(0.1 * greatest(length(ta), length(tb)) + 1e-9) AS int)"
+    got = both.select(lines.within(most).alias("got"), F.expr(f"levenshtein(ta, tb) <= {most}").alias("want")).collect()
+    assert all(r.got == r.want for r in got) and 40 < sum(r.want for r in got) < 200
+
+
+def test_only_close_pairs_leave_a_bucket(spark):
+    """One bucket of unlike members: the open pairs that the signs rule out are never tested."""
+    members = spark.createDataFrame([(1, i) for i in range(60)], "bucket long, id long")
+    signs, asked = spark.createDataFrame([(i, i // 2) for i in range(60)], "id long, s long"), []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("a div 2 = b div 2")
+
+    got = graph.linked_groups(graph.bucket_mates(members), verify, rounds=2, signs=signs, close="s_a = s_b")
+    assert {(r.id, r.comp) for r in got.collect()} == {(i, i - i % 2) for i in range(60)}
+    assert len(asked) <= 60
+
+
 def test_fuzzy_lines_edge_rows(docs, table):
     got = lines.line_report(docs).collect()
     assert len(got) == len(table[0])
