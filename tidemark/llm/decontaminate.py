@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_ALNUM_ANY_CASE, UPPER, alnum_words, cut, hint_within, lower_ascii
+from .common import UPPER, alnum_words, cut, hint_within, lower_ascii
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, width: int = 10, lists:
     named = hits.select("k", F.explode("wins").alias("win")).join(windows(items, width).select("win", "item_id"), "win")
     names = named.groupBy("k").agg(F.sort_array(F.collect_set("item_id")).alias("names"))
     marks = hits.select("k", F.size("hit_words").cast("long").alias("n_hit")).join(names, "k")
-    n_words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NON_ALNUM_ANY_CASE.replace("[", "[^", 1)))
+    # Cutting takes a fraction of the time of counting the words' matches.
+    n_words = F.size(alnum_words(F.col("text")))
     base = _rows(docs).select("doc_id", "k", n_words.cast("long").alias("n_words"))
     out = base.join(marks, "k", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
