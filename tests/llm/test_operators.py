@@ -394,6 +394,32 @@ def test_only_close_pairs_leave_a_bucket(spark):
     assert len(asked) <= 60
 
 
+def test_line_distance_is_settled_before_the_square(spark):
+    """Lines of one edit or one longer run never reach the bounded distance whole, and the verdict is its own on any pair."""
+    rng = random.Random(5)
+    pairs = [("a b c d e", "a b c d e f"), ("b c d e f", "a b c d e f"), ("a a a a a b", "a a b"), ("x", "y z"), ("a b", "c d"), ("a b c", "a c")]
+    for _ in range(150):
+        words = [rng.choice(["la", "der", "thing", "o", "straße"]) for _ in range(rng.randint(1, 60))]
+        other = list(words)
+        for _ in range(rng.randint(1, 5)):
+            i = rng.randrange(len(other) + 1)
+            other[i : i + rng.choice([0, 1, 1, 3])] = rng.choices(["la", "der", "neu"], k=rng.choice([0, 1, 1, 2, 30]))
+        pairs.append((" ".join(words), " ".join(other) or "o"))
+    pairs = [(a, b) for a, b in pairs if a != b]
+    df = spark.createDataFrame(pairs, "ta string, tb string").selectExpr("*", "split(ta, ' ') AS wa", "split(tb, ' ') AS wb", "length(ta) AS na", "length(tb) AS nb")
+    for most in ("2", "cast(floor(0.1 * greatest(na, nb) + 1e-9) AS int)", "30"):
+        got = df.select(lines.within(most).alias("in"), F.expr(f"levenshtein(ta, tb) <= {most}").alias("want"), F.expr(lines.between(most)).alias("mid"), F.expr(f"levenshtein(ta, tb, {most})").alias("whole"), F.expr(f"{lines.aligned('100000')} >= levenshtein(ta, tb)").alias("above")).collect()
+        assert all(r["in"] == r["want"] and r["mid"] == r["whole"] and r["above"] for r in got)
+    # Texts of 400,000 characters: their square would take hours.
+    run = " ".join(["thor"] * 40_000) + " "
+    text = run + " ".join(f"w{i}" for i in range(40_000))
+    changed = text.replace(" w777 ", " v ").replace(" w30000 ", " ").replace(" w5 ", " w5 more ")
+    long_ = spark.createDataFrame([(text, changed), (text, run * 2 + "a"), (text, "thor " * 5_000 + text)], "ta string, tb string")
+    long_ = long_.selectExpr("*", "split(ta, ' ') AS wa", "split(tb, ' ') AS wb", "length(ta) AS na", "length(tb) AS nb")
+    got = long_.select(lines.within("cast(floor(0.1 * greatest(na, nb) + 1e-9) AS int)").alias("in")).collect()
+    assert [r["in"] for r in got] == [True, False, True]
+
+
 def test_fuzzy_lines_edge_rows(docs, table):
     got = lines.line_report(docs).collect()
     assert len(got) == len(table[0])
