@@ -802,6 +802,25 @@ def test_cut_frees_its_shuffle_files(spark):
     assert not shuffles() - before and out.count() == 100 and spark.conf.get(TIDY, None) == setting
 
 
+def test_operators_leave_only_their_result(spark, docs, table):
+    """What was written on the way is gone, so stages of a pipeline do not add up on the disk, and texts that stay are not shuffled."""
+    from pathlib import Path
+
+    from tidemark.llm.common import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    rows = docs.select("doc_id", "text")
+    items = spark.createDataFrame([(1, table[1])], "item_id long, text string")
+    before = set(folder.glob("*"))
+    out = [lines.without_repeats(rows), setsketch.one_per_group(rows), decontaminate.clean(rows, items), passages.passages(rows)]
+    names = sorted(p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before)
+    assert names == ["dropped-lines", "gone-or-repeated", "hits", "set-groups", "verified-passages"]
+    assert all(x.count() >= 0 for x in out)
+    # Repeated rows of a document that stays remain once, as before.
+    twice = setsketch.one_per_group(rows.union(rows)).count()
+    assert twice == setsketch.one_per_group(rows).count()
+
+
 def test_among(spark):
     from pyspark.sql import functions as F
 

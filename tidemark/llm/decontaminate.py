@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, alnum_words, cut, hint_within, lower_ascii
+from .common import UPPER, alnum_words, cut, hint_within, lower_ascii, settled
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -89,6 +89,10 @@ class Index:
 def phrase_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, lists: int = 3) -> DataFrame:
     """(k, hit_words, wins): for rows with an exact phrase, the distinct word positions inside any occurrence and the
     windows that occur."""
+    return settled(docs.sparkSession, lambda: _hits(docs, items, width, lists), "hits")
+
+
+def _hits(docs: DataFrame, items: DataFrame, width: int, lists: int) -> DataFrame:
     phrases = cut(windows(items, width).select("win", "words").distinct(), "phrases")
     found = Index(docs, phrases, lists).starts().distinct()
     per_row = found.groupBy("k").agg(F.collect_list(F.struct("win", "start")).alias("cands"))
@@ -103,7 +107,7 @@ def phrase_hits(docs: DataFrame, items: DataFrame, *, width: int = 10, lists: in
 
 def contamination(docs: DataFrame, items: DataFrame, *, width: int = 10, lists: int = 3) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
-    hits = cut(phrase_hits(docs, items, width=width, lists=lists), "hits")
+    hits = phrase_hits(docs, items, width=width, lists=lists)
     named = hits.select("k", F.explode("wins").alias("win")).join(windows(items, width).select("win", "item_id"), "win")
     names = named.groupBy("k").agg(F.sort_array(F.collect_set("item_id")).alias("names"))
     marks = hits.select("k", F.size("hit_words").cast("long").alias("n_hit")).join(names, "k")

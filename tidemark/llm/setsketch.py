@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, among, cut, mix64, shingles, space_words
+from .common import WordIds, among, cut, hint_within, mix64, settled, shingles, space_words
 from .graph import bucket_mates, linked_groups
 
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
@@ -162,6 +162,10 @@ def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFram
     Links join sets with 100 * |A and B| >= ``percent`` * |A or B|. ``slack``: a candidate goes on to the full sets
     unless its best similarity is that many log-likelihood units better than any at the threshold (about 1e-7).
     """
+    return settled(docs.sparkSession, lambda: _groups(docs, percent, slack), "set-groups")
+
+
+def _groups(docs: DataFrame, percent: int, slack: float) -> DataFrame:
     sk = cut(sketches(docs), "sketch")
     full = sk.where("n_shingles > 0")
     names = ["key1", "key2", "n_shingles"]
@@ -195,6 +199,10 @@ def groups_of(docs: DataFrame, *, percent: int, slack: float = 14.0) -> DataFram
 
 def one_per_group(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     """Rows of ``docs`` whose document stays: one per group; repeated rows of the kept document stay once."""
-    keep = groups_of(docs.select("doc_id", "text"), percent=percent).where("id = comp").select("id").distinct()
-    rows = docs.select(F.struct("*").alias("row"), _id().alias("id"))
-    return rows.join(keep, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+    each = groups_of(docs.select("doc_id", "text"), percent=percent)
+    # Rows that go or are repeated are told by their ids; all others pass without a shuffle as long as those few can be sent to them.
+    per_id = each.groupBy("id").agg(F.count("*").alias("n"), F.first(F.col("id") == F.col("comp")).alias("stays"))
+    some = hint_within(cut(per_id.where("n > 1 or not stays").select("id", "stays"), "gone-or-repeated"), 48)
+    rows = docs.select(F.struct("*").alias("row"), _id().alias("id")).join(some, "id", "left")
+    once = rows.where("stays is null").select("row.*")
+    return once.union(rows.where("stays").dropDuplicates(["id"]).select("row.*"))
