@@ -851,3 +851,48 @@ def test_passages_with_an_edit(spark):
     got = {r.doc_id: r for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.class_id for i, r in got.items()} == want
     assert all(r.n_repeated >= 50 for r in got.values())
+
+
+def test_spans_within_a_group_are_whole(spark):
+    """All documents share a passage; two and two of them share another one with an edit, beside the common one or beside a line that
+    all have. Spans are those of testing all pairs."""
+    rng = random.Random(41)
+    common, line = prose(rng, 60), prose(rng, 38)
+    rows, want = [], {}
+    for i in range(16):
+        if i % 2 == 0:
+            tails = [prose(rng, 16), prose(rng, 16)]
+        text = [prose(rng, 39), f"u{i}", common, f"x{i}", tails[0], f"v{i}", prose(rng, 28), f"w{i}", line, f"y{i}", tails[1], f"z{i}", prose(rng, 29)]
+        rows.append((i, " ".join(text)))
+        want[i] = "40-117,147-202"
+    rows += [(100 + i, rows[i][1]) for i in range(3)]
+    got = {r.doc_id: r for r in passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = {i % 100 for i in got if i >= 100}
+    for i, r in got.items():
+        assert r.class_id == 0 and r.n_links >= 1
+        assert r.spans == (f"0-{len(rows[i % 100][1].split())}" if i % 100 in whole else want[i])
+        assert r.n_repeated == sum(b - a for a, b in [map(int, s.split("-")) for s in r.spans.split(",")])
+    assert len(got) == 19 and len(whole) == 3
+
+
+def test_passages_of_texts_that_repeat_themselves(spark):
+    """A phrase over and over with a few edits makes very many runs; the chains are found in time of their number."""
+    import time
+
+    import numpy as np
+
+    rng = random.Random(43)
+    words = prose(rng, 7).split(" ") * 400
+    sides = []
+    for _ in range(2):
+        side = list(words)
+        for at in rng.sample(range(len(side)), 40):
+            side[at] = f"z{rng.randrange(10**6)}"
+        sides.append(passages.shingles(passages.WordIds().of([w.encode() for w in side])))
+    start = time.time()
+    found = passages.chains(*sides, [(7 * d, 0, len(sides[0]) - 1) for d in range(-60, 61)])
+    assert found and time.time() - start < 8
+    held = np.zeros(len(words), bool)
+    for a, b, _, _ in found:
+        held[a:b] = True
+    assert held.mean() > 0.9
