@@ -896,3 +896,18 @@ def test_passages_of_texts_that_repeat_themselves(spark):
     for a, b, _, _ in found:
         held[a:b] = True
     assert held.mean() > 0.9
+
+
+def test_like_members_take_few_links(spark, monkeypatch):
+    """One bucket of 4 groups of 40 members, all alike within: a few links a member are tested, not all pairs."""
+    monkeypatch.setattr(graph, "WAVES_FROM", 100)
+    members, asked = spark.createDataFrame([(1, i) for i in range(160)], "bucket long, id long"), []
+
+    def verify(pairs):
+        asked.extend((r.a, r.b) for r in pairs.collect())
+        return pairs.where("a % 4 = b % 4")
+
+    signs = spark.createDataFrame([(i, i % 4) for i in range(160)], "id long, s long")
+    got = graph.linked_groups(graph.bucket_mates(members), verify, rounds=2, signs=signs, close="s_a = s_b")
+    assert {(r.id, r.comp) for r in got.collect()} == {(i, i % 4) for i in range(160)}
+    assert len(asked) == len(set(asked)) <= 500
