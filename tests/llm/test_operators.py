@@ -911,3 +911,21 @@ def test_like_members_take_few_links(spark, monkeypatch):
     got = graph.linked_groups(graph.bucket_mates(members), verify, rounds=2, signs=signs, close="s_a = s_b")
     assert {(r.id, r.comp) for r in got.collect()} == {(i, i % 4) for i in range(160)}
     assert len(asked) == len(set(asked)) <= 500
+
+
+def test_letter_profiles_bound_the_distance(spark):
+    """Long lines: the packed counts are those of the letters, and lines within the edit similarity are never ruled out by them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(47)
+    base = [prose(rng, 500) for _ in range(6)]
+    rows = [(i, x) for i, x in enumerate(base)] + [(100 + i, typo(rng, x, 150)) for i, x in enumerate(base)] + [(200, "e " * 3000), (201, "short line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("words", F.split(F.trim("text"), " "))
+    got = {r.doc_id: r for r in df.select("doc_id", F.array_join("words", " ").alias("t"), *[F.expr(lines.profile(of)).alias(p) for p, of in lines.PROFILE.items()]).collect()}
+    for r in got.values():
+        for p, of in lines.PROFILE.items():
+            want = None if len(r.t) <= lines.LONG else sum(min(r.t.count(c), 4095) << (12 * i) for i, c in enumerate(of))
+            assert r[p] == want
+    pairs = spark.createDataFrame([(i, 100 + i, *[got[i][p] for p in lines.PROFILE], *[got[100 + i][p] for p in lines.PROFILE]) for i in range(6)] + [(201, 200, None, None, None, 1, 1, 1)], "a long, b long, " + ", ".join(f"{p}_{x} long" for x in "ab" for p in lines.PROFILE))
+    for r in pairs.select("a", "b", F.expr(lines.profiles_apart()).alias("apart")).collect():
+        assert r.apart + abs(len(got[r.a].t) - len(got[r.b].t)) <= 300 if r.a < 200 else r.apart == 0
